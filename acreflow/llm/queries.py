@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from .common import documents
 from .linededup import line_dedup_digest
+from .minhash import near_duplicates
 from .mixing import mix
 
 
+def op3_minhash_dedup(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op6_line_dedup(spark, sf_dir):
     return line_dedup_digest(documents(spark, sf_dir))
 
@@ -15,7 +20,7 @@ def op10_mix_sources(spark, sf_dir):
     return mix(documents(spark, sf_dir)).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op6_line_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op3_minhash_dedup, op6_line_dedup, op10_mix_sources)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
