@@ -6,6 +6,7 @@ from .common import documents
 from .linededup import line_dedup_digest
 from .minhash import near_duplicates
 from .mixing import mix
+from .secretscan import secret_digest
 
 
 def op3_minhash_dedup(spark, sf_dir):
@@ -16,11 +17,15 @@ def op6_line_dedup(spark, sf_dir):
     return line_dedup_digest(documents(spark, sf_dir))
 
 
+def op7_secret_scan(spark, sf_dir):
+    return secret_digest(documents(spark, sf_dir))
+
+
 def op10_mix_sources(spark, sf_dir):
     return mix(documents(spark, sf_dir)).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_dedup, op6_line_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op3_minhash_dedup, op6_line_dedup, op7_secret_scan, op10_mix_sources)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
