@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import documents
 from .linededup import line_dedup_digest
+from .media import media_features
 from .minhash import near_duplicates
 from .mixing import mix
 from .secretscan import secret_digest
@@ -13,6 +14,10 @@ def op3_minhash_dedup(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op4_media_columns(spark, sf_dir):
+    return media_features(documents(spark, sf_dir))
+
+
 def op6_line_dedup(spark, sf_dir):
     return line_dedup_digest(documents(spark, sf_dir))
 
@@ -25,7 +30,7 @@ def op10_mix_sources(spark, sf_dir):
     return mix(documents(spark, sf_dir)).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_dedup, op6_line_dedup, op7_secret_scan, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op3_minhash_dedup, op4_media_columns, op6_line_dedup, op7_secret_scan, op10_mix_sources)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
