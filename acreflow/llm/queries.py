@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import documents
+from .htmltext import page_texts
 from .linededup import line_dedup_digest
 from .media import media_features
 from .minhash import near_duplicates
@@ -10,6 +11,10 @@ from .mixing import mix
 from .secretscan import secret_digest
 
 
+def op2_html_text(spark, sf_dir):
+    return page_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_minhash_dedup(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
 
@@ -30,7 +35,7 @@ def op10_mix_sources(spark, sf_dir):
     return mix(documents(spark, sf_dir)).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_dedup, op4_media_columns, op6_line_dedup, op7_secret_scan, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op2_html_text, op3_minhash_dedup, op4_media_columns, op6_line_dedup, op7_secret_scan, op10_mix_sources)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
