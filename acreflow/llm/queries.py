@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import documents
 from .htmltext import page_texts
+from .langid import language_ids
 from .linededup import line_dedup_digest
 from .media import media_features
 from .minhash import near_duplicates
@@ -11,6 +12,10 @@ from .mixing import mix
 from .secretscan import secret_digest
 
 
+def op1_language_id(spark, sf_dir):
+    return language_ids(documents(spark, sf_dir))
+
+
 def op2_html_text(spark, sf_dir):
     return page_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -35,7 +40,7 @@ def op10_mix_sources(spark, sf_dir):
     return mix(documents(spark, sf_dir)).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_html_text, op3_minhash_dedup, op4_media_columns, op6_line_dedup, op7_secret_scan, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_minhash_dedup, op4_media_columns, op6_line_dedup, op7_secret_scan, op10_mix_sources)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
