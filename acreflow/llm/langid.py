@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textvec import buffers, pieces
 
@@ -221,7 +222,7 @@ def with_language(docs: DataFrame, key: str = "doc_id", text: str = "text", labe
     """All columns and ``__lang_pred``, ``__lang_score``; learns from the rows that aren't held out."""
     model = learn(docs.filter(~held_out(key)), key, text, label)
     names = [*docs.columns, "__lang_pred", "__lang_score"]
-    schema = docs.schema.add("__lang_pred", "string").add("__lang_score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__lang_score", T.DoubleType())])
     # bounded by the network's sizes; as a dict, for plain pickling
     shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))
 

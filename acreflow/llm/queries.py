@@ -9,6 +9,7 @@ from .linededup import line_dedup_digest
 from .media import media_features
 from .minhash import near_duplicates
 from .mixing import mix
+from .pieces import encoding_digest
 from .secretscan import secret_digest
 
 
@@ -28,6 +29,10 @@ def op4_media_columns(spark, sf_dir):
     return media_features(documents(spark, sf_dir))
 
 
+def op5_sentencepiece(spark, sf_dir):
+    return encoding_digest(documents(spark, sf_dir))
+
+
 def op6_line_dedup(spark, sf_dir):
     return line_dedup_digest(documents(spark, sf_dir))
 
@@ -40,7 +45,7 @@ def op10_mix_sources(spark, sf_dir):
     return mix(documents(spark, sf_dir)).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_minhash_dedup, op4_media_columns, op6_line_dedup, op7_secret_scan, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_minhash_dedup, op4_media_columns, op5_sentencepiece, op6_line_dedup, op7_secret_scan, op10_mix_sources)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
