@@ -252,8 +252,11 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     found = secret_spans(docs).withColumn("all", F.arrays_zip("kinds", "starts", "ends"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kinds"], x["starts"], x["ends"])), ",")
     base = F.filter("all", lambda x: x["kinds"].isin(*BASE))
-    counts = [F.size(F.filter("kinds", lambda k, name=name: k == name)).cast("long").alias(f"n_{name}") for name in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
+
+    def count(name: str):
+        return F.size(F.filter("kinds", lambda k: k == name)).cast("long").alias(f"n_{name}")
+
+    return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
 
 
 def reference_digest(text: str | None) -> tuple[int, int, int, str]:
