@@ -9,10 +9,14 @@ full shingle sets and union-find grouping.
    can get less (the early stop).
 2. Documents with equal sets are one class under their least id, so copies
    never meet each other in pairs.
-3. In each band bucket every class meets only the bucket's least and greatest
-   id.  These pairs are confirmed by exact set sizes and grouped.
-4. Where a bucket still holds several groups, all its pairs across groups are
-   confirmed too, so no link between members of a bucket is lost.
+3. In each band bucket every class meets only the bucket's centre, the member
+   that shares most buckets with others.  These pairs are confirmed on full
+   sets and grouped.
+4. Where a bucket still holds several groups, members outside the centre's
+   group look for partners in the other groups by prefix filtering: a similar
+   set must share one of a member's rarest shingles, so many that the rest
+   could not reach the threshold.  This finds every remaining link between
+   members of a bucket, and no group of copies is spelled out in pairs.
 
 32 bands of 4 slots miss a pair of similarity 0.75 once in 200,000 times.
 
@@ -25,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -122,6 +126,38 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return met.mapInArrow(confirm_batches(k, percent), "a long, b long")
 
 
+def shingle_batches(k: int):
+    """mapInArrow: id, group, apart, text -> id, group, apart, size of the set, and a row for each shingle's hash"""
+
+    def run(batches):
+        for batch in batches:
+            for i, n, h, r in shingle_sets(batch.column(3), k):
+                size = np.bincount(r, minlength=n)
+                own = [c.take(pa.array(r + i)) for c in batch.columns[:3]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(size[r]), pa.array(h.view(np.int64))], names=["doc_id", "group", "apart", "n", "h"])
+
+    return run
+
+
+def _partners(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different groups, one of them apart, that prefix filtering leaves.
+
+    Sets of x and y elements are similar if they share at least
+    ``percent / (100 + percent) * (x + y)``; the shared element of least rank
+    in the one's order then has at least that many of its elements from it on.
+    """
+    rows = materialize(members.mapInArrow(shingle_batches(k), "doc_id long, group long, apart boolean, n long, h long"))
+    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    by_rarity = Window.partitionBy("doc_id").orderBy("df", "h")
+    ranked = rows.filter("apart").join(common, "h").withColumn("r", F.row_number().over(by_rarity) - 1)
+    prefix = ranked.filter((F.col("df") > 1) & (100 * (F.col("n") - F.col("r")) >= percent * F.col("n"))).select(F.col("doc_id").alias("x"), F.col("group").alias("gx"), F.col("n").alias("nx"), "r", "h")
+    other = rows.select(F.col("doc_id").alias("y"), F.col("group").alias("gy"), F.col("n").alias("ny"), "h")
+    enough = (100 + percent) * (F.col("nx") - F.col("r")) >= percent * (F.col("nx") + F.col("ny"))
+    sized = (100 * F.col("ny") >= percent * F.col("nx")) & (100 * F.col("nx") >= percent * F.col("ny"))
+    met = prefix.join(other, "h").filter((F.col("gx") != F.col("gy")) & enough & sized)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -131,24 +167,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     classes = materialize(usable.groupBy(*print_of).agg(F.min("doc_id").alias("rep")))
     reps = usable.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
-    slots = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("slot"))
-    ends = slots.groupBy("slot").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
-    crowded = materialize(slots.join(ends, "slot"))
-    pairs = crowded.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.a", "p.b")
-    # rows of one id with different texts are linked by the id itself
-    links = materialize(_confirmed(pairs.filter("a < b").distinct(), plain.filter("doc_id IS NOT NULL"), k, percent))
+    slots = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("slot")).distinct()
+    sizes = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    crowded = materialize(slots.join(sizes, "slot"))
+    popular = crowded.groupBy("rep").agg(F.sum("n").alias("pop"))
+    centres = crowded.join(popular, "rep").groupBy("slot").agg(F.max(F.struct("pop", "rep")).alias("c")).select("slot", F.col("c.rep").alias("centre"))
+    crowded = materialize(crowded.join(centres, "slot").select("slot", "rep", "centre"))
+    texts = plain.filter("doc_id IS NOT NULL")
+    pairs = crowded.filter("rep != centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    links = materialize(_confirmed(pairs, texts, k, percent))
     groups = components(links)
 
-    label = F.coalesce("component", "rep")
-    spread = crowded.join(groups, crowded.rep == groups.node, "left").select("slot", "rep", "lo", "hi", label.alias("group"))
-    spread = materialize(spread)
-    split = spread.groupBy("slot").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).filter("g1 < g2").select("slot")
-    rest = spread.join(split, "slot", "left_semi").filter("rep != lo AND rep != hi").select("slot", "rep", "group")
-    cross = rest.toDF("slot", "a", "ga").join(rest.toDF("slot", "b", "gb"), "slot").filter("ga < gb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = materialize(cross)
-    if not cross.isEmpty():
-        more = _confirmed(cross, plain.filter("doc_id IS NOT NULL"), k, percent)
-        groups = components(links.union(more))
+    label = groups.toDF("rep", "group")
+    grouped = crowded.join(label, "rep", "left").join(label.toDF("centre", "main"), "centre", "left")
+    grouped = grouped.select("slot", "rep", F.coalesce("group", "rep").alias("group"), (F.coalesce("group", "rep") != F.coalesce("main", "centre")).alias("apart"))
+    grouped = materialize(grouped)
+    split = grouped.filter("apart").select("slot").distinct()
+    members = grouped.join(split, "slot", "left_semi").groupBy("rep").agg(F.min("group").alias("group"), F.max("apart").alias("apart"))
+    rest = materialize(_partners(texts.join(members, texts.doc_id == members.rep).select("doc_id", "group", "apart", "text"), k, percent))
+    if not rest.isEmpty():
+        groups = components(links.union(_confirmed(rest, texts, k, percent)))
 
     of_class = classes.join(groups, classes.rep == groups.node, "left").select(*print_of, F.coalesce("component", "rep").alias("of_class"))
     found = signed.drop("bands").join(of_class, print_of, "left")
