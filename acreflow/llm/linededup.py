@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, let, materialize
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SPACE = " \t\n\x0b\x0c\r"
@@ -68,10 +68,13 @@ def drop_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_char
 
 
 def _kept(text: Column, runs: Column) -> Column:
-    lines = _lines(text)
     gone = F.flatten(F.transform(runs, lambda r: F.sequence(r["first"], r["last"])))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    return F.when(runs.isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+
+    def join(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    return F.when(runs.isNull(), text).otherwise(let(_lines(text), join))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -11,6 +11,7 @@ from .minhash import near_duplicates
 from .mixing import mix
 from .pieces import encoding_digest
 from .secretscan import secret_digest
+from .spotsigs import neighbour_digest
 
 
 def op1_language_id(spark, sf_dir):
@@ -41,11 +42,15 @@ def op7_secret_scan(spark, sf_dir):
     return secret_digest(documents(spark, sf_dir))
 
 
+def op9_spotsigs(spark, sf_dir):
+    return neighbour_digest(documents(spark, sf_dir))
+
+
 def op10_mix_sources(spark, sf_dir):
     return mix(documents(spark, sf_dir)).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_minhash_dedup, op4_media_columns, op5_sentencepiece, op6_line_dedup, op7_secret_scan, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_minhash_dedup, op4_media_columns, op5_sentencepiece, op6_line_dedup, op7_secret_scan, op9_spotsigs, op10_mix_sources)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -16,10 +16,10 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import let, materialize
 
 CHAIN, PERCENT = 3, 75
 #: Common words of English, German, French and Spanish.
@@ -31,20 +31,101 @@ al como con del el las lo los más no para por se su una y""".split()
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
     """array<long> of a text's distinct signatures, in order."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    # antecedents become marks before the content word that follows
-    marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(ANTECEDENTS), F.lit("#")).otherwise(F.concat(w, F.lit(" ")))), "")
-    return _of_marked(F.filter(F.split(F.trim(marked), " "), lambda w: w != ""), words, chain)
 
+    def of_words(words: Column) -> Column:
+        # antecedents become marks before the content word that follows
+        marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(ANTECEDENTS), F.lit("#")).otherwise(F.concat(w, F.lit(" ")))), "")
+        whole = F.array(F.xxhash64(F.lit(1), F.array_join(words, " ")))
+        return let(F.split(F.rtrim(marked), " "), lambda content: of_content(content, whole))
 
-def _of_marked(content: Column, words: Column, chain: int) -> Column:
-    plain = F.transform(content, lambda w: F.ltrim(w, F.lit("#")))
+    def of_content(content: Column, whole: Column) -> Column:
+        hashed = F.transform(content, lambda w: F.xxhash64(F.ltrim(w, F.lit("#"))))
+        starts = F.filter(F.transform(content, lambda w, i: F.when(F.startswith(w, F.lit("#")) & (i <= F.size(content) - chain), i)), lambda i: i.isNotNull())
+        chains = let(hashed, lambda h: F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(chain)])))
+        return F.when(F.size(starts) > 0, F.array_sort(F.array_distinct(chains))).otherwise(whole)
 
-    def at(pair: Column) -> Column:
-        i = pair["i"]
-        return F.xxhash64(*[F.get(pair["all"], i + k) for k in range(chain)])
+    return let(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), of_words)
 
-    starts = F.filter(F.transform(content, lambda w, i: F.when(F.startswith(w, F.lit("#")) & (F.length(w) > 1) & (i <= F.size(content) - chain), i)), lambda i: i.isNotNull())
-    chains = F.transform(starts, lambda i: F.xxhash64(*[F.get(plain, i + k) for k in range(chain)]))
-    whole = F.array(F.xxhash64(F.lit(1), F.array_join(words, " ")))
-    return F.array_sort(F.array_distinct(F.when(F.size(chains) > 0, chains).otherwise(whole)))
+
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two fingerprints."""
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
+
+
+def digest(fingerprint: Column) -> Column:
+    """A fingerprint as a short string: equal for equal sets only."""
+    return F.concat_ws(":", F.size(fingerprint), F.sha2(F.array_join(F.transform(fingerprint, lambda x: x.cast("string")), ","), 256))
+
+
+def successors(docs: DataFrame) -> DataFrame:
+    """doc_id, th, n, next_id, next_th of the distinct rows (doc_id, th, n), in
+    order of doc_id; the last one's next is the first.
+
+    Rows are range-partitioned and numbered within partitions; only counts per
+    partition are summed over all.
+    """
+    rows = docs.select("doc_id", "th", "n").filter("doc_id IS NOT NULL").distinct().repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th")
+    placed = materialize(rows.withColumn("m", F.monotonically_increasing_id()))
+    part, within = F.shiftright("m", 33), F.col("m").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("c"))
+    run = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = counts.select("part", F.coalesce(F.sum("c").over(run), F.lit(0)).alias("offset"), F.sum("c").over(Window.partitionBy()).alias("total"))
+    ranked = placed.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("rank", F.col("offset") + within)
+    after = ranked.select(F.col("rank").alias("of"), F.col("doc_id").alias("next_id"), F.col("th").alias("next_th"))
+    return materialize(ranked.join(after, (F.col("rank") + 1) % F.col("total") == F.col("of")).select("doc_id", "th", "n", "next_id", "next_th"))
+
+
+def neighbour_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    The edited text has its last half replaced by the beginning of the next
+    document.  One row for each distinct id and text; a row without an id has
+    no next document, so its edited text is cut.
+    """
+    whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    whole = whole.select("doc_id", F.xxhash64("text").alias("th"), F.char_length("text").cast("long").alias("n"), "text")
+    order = successors(whole)
+    # what each document gives to the one before it
+    given = order.select(F.col("next_id").alias("doc_id"), F.col("next_th").alias("th"), F.col("doc_id").alias("to_id"), F.col("th").alias("to_th"), F.floor(F.col("n") / 2).cast("int").alias("want"))
+    parts = whole.drop("n").join(given.hint("shuffle_hash"), ["doc_id", "th"]).select("to_id", "to_th", F.substring("text", F.lit(1), F.col("want")).alias("head"), signatures(F.col("text")).alias("next_sigs"))
+    met = whole.join(parts, whole.doc_id.eqNullSafe(parts.to_id) & (whole.th == parts.to_th), "left")
+    half = F.floor(F.col("n") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n").cast("int") - half), F.coalesce("head", F.lit("")))
+    done = met.select("doc_id", "th", "n", edited.alias("edited"), "text", F.coalesce("next_sigs", F.array().cast("array<long>")).alias("next_sigs"))
+    # one expression binds the sets, so they are computed once
+    made = F.struct(signatures(F.col("text")).alias("a"), signatures(F.col("edited")).alias("b"), F.col("next_sigs").alias("c"))
+    out = let(
+        made,
+        lambda s: F.struct(digest(s["a"]).alias("fingerprint"), digest(s["b"]).alias("edited_fingerprint"), likeness(s["a"], s["b"]).alias("near_edited"), likeness(s["a"], s["c"]).alias("near_next")),
+    )
+    found = done.select("doc_id", "th", F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), out.alias("o"))
+    return found.dropDuplicates(["doc_id", "th"]).select("doc_id", "n_chars", "edited_sha256", "o.fingerprint", "o.edited_fingerprint", "o.near_edited", "o.near_next")
+
+
+def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """a, b, likeness of classes of equal fingerprints, by their least ids, that are at least ``percent`` alike.
+
+    Sets fall into partitions by length, each ``100 / percent`` times as long
+    as the one before: two similar sets lie in one or in neighbours.  In a
+    partition a set is listed under those of its signatures, rarest first,
+    among which it must share one with any similar set.
+    """
+    sets = docs.select(F.col(key).alias("doc_id"), signatures(F.col(text)).alias("s")).filter("doc_id IS NOT NULL")
+    classes = materialize(sets.groupBy(F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(3), "s").alias("h2"), F.size("s").alias("n")).agg(F.min("doc_id").alias("rep")))
+    reps = materialize(sets.join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id").dropDuplicates(["doc_id"]))
+    flat = reps.select("doc_id", "n", F.explode("s").alias("g"))
+    common = flat.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    by_rarity = Window.partitionBy("doc_id").orderBy("df", "g")
+    ranked = flat.join(common, "g", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("r", F.row_number().over(by_rarity) - 1)
+    prefix = ranked.filter((F.col("df") > 1) & (100 * (F.col("n") - F.col("r")) >= percent * F.col("n")))
+    step = F.lit(100 / percent)
+    prefix = materialize(prefix.select("doc_id", "n", "g", "r", F.floor(F.log("n") / F.log(step)).cast("int").alias("part")))
+    one = prefix.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"), "g", "part")
+    two = prefix.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("r").alias("ry"), "g", F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"))
+    need = percent * (F.col("nx") + F.col("ny"))
+    fits = (F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry")) * (100 + percent) >= need) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    met = one.join(two, ["g", "part"]).filter((F.col("x") != F.col("y")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left, right = reps.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), reps.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+    scored = met.join(left, "a").join(right, "b").select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness"))
+    return scored.filter(F.col("likeness") * 100 >= percent)
