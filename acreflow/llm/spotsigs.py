@@ -84,23 +84,30 @@ def neighbour_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     no next document, so its edited text is cut.
     """
     whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    whole = whole.select("doc_id", F.xxhash64("text").alias("th"), F.char_length("text").cast("long").alias("n"), "text")
-    order = successors(whole)
+    whole = whole.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    known = whole.filter("doc_id IS NOT NULL")  # used twice with one exchange
+    order = successors(known.select("doc_id", "th", F.char_length("text").cast("long").alias("n")))
     # what each document gives to the one before it
     given = order.select(F.col("next_id").alias("doc_id"), F.col("next_th").alias("th"), F.col("doc_id").alias("to_id"), F.col("th").alias("to_th"), F.floor(F.col("n") / 2).cast("int").alias("want"))
-    parts = whole.drop("n").join(given.hint("shuffle_hash"), ["doc_id", "th"]).select("to_id", "to_th", F.substring("text", F.lit(1), F.col("want")).alias("head"), signatures(F.col("text")).alias("next_sigs"))
-    met = whole.join(parts, whole.doc_id.eqNullSafe(parts.to_id) & (whole.th == parts.to_th), "left")
-    half = F.floor(F.col("n") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.col("n").cast("int") - half), F.coalesce("head", F.lit("")))
-    done = met.select("doc_id", "th", "n", edited.alias("edited"), "text", F.coalesce("next_sigs", F.array().cast("array<long>")).alias("next_sigs"))
+    parts = known.join(given.hint("shuffle_hash"), ["doc_id", "th"]).select(F.col("to_id").alias("doc_id"), F.col("to_th").alias("th"), F.substring("text", F.lit(1), F.col("want")).alias("head"), signatures(F.col("text")).alias("next_sigs"))
+    nothing = F.array().cast("array<long>")
+    met = known.join(parts, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    alone = whole.filter("doc_id IS NULL").dropDuplicates(["th"]).select("doc_id", "th", "text", F.lit("").alias("head"), nothing.alias("next_sigs"))
+    return _digests(met).unionByName(_digests(alone))
+
+
+def _digests(met: DataFrame) -> DataFrame:
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), "head")
+    done = met.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "text", "next_sigs")
     # one expression binds the sets, so they are computed once
     made = F.struct(signatures(F.col("text")).alias("a"), signatures(F.col("edited")).alias("b"), F.col("next_sigs").alias("c"))
     out = let(
         made,
         lambda s: F.struct(digest(s["a"]).alias("fingerprint"), digest(s["b"]).alias("edited_fingerprint"), likeness(s["a"], s["b"]).alias("near_edited"), likeness(s["a"], s["c"]).alias("near_next")),
     )
-    found = done.select("doc_id", "th", F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), out.alias("o"))
-    return found.dropDuplicates(["doc_id", "th"]).select("doc_id", "n_chars", "edited_sha256", "o.fingerprint", "o.edited_fingerprint", "o.near_edited", "o.near_next")
+    return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), out.alias("o")).select("doc_id", "n_chars", "edited_sha256", "o.*")
 
 
 def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
