@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import documents
 from .htmltext import page_texts
 from .langid import language_ids
+from .licenses import license_digest
 from .linededup import line_dedup_digest
 from .media import media_features
 from .minhash import near_duplicates
@@ -42,6 +43,10 @@ def op7_secret_scan(spark, sf_dir):
     return secret_digest(documents(spark, sf_dir))
 
 
+def op8_license_scan(spark, sf_dir):
+    return license_digest(documents(spark, sf_dir))
+
+
 def op9_spotsigs(spark, sf_dir):
     return neighbour_digest(documents(spark, sf_dir))
 
@@ -50,7 +55,7 @@ def op10_mix_sources(spark, sf_dir):
     return mix(documents(spark, sf_dir)).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_minhash_dedup, op4_media_columns, op5_sentencepiece, op6_line_dedup, op7_secret_scan, op9_spotsigs, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_minhash_dedup, op4_media_columns, op5_sentencepiece, op6_line_dedup, op7_secret_scan, op8_license_scan, op9_spotsigs, op10_mix_sources)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

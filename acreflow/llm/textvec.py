@@ -57,12 +57,12 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES):
         i = j
 
 
-def spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word ``[^\\x20\\x09-\\x0D]+``."""
+def spans(data: np.ndarray, at: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word: a run of bytes that aren't blank, by default ``[^\\x20\\x09-\\x0D]+``."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    solid = ~_BLANK[data]
+    solid = ~blank[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     starts = solid.copy()
