@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import relational, spatial, textvalue
+
+QUERIES: dict = {**relational.QUERIES, **textvalue.QUERIES, **spatial.QUERIES}
+ORACLES: dict = {**relational.ORACLES, **textvalue.ORACLES, **spatial.ORACLES}
