@@ -1,12 +1,4 @@
 """Operations of a large-scale training-data pipeline.
 
-Nothing else in the library imports this subpackage.  Its functions that run
-in Python workers are pickled by value, so executors need no copy of the
-package.
+Nothing else in the library imports this subpackage.
 """
-
-from pyspark import cloudpickle as _cloudpickle
-
-import acreflow.llm as _self
-
-_cloudpickle.register_pickle_by_value(_self)

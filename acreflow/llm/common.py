@@ -2,42 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Of the rows that may be broadcast; each row holds a few numbers and a key.
-BROADCAST_ROWS = 100_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir`` that all executors share.
+from acreflow.operators.storage import broadcast_if_small, materialize, shared_folder
 
-    A folder of this machine is made only where the setting is absent, as in
-    tests on one machine.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="acreflow-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["ascii_lower", "broadcast_if_small", "documents", "let", "materialize", "shared_folder"]
 
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: this cuts the
-    lineage, and the rows outlive lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/acreflow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only after the rows of a materialized table are counted."""
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
+ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def ascii_lower(col: Column) -> Column:

@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from acreflow.operators.graph import components
+
 from .common import materialize
-from .components import components
 from .textvec import distinct, mix64, shingle_sets
 
 WORDS, PERCENT, BANDS, ROWS = 5, 75, 32, 4
