@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 # Words and patterns of the classifiers.
 SOLD_TITLE = ("sold", "closed")
 SOLD_TEXT = ("sold", "sale closed", "auction closed", "contract pending")
@@ -17,11 +19,11 @@ OTHER_TITLES = ("personal property", "church contents", "sportsman", "gun", "col
 MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
 MONTH_SHORT = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec"
 DATE_PATTERNS = (
-    (rf"(?i)\b((?:{MONTH})\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}})\b", "name"),
-    (rf"(?i)\b((?:{MONTH_SHORT})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}})\b", "name"),
-    (r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{4})\b", "us"),
-    (r"\b(\d{4}-\d{1,2}-\d{1,2})\b", "iso"),
-    (r"(?i)(?:Bids?\s+Due|Sale\s+Date|Auction\s+Date|Bidding\s+Ends?|Closes?):\s*([A-Za-z]+\.?\s+\d{1,2}(?:st|nd|rd|th)?,?\s+\d{4})", "name"),
+    rf"(?i)\b((?:{MONTH})\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}})\b",
+    rf"(?i)\b((?:{MONTH_SHORT})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}})\b",
+    r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{4})\b",
+    r"\b(\d{4}-\d{1,2}-\d{1,2})\b",
+    r"(?i)(?:Bids?\s+Due|Sale\s+Date|Auction\s+Date|Bidding\s+Ends?|Closes?):\s*([A-Za-z]+\.?\s+\d{1,2}(?:st|nd|rd|th)?,?\s+\d{4})",
 )
 #: In order: the formats that a date's text may have.
 DATE_FORMATS = ("yyyy-M-d", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy", "M/d/yyyy", "M-d-yyyy", "d/M/yyyy", "d-M-yyyy")
@@ -64,17 +66,14 @@ def parse_date(text: Column) -> Column:
     clean = F.regexp_replace(F.btrim(text), r"(?i)(\d)(st|nd|rd|th)\b", "$1")
     clean = F.regexp_replace(F.regexp_replace(clean, r"(?i)\bsept\b", "Sep"), r"([A-Za-z])\.\s", "$1 ")
     clean = F.regexp_replace(F.initcap(clean), r"\s+", " ")
-    return F.coalesce(*[F.try_to_timestamp(clean, F.lit(f)).cast("date") for f in DATE_FORMATS])
+    return let(clean, lambda c: F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in DATE_FORMATS]))
 
 
 def extract_date(text: Column, as_of: Column) -> Column:
     """The first date in a text between a year before and two years after ``as_of``."""
-    low, high = F.add_months(as_of, -12), F.add_months(as_of, 24)
-    found = []
-    for pattern, _ in DATE_PATTERNS:
-        day = parse_date(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")))
-        found.append(F.when(day.between(low, high), day))
-    return F.coalesce(*found)
+    found = F.array(*[F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")) for pattern in DATE_PATTERNS])
+    days = F.transform(found, parse_date)
+    return F.get(F.filter(days, lambda d: d.between(F.add_months(as_of, -12), F.add_months(as_of, 24))), 0)
 
 
 def next_run(last: Column, cadence: Column, at: Column) -> Column:

@@ -1,3 +1,183 @@
-"""Placeholder."""
+"""Queries of geometry, spatial joins, clusters and tiles."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from acreflow.functions import geo
+from acreflow.operators import spatial, tiles
+
+from .base import Tables, register
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+query = register(QUERIES, ORACLES)
+
+#: Parts as unit squares of a lattice 20 wide.
+GRID = "(SELECT p_partkey AS id, p_type AS owner, p_size AS size, (p_partkey % 20)::DOUBLE AS gx, (p_partkey // 20)::DOUBLE AS gy FROM part)"
+#: Suppliers as rectangles over the lattice.
+BOXES = "(SELECT s_suppkey AS bid, ((s_suppkey * 7) % 17)::DOUBLE AS x0, ((s_suppkey * 13) % 90)::DOUBLE AS y0, ((s_suppkey * 7) % 17 + 1 + s_suppkey % 3)::DOUBLE AS x1, ((s_suppkey * 13) % 90 + 2.5)::DOUBLE AS y1 FROM supplier)"
+
+
+def _grid(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    d = t.part.select(k.alias("id"), F.col("p_type").alias("owner"), F.col("p_size").alias("size"), (k % 20).cast("double").alias("gx"), F.floor(k / 20).cast("double").alias("gy"))
+    return d.withColumns({"xmin": F.col("gx"), "ymin": F.col("gy"), "xmax": F.col("gx") + 1, "ymax": F.col("gy") + 1})
+
+
+def _boxes(t: Tables) -> DataFrame:
+    k = F.col("s_suppkey")
+    x, y = ((k * 7) % 17).cast("double"), ((k * 13) % 90).cast("double")
+    return t.supplier.select(k.alias("bid"), x.alias("xmin"), y.alias("ymin"), (x + 1 + k % 3).alias("xmax"), (y + 2.5).alias("ymax"))
+
+
+def _ring(d: DataFrame) -> DataFrame:
+    return d.withColumn("ring", geo.box_ring(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")))
+
+
+@query(f"SELECT bid, id FROM {BOXES} b JOIN {GRID} g ON gx + 0.5 > x0 AND gx + 0.5 < x1 AND gy + 0.25 > y0 AND gy + 0.25 < y1")
+def pip_join(t: Tables) -> DataFrame:
+    points = _grid(t).select("id", (F.col("gx") + 0.5).alias("x"), (F.col("gy") + 0.25).alias("y"))
+    polygons = _ring(_boxes(t)).withColumn("polygon", F.array("ring"))
+    return spatial.points_in_polygons(points, polygons, 4.0).select("bid", "id")
+
+
+OVERLAP = "greatest(0, least(x1, gx + 1) - greatest(x0, gx)) * greatest(0, least(y1, gy + 1) - greatest(y0, gy))"
+
+
+@query(f"SELECT bid, count(*) AS n, sum(size * w)::DOUBLE / sum(w)::DOUBLE AS mean FROM (SELECT bid, size, CAST({OVERLAP} AS DECIMAL(18,6)) AS w FROM {BOXES} b JOIN {GRID} g ON gx < x1 AND x0 < gx + 1 AND gy < y1 AND y0 < gy + 1) WHERE w > 0 GROUP BY bid")
+def overlay_wavg(t: Tables) -> DataFrame:
+    units = _ring(_grid(t)).select("id", "size", F.col("ring").alias("unit_ring"), *[F.col(c).alias(f"u{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
+    met = spatial.overlays(_ring(_boxes(t)), units, 4.0).filter("common > 0").withColumn("w", F.col("common").cast("decimal(18,6)"))
+    return met.groupBy("bid").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("size") * F.col("w")).cast("double") / F.sum("w").cast("double")).alias("mean"))
+
+
+@query(f"SELECT bid, id FROM {BOXES} b JOIN {GRID} g ON (gx - x0) * (gx - x0) + (gy - y0) * (gy - y0) <= 4")
+def dist_join(t: Tables) -> DataFrame:
+    points = _boxes(t).select("bid", F.col("xmin").alias("x"), F.col("ymin").alias("y"))
+    return spatial.within_distance(points, _grid(t).select("id", F.col("gx").alias("ox"), F.col("gy").alias("oy")), 2.0).select("bid", "id")
+
+
+NEAREST = "2 * 6371008.8 * asin(sqrt(least(power(sin(radians(plat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(plat)) * power(sin(radians(plon - lon) / 2), 2), 1)))"
+
+
+@query(f"""SELECT id, sid FROM (SELECT id, sid, d, row_number() OVER (PARTITION BY id ORDER BY round(d, 3), sid) AS r FROM (SELECT c.id, s.sid, {NEAREST} AS d FROM (SELECT c_custkey AS id, -94 + (c_custkey % 37) * 0.05::DOUBLE AS lon, 41 + (c_custkey % 29) * 0.04::DOUBLE AS lat FROM customer) c
+JOIN (SELECT s_suppkey AS sid, -94 + (s_suppkey % 11) * 0.17::DOUBLE AS plon, 41 + (s_suppkey % 7) * 0.19::DOUBLE AS plat FROM supplier WHERE s_suppkey < 77) s ON abs(lon - plon) <= 0.5 AND abs(lat - plat) <= 0.5)) WHERE r = 1 AND d < 50000""")
+def nearest(t: Tables) -> DataFrame:
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    points = t.customer.select(c.alias("id"), (F.lit(-94) + (c % 37) * F.lit(0.05)).alias("lon"), (F.lit(41) + (c % 29) * F.lit(0.04)).alias("lat"))
+    places = t.supplier.filter("s_suppkey < 77").select(s.alias("sid"), (F.lit(-94) + (s % 11) * F.lit(0.17)).alias("plon"), (F.lit(41) + (s % 7) * F.lit(0.19)).alias("plat"))
+    return spatial.nearest(points, places, "id", "sid").select("id", "sid")
+
+
+@query(f"SELECT id FROM {GRID} WHERE gx <= 6.5 AND gx + 1 >= 3.2 AND gy <= 40.5 AND gy + 1 >= 20.5 ORDER BY id LIMIT 1000")
+def bbox_scan(t: Tables) -> DataFrame:
+    return _grid(t).filter("xmin <= 6.5 AND xmax >= 3.2 AND ymin <= 40.5 AND ymax >= 20.5").orderBy("id").limit(1000).select("id")
+
+
+@query("SELECT p_partkey, (p_partkey % 20)::DOUBLE AS x, (p_partkey // 20)::DOUBLE AS y, 5 AS points FROM part")
+def wkt_parse(t: Tables) -> DataFrame:
+    g = _grid(t)
+    at = lambda x, y: F.concat_ws(" ", x.cast("string"), y.cast("string"))
+    x, y = F.col("gx"), F.col("gy")
+    wkt = F.concat(F.lit("POLYGON(("), F.concat_ws(", ", at(x, y), at(x + 1, y), at(x + 1, y + 1), at(x, y + 1), at(x, y)), F.lit("))"))
+    rings = g.select("id", geo.parse_wkt(wkt).alias("p"))
+    return rings.select(F.col("id").alias("p_partkey"), F.col("p")[0][0]["x"].alias("x"), F.col("p")[0][0]["y"].alias("y"), F.size(F.col("p")[0]).alias("points"))
+
+
+_AT = "(CAST({} AS VARCHAR) || ' ' || CAST({} AS VARCHAR))"
+
+
+@query("SELECT id, 'POLYGON((' || " + " || ',' || ".join(_AT.format(x, y) for x, y in (("gx", "gy"), ("gx + 1", "gy"), ("gx + 1", "gy + 1"), ("gx", "gy + 1"), ("gx", "gy"))) + f" || '))' AS wkt FROM {GRID}")
+def wkt_emit(t: Tables) -> DataFrame:
+    return _ring(_grid(t)).select("id", geo.to_wkt(F.array("ring")).alias("wkt"))
+
+
+_PAIR = "('[' || CAST({} AS VARCHAR) || ',' || CAST({} AS VARCHAR) || ']')"
+
+
+@query("""SELECT id, '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[' || """ + " || ',' || ".join(_PAIR.format(x, y) for x, y in (("gx", "gy"), ("gx + 1", "gy"), ("gx + 1", "gy + 1"), ("gx", "gy + 1"), ("gx", "gy"))) + f""" || ']]}},"properties":{{"owner":"' || owner || '","size":' || size || '}}}}' AS feature FROM {GRID}""")
+def feature_json(t: Tables) -> DataFrame:
+    return _ring(_grid(t)).select("id", geo.feature(F.array("ring"), owner=F.col("owner"), size=F.col("size")).alias("feature"))
+
+
+@query("SELECT p_type AS county, count(*) AS parcels, CAST(sum(p_size) AS BIGINT) AS acres, 'parcels-' || lower(replace(p_type, ' ', '-')) || '.geojson' AS filename FROM part GROUP BY p_type")
+def manifest(t: Tables) -> DataFrame:
+    name = F.concat(F.lit("parcels-"), F.regexp_replace(F.lower("p_type"), r"\s+", "-"), F.lit(".geojson"))
+    return t.part.groupBy(F.col("p_type").alias("county")).agg(F.count(F.lit(1)).alias("parcels"), F.sum("p_size").cast("long").alias("acres")).join(t.part.select(F.col("p_type").alias("county"), name.alias("filename")).distinct(), "county")
+
+
+@query(f"SELECT bid, x0 AS xmin, y0 AS ymin, x1 AS xmax, y1 AS ymax FROM {BOXES}")
+def envelope(t: Tables) -> DataFrame:
+    return _ring(_boxes(t)).select("bid", geo.envelope(F.col("ring")).alias("e")).select("bid", "e.*")
+
+
+@query(f"SELECT bid, (x1 - x0) * (y1 - y0) AS area FROM {BOXES}")
+def poly_area(t: Tables) -> DataFrame:
+    return _ring(_boxes(t)).select("bid", geo.polygon_area(F.array("ring")).alias("area"))
+
+
+@query(f"SELECT owner, CAST(sum(CAST(gx + 0.5 AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS x, CAST(sum(CAST(gy + 0.5 AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS y FROM {GRID} GROUP BY owner")
+def centroid_agg(t: Tables) -> DataFrame:
+    c = _ring(_grid(t)).select("owner", geo.ring_centroid(F.col("ring")).alias("c"), F.abs(geo.ring_area(F.col("ring"))).alias("a"))
+    part = lambda axis: (F.sum((F.col(f"c.{axis}") * F.col("a")).cast("decimal(18,4)")).cast("double") / F.sum("a")).alias(axis)
+    return c.groupBy("owner").agg(part("x"), part("y"))
+
+
+EDGES = "(SELECT owner, gx AS ax, gy AS ay, gx + 1 AS bx, gy AS by2 FROM {0} UNION ALL SELECT owner, gx, gy + 1, gx + 1, gy + 1 FROM {0} UNION ALL SELECT owner, gx, gy, gx, gy + 1 FROM {0} UNION ALL SELECT owner, gx + 1, gy, gx + 1, gy + 1 FROM {0})".format(GRID)
+
+
+@query(f"SELECT owner, count(*) AS outline FROM (SELECT owner, ax, ay, bx, by2 FROM {EDGES} GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY owner")
+def dissolve(t: Tables) -> DataFrame:
+    return spatial.dissolve_edges(_ring(_grid(t)), "owner").groupBy("owner").agg(F.count(F.lit(1)).alias("outline"))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM {GRID} a JOIN {GRID} b ON a.owner = b.owner AND abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1),
+w AS (SELECT id AS a, id AS l FROM {GRID} UNION SELECT e.b, w.l FROM w JOIN e ON e.a = w.a)
+SELECT a AS id, min(l) AS cluster FROM w GROUP BY a""")
+def cc_cluster(t: Tables) -> DataFrame:
+    return spatial.adjacent_clusters(_grid(t), ["owner"])
+
+
+@query("SELECT id, CAST(round(CAST(x AS DECIMAL(18,4)), 2) AS DOUBLE) AS x, CAST(round(CAST(y AS DECIMAL(18,4)), 2) AS DOUBLE) AS y FROM (SELECT c_custkey AS id, radians(-94 + (c_custkey % 37) * 0.05::DOUBLE) * 6378137 AS x, ln(tan(pi() / 4 + radians(41 + (c_custkey % 29) * 0.04::DOUBLE) / 2)) * 6378137 AS y FROM customer)")
+def mercator(t: Tables) -> DataFrame:
+    c = F.col("c_custkey")
+    two = lambda v: F.round(v.cast("decimal(18,4)"), 2).cast("double")
+    return t.customer.select(c.alias("id"), two(geo.mercator_x(F.lit(-94) + (c % 37) * F.lit(0.05))).alias("x"), two(geo.mercator_y(F.lit(41) + (c % 29) * F.lit(0.04))).alias("y"))
+
+
+@query("SELECT id, z, CAST(floor((lon + 180) / 360 * power(2.0, z)) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * power(2.0, z)) AS BIGINT) AS y FROM (SELECT c_custkey AS id, CAST(8 + c_custkey % 10 AS INTEGER) AS z, -94 + (c_custkey % 37) * 0.053::DOUBLE AS lon, 41 + (c_custkey % 29) * 0.047::DOUBLE AS lat FROM customer)")
+def tile_xy(t: Tables) -> DataFrame:
+    c = F.col("c_custkey")
+    z = (8 + c % 10).cast("int")
+    return t.customer.select(c.alias("id"), z.alias("z"), geo.tile_x(F.lit(-94) + (c % 37) * F.lit(0.053), z).alias("x"), geo.tile_y(F.lit(41) + (c % 29) * F.lit(0.047), z).alias("y"))
+
+
+@query("SELECT z, x, CAST(round(CAST(x * s - 20037508.342789244 AS DECIMAL(18,4)), 2) AS DOUBLE) AS xmin, CAST(round(CAST(20037508.342789244 - x * s AS DECIMAL(18,4)), 2) AS DOUBLE) AS ymax FROM (SELECT CAST(s_suppkey % 12 AS INTEGER) AS z, s_suppkey AS x, 2 * 20037508.342789244 / power(2.0, s_suppkey % 12) AS s FROM supplier)")
+def tile_env(t: Tables) -> DataFrame:
+    z, x = (F.col("s_suppkey") % 12).cast("int"), F.col("s_suppkey")
+    two = lambda v: F.round(v.cast("decimal(18,4)"), 2).cast("double")
+    return t.supplier.select(z.alias("z"), x.alias("x"), geo.tile_envelope(z, x, x).alias("e")).select("z", "x", two(F.col("e.xmin")).alias("xmin"), two(F.col("e.ymax")).alias("ymax"))
+
+
+@query(f"SELECT x, y, count(*) AS n FROM (SELECT CAST(floor((gx * 10000 + 0.5 + 20037508.342789244) / (2 * 20037508.342789244 / 2048)) AS BIGINT) AS x, CAST(floor((20037508.342789244 - gy * 10000 - 0.5) / (2 * 20037508.342789244 / 2048)) AS BIGINT) AS y FROM {GRID}) GROUP BY x, y")
+def tile_count(t: Tables) -> DataFrame:
+    at = _grid(t).select("id", (F.col("gx") * 10000 + 0.5).alias("xmin"), (F.col("gy") * 10000 + 0.5).alias("ymin"))
+    placed = tiles.on_tiles(at.withColumns({"xmax": F.col("xmin"), "ymax": F.col("ymin")}), 11)
+    return placed.groupBy(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def tile_bytes(t: Tables) -> DataFrame:
+    """Encoded tiles; no SQL engine has the encoding, so tests decode them."""
+    g = _grid(t)
+    wide = g.withColumns({c: F.col(c) * 10000 for c in ("xmin", "ymin", "xmax", "ymax")})
+    return tiles.tiles(_ring(wide), 11, "ownership", "id", ["owner", "size"]).select("z", "x", "y", "part", "n", F.sha2("mvt", 256).alias("sha256"))
+
+
+@query("SELECT s_suppkey, i, CAST(round(CAST(500 * cos(i / 32.0 * 2 * pi()) / 6378137 * (180 / pi()) / cos(42 * pi() / 180) AS DECIMAL(18,9)), 7) AS DOUBLE) AS dx, CAST(round(CAST(500 * sin(i / 32.0 * 2 * pi()) / 6378137 * (180 / pi()) AS DECIMAL(18,9)), 7) AS DOUBLE) AS dy FROM (SELECT s_suppkey FROM supplier WHERE s_suppkey < 5) CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(33))")
+def circle_poly(t: Tables) -> DataFrame:
+    ring = t.supplier.filter("s_suppkey < 5").select("s_suppkey", F.posexplode(geo.circle(F.col("s_suppkey").cast("double") * 0, F.lit(42.0))).alias("i", "p")).filter("i < 33")
+    seven = lambda v: F.round(v.cast("decimal(18,9)"), 7).cast("double")
+    return ring.select("s_suppkey", "i", seven(F.col("p.x")).alias("dx"), seven(F.col("p.y") - 42).alias("dy"))
