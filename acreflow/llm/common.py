@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acreflow.functions.binding import let
 from acreflow.operators.storage import broadcast_if_small, materialize, shared_folder
 
 __all__ = ["ascii_lower", "broadcast_if_small", "documents", "let", "materialize", "shared_folder"]
@@ -18,9 +19,3 @@ def ascii_lower(col: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, also where ``body`` uses it
-    inside the functions given to transform, filter and the like."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
