@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from acreflow.functions import geo
 
@@ -71,7 +72,7 @@ def _clip(subject: list, clip: list) -> float:
     return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(out, out[1:] + out[:1], strict=True))) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def overlap_area(ring: pd.Series, convex: pd.Series) -> pd.Series:
     """Planar area of a ring's part inside a convex ring."""
     flat = lambda r: [(p["x"], p["y"]) for p in r]
