@@ -240,21 +240,18 @@ def main_text(page: str | None) -> str:
         best = holder
     threshold = min([best.density, *(x.density for x in _up(best))])
     chain = {id(x) for x in _up(best)}
-    keep: list[str] = []
-
-    def walk(node: Node) -> None:
-        for x in node.parts:
-            if isinstance(x, Node):
-                if x is best:
-                    keep.extend(_blocks(x))
-                elif id(x) in chain:
-                    walk(x)
-                elif holder is None and x.density >= threshold and x.density > 0:
-                    keep.extend(_blocks(x))
-
     if best is root:
         return "\n".join(_blocks(root))
-    walk(root)
+    keep: list[str] = []
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node is best:
+            keep += _blocks(node)
+        elif node is root or id(node) in chain:
+            todo += [x for x in node.parts if isinstance(x, Node)][::-1]
+        elif holder is None and node.density >= threshold and node.density > 0:
+            keep += _blocks(node)
     return "\n".join(keep)
 
 

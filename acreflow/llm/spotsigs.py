@@ -59,55 +59,57 @@ def digest(fingerprint: Column) -> Column:
 
 
 def successors(docs: DataFrame) -> DataFrame:
-    """doc_id, th, n, next_id, next_th of the distinct rows (doc_id, th, n), in
-    order of doc_id; the last one's next is the first.
+    """doc_id, n, next_id of the distinct ids of (doc_id, n) with their largest n;
+    the last one's next is the first.
 
     Rows are range-partitioned and numbered within partitions; only counts per
     partition are summed over all.
     """
-    rows = docs.select("doc_id", "th", "n").filter("doc_id IS NOT NULL").distinct().repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th")
+    rows = docs.groupBy("doc_id").agg(F.max("n").alias("n")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     placed = materialize(rows.withColumn("m", F.monotonically_increasing_id()))
     part, within = F.shiftright("m", 33), F.col("m").bitwiseAND((1 << 33) - 1)
     counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("c"))
     run = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     offsets = counts.select("part", F.coalesce(F.sum("c").over(run), F.lit(0)).alias("offset"), F.sum("c").over(Window.partitionBy()).alias("total"))
     ranked = placed.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("rank", F.col("offset") + within)
-    after = ranked.select(F.col("rank").alias("of"), F.col("doc_id").alias("next_id"), F.col("th").alias("next_th"))
-    return materialize(ranked.join(after, (F.col("rank") + 1) % F.col("total") == F.col("of")).select("doc_id", "th", "n", "next_id", "next_th"))
+    after = ranked.select(F.col("rank").alias("of"), F.col("doc_id").alias("next_id"))
+    return materialize(ranked.join(after, (F.col("rank") + 1) % F.col("total") == F.col("of")).select("doc_id", "n", "next_id"))
 
 
 def neighbour_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last half replaced by the beginning of the next
-    document.  One row for each distinct id and text; a row without an id has
-    no next document, so its edited text is cut.
+    document.  One row for each distinct id and text; of the texts of one next
+    id that of the least hash counts; a row without an id has no next
+    document, so its edited text is cut.
     """
-    whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    whole = whole.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    known = whole.filter("doc_id IS NOT NULL")  # used twice with one exchange
-    order = successors(known.select("doc_id", "th", F.char_length("text").cast("long").alias("n")))
+    plain = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    known = plain.filter("doc_id IS NOT NULL")  # both joins use it as it is, by doc_id alone, and so share one exchange of the texts
+    whole = F.coalesce("text", F.lit(""))
+    order = successors(known.select("doc_id", F.char_length(whole).alias("n")))
     # what each document gives to the one before it
-    given = order.select(F.col("next_id").alias("doc_id"), F.col("next_th").alias("th"), F.col("doc_id").alias("to_id"), F.col("th").alias("to_th"), F.floor(F.col("n") / 2).cast("int").alias("want"))
-    parts = known.join(given.hint("shuffle_hash"), ["doc_id", "th"]).select(F.col("to_id").alias("doc_id"), F.col("to_th").alias("th"), F.substring("text", F.lit(1), F.col("want")).alias("head"), signatures(F.col("text")).alias("next_sigs"))
-    nothing = F.array().cast("array<long>")
-    met = known.join(parts, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
-    alone = whole.filter("doc_id IS NULL").dropDuplicates(["th"]).select("doc_id", "th", "text", F.lit("").alias("head"), nothing.alias("next_sigs"))
+    given = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to_id"), F.floor(F.col("n") / 2).cast("int").alias("want"))
+    taken = known.join(given.hint("shuffle_hash"), "doc_id")
+    parts = taken.select(F.col("to_id").alias("doc_id"), F.xxhash64(whole).alias("next_th"), F.substring(whole, F.lit(1), F.col("want")).alias("head"), signatures(F.col("text")).alias("next_sigs"))
+    met = known.join(parts, "doc_id").select("doc_id", whole.alias("text"), "next_th", "head", "next_sigs")
+    alone = plain.filter("doc_id IS NULL").select("doc_id", whole.alias("text"), F.lit(0).cast("long").alias("next_th"), F.lit("").alias("head"), F.array().cast("array<long>").alias("next_sigs"))
     return _digests(met).unionByName(_digests(alone))
 
 
 def _digests(met: DataFrame) -> DataFrame:
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), "head")
-    done = met.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "text", "next_sigs")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("head", F.lit(1), half))
+    done = met.select("doc_id", F.xxhash64("text").alias("th"), "next_th", n.cast("long").alias("n_chars"), edited.alias("edited"), "text", "next_sigs")
     # one expression binds the sets, so they are computed once
     made = F.struct(signatures(F.col("text")).alias("a"), signatures(F.col("edited")).alias("b"), F.col("next_sigs").alias("c"))
     out = let(
         made,
         lambda s: F.struct(digest(s["a"]).alias("fingerprint"), digest(s["b"]).alias("edited_fingerprint"), likeness(s["a"], s["b"]).alias("near_edited"), likeness(s["a"], s["c"]).alias("near_next")),
     )
-    return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), out.alias("o")).select("doc_id", "n_chars", "edited_sha256", "o.*")
+    found = done.select("doc_id", "th", F.struct("next_th", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), out.alias("o")).alias("r"))
+    return found.groupBy("doc_id", "th").agg(F.min("r").alias("r")).select("doc_id", "r.n_chars", "r.edited_sha256", "r.o.*")
 
 
 def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
