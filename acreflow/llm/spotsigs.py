@@ -84,7 +84,8 @@ def neighbour_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     id that of the least hash counts; a row without an id has no next
     document, so its edited text is cut.
     """
-    plain = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    # no aliases where the names are these: with them the two uses below would not share an exchange
+    plain = docs.select(*[F.col(c) if c == to else F.col(c).alias(to) for c, to in ((key, "doc_id"), (text, "text"))])
     known = plain.filter("doc_id IS NOT NULL")  # both joins use it as it is, by doc_id alone, and so share one exchange of the texts
     whole = F.coalesce("text", F.lit(""))
     order = successors(known.select("doc_id", F.char_length(whole).alias("n")))
