@@ -36,7 +36,7 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
         # antecedents become marks before the content word that follows
         marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(ANTECEDENTS), F.lit("#")).otherwise(F.concat(w, F.lit(" ")))), "")
         whole = F.array(F.xxhash64(F.lit(1), F.array_join(words, " ")))
-        return let(F.split(F.rtrim(marked), " "), lambda content: of_content(content, whole))
+        return let(F.split(F.rtrim(marked, F.lit("# ")), " "), lambda content: of_content(content, whole))
 
     def of_content(content: Column, whole: Column) -> Column:
         hashed = F.transform(content, lambda w: F.xxhash64(F.ltrim(w, F.lit("#"))))

@@ -66,7 +66,7 @@ def test_lines_against_brute_force(docs):
     common = [f"{'A line that many documents hold, number'} {i} {'é' * (i % 3)}" for i in range(6)] + ["short", "", "   ", "x" * 40, "y" * 39]
     texts = ["\n".join(("  " if rng.random() < 0.2 else "") + (x.upper() if rng.random() < 0.2 and "é" not in x else x) for x in rng.choices(common + [f"own line of document {i} which is long enough"], k=rng.randrange(12))) for i in range(40)] + ODD
     frame = docs(texts, extra=True)
-    rows = sorted((r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()) if False else [(i, t) for i, t in enumerate(texts)]
+    rows = list(enumerate(texts))
     want = {i: (n, d, hashlib.sha256(k.encode()).hexdigest()) for (i, _), (n, d, k) in zip(rows, brute.line_dedup(rows), strict=True)}
     got = linededup.line_dedup_digest(frame).collect()
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in got} == want

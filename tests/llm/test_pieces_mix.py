@@ -95,4 +95,4 @@ def test_mixed_rows(docs):
 def test_mix_of_nothing(docs):
     assert mixing.mix(docs(["a"]).limit(0)).count() == 0
     assert [r.taken for r in mixing.mix(docs([None, ""])).collect()] == [0, 0]
-    assert mixing.mix(docs(["a b"] * 3, ids=[None, None, 1])).agg(F.sum("taken")).first()[0] in (4, 6, 2, 8)
+    assert mixing.mix(docs(["a b"] * 3, ids=[None, None, 1])).agg(F.sum("taken")).first()[0] in (8, 10)
