@@ -13,10 +13,12 @@ full shingle sets and union-find grouping.
    that shares most buckets with others.  These pairs are confirmed on full
    sets and grouped.
 4. Where a bucket still holds several groups, members outside the centre's
-   group look for partners in the other groups by prefix filtering: a similar
-   set must share one of a member's rarest shingles, so many that the rest
-   could not reach the threshold.  This finds every remaining link between
-   members of a bucket, and no group of copies is spelled out in pairs.
+   group meet one member of it, another in each bucket and each of two rounds.
+5. What is still apart looks for partners in the other groups of its buckets
+   by prefix filtering: two similar sets share one of the rarest shingles of
+   both, of so many that the rest could not reach the threshold.  This finds
+   every remaining link between members of a bucket, and no group of copies is
+   spelled out in pairs.
 
 32 bands of 4 slots miss a pair of similarity 0.75 once in 200,000 times.
 
@@ -37,7 +39,7 @@ from acreflow.operators.graph import components
 from .common import materialize
 from .textvec import distinct, mix64, shingle_sets
 
-WORDS, PERCENT, BANDS, ROWS = 5, 75, 32, 4
+WORDS, PERCENT, BANDS, ROWS, ROUNDS = 5, 75, 32, 4, 2
 
 
 def super_minhash(h: np.ndarray, r: np.ndarray, n: int, slots: int) -> np.ndarray:
@@ -140,22 +142,30 @@ def shingle_batches(k: int):
     return run
 
 
+def _grouped(crowded: DataFrame, groups: DataFrame) -> DataFrame:
+    """slot, rep, its group, and whether that is another than the one of the slot's centre"""
+    label = groups.toDF("rep", "group")
+    met = crowded.join(label, "rep", "left").join(label.toDF("centre", "main"), "centre", "left")
+    return met.select("slot", "rep", F.coalesce("group", "rep").alias("group"), (F.coalesce("group", "rep") != F.coalesce("main", "centre")).alias("apart"))
+
+
 def _partners(members: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) of members of different groups, one of them apart, that prefix filtering leaves.
 
     Sets of x and y elements are similar if they share at least
-    ``percent / (100 + percent) * (x + y)``; the shared element of least rank
-    in the one's order then has at least that many of its elements from it on.
+    ``percent / (100 + percent) * (x + y)``; in one order of all elements, the
+    first shared one then has at least that many from it on in both sets.
     """
     rows = materialize(members.mapInArrow(shingle_batches(k), "doc_id long, group long, apart boolean, n long, h long"))
     common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     by_rarity = Window.partitionBy("doc_id").orderBy("df", "h")
-    ranked = rows.filter("apart").join(common, "h").withColumn("r", F.row_number().over(by_rarity) - 1)
-    prefix = ranked.filter((F.col("df") > 1) & (100 * (F.col("n") - F.col("r")) >= percent * F.col("n"))).select(F.col("doc_id").alias("x"), F.col("group").alias("gx"), F.col("n").alias("nx"), "r", "h")
-    other = rows.select(F.col("doc_id").alias("y"), F.col("group").alias("gy"), F.col("n").alias("ny"), "h")
-    enough = (100 + percent) * (F.col("nx") - F.col("r")) >= percent * (F.col("nx") + F.col("ny"))
+    ranked = rows.join(common, "h").withColumn("r", F.row_number().over(by_rarity) - 1)
+    prefix = materialize(ranked.filter((F.col("df") > 1) & (100 * (F.col("n") - F.col("r")) >= percent * F.col("n"))).select("doc_id", "group", "apart", "n", "r", "h"))
+    one = prefix.filter("apart").select(F.col("doc_id").alias("x"), F.col("group").alias("gx"), F.col("n").alias("nx"), F.col("r").alias("rx"), "h")
+    two = prefix.select(F.col("doc_id").alias("y"), F.col("group").alias("gy"), F.col("n").alias("ny"), F.col("r").alias("ry"), "h")
+    enough = (100 + percent) * F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry")) >= percent * (F.col("nx") + F.col("ny"))
     sized = (100 * F.col("ny") >= percent * F.col("nx")) & (100 * F.col("nx") >= percent * F.col("ny"))
-    met = prefix.join(other, "h").filter((F.col("gx") != F.col("gy")) & enough & sized)
+    met = one.join(two, "h").filter((F.col("gx") != F.col("gy")) & enough & sized)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -179,10 +189,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     links = materialize(_confirmed(pairs, texts, k, percent))
     groups = components(links)
 
-    label = groups.toDF("rep", "group")
-    grouped = crowded.join(label, "rep", "left").join(label.toDF("centre", "main"), "centre", "left")
-    grouped = grouped.select("slot", "rep", F.coalesce("group", "rep").alias("group"), (F.coalesce("group", "rep") != F.coalesce("main", "centre")).alias("apart"))
-    grouped = materialize(grouped)
+    grouped = materialize(_grouped(crowded, groups))
+    for salt in range(ROUNDS):
+        among = grouped.filter("NOT apart").groupBy("slot").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "slot", "rep").alias("h"), F.col("rep").alias("pivot"))).alias("p"))
+        tried = grouped.filter("apart").join(among.select("slot", "p.pivot"), "slot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        found = materialize(_confirmed(tried, texts, k, percent))
+        if not found.isEmpty():
+            links = materialize(links.union(found))
+            groups = components(links)
+            grouped = materialize(_grouped(crowded, groups))
     split = grouped.filter("apart").select("slot").distinct()
     members = grouped.join(split, "slot", "left_semi").groupBy("rep").agg(F.min("group").alias("group"), F.max("apart").alias("apart"))
     rest = materialize(_partners(texts.join(members, texts.doc_id == members.rep).select("doc_id", "group", "apart", "text"), k, percent))
