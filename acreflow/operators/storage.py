@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir`` that all executors share.
 
@@ -20,8 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="acreflow-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="acreflow-"))
     return folder.rstrip("/")
 
 
