@@ -31,13 +31,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from acreflow.operators.graph import components
 
 from .common import materialize
-from .textvec import distinct, mix64, shingle_sets
+from .textvec import distinct, mix64, pieces, shingle_sets
 
 WORDS, PERCENT, BANDS, ROWS, ROUNDS = 5, 75, 32, 4, 2
 
@@ -108,8 +109,9 @@ def confirm_batches(k: int, percent: int):
 
     def run(batches):
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                n = min(256, len(batch) - at)
+            size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
+            for at, end in pieces(np.r_[0, np.cumsum(size)]):
+                n = end - at
                 ha, ra = sets(batch.column(2), at, n)
                 hb, rb = sets(batch.column(3), at, n)
                 na, nb = np.bincount(ra, minlength=n), np.bincount(rb, minlength=n)

@@ -1,6 +1,6 @@
 """Words and word shingles of Arrow string batches as numpy arrays.
 
-A batch is cut into pieces of a few megabytes, so memory is bounded by that
+A batch is cut into pieces of about a megabyte, so memory is bounded by that
 and by the longest single text.
 """
 
@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C1B  # 3 mod 8
 _INV = pow(_BASE, -1, 1 << 64)
 
