@@ -144,6 +144,11 @@ def shingle_batches(k: int):
     return run
 
 
+def _stars(groups: DataFrame) -> DataFrame:
+    """Known groups as edges: what is found later joins stars instead of all links again."""
+    return groups.select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
 def _grouped(crowded: DataFrame, groups: DataFrame) -> DataFrame:
     """slot, rep, its group, and whether that is another than the one of the slot's centre"""
     label = groups.toDF("rep", "group")
@@ -188,8 +193,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     crowded = materialize(crowded.join(centres, "slot").select("slot", "rep", "centre"))
     texts = plain.filter("doc_id IS NOT NULL")
     pairs = crowded.filter("rep != centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-    links = materialize(_confirmed(pairs, texts, k, percent))
-    groups = components(links)
+    groups = components(materialize(_confirmed(pairs, texts, k, percent)))
 
     grouped = materialize(_grouped(crowded, groups))
     for salt in range(ROUNDS):
@@ -197,14 +201,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         tried = grouped.filter("apart").join(among.select("slot", "p.pivot"), "slot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
         found = materialize(_confirmed(tried, texts, k, percent))
         if not found.isEmpty():
-            links = materialize(links.union(found))
-            groups = components(links)
+            groups = components(_stars(groups).union(found))
             grouped = materialize(_grouped(crowded, groups))
     split = grouped.filter("apart").select("slot").distinct()
     members = grouped.join(split, "slot", "left_semi").groupBy("rep").agg(F.min("group").alias("group"), F.max("apart").alias("apart"))
     rest = materialize(_partners(texts.join(members, texts.doc_id == members.rep).select("doc_id", "group", "apart", "text"), k, percent))
     if not rest.isEmpty():
-        groups = components(links.union(_confirmed(rest, texts, k, percent)))
+        # written first: one stage with two Python functions would keep twice as many workers
+        found = materialize(_confirmed(rest, texts, k, percent))
+        groups = components(_stars(groups).union(found))
 
     of_class = classes.join(groups, classes.rep == groups.node, "left").select(*print_of, F.coalesce("component", "rep").alias("of_class"))
     found = signed.drop("bands").join(of_class, print_of, "left")
