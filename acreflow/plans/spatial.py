@@ -71,6 +71,16 @@ def nearest(t: Tables) -> DataFrame:
     return spatial.nearest(points, places, "id", "sid").select("id", "sid")
 
 
+@query(f"""SELECT id, sid FROM (SELECT id, sid, d, row_number() OVER (PARTITION BY id ORDER BY round(d, 3), sid) AS r FROM (SELECT c.id, s.sid, {NEAREST} AS d FROM (SELECT c_custkey AS id, -170 + (c_custkey % 13600) * 0.025::DOUBLE AS lon, -60 + (c_custkey // 13600) * 0.025::DOUBLE AS lat FROM customer) c
+JOIN (SELECT s_suppkey AS sid, -169.963 + (s_suppkey % 3400) * 0.1::DOUBLE AS plon, -59.963 + (s_suppkey // 3400) * 0.1::DOUBLE AS plat FROM supplier) s ON lon BETWEEN plon - 0.5 AND plon + 0.5 AND lat BETWEEN plat - 0.5 AND plat + 0.5)) WHERE r = 1 AND d < 50000""")
+def nearest_whole(t: Tables) -> DataFrame:
+    """All places on a lattice without repeats: a cell has 25 at most at any size.  Offsets leave no two places equally far."""
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    points = t.customer.select(c.alias("id"), (F.lit(-170) + (c % 13600) * F.lit(0.025)).alias("lon"), (F.lit(-60) + F.floor(c / 13600) * F.lit(0.025)).alias("lat"))
+    places = t.supplier.select(s.alias("sid"), (F.lit(-169.963) + (s % 3400) * F.lit(0.1)).alias("plon"), (F.lit(-59.963) + F.floor(s / 3400) * F.lit(0.1)).alias("plat"))
+    return spatial.nearest(points, places, "id", "sid").select("id", "sid")
+
+
 @query(f"SELECT id FROM {GRID} WHERE gx <= 6.5 AND gx + 1 >= 3.2 AND gy <= 40.5 AND gy + 1 >= 20.5 ORDER BY id LIMIT 1000")
 def bbox_scan(t: Tables) -> DataFrame:
     return _grid(t).filter("xmin <= 6.5 AND xmax >= 3.2 AND ymin <= 40.5 AND ymax >= 20.5").orderBy("id").limit(1000).select("id")
@@ -181,3 +191,10 @@ def circle_poly(t: Tables) -> DataFrame:
     ring = t.supplier.filter("s_suppkey < 5").select("s_suppkey", F.posexplode(geo.circle(F.col("s_suppkey").cast("double") * 0, F.lit(42.0))).alias("i", "p")).filter("i < 33")
     seven = lambda v: F.round(v.cast("decimal(18,9)"), 7).cast("double")
     return ring.select("s_suppkey", "i", seven(F.col("p.x")).alias("dx"), seven(F.col("p.y") - 42).alias("dy"))
+
+
+@query("SELECT s_suppkey, i, CAST(round(CAST(500 * cos(i / 32.0 * 2 * pi()) / 6378137 * (180 / pi()) / cos(42 * pi() / 180) AS DECIMAL(18,9)), 7) AS DOUBLE) AS dx, CAST(round(CAST(500 * sin(i / 32.0 * 2 * pi()) / 6378137 * (180 / pi()) AS DECIMAL(18,9)), 7) AS DOUBLE) AS dy FROM supplier CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(33))")
+def circle_poly_whole(t: Tables) -> DataFrame:
+    ring = t.supplier.select("s_suppkey", F.posexplode(geo.circle(F.col("s_suppkey").cast("double") * 0, F.lit(42.0))).alias("i", "p")).filter("i < 33")
+    seven = lambda v: F.round(v.cast("decimal(18,9)"), 7).cast("double")
+    return ring.select("s_suppkey", "i", seven(F.col("p.x")).alias("dx"), seven(F.col("p.y") - 42).alias("dy"))
