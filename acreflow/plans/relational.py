@@ -260,6 +260,14 @@ def anti_both(t: Tables) -> DataFrame:
     return missing.unionByName(stale)
 
 
+@query("""SELECT 'missing' AS side, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')
+UNION ALL SELECT 'stale', o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'FURNITURE')""")
+def anti_both_whole(t: Tables) -> DataFrame:
+    missing = t.customer.join(t.orders.filter("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.lit("missing").alias("side"), F.col("c_custkey").alias("id"))
+    stale = t.orders.select("o_custkey").distinct().join(t.customer.filter("c_mktsegment <> 'FURNITURE'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.lit("stale").alias("side"), F.col("o_custkey").alias("id"))
+    return missing.unionByName(stale)
+
+
 @query("SELECT s_suppkey, n_name FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'NATION_' || s_nationkey || ' County' WHEN s_suppkey % 4 = 1 THEN 'nation_' || s_nationkey ELSE 'NATION_' || s_nationkey END AS k FROM supplier) s LEFT JOIN nation ON n_name = replace(k, ' County', '')")
 def lookup_join(t: Tables) -> DataFrame:
     k = F.concat(F.when(F.col("s_suppkey") % 4 == 1, "nation_").otherwise("NATION_"), F.col("s_nationkey").cast("string"), F.when(F.col("s_suppkey") % 4 == 0, " County").otherwise(""))
@@ -403,6 +411,12 @@ def point_stats(t: Tables) -> DataFrame:
     return t.events.filter("value > 0 AND user_id < 10").agg(n.alias("n"), (_sum("value") / n).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
+@query("SELECT count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean, min(value) AS low, max(value) AS high FROM events WHERE value > 0 AND event_type <> 'error'")
+def point_stats_whole(t: Tables) -> DataFrame:
+    n = F.count(F.lit(1))
+    return t.events.filter("value > 0 AND event_type <> 'error'").agg(n.alias("n"), (_sum("value") / n).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
 @query("SELECT b.k AS box, CAST(count(p.p_partkey) AS BIGINT) AS n, CAST(coalesce(sum(p_size), 0) AS BIGINT) AS total, min(p_size) AS low, max(p_size) AS high FROM (VALUES (1, 0, 0), (2, 5, 20), (3, 15, 50)) b(k, x, y) CROSS JOIN range(5) i(i) CROSS JOIN range(5) j(j) LEFT JOIN part p ON p_partkey = (b.y + j.j) * 20 + (b.x + i.i) GROUP BY b.k")
 def grid_sample(t: Tables) -> DataFrame:
     boxes = t.spark.createDataFrame([(1, 0, 0), (2, 5, 20), (3, 15, 50)], "box int, x int, y int")
@@ -509,6 +523,11 @@ def set_diff(t: Tables) -> DataFrame:
     return t.part.filter("p_partkey < 60").select("p_brand").subtract(t.part.filter("p_partkey BETWEEN 100 AND 112").select("p_brand"))
 
 
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def set_diff_whole(t: Tables) -> DataFrame:
+    return t.orders.filter("o_orderstatus = 'F'").select("o_custkey").subtract(t.orders.filter("o_orderpriority = '1-URGENT'").select("o_custkey"))
+
+
 @query("SELECT 0 AS part, p_partkey FROM part WHERE p_type = 'PROMO' UNION ALL SELECT 1, p_partkey FROM part WHERE p_type <> 'PROMO'")
 def concat_union(t: Tables) -> DataFrame:
     promo = F.col("p_type") == "PROMO"
@@ -531,6 +550,21 @@ def upsert(t: Tables) -> DataFrame:
     return relational.upsert(c.filter("c_custkey < 1000"), new, "c_custkey", ["c_acctbal"])
 
 
+@query("SELECT c_custkey, CASE WHEN c_mktsegment <> 'FURNITURE' THEN c_name ELSE 'new ' || c_name END AS c_name FROM customer WHERE c_mktsegment <> 'FURNITURE' OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def insert_ignore_whole(t: Tables) -> DataFrame:
+    """Customers of all segments but one, and customers with open orders: both grow with the tables."""
+    c = t.customer.select("c_custkey", "c_name", "c_mktsegment")
+    new = c.join(t.orders.filter("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", F.concat(F.lit("new "), "c_name").alias("c_name"))
+    return relational.insert_ignore(c.filter("c_mktsegment <> 'FURNITURE'").select("c_custkey", "c_name"), new, "c_custkey")
+
+
+@query("SELECT c_custkey, CASE WHEN fresh THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_mktsegment <> 'FURNITURE' THEN c_name ELSE 'fresh' END AS c_name FROM (SELECT *, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS fresh FROM customer) WHERE c_mktsegment <> 'FURNITURE' OR fresh")
+def upsert_whole(t: Tables) -> DataFrame:
+    c = t.customer.select("c_custkey", "c_acctbal", "c_name", "c_mktsegment")
+    new = c.join(t.orders.filter("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), F.lit("fresh").alias("c_name"))
+    return relational.upsert(c.filter("c_mktsegment <> 'FURNITURE'").drop("c_mktsegment"), new, "c_custkey", ["c_acctbal"])
+
+
 @query(f"SELECT id, CASE WHEN status = 'sold' AND review THEN 'pending' ELSE status END AS status FROM {LISTINGS}")
 def cond_update(t: Tables) -> DataFrame:
     return relational.conditional_update(_listings(t), (F.col("status") == "sold") & F.col("review"), status=F.lit("pending")).select("id", "status")
