@@ -2,8 +2,8 @@
 
 Each template's word triples are winnowed: of every few in a row the one of
 least hash is kept, with its place, in an inverted index.  The triples of all
-texts are looked up in it; hits of one template on nearby diagonals make one
-candidate place, where the template is aligned with the text's words by
+texts are looked up in it; hits of one template on diagonals no more than a
+band from the first of them make one candidate place, where the template is aligned with the text's words by
 Smith-Waterman inside a band around the diagonal.  A candidate is reported if
 enough of the template's words are matched; of reports that overlap, the one
 with most matched words stays.  The index is bounded by the templates.
@@ -138,8 +138,14 @@ def _matches(index: dict, hashes: np.ndarray, row: np.ndarray, least: float):
     place, template, diagonal = place[order], template[order], diagonal[order]
     r = row[place]
     new = np.r_[True, (r[1:] != r[:-1]) | (template[1:] != template[:-1]) | (np.diff(diagonal) > band[template[1:]])]
-    for i in np.flatnonzero(new):
+    starts = np.flatnonzero(new)
+    todo = list(zip(starts.tolist(), [*starts[1:].tolist(), len(r)], strict=True))[::-1]
+    while todo:
+        i, end = todo.pop()
         t, who = int(template[i]), int(r[i])
+        # a chain of hits may be longer than the band: what is too far from its first one is a candidate of its own
+        if (rest := i + int(np.searchsorted(diagonal[i:end], diagonal[i] + band[t], "right"))) < end:
+            todo.append((rest, end))
         a = max(begins[who], int(diagonal[i]) - int(band[t]))
         b = min(ends[who], int(diagonal[i]) + int(size[t]) + 2 * int(band[t]) + 1)
         matched, first, last = align(index["words"][t], hashes[a:b], int(diagonal[i]) - a, 2 * int(band[t]))

@@ -52,6 +52,15 @@ def test_licenses(docs):
     assert licenses.license_digest(docs(["x"]).limit(0)).count() == 0
 
 
+def test_whole_license_behind_stray_triples(docs):
+    mit = licenses.TEMPLATES["mit"]
+    stray = "free of charge to any person obtaining "
+    texts = [stray * n + mit + " " + stray * m for n, m in ((40, 0), (40, 40), (41, 3))]
+    got = licenses.license_matches(docs(texts)).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        assert r.licenses == ["mit"] and r.coverages == [1.0] and t[r.starts[0] :].startswith(mit[:60])
+
+
 def test_license_lines_of_a_table(sample):
     lines = {k: v for k, v in licenses.TEMPLATES.items() if k.endswith("-line")}
     texts = {r.doc_id: r.text for r in sample.collect()}
