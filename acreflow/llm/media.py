@@ -141,17 +141,22 @@ def read_avi(file: bytes) -> dict:
 _heads: dict[bytes, dict] = {}
 
 
-def jpeg_tables(frame: bytes) -> dict:
-    """Size, quantisers, code tables, restart interval and where the scan's data begin."""
+def jpeg_head(frame: bytes) -> bytes:
+    """All that stands before the scan's data."""
     at, scan = 2, None
     while scan is None:
         marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
         if marker == 0xDA:
             scan = at + 2 + size
         at += 2 + size
-    head = frame[:scan]
+    return frame[:scan]
+
+
+def jpeg_tables(head: bytes) -> dict:
+    """Size, quantisers, code tables, restart interval and where the scan's data begin."""
     if head in _heads:
         return _heads[head]
+    scan = len(head)
     out, at = {"scan": scan, "restart": 0, "quant": {}, "codes": {}}, 2
     while at < scan:
         marker, size = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
@@ -244,10 +249,10 @@ def decode_lanes(data: np.ndarray, start: np.ndarray, blocks: np.ndarray, dc: np
 
 def decode_frames(file: np.ndarray, frames: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients [frames, blocks, 64] in zigzag order and pixels [frames, height, width] of frames of one kind."""
-    heads = [jpeg_tables(file[a:b].tobytes() if b - a < 4096 else file[a : a + 4096].tobytes()) for a, b in frames]
-    head = heads[0]
-    if any(h is not head for h in heads):
+    heads = {jpeg_head(file[a:b].tobytes() if b - a < 4096 else file[a : a + 4096].tobytes()) for a, b in frames}
+    if len(heads) > 1:
         raise ValueError("frames of different kinds")
+    head = jpeg_tables(heads.pop())
     tall, wide = -(-head["height"] // 8), -(-head["width"] // 8)
     total = tall * wide
     each = head["restart"] or total

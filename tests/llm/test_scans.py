@@ -147,3 +147,16 @@ def test_pixels_and_shots(spark):
     file = media.write_avi(dark * 10 + light * 10 + dark * 5)
     rows = media.clip_rows(spark.createDataFrame([("v", file), ("w", None)], "media_id string, media binary")).orderBy("shot").collect()
     assert [(r.first_frame, r.end_frame, r.start_s, r.end_s) for r in rows] == [(0, 10, 0.0, 0.4), (10, 20, 0.4, 0.8), (20, 25, 0.8, 1.0)]
+
+
+def test_more_kinds_of_headers_than_are_kept(spark):
+    plain, head = media.write_avi(b"\x20" * 3072), media.jpeg_header(media.SIDE, media.SIDE)
+    at = head.index(b"\xff\xdb") + 5
+    files = [plain.replace(head, head[: at + 63] + bytes([k + 1]) + head[at + 64 :]) for k in range(100)]
+    assert len(set(files)) == 100 and len(media.read_avi(plain)["frames"]) > 1
+    rows = media.clip_rows(spark.createDataFrame(list(enumerate(files)), "media_id int, media binary").coalesce(1)).collect()
+    assert sorted(r.media_id for r in rows if r.shot == 0) == list(range(100))
+    one, other = (media.read_avi(f)["frames"][0] for f in files[:2])
+    both = np.frombuffer(files[0] + files[1], np.uint8)
+    with pytest.raises(ValueError, match="different kinds"):
+        media.decode_frames(both, [one, (other[0] + len(files[0]), other[1] + len(files[0]))])
