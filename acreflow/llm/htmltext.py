@@ -7,7 +7,8 @@ its characters per tag, adjusted by the shares of linked characters and links
 (a node of links only has next to none).  The density sum of a node is the sum
 of its children's densities; the node with the greatest one is the main
 content, and the least density on the way from it up to the body is the
-threshold that a top-level part of the page must reach to be kept with it.
+threshold that a top-level part of the page must reach to be kept with it; what
+lies between two kept parts and headings right before one are kept too.
 Elements that never hold an article's text (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, reader comments: by element, role,
 class or id) are no part of the tree.
@@ -37,6 +38,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed".split())
 NOISE = RAW | frozenset("head nav header footer aside form button select option label menu dialog fieldset object canvas audio video".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element that a start tag of one of these ends, up to the named borders.
 CLOSES = {
     **dict.fromkeys("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split(), ({"p"}, {"table", "td", "th", "button", "article", "section", "div"})),
@@ -159,6 +161,29 @@ def _raw_end(page: str, tag: str, pos: int, n: int) -> int:
     return m.end() if m else n
 
 
+def _count(node: Node) -> None:
+    """Characters, tags and links of a node whose child nodes are counted."""
+    for x in node.parts:
+        if isinstance(x, Node):
+            node.chars += x.chars
+            node.tags += x.tags + 1
+            node.link_chars += x.link_chars
+            node.links += x.links
+        elif x:
+            node.chars += len(x) - x.count(" ") if not x.isspace() else 0
+    if node.tag == "a":
+        node.link_chars, node.links = node.chars, node.links + 1
+
+
+def _density(node: Node, share: float) -> float:
+    c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.links
+    if not c:
+        return 0.0
+    base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+    y = (c / max(lc, 1)) * (t / max(lt, 1))
+    return c / t * math.log(max(y, 1.0) + 1e-9) / math.log(base + 1) if y > 1 else 0.0
+
+
 def _measure(root: Node) -> list[Node]:
     """All nodes, parents first, with their counts, densities and sums."""
     order, todo = [], [root]
@@ -167,27 +192,12 @@ def _measure(root: Node) -> list[Node]:
         order.append(node)
         todo += [x for x in node.parts if isinstance(x, Node)]
     for node in reversed(order):
-        for x in node.parts:
-            if isinstance(x, Node):
-                node.chars += x.chars
-                node.tags += x.tags + 1
-                node.link_chars += x.link_chars
-                node.links += x.links
-            elif x:
-                node.chars += len(x) - x.count(" ") if not x.isspace() else 0
-        if node.tag == "a":
-            node.link_chars, node.links = node.chars, node.links + 1
+        _count(node)
     # The base of the logarithm is one more than in the published formula, where
     # a page without links would divide by log(1).
-    whole = max(root.chars, 1)
-    share = root.link_chars / whole
+    share = root.link_chars / max(root.chars, 1)
     for node in order:
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.links
-        if c:
-            base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-            x = c / t
-            y = (c / max(lc, 1)) * (t / max(lt, 1))
-            node.density = x * math.log(max(y, 1.0) + 1e-9) / math.log(base + 1) if y > 1 else 0.0
+        node.density = _density(node, share)
     for node in order:
         node.total = sum(x.density for x in node.parts if isinstance(x, Node))
     return order
@@ -238,23 +248,71 @@ def main_text(page: str | None) -> str:
     holder = next((x for x in [*_up(best)][::-1] if x.tag in ("article", "main")), None)
     if holder is not None:
         best = holder
-    threshold = min([best.density, *(x.density for x in _up(best))])
-    chain = {id(x) for x in _up(best)}
     if best is root:
         return "\n".join(_blocks(root))
+    threshold = min([root.density, *(x.density for x in _up(best))])
+    whole = {id(best)}
+    path = {id(root), *(id(x) for x in _up(best))} - whole
+    if holder is not None:
+        # other such elements are parts of the content too, if they aren't lists of links
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            if node.tag not in ("article", "main"):
+                todo += [x for x in node.parts if isinstance(x, Node)]
+            elif node is not holder and 2 * node.link_chars < node.chars:
+                whole.add(id(node))
+                for x in _up(node.parent):
+                    if id(x) in path:
+                        break
+                    path.add(id(x))
+    share = root.link_chars / max(root.chars, 1)
     keep: list[str] = []
     todo = [root]
     while todo:
         node = todo.pop()
-        if node is best:
-            keep += _blocks(node)
-        elif node is root or id(node) in chain:
-            todo += [x for x in node.parts if isinstance(x, Node)][::-1]
-        elif holder is None and node.density >= threshold and node.density > 0:
+        if id(node) in path:
+            todo += _kept_parts(node, path, whole, None if holder is not None else threshold, share)[::-1]
+        else:
             keep += _blocks(node)
     return "\n".join(keep)
 
 
+def _kept_parts(node: Node, path: set[int], whole: set[int], threshold: float | None, share: float) -> list[Node]:
+    """The parts of a node on the path that belong to the content; text and inline elements in a row are one part.
+
+    These are the parts that hold the content, parts that reach the threshold,
+    headings right before a kept part, and all but menus (several links that
+    have most of the text) between two kept parts.
+    """
+    parts: list[Node] = []
+    run = None
+    for x in node.parts:
+        if isinstance(x, Node) and (x.tag not in INLINE or id(x) in path):
+            parts.append(x)
+            run = None
+        else:
+            if run is None:
+                parts.append(run := Node("", node))
+            run.parts.append(x)
+    for x in parts:
+        if not x.tag:
+            _count(x)
+            x.density = _density(x, share)
+    parts = [x for x in parts if x.chars or id(x) in path or id(x) in whole]
+    keep = []
+    for x in parts:
+        held = id(x) in path or id(x) in whole or (not x.tag and any(id(y) in whole for y in x.parts))
+        keep.append(held or (threshold is not None and x.density >= threshold and x.density > 0))
+    at = [i for i, k in enumerate(keep) if k]
+    for i in range(at[0], at[-1]) if at else ():
+        keep[i] = keep[i] or not (parts[i].links > 1 and 2 * parts[i].link_chars > parts[i].chars)
+    if threshold is not None:
+        for i in range(len(parts) - 2, -1, -1):
+            keep[i] = keep[i] or (keep[i + 1] and parts[i].tag in HEADINGS)
+    return [x for x, k in zip(parts, keep, strict=True) if k]
+
+
 def text_batches(batches):
     """mapInArrow: id, url, html -> id, url, text, n_chars"""
     for batch in batches:

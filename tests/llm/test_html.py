@@ -28,6 +28,31 @@ def test_unlabelled_boilerplate():
     assert text.startswith("A long paragraph") and "Section 3" not in text
 
 
+STORY = f"<div><p>{'A long paragraph of the story. ' * 20}</p><p>{'Another one with words. ' * 20}</p></div>"
+LINKS = "<ul>" + "".join(f"<li><a href=/{i}>Section {i}</a></li>" for i in range(30)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "has", "not_has"),
+    [
+        (f"<body>{LINKS}<div>{'Bare text of the story. ' * 9}<br>goes <b>on</b> here.{STORY}</div>", ["Bare text", "goes on here.", "A long", "Another"], ["Section 3"]),
+        (f"<body>{LINKS}<div><h2>Short title</h2>{STORY}</div>", ["Short title", "A long"], ["Section 3"]),
+        (f"<body>{LINKS}<div>{STORY}<p>Short.</p> and <i>bare</i> {STORY}</div>", ["Short.", "and bare"], ["Section 3"]),
+        (f"<body>{LINKS}<article><p>First part.</p>{STORY}</article><p>Between.</p>{LINKS}<article><p>Second part.</article>{LINKS}", ["First part.", "Between.", "Second part."], ["Section 3"]),
+        (f"<body><div><article>{STORY}</article></div>{LINKS}<div><article><p>Second part.</article></div>", ["A long", "Second part."], ["Section 3"]),
+    ],
+)
+def test_parts_beside_the_best_one(page, has, not_has):
+    text = htmltext.main_text(page)
+    assert all(x in text for x in has) and not any(x in text for x in not_has)
+
+
+def test_bare_text_between_parts_that_are_kept():
+    """The best node is inside one part; a short text lies between it and another dense part."""
+    text = htmltext.main_text(f"<body>{LINKS}<section>{STORY}</section>Short words.<p>{'Dense text of the story. ' * 10}</p>")
+    assert "A long" in text and "Short words." in text and "Dense text" in text and "Section 3" not in text
+
+
 def test_whole_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = htmltext.page_texts(pages).toPandas()
