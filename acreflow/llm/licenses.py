@@ -1,7 +1,7 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment measures them.
 
 Each template's word triples are winnowed: of every few in a row the one of
-least hash is kept, with its place, in an inverted index.  The triples of all
+least hash is kept (of a shorter template all are), with its place, in an inverted index.  The triples of all
 texts are looked up in it; hits of one template on diagonals no more than a
 band from the first of them make one candidate place, where the template is aligned with the text's words by
 Smith-Waterman inside a band around the diagonal.  A candidate is reported if
@@ -72,8 +72,8 @@ def build_index(templates: dict[str, str]) -> dict:
         words.append(hashes)
         prints = _triples(hashes)
         windows = max(1, len(prints) - WINDOW + 1)
-        # of equal hashes the last one, as winnowing has it
-        kept = {i + len(w) - 1 - int(np.argmin(w[::-1])) for i in range(windows) for w in [prints[i : i + WINDOW]]}
+        # of equal hashes the last one, as winnowing has it; a template without a whole window keeps all
+        kept = range(len(prints)) if len(prints) < WINDOW else {i + len(w) - 1 - int(np.argmin(w[::-1])) for i in range(windows) for w in [prints[i : i + WINDOW]]}
         found += [(prints[i], t, i) for i in sorted(kept)]
     found.sort(key=lambda x: int(x[0]))
     hashes, template, place = zip(*found, strict=True)

@@ -61,6 +61,12 @@ def test_whole_license_behind_stray_triples(docs):
         assert r.licenses == ["mit"] and r.coverages == [1.0] and t[r.starts[0] :].startswith(mit[:60])
 
 
+def test_short_license_lines_with_an_edit(docs):
+    texts = ["Freed under the MIT License.", "Released under the MIT Licence.", "Released under the MIT public License.", "Released now under the MIT License.", "Released under the old MIT License."]
+    got = licenses.license_matches(docs(texts)).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == [["mit-line"]] * 5 and all(r.coverages[0] >= 0.8 for r in got)
+
+
 def test_license_lines_of_a_table(sample):
     lines = {k: v for k, v in licenses.TEMPLATES.items() if k.endswith("-line")}
     texts = {r.doc_id: r.text for r in sample.collect()}
