@@ -4,7 +4,7 @@ Edges are first thinned inside each task by union-find, which leaves at most
 one edge per node and task; then rounds of large-star and small-star, each
 one aggregate and one join on the node, pull every node to the least label of
 its component.  Each round is written to the shared folder; the loop ends
-when a round changes nothing.  Only two sums reach the driver.
+when a round changes nothing or nothing is left.  Only two sums reach the driver.
 """
 
 from __future__ import annotations
@@ -60,6 +60,6 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         edges = materialize(_star(_star(edges, large=True), large=False))
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        if state == before or not state[0]:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
         before = state
