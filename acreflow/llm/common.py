@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from acreflow.functions.binding import let
 from acreflow.operators.storage import broadcast_if_small, materialize, shared_folder
 
-__all__ = ["ascii_lower", "broadcast_if_small", "documents", "let", "materialize", "shared_folder"]
+__all__ = ["ascii_lower", "broadcast_if_small", "documents", "fresh", "let", "materialize", "shared_folder"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -19,3 +19,15 @@ def ascii_lower(col: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for new columns that no column of ``df`` has, in any case: the given ones, with underscores before them where they are taken."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

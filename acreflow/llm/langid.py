@@ -4,16 +4,19 @@ A text is cut into windows of a fixed number of bytes.  Filters of several
 widths run over the bytes of a window, each filter's greatest response over
 the window is kept (max pooling), and a softmax layer gives the languages'
 probabilities.  A text's are the mean over all its windows, each weighed by
-its letters.  The network is trained in numpy on a bounded sample of
-labelled texts; it is applied to whole texts in batches of windows.
+its letters.  The network is trained in numpy on windows from all over a
+bounded sample of labelled texts; it is applied to whole texts in batches of
+windows, so memory does not grow with a text's length.
 
 In use, a filter of even width is a sum of table rows, one for each pair of
 bytes, so a batch costs a gather and an addition for each filter and pair.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter;
 with no labelled rows to learn from, every text is ``und``; labels are any
-strings, null ones are not learned; every row gives a row, repeated rows and
-null ids too; other columns are ignored.
+strings, as many as there are, null ones are not learned; of labels that are
+equally likely the first in order is given; every row gives a row, repeated
+rows and null ids too; an empty table gives an empty table; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import broadcast_if_small, fresh, materialize
 from .textvec import buffers, pieces
 
 WINDOW = 256
 WIDTHS = {2: 16, 4: 16, 6: 8}  # bytes seen: filters
 SAMPLE = 400  # labelled texts learned from, for each label
-SAMPLE_CHARS = 4096  # characters of each that are learned from
-MAX_LABELS = 64  # the most frequent labels that are learned
+SAMPLE_ROWS, SAMPLE_LEAST = 6400, 20  # of all labels together, and the fewest of one, where there are many labels
+SAMPLE_WINDOWS = 16  # windows learned from, spread over each whole text
+SLICE = 2048  # windows looked at together
 DIM, EPOCHS, BATCH, RATE, SEED = 12, 6, 64, 4e-3, 11
 
 
@@ -45,28 +50,25 @@ class Model:
     bias: np.ndarray
 
 
-def windows(data: np.ndarray, off: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """[windows, size] bytes, zeros at the end of a text, and each window's row.  The windows of a text cover it evenly."""
-    n = np.diff(off)
-    per = np.maximum(-(-n // size), 0)
-    row = np.repeat(np.arange(len(n)), per)
-    k = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(per)[:-1]], per)
+def window_counts(off: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    return -(-np.diff(off) // size)
+
+
+def windows(data: np.ndarray, off: np.ndarray, row: np.ndarray, k: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    """[windows, size] bytes of the k-th window of each row, zeros at the end of a text."""
     place = (off[row] + k * size)[:, None] + np.arange(size)
     inside = place < off[row + 1][:, None]
-    padded = np.r_[data, np.zeros(1, np.uint8)]
-    return np.where(inside, padded[np.minimum(place, len(data))], 0), row
+    return np.where(inside, data[np.minimum(place, len(data) - 1)], 0)
 
 
-def train(texts: list[str], labels: list[str], seed: int = SEED) -> Model | None:
-    """A network by minibatch Adam on windows of the texts."""
+def train(x: np.ndarray, labels: list[str], seed: int = SEED) -> Model | None:
+    """A network by minibatch Adam on labelled windows."""
     names = sorted(set(labels))
     if not names:
         return None
     rng = np.random.default_rng(seed)
-    raw = [t.encode() for t in texts]
-    off = np.r_[0, np.cumsum([len(r) for r in raw])]
-    x, row = windows(np.frombuffer(b"".join(raw), np.uint8), off)
-    y = np.array([names.index(v) for v in labels])[row]
+    known = {name: i for i, name in enumerate(names)}
+    y = np.array([known[v] for v in labels])
     # short windows are learned as well, for short texts
     cut = rng.random(len(x)) < 0.25
     x = np.where((np.arange(WINDOW)[None, :] >= rng.integers(24, WINDOW, len(x))[:, None]) & cut[:, None], 0, x)
@@ -162,6 +164,21 @@ _LETTERISH = np.zeros(256, bool)
 _LETTERISH[65:91] = _LETTERISH[97:123] = _LETTERISH[0xC2:] = True
 
 
+def text_probabilities(model: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """[texts, labels]; a text's windows are added one after the other, so equal texts get equal values in any batch."""
+    per = window_counts(off)
+    end = np.cumsum(per)
+    total, weights = np.zeros((len(per), len(model.labels))), np.zeros(len(per))
+    for at in range(0, int(per.sum()), SLICE):
+        which = np.arange(at, min(at + SLICE, int(end[-1])))
+        row = np.searchsorted(end, which, "right")
+        x = windows(data, off, row, which - (end - per)[row])
+        weight = _LETTERISH[x].sum(axis=1) + 1e-3
+        np.add.at(total, row, window_probabilities(model, x) * weight[:, None])
+        np.add.at(weights, row, weight)
+    return total / np.maximum(weights, 1e-9)[:, None]
+
+
 def predict_batches(model: Model | None, text_at: int, names: list[str]):
     """mapInArrow: all columns, the text at ``text_at`` -> all columns, label and score"""
 
@@ -176,14 +193,7 @@ def predict_batches(model: Model | None, text_at: int, names: list[str]):
                 if model is None:
                     labels += ["und"] * (j - i)
                     continue
-                x, row = windows(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                weight = _LETTERISH[x].sum(axis=1) + 1e-3
-                total = np.zeros((j - i, len(model.labels)))
-                if len(x):
-                    prob = window_probabilities(model, x) * weight[:, None]
-                    for c in range(total.shape[1]):
-                        total[:, c] = np.bincount(row, prob[:, c], minlength=j - i)
-                    total /= np.maximum(np.bincount(row, weight, minlength=j - i), 1e-9)[:, None]
+                total = text_probabilities(model, data[at[i] : at[j]], at[i : j + 1] - at[i])
                 top = total.argmax(axis=1)
                 ok = lettered[i:j]
                 labels += [model.labels[t] if k else "und" for t, k in zip(top.tolist(), ok.tolist(), strict=True)]
@@ -193,24 +203,41 @@ def predict_batches(model: Model | None, text_at: int, names: list[str]):
     return run
 
 
-def learn(labelled: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE) -> Model | None:
-    """A network from about ``sample`` texts of each of the most frequent labels.
+def spread_windows(batches):
+    """mapInArrow: hash, label, text -> hash, label, place, window: ``SAMPLE_WINDOWS`` of a text, as far apart as can be"""
+    for batch in batches:
+        data, off = buffers(batch.column(2))
+        per = window_counts(off)
+        take = np.minimum(per, SAMPLE_WINDOWS)
+        row = np.repeat(np.arange(len(per)), take)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
+        for at in range(0, len(row), SLICE):
+            r, k = row[at : at + SLICE], step[at : at + SLICE] * per[row[at : at + SLICE]] // take[row[at : at + SLICE]]
+            x = windows(data, off, r, k)
+            of = pa.array(r)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(k), pa.array([w.tobytes() for w in x], pa.binary())], names=["h", "l", "k", "w"])
 
-    The sample is those keys whose hash is under a threshold set from the
+
+def learn(labelled: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE, rows: int = SAMPLE_ROWS) -> Model | None:
+    """A network from about ``sample`` texts of each label, fewer if there are more than ``rows / sample`` labels.
+
+    The sample is those rows whose hash is under a threshold set from the
     label's count, so its expected size is bounded whatever the size of the
-    table, and no more than twice that is read of any label.
+    table; twice that is never passed.  Only windows reach the driver.
     """
-    known = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
-    counts = known.groupBy(F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LABELS).collect()
-    if not counts:
+    known = labelled.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("l")).filter("l IS NOT NULL")
+    counts = materialize(known.groupBy("l").agg(F.count(F.lit(1)).alias("n")))
+    n_labels = counts.count()
+    if not n_labels:
+        return None
+    each = max(SAMPLE_LEAST, min(sample, rows // n_labels))
+    hashed = F.pmod(F.xxhash64(F.lit(29), "k", "t"), F.lit(1 << 30))
+    some = known.filter(F.length("t") > 0).join(broadcast_if_small(counts), "l").withColumn("h", hashed).filter(F.col("h") < F.lit(float(each << 30)) / F.col("n"))
+    found = some.select("h", "l", "t").mapInArrow(spread_windows, "h long, l string, k long, w binary")
+    got = found.orderBy("h", "l", "k", "w").limit(2 * each * n_labels * SAMPLE_WINDOWS).collect()
+    if not got:
         return None
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col(label) == r["l"], F.lit(sample / r["n"])).otherwise(share)
-    hashed = F.pmod(F.xxhash64(F.lit(29), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.filter(hashed < share).select(F.col(key).cast("string").alias("k"), F.col(label).alias("l"), F.substring(text, 1, SAMPLE_CHARS).alias("t"))
-    rows = rows.orderBy("k", "l", "t").limit(2 * sample * len(counts)).collect()
-    return train([r["t"] for r in rows], [r["l"] for r in rows])
+    return train(np.frombuffer(b"".join(r["w"] for r in got), np.uint8).reshape(len(got), WINDOW), [r["l"] for r in got])
 
 
 def held_out(key: str):
@@ -218,12 +245,14 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def with_language(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
-    """All columns and ``__lang_pred``, ``__lang_score``; learns from the rows that aren't held out."""
+def with_language(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns, in order, and two more at the end: the language and its score, named as given or, if such a
+    name is taken, as ``fresh`` says; learns from the rows that aren't held out."""
+    pred, score = fresh(docs, pred, score)
     model = learn(docs.filter(~held_out(key)), key, text, label)
-    names = [*docs.columns, "__lang_pred", "__lang_score"]
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__lang_score", T.DoubleType())])
-    # bounded by the network's sizes; as a dict, for plain pickling
+    names = [*docs.columns, pred, score]
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    # bounded by the network's sizes and the labels; as a dict, for plain pickling
     shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))
 
     def run(batches):
@@ -235,4 +264,4 @@ def with_language(docs: DataFrame, key: str = "doc_id", text: str = "text", labe
 def language_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row."""
     plain = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("lang"))
-    return with_language(plain).select("doc_id", held_out("doc_id").alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"))
+    return with_language(plain).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

@@ -18,8 +18,9 @@ MIN_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those of no clear language."""
-    told = langid.with_language(docs)
-    return told.filter((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= MIN_SCORE)).select(*docs.columns)
+    pred, score = common.fresh(docs, "lang_pred", "score")
+    told = langid.with_language(docs, pred=pred, score=score)
+    return told.filter((F.col(pred) != "und") & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

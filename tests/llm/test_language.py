@@ -1,5 +1,8 @@
+import random
 import zlib
 
+import numpy as np
+
 from acreflow.llm import langid
 
 from .conftest import ODD
@@ -31,3 +34,60 @@ def test_predictions_ignore_keys_and_batches(docs):
     frame = docs(text, langs=["en", "fr", "en"] * 6)
     got = langid.language_ids(frame.repartition(5)).toPandas().set_index("doc_id").sort_index()
     assert got.score.round(12).groupby([t for t in text]).nunique().max() == 1
+
+
+def plain_probabilities(names, p, widths, window):
+    """A window's probabilities by the network's definition, one filter and place at a time."""
+    hidden = []
+    for j, w in enumerate(widths):
+        for f in range(p[1 + j].shape[1]):
+            hidden.append(max(float(np.concatenate([p[0][b] for b in window[i : i + w]]) @ p[1 + j][:, f]) for i in range(len(window) - w + 1)) + float(p[1 + len(widths) + j][f]))
+    logits = np.maximum(hidden, 0) @ p[-2].astype(float) + p[-1]
+    e = np.exp(logits - logits.max())
+    return e / e.sum()
+
+
+def test_tables_against_a_plain_convolution():
+    rng = np.random.default_rng(4)
+    widths, counts, dim = [2, 4, 6], [3, 2, 2], langid.DIM
+    p = [rng.normal(size=(256, dim))] + [rng.normal(size=(w * dim, c)) for w, c in zip(widths, counts, strict=True)] + [rng.normal(size=c) for c in counts] + [rng.normal(size=(7, 3)), rng.normal(size=3)]
+    p = [a.astype(np.float32) for a in p]
+    x = rng.integers(0, 256, (6, 40)).astype(np.uint8)
+    got = langid.window_probabilities(langid._compiled(["a", "b", "c"], p, widths), x)
+    assert np.allclose(got, [plain_probabilities("abc", p, widths, w) for w in x], atol=1e-4)
+
+
+def test_texts_are_means_of_all_their_windows():
+    rng = np.random.default_rng(1)
+    model = langid.train(rng.integers(97, 123, (60, langid.WINDOW)).astype(np.uint8), ["a", "b", "c"] * 20)
+    raw = [bytes(rng.integers(32, 123, n).astype(np.uint8)) for n in (1, 255, 256, 257, 700, 3 * langid.SLICE * langid.WINDOW // 2)]
+    off = np.r_[0, np.cumsum([len(r) for r in raw])]
+    got = langid.text_probabilities(model, np.frombuffer(b"".join(raw), np.uint8), off)
+    for r, row in zip(raw, got, strict=True):
+        parts = [r[i : i + langid.WINDOW] for i in range(0, len(r), langid.WINDOW)]
+        x = np.array([np.frombuffer(w.ljust(langid.WINDOW, b"\0"), np.uint8) for w in parts])
+        weight = np.array([sum(chr(b).isalpha() for b in w) for w in parts]) + 1e-3
+        assert np.allclose(row, (langid.window_probabilities(model, x) * weight[:, None]).sum(axis=0) / weight.sum())
+
+
+def test_as_many_labels_as_there_are(docs):
+    rng = random.Random(6)
+    words = {f"l{k:02d}": ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=2) + rng.choices("aeiouy", k=1) + rng.choices("bcdfghjklmnpqrstvwxz", k=2)) for _ in range(12)] for k in range(80)}
+    langs = [label for label in words for _ in range(25)]
+    got = langid.language_ids(docs([" ".join(rng.choices(words[v], k=40)) for v in langs], langs=langs)).filter("held_out").collect()
+    assert len({r.lang_pred for r in got}) > 64 and sum(r.lang_pred == langs[r.doc_id] for r in got) > 0.9 * len(got)
+
+
+def test_windows_are_learned_from_all_over_a_text():
+    import pyarrow as pa
+
+    text = "".join(f"{i:08d}" for i in range(32 * 40))
+    batch = pa.RecordBatch.from_pydict({"h": [1, 2], "l": ["a", "b"], "t": [text, "short"]})
+    got = [r for b in langid.spread_windows([batch]) for r in b.to_pylist()]
+    assert [r["k"] for r in got] == [i * 40 // 16 for i in range(16)] + [0]
+    assert all(r["w"] == text[r["k"] * 256 : r["k"] * 256 + 256].encode() for r in got[:16])
+
+
+def test_names_that_are_taken(spark, docs):
+    frame = docs(["the cat and the dog", "le chat et le chien"], langs=["en", "fr"]).selectExpr("*", "'x' AS lang_pred", "'y' AS SCORE", "1 AS __lang_pred")
+    assert langid.with_language(frame).columns == [*frame.columns, "_lang_pred", "_score"]
