@@ -1,23 +1,30 @@
 """Secret scans: all rules in one byte pass of one minimal automaton.
 
-For each rule, an expression of a beginning that all its spans have goes into
-one nondeterministic automaton over bytes, which is made deterministic by
-subset construction, minimised by partition refinement and kept as a
-transition array.  A batch of texts is cut into lanes at bytes that send every
-state back to the start, and all lanes step through the array together, one
-byte of each at a time.  Lines of lanes that accepted are then read again, by
-the automaton of each rule that did, for leftmost longest spans.
-
-Defined results: a null text is empty and has no spans; offsets count code
+The whole expressions of all rules go into one nondeterministic automaton over
+bytes, which is made deterministic by subset construction, minimised by
+partition refinement and kept as a transition array.  Texts are cut into lanes
+at bytes that send every state back to the start, and all lanes step through
+the array together, one byte of each at a time (the last few long lanes one
+after the other).  At each byte the automaton tells which rules have a match
+that ends there; a run of such bytes is one match, and where it starts is found
+by the rule's reversed automaton, back to the end of the match before at most.
+So a text costs time in proportion to its length, whatever it holds.  How long
+a match must be is counted outside the automaton: counted repetitions would
+give it tens of thousands of states.
+
+That a run is one match holds for rules that ``check_rule`` passes: a match that
+begins earlier is complete no later, and once complete it ends with the first
+byte that does not lengthen it.  Rules without these properties are refused.
+
+Defined results: a null text is empty and has no spans; spans of several kinds
+may overlap, and are in order of start, then of the rules; offsets count code
 points; every row gives a row, repeated rows and null ids too; an empty table
-gives an empty table; other columns are ignored.
+gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-from re import _parser as sre
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +33,99 @@ from pyspark.sql import functions as F
 
 from .textvec import buffers, pieces
 
-#: kind, expression, least length of the part that counts (group 2 if there is one), any case, expression of a beginning that every span has
+#: kind, expression, least length, whether that is of what follows from the first byte that can be the last one ("tail") or of all, any case
 RULES = (
-    ("assign", r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, True, r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]"),
-    ("access", r"AKIA[A-Z0-9]+", 20, False, r"AKIA[A-Z0-9]{3}"),
-    ("hex", r"[0-9a-f]+", 24, False, r"[0-9a-f]{24}"),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, False, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, False, r"eyJ[A-Za-z0-9_-]+\.eyJ"),
-    ("chat", r"xox[abprs]-[0-9A-Za-z-]+", 15, False, r"xox[abprs]-[0-9A-Za-z-]"),
-    ("forge", r"gh[opusr]_[0-9A-Za-z]+", 20, False, r"gh[opusr]_[0-9A-Za-z]{3}"),
+    ("assign", r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, "tail", True),
+    ("access", r"AKIA[A-Z0-9]+", 20, "all", False),
+    ("hex", r"[0-9a-f]+", 24, "all", False),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, "all", False),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, "all", False),
+    ("chat", r"xox[abprs]-[0-9A-Za-z-]+", 15, "all", False),
+    ("forge", r"gh[opusr]_[0-9A-Za-z]+", 20, "all", False),
 )
 BASE = ("assign", "access", "hex")
-LANE = 512
+LANE, FEW = 512, 48  # bytes of a lane at least, where there is a place to cut; lanes that are not worth a step together
+
+
+def parse(pattern: str, any_case: bool) -> tuple:
+    """An expression as nested ("set", bytes), ("cat", parts), ("alt", parts), ("rep", least, most or None, part).
+
+    Literals, escapes, classes with ranges, groups, alternatives and the
+    repetitions ?, *, +, {n} and {n,m}.
+    """
+    at = 0
+
+    def either(chars: set[int]) -> tuple:
+        return ("set", frozenset(chars | {ord(f(chr(c))) for c in chars if any_case and c < 128 and chr(c).isalpha() for f in (str.lower, str.upper)}))
+
+    def char() -> int:
+        nonlocal at
+        at += 1
+        if pattern[at - 1] != "\\":
+            return ord(pattern[at - 1])
+        at += 1
+        if pattern[at - 1] == "x":
+            at += 2
+            return int(pattern[at - 2 : at], 16)
+        if pattern[at - 1].isalnum():
+            raise ValueError(f"not supported: \\{pattern[at - 1]}")
+        return ord(pattern[at - 1])
+
+    def one() -> tuple:
+        nonlocal at
+        if pattern[at] == "(":
+            at += 1
+            part = ways()
+            at += 1
+            return part
+        if pattern[at] != "[":
+            if pattern[at] in ".^$":
+                raise ValueError(f"not supported: {pattern[at]}")
+            return either({char()})
+        at += 1
+        chars: set[int] = set()
+        if pattern[at] == "^":
+            raise ValueError("not supported: [^")
+        while pattern[at] != "]":
+            first = last = char()
+            if pattern[at] == "-" and pattern[at + 1] != "]":
+                at += 1
+                last = char()
+            chars |= set(range(first, last + 1))
+        at += 1
+        return either(chars)
+
+    def ways() -> tuple:
+        nonlocal at
+        found: list[list] = [[]]
+        while at < len(pattern) and pattern[at] != ")":
+            if pattern[at] == "|":
+                at += 1
+                found.append([])
+                continue
+            part = one()
+            if at < len(pattern) and pattern[at] in "?*+{":
+                least, most = {"?": (0, 1), "*": (0, None), "+": (1, None)}.get(pattern[at], (0, 0))
+                if pattern[at] == "{":
+                    close = pattern.index("}", at)
+                    low, comma, high = pattern[at + 1 : close].partition(",")
+                    least, most, at = int(low), int(high) if high else None if comma else int(low), close
+                at += 1
+                part = ("rep", least, most, part)
+            found[-1].append(part)
+        return ("alt", [("cat", x) for x in found])
+
+    return ways()
+
+
+def backwards(tree: tuple) -> tuple:
+    """The expression of the reversed matches."""
+    if tree[0] == "set":
+        return tree
+    if tree[0] == "rep":
+        return (*tree[:3], backwards(tree[3]))
+    parts = [backwards(x) for x in tree[1]]
+    return (tree[0], parts[::-1] if tree[0] == "cat" else parts)
 
 
 class _Nfa:
@@ -47,94 +135,96 @@ class _Nfa:
         self.free: list[set[int]] = []
         self.step: list[list[tuple[frozenset[int], int]]] = []
 
-    def state(self) -> int:
+    def state(self, after: int | None = None) -> int:
         self.free.append(set())
         self.step.append([])
+        if after is not None:
+            self.free[after].add(len(self.free) - 1)
         return len(self.free) - 1
 
-    def add(self, tree, at: int, any_case: bool) -> int:
-        for op, arg in tree:
-            at = self._one(str(op), arg, at, any_case)
-        return at
-
-    def _one(self, op: str, arg, at: int, any_case: bool) -> int:
-        if op in ("LITERAL", "IN"):
-            chars = {arg} if op == "LITERAL" else {c for kind, x in arg for c in ([x] if str(kind) == "LITERAL" else range(x[0], x[1] + 1))}
-            if any_case:
-                chars |= {ord(f(chr(c))) for c in chars if chr(c).isalpha() for f in (str.lower, str.upper)}
+    def add(self, tree: tuple, at: int) -> int:
+        """The state after what ``tree`` matches from ``at`` on."""
+        kind = tree[0]
+        if kind == "set":
             to = self.state()
-            self.step[at].append((frozenset(chars), to))
+            self.step[at].append((tree[1], to))
             return to
-        if op == "SUBPATTERN":
-            return self.add(arg[3], at, any_case)
-        if op == "BRANCH":
-            to = self.state()
-            for way in arg[1]:
-                self.free[self.add(way, self._from(at), any_case)].add(to)
-            return to
-        if op == "MAX_REPEAT":
-            least, most, part = arg
+        if kind == "cat":
+            for part in tree[1]:
+                at = self.add(part, at)
+            return at
+        if kind == "alt":
+            ends = [self.add(part, self.state(at)) for part in tree[1]]
+        else:
+            _, least, most, part = tree
             for _ in range(least):
-                at = self.add(part, at, any_case)
-            if most == sre.MAXREPEAT:
-                loop = self._from(at)
-                self.free[self.add(part, loop, any_case)].add(loop)
-                return self._from(loop)
+                at = self.add(part, at)
+            if most is None:
+                loop = self.state(at)
+                self.free[self.add(part, loop)].add(loop)
+                return self.state(loop)
             ends = [at]
             for _ in range(most - least):
-                ends.append(self.add(part, ends[-1], any_case))
-            to = self.state()
-            for x in ends:
-                self.free[x].add(to)
-            return to
-        raise ValueError(f"not supported: {op}")
-
-    def _from(self, at: int) -> int:
+                ends.append(self.add(part, ends[-1]))
         to = self.state()
-        self.free[at].add(to)
+        for x in ends:
+            self.free[x].add(to)
         return to
 
-    def closure(self, states) -> frozenset[int]:
-        seen, todo = set(states), list(states)
-        while todo:
-            for x in self.free[todo.pop()] - seen:
-                seen.add(x)
-                todo.append(x)
-        return frozenset(seen)
+    def closures(self) -> list[int]:
+        """Of each state, the states that it reaches for free, as bits; only those that have steps or end a rule count."""
+        out = []
+        for begin in range(len(self.free)):
+            seen, todo = {begin}, [begin]
+            while todo:
+                for x in self.free[todo.pop()] - seen:
+                    seen.add(x)
+                    todo.append(x)
+            out.append(sum(1 << x for x in seen if self.step[x] or not self.free[x]))
+        return out
 
 
-def compile_rules(patterns: list[tuple[str, bool]], search: bool) -> tuple[np.ndarray, np.ndarray]:
+def compile_rules(trees: list[tuple], search: bool) -> tuple[np.ndarray, np.ndarray]:
     """Transitions [states, 256] and accept bits [states] of the minimal automaton; 0 is the start.
 
     With ``search`` a match may start at each byte.  Otherwise it starts at
     the first, and state 1 is the dead one.
     """
-    nfa, ends = _Nfa(), {}
+    nfa, ends = _Nfa(), []
     start = nfa.state()
-    for bit, (pattern, any_case) in enumerate(patterns):
-        ends[nfa.add(sre.parse(pattern), nfa._from(start), any_case)] = 1 << bit
+    for tree in trees:
+        ends.append(1 << nfa.state(nfa.add(tree, nfa.state(start))))
     # bytes that no rule tells apart are one letter
     sets = {chars for steps in nfa.step for chars, _ in steps}
     letters: dict[tuple[bool, ...], int] = {}
     letter = [letters.setdefault(tuple(b in s for s in sets), len(letters)) for b in range(256)]
     sample = [letter.index(x) for x in range(len(letters))]
-    first = nfa.closure([start])
+    free = nfa.closures()
+    moves = [[0] * len(nfa.step) for _ in sample]  # of each letter and state
+    for at, steps in enumerate(nfa.step):
+        for chars, to in steps:
+            for x, b in enumerate(sample):
+                if b in chars:
+                    moves[x][at] |= free[to]
+    first = free[start]
     known = {first: 0}
     if not search:
-        known[frozenset()] = 1
+        known[0] = 1
     todo, table = list(known), []
     for now in todo:
+        states = [i for i, bit in enumerate(reversed(bin(now)[2:])) if bit == "1"]
         row = []
-        for b in sample:
-            to = nfa.closure([t for s in now for chars, t in nfa.step[s] if b in chars])
-            to = to | first if search else to
+        for move in moves:
+            to = first if search else 0
+            for i in states:
+                to |= move[i]
             if to not in known:
                 known[to] = len(known)
                 todo.append(to)
             row.append(known[to])
         table.append(row)
     step = np.array(table)
-    accept = np.array([sum({ends[s] for s in states if s in ends}) for states in todo])
+    accept = np.array([sum(1 << bit for bit, end in enumerate(ends) if states & end) for states in todo])
     block = np.unique(accept, return_inverse=True)[1].ravel()
     while True:  # partition refinement
         finer = np.unique(np.c_[block, block[step]], axis=0, return_inverse=True)[1].ravel()
@@ -146,90 +236,145 @@ def compile_rules(patterns: list[tuple[str, bool]], search: bool) -> tuple[np.nd
     order += [x for x in range(block.max() + 1) if x not in order]
     name = np.argsort(order)
     pick = [int(np.flatnonzero(block == x)[0]) for x in order]
-    return name[block[step[pick]]][:, letter].astype(np.int32), accept[pick].astype(np.uint8)
+    return name[block[step[pick]]][:, letter].astype(np.int32), accept[pick].astype(np.uint32)
+
+
+def check_rule(tree: tuple) -> None:
+    """Raises ValueError for a rule whose matches aren't the runs of bytes where some match ends.
+
+    ``own`` follows one match, ``any_later`` those that begin after it.
+    """
+    own, done = compile_rules([tree], search=False)
+    any_later, later_done = compile_rules([tree], search=True)
+    if done[0]:
+        raise ValueError("a rule that matches nothing at all")
+    todo = deque((int(a), 0) for a in set(own[0].tolist()) if a != 1)
+    seen = set(todo)
+    while todo:
+        a, s = todo.popleft()
+        for a2, s2 in {*zip(own[a].tolist(), any_later[s].tolist(), strict=True)}:
+            if done[a] and not done[a2] and a2 != 1:
+                raise ValueError("a match that goes on after bytes that do not lengthen it")
+            if later_done[s2] and not done[a2] and (done[a] or a2 != 1):
+                raise ValueError("a match inside another is complete before it, or goes on behind it")
+            if a2 != 1 and (a2, s2) not in seen:
+                seen.add((a2, s2))
+                todo.append((a2, s2))
 
 
 def scan_lanes(data: np.ndarray, cuts: np.ndarray, step: np.ndarray, accept: np.ndarray) -> np.ndarray:
-    """Accept bits seen in each lane [cuts[i], cuts[i+1])."""
+    """The accept bits at each byte; every lane [cuts[i], cuts[i+1]) begins at the start."""
     size = np.diff(cuts)
     order = np.argsort(-size, kind="stable")
     at, size = cuts[:-1][order], size[order]
-    live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
-    state, seen = np.zeros(len(order), np.int32), np.zeros(len(order), np.uint8)
+    out = np.zeros(len(data), accept.dtype)
+    together = int(size[FEW]) if len(size) > FEW else 0
+    live = np.searchsorted(-size, -np.arange(together), "left")
+    state = np.zeros(len(order), np.int32)
     flat = step.ravel()
     for j, n in enumerate(live):
-        state[:n] = flat[(state[:n] << 8) + data[at[:n] + j]]
-        seen[:n] |= accept[state[:n]]
-    out = np.zeros(len(order), np.uint8)
-    out[order] = seen
+        place = at[:n] + j
+        state[:n] = flat[(state[:n] << 8) + data[place]]
+        out[place] = accept[state[:n]]
+    table, bits = step.tolist(), accept.tolist()
+    for i in range(min(FEW, len(order))):
+        begin = int(at[i]) + together
+        s = int(state[i])
+        for k, b in enumerate(data[begin : int(at[i] + size[i])].tobytes(), begin):
+            s = table[s][b]
+            if bits[s]:
+                out[k] = bits[s]
     return out
 
 
-def _spans(line: bytes, step: np.ndarray, accept: np.ndarray, exact, least: int):
-    """Leftmost longest spans of one rule in one line, short ones used up but not given."""
-    at, n = 0, len(line)
-    while at < n:
-        state, end = 0, -1
-        for i in range(at, n):
-            state = step[state][line[i]]
-            if state == 1:
-                break
-            if accept[state]:
-                end = i + 1
-        if end < 0:
-            at += 1
+def compiled(rules) -> dict:
+    """The combined automaton, and of each rule whether a match is complete with its first byte, its own and its reversed automaton."""
+    trees = [parse(r[1], r[4]) for r in rules]
+    for tree in trees:
+        check_rule(tree)
+    step, accept = compile_rules(trees, search=True)
+    own = []
+    for tree in trees:
+        first, done = compile_rules([tree], search=False)
+        back, begin = compile_rules([backwards(tree)], search=False)
+        own.append((bool(all(a == 1 or done[a] for a in first[0])), *(x.tolist() for x in compile_rules([tree], search=True)), back.tolist(), begin.tolist()))
+    return {"step": step, "accept": accept, "own": own}
+
+
+def _begin(data: bytes, last: int, least: int, back: list, begin: list) -> int:
+    """The first byte, ``least`` or later, of a match whose last one is ``last``; -1 if there is none."""
+    state, found = 0, -1
+    while last >= least:
+        state = back[state][data[last]]
+        if state == 1:
+            break
+        if begin[state]:
+            found = last
+        last -= 1
+    return found
+
+
+def _first_end(data: bytes, at: int, end: int, own: list, done: list) -> int:
+    """The last byte of the first match to be complete of those that begin at ``at`` or later; -1 if there is none before ``end``."""
+    state = 0
+    for i in range(at, end):
+        state = own[state][data[i]]
+        if done[state]:
+            return i
+    return -1
+
+
+def find_spans(part: np.ndarray, off: np.ndarray, rules, automaton: dict) -> dict[int, list[tuple[int, int, int]]]:
+    """row -> (first byte, rule, end byte) in order, for the texts of a piece that have any."""
+    step, accept = automaton["step"], automaton["accept"]
+    reset = (step == 0).all(axis=0)
+    breaks = np.flatnonzero(reset[part]) + 1
+    breaks = breaks[np.r_[True, np.diff(breaks // LANE) > 0]] if len(breaks) else breaks
+    bits = scan_lanes(part, np.unique(np.r_[off, breaks]), step, accept)
+    edge = np.zeros(len(part) + 1, bool)
+    edge[off] = True
+    raw = part.tobytes()
+    rows: dict[int, list] = {}
+    for k, (_, _, least, counted, _) in enumerate(rules):
+        yes = (bits >> np.uint32(k) & np.uint32(1)).astype(bool)
+        before = np.r_[False, yes[:-1]]
+        firsts = np.flatnonzero(yes & (~before | edge[:-1]))
+        if not len(firsts):
             continue
-        found = exact.match(line, at) if exact.groups > 1 else None
-        if (len(found[2]) if found else end - at) >= least:
-            yield at, end
-        at = end
+        ends = np.flatnonzero(yes & (~np.r_[yes[1:], False] | edge[1:])) + 1
+        at_once, own, done, back, begin = automaton["own"][k]
+        if at_once:
+            firsts, ends = firsts[ends - firsts >= least], ends[ends - firsts >= least]
+        row = np.searchsorted(off, firsts, "right") - 1
+        used, of = 0, -1
+        for i, end, who in zip(firsts.tolist(), ends.tolist(), row.tolist(), strict=True):
+            if who != of:
+                used, of = int(off[who]), who
+            start = i if at_once else _begin(raw, i, used, back, begin)
+            if start < 0:  # what ends here began inside the match before: another may begin behind it
+                i = _first_end(raw, used, end, own, done)
+                if i < 0:
+                    continue
+                start = _begin(raw, i, used, back, begin)
+            used = end
+            if end - (i if counted == "tail" else start) >= least:
+                rows.setdefault(who, []).append((start - int(off[who]), k, end - int(off[who])))
+    return {who: sorted(found) for who, found in rows.items()}
 
 
 def scan_batches(rules):
     """mapInArrow: id, text -> id, kinds, starts, ends (lists, by start and then rule)"""
-    step, accept = compile_rules([(r[4], r[3]) for r in rules], search=True)
-    own = [(s.tolist(), a.tolist()) for s, a in (compile_rules([(r[1], r[3])], search=False) for r in rules)]
-    exact = [re.compile(r[1].encode(), re.I if r[3] else 0) for r in rules]
-    reset = (step == 0).all(axis=0)
-
-    def find(part: np.ndarray, off: np.ndarray):
-        breaks = np.flatnonzero(reset[part]) + 1
-        breaks = breaks[np.r_[True, np.diff(breaks // LANE) > 0]] if len(breaks) else breaks
-        cuts = np.unique(np.r_[off, breaks])
-        bits = scan_lanes(part, cuts, step, accept)
-        rows: dict[int, list] = {}
-        hot = np.flatnonzero(bits)
-        if not len(hot):
-            return rows
-        newlines = np.flatnonzero(part == 10)
-        lines: dict[tuple[int, int, int], int] = {}
-        for lane in hot:
-            row = int(np.searchsorted(off, cuts[lane], "right")) - 1
-            # a lane may hold several lines
-            a = int(np.searchsorted(newlines, cuts[lane]))
-            lo = max(int(off[row]), int(newlines[a - 1]) + 1 if a else 0)
-            b = int(np.searchsorted(newlines, cuts[lane + 1] - 1))
-            hi = min(int(off[row + 1]), int(newlines[b]) if b < len(newlines) else int(off[row + 1]))
-            lines[row, lo, hi] = lines.get((row, lo, hi), 0) | int(bits[lane])
-        done: dict[int, set] = {}
-        for (row, lo, hi), mask in lines.items():
-            raw = part[lo:hi].tobytes()
-            base = int(off[row])
-            for k in range(len(rules)):
-                if mask >> k & 1:
-                    for s, e in _spans(raw, *own[k], exact[k], rules[k][2]):
-                        done.setdefault(row, set()).add((lo - base + s, k, lo - base + e))
-        for row, found in done.items():
-            count = np.r_[0, np.cumsum((part[off[row] : off[row + 1]] & 0xC0) != 0x80)]
-            rows[row] = [(int(count[s]), k, int(count[e])) for s, k, e in sorted(found)]
-        return rows
+    automaton = compiled(rules)
 
     def run(batches):
         for batch in batches:
             data, at = buffers(batch.column(1))
             for i, j in pieces(at):
-                rows = find(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                lists = [rows.get(x, []) for x in range(j - i)]
+                part, off = data[at[i] : at[j]], at[i : j + 1] - at[i]
+                lists: list[list] = [[] for _ in range(j - i)]
+                for who, found in find_spans(part, off, rules, automaton).items():
+                    count = np.r_[0, np.cumsum((part[off[who] : off[who + 1]] & 0xC0) != 0x80)]
+                    lists[who] = [(int(count[s]), k, int(count[e])) for s, k, e in found]
                 columns = [
                     pa.array([[rules[k][0] for _, k, _ in x] for x in lists], pa.list_(pa.string())),
                     pa.array([[s for s, _, _ in x] for x in lists], pa.list_(pa.int64())),
@@ -257,14 +402,3 @@ def secret_digest(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("kinds", lambda k: k == name)).cast("long").alias(f"n_{name}")
 
     return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
-
-
-def reference_digest(text: str | None) -> tuple[int, int, int, str]:
-    """The base columns of one text by plain regular expressions; for tests."""
-    text, out = text or "", []
-    for k, (kind, pattern, least, any_case, _) in enumerate(RULES[:3]):
-        for m in re.compile(pattern, re.I | re.A if any_case else 0).finditer(text):
-            if len(m[2] if m.re.groups else m[0]) >= least:
-                out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
-    out.sort()
-    return *(sum(k == i for _, k, _ in out) for i in range(3)), hashlib.sha256(",".join(x for *_, x in out).encode()).hexdigest()

@@ -1,5 +1,6 @@
 """Plain versions of operators for small tables."""
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -49,3 +50,20 @@ def line_dedup(rows):
         kept = [x for x in lines if len(holders.get(key(x), ())) < 5 or i == max(holders[key(x)])]
         out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
     return out
+
+
+def secret_spans(text, rules):
+    """(start, rule, end) of every rule's leftmost matches that are long enough, by start and rule, by plain regular expressions."""
+    out = []
+    for k, (_, pattern, least, counted, any_case) in enumerate(rules):
+        for m in re.compile(pattern, re.I | re.A if any_case else 0).finditer(text or ""):
+            if len(m[m.re.groups and 2] if counted == "tail" else m[0]) >= least:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def secret_row(text, rules, base=3):
+    """Counts and digest of the base kinds, and all spans."""
+    found = secret_spans(text, rules)
+    join = lambda spans: ",".join(f"{rules[k][0]}:{a}:{b}" for a, k, b in spans)
+    return *(sum(k == i for _, k, _ in found) for i in range(base)), hashlib.sha256(join(x for x in found if x[1] < base).encode()).hexdigest(), join(found)
