@@ -5,18 +5,26 @@ end tags may be left out, raw text, comments.  Each node has a number of
 characters, tags, characters inside links and links.  Its composite density is
 its characters per tag, adjusted by the shares of linked characters and links
 (a node of links only has next to none).  The density sum of a node is the sum
-of its children's densities; the node with the greatest one is the main
-content, and the least density on the way from it up to the body is the
-threshold that a top-level part of the page must reach to be kept with it; what
-lies between two kept parts and headings right before one are kept too.
-Elements that never hold an article's text (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, reader comments: by element, role,
-class or id) are no part of the tree.
+of its children's densities; the node with the greatest one, the first of
+several, is the main content, wherever it stands and whatever its tag.  The
+least density on the way from it up to the body is the threshold that a part of
+the page beside that way must reach to be kept with it; what lies between two
+kept parts and headings right before one are kept too.  Beside the way inside
+the article or main element that holds the content, and among other such
+elements of the page, short parts are kept as well, but no menus: parts whose
+text is mostly that of several links.
+
+Only what never belongs to an article is no part of the tree: menus, headers,
+footers, sidebars, notices, adverts, forms and their controls, scripts, styles
+and reader comments, by element, role, class or id, and what a browser with
+scripts does not show in the place of scripts, frames and media.
 
 Defined results: a null or empty page gives the empty text; a page without
-tags is one block; markup that never ends reaches to the end of the page;
-every row gives a row, repeated rows and null ids too; an empty table gives an
-empty table; other columns are ignored.
+tags is one block; markup that never ends reaches to the end of the page, and
+a tag whose quote never ends to the next ``>``; time and memory grow with a
+page's length alone, and no page is cut; every row gives a row, repeated rows
+and null ids too; an empty table gives an empty table; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,15 +37,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quote ends a value only before white space, a slash or the tag's end, unless the value has no angle bracket: else it was never closed.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
+    |<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>"']|"[^"<>]*"|'[^'<>]*'|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>]))*)(?=>|\Z)|[^>]*)(?:>|\Z)""",
+    re.S | re.X,
+)
 _SPACE = re.compile(r"\s+")
 _LABEL = re.compile(r"(?:class|id|role|itemtype|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed".split())
-NOISE = RAW | frozenset("head nav header footer aside form button select option label menu dialog fieldset object canvas audio video".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed".split())
+NOISE = RAW | frozenset("head nav header footer aside form button select option menu dialog fieldset object canvas audio video".split())
+ARTICLES = frozenset(("article", "main"))
+INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rb rp rt ruby s samp small span strike strong
+sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover semantics annotation""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element that a start tag of one of these ends, up to the named borders.
 CLOSES = {
@@ -68,13 +82,13 @@ _known: dict[str, bool] = {}
 def is_noise(tag: str, attributes: str) -> bool:
     if tag in NOISE:
         return True
-    if not attributes or tag in ("body", "html", "article", "main"):
+    if not attributes or tag in ("body", "html") or tag in ARTICLES:
         return False
     if (found := _known.get(attributes)) is None:
         names = [x for m in _LABEL.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").split()]
         # "with-sidebar" speaks of what stands beside
         words = {w.lower() for x in names if not x.lower().startswith(("with", "has", "no-", "is-")) for w in _WORD.findall(x)}
-        found = not LABELS.isdisjoint(words) or bool(_HIDDEN.search(attributes))
+        found = not LABELS.isdisjoint(words)
         if len(_known) < 10_000:
             _known[attributes] = found
     return found
@@ -109,7 +123,7 @@ def parse(page: str) -> Node:
             continue
         ends = m[3].endswith("/")
         if skip:
-            if tag in ("article", "main") and skip[0] not in RAW and skip[0] not in ("aside", "form"):
+            if tag in ARTICLES and skip[0] not in RAW and skip[0] not in ("aside", "form"):
                 skip.clear()  # an end tag was forgotten
             elif tag not in VOID and not ends:
                 if tag in RAW:
@@ -136,7 +150,7 @@ def parse(page: str) -> Node:
                         break
         if is_noise(tag, m[3]):
             if tag in RAW:
-                pos = n if ends and tag not in ("svg", "math") else _raw_end(page, tag, pos, n)
+                pos = _raw_end(page, tag, pos, n)
             elif not ends:
                 skip = [tag]
             at.parts.append(None if tag not in INLINE else "")
@@ -244,46 +258,52 @@ def main_text(page: str | None) -> str:
     best = max(order, key=lambda x: x.total)
     if not best.total:
         return "\n".join(_blocks(root))
-    # an article or main element around the best node is the whole content
-    holder = next((x for x in [*_up(best)][::-1] if x.tag in ("article", "main")), None)
-    if holder is not None:
-        best = holder
     if best is root:
         return "\n".join(_blocks(root))
     threshold = min([root.density, *(x.density for x in _up(best))])
     whole = {id(best)}
     path = {id(root), *(id(x) for x in _up(best))} - whole
-    if holder is not None:
-        # other such elements are parts of the content too, if they aren't lists of links
+    kind: set[int] = set()  # nodes on the way, inside the article
+    if (article := next((x for x in _up(best) if x.tag in ARTICLES), None)) is not None:
+        for x in _up(best):
+            kind.add(id(x))
+            if x is article:
+                break
+        # other articles are parts of the content too, if they aren't lists of links
         todo = [root]
         while todo:
             node = todo.pop()
-            if node.tag not in ("article", "main"):
+            if node.tag not in ARTICLES:
                 todo += [x for x in node.parts if isinstance(x, Node)]
-            elif node is not holder and 2 * node.link_chars < node.chars:
+            elif id(node) not in path and node is not best and 2 * node.link_chars < node.chars:
                 whole.add(id(node))
                 for x in _up(node.parent):
                     if id(x) in path:
                         break
                     path.add(id(x))
+                    kind.add(id(x))
     share = root.link_chars / max(root.chars, 1)
     keep: list[str] = []
     todo = [root]
     while todo:
         node = todo.pop()
         if id(node) in path:
-            todo += _kept_parts(node, path, whole, None if holder is not None else threshold, share)[::-1]
+            todo += _kept_parts(node, path, whole, None if id(node) in kind and node.tag else threshold, share)[::-1]
         else:
             keep += _blocks(node)
     return "\n".join(keep)
 
 
+def _menu(node: Node) -> bool:
+    return node.links > 1 and 2 * node.link_chars > node.chars
+
+
 def _kept_parts(node: Node, path: set[int], whole: set[int], threshold: float | None, share: float) -> list[Node]:
-    """The parts of a node on the path that belong to the content; text and inline elements in a row are one part.
+    """The parts of a node on the way that belong to the content; text and inline elements in a row are one part.
 
-    These are the parts that hold the content, parts that reach the threshold,
-    headings right before a kept part, and all but menus (several links that
-    have most of the text) between two kept parts.
+    These are the parts that hold the content, parts that reach the threshold
+    (if there is none, all but menus), headings right before a kept part, and
+    all but menus between two kept parts.
     """
     parts: list[Node] = []
     run = None
@@ -303,13 +323,12 @@ def _kept_parts(node: Node, path: set[int], whole: set[int], threshold: float |
     keep = []
     for x in parts:
         held = id(x) in path or id(x) in whole or (not x.tag and any(id(y) in whole for y in x.parts))
-        keep.append(held or (threshold is not None and x.density >= threshold and x.density > 0))
+        keep.append(held or (not _menu(x) if threshold is None else x.density >= threshold and x.density > 0))
     at = [i for i, k in enumerate(keep) if k]
     for i in range(at[0], at[-1]) if at else ():
-        keep[i] = keep[i] or not (parts[i].links > 1 and 2 * parts[i].link_chars > parts[i].chars)
-    if threshold is not None:
-        for i in range(len(parts) - 2, -1, -1):
-            keep[i] = keep[i] or (keep[i + 1] and parts[i].tag in HEADINGS)
+        keep[i] = keep[i] or not _menu(parts[i])
+    for i in range(len(parts) - 2, -1, -1):
+        keep[i] = keep[i] or (keep[i + 1] and parts[i].tag in HEADINGS)
     return [x for x, k in zip(parts, keep, strict=True) if k]
 
 

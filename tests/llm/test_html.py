@@ -1,4 +1,6 @@
+import math
 import re
+import time
 
 import pytest
 
@@ -14,6 +16,8 @@ from acreflow.llm import htmltext
         ("<article><ul><li>one<li>two</ul><table><tr><td>a<td>b</table></article>", "one\ntwo\na\nb"),
         ("<div class='ad'>buy</div><article><p>x<style>p{}</style> y</p><form><p>mail</form></article>", "x y"),
         ("<main><p>a</p><div role=complementary><p>b</p></div><p>c</main>", "a\nc"),
+        ('<article><p>x <a href="foo>text</a> more</p><p>two <b class="y">b</b></article>', "x text more\ntwo b"), ("<article><p title='a > b <i>' class=x>it's</p></article>", "it's"), ('<p class="a>b', "b"),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be <label>a label</label> <span hidden>and more</span></p></article>", "Let x=2 be a label and more"),
         ("<p>&copy; &#233; &#x263a; &nope; 1 &lt 2</p>", "© é ☺ &nope; 1 < 2"),
     ],
 )
@@ -72,3 +76,78 @@ def test_odd_rows(spark):
     got = htmltext.page_texts(frame).collect()
     assert sorted(r.text[:4] for r in got) == ["", "a", "a", "a", "deep"]
     assert htmltext.page_texts(frame.limit(0)).count() == 0
+
+
+def tree(node):
+    """A parsed page as nested (tag, parts)."""
+    return node.tag, [tree(x) if isinstance(x, htmltext.Node) else x for x in node.parts]
+
+
+def plain_densities(root):
+    """(density, sum of the children's densities) of every node of a nested page, parents first, by the published definition with the base of the logarithm one more."""
+    def counts(node):
+        tag, parts = node
+        below = [counts(x) for x in parts if isinstance(x, tuple)]
+        chars = sum(c[0] for c in below) + sum(len(x.replace(" ", "")) for x in parts if isinstance(x, str) and x.strip())
+        link_chars, links = (chars, 1 + sum(c[3] for c in below)) if tag == "a" else (sum(c[2] for c in below), sum(c[3] for c in below))
+        return chars, sum(c[1] + 1 for c in below), link_chars, links
+
+    chars, _, link_chars, _ = counts(root)
+    share = link_chars / max(chars, 1)
+
+    def density(node):
+        c, t, lc, lt = counts(node)
+        t = max(t, 1)
+        ratio = (c / max(lc, 1)) * (t / max(lt, 1))
+        if not c or ratio <= 1:
+            return 0.0
+        return c / t * math.log(ratio) / math.log(math.log(c / max(c - lc, 1) * lc + share * c + math.e) + 1)
+
+    def walk(node):
+        children = [x for x in node[1] if isinstance(x, tuple)]
+        yield density(node), sum(map(density, children))
+        for x in children:
+            yield from walk(x)
+
+    return list(walk(root))
+
+
+def test_densities_against_the_definition(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(40).collect()]
+    for page in [*pages, f"<body>{LINKS}<div>{STORY}</div>{LINKS}", "<p>x", "<a>y</a>"]:
+        root = htmltext.parse(page)
+        nested = tree(root)
+        nodes = htmltext._measure(root)
+        want = plain_densities(nested)
+        for k in (0, 1):
+            assert sorted((x.density, x.total)[k] for x in nodes) == pytest.approx(sorted(x[k] for x in want), rel=1e-6, abs=1e-6)
+        assert max(x.total for x in nodes) == pytest.approx(max(t for _, t in want))
+
+
+def test_density_alone_finds_the_article_of_real_pages(spark):
+    """No article or menu is marked as such; the text is that of the marked page, which needs no density."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    same = 0
+    for page in pages:
+        bare = re.sub(r"<(/?)(?:nav|article)\b[^>]*>", r"<\1div>", page)
+        text = htmltext.main_text(bare)
+        everything = "\n".join(htmltext._blocks(htmltext.parse(bare)))
+        assert text != everything  # the menu at least is gone
+        same += text == htmltext.main_text(page)
+    assert same >= 0.9 * len(pages)
+
+
+def test_an_article_does_not_override_density():
+    """The densest part is kept beside an article, and an article that is a list of links is not kept for its tag."""
+    teaser = f"<article>{LINKS}</article>"
+    text = htmltext.main_text(f"<body>{teaser}<div>{STORY}</div></body>")
+    assert "A long" in text and "Section 3" not in text
+    text = htmltext.main_text(f"<body><article>{STORY}</article><div><p>{'Dense text beside the article. ' * 20}</p></div></body>")
+    assert "A long" in text and "Dense text beside" in text
+
+
+def test_unclosed_quotes_take_time_in_proportion():
+    began = time.process_time()
+    for page in ('<a href="x>y ' * 60_000, "<a title='x>y</a> " * 60_000, '<a b="c" ' * 60_000, "<p>it's " * 60_000):
+        htmltext.main_text(page)
+    assert time.process_time() - began < 20
