@@ -1,52 +1,78 @@
 """Line dedup: lines that many documents share go, except in one of them.
 
 The key of a line is the line with white space stripped at both ends and A-Z
-lower-cased, carried as two independent 64-bit hashes.  First each document
-gives its distinct keys, and counts and largest ids are summed before and
-after one shuffle, so a line that stands in a third of all documents reaches
-each reducer as one row per task.  Then the lines meet the frequent keys only
-(broadcast if Spark finds the table small, else a join whose large partitions
-adaptive execution splits), and each document gets the runs of lines that it
-loses: the compressed form of its keep bitmap.  Only DataFrame functions run.
+lower-cased, carried as two independent 64-bit hashes.  The lines are
+range-partitioned by key, document (largest first) and position, so a line that
+stands in a third of all documents is cut over many partitions, and sorted so
+within them.  One pass along each partition then tells a key's first document,
+which keeps the line, from the later ones, and counts them.  A key that goes on
+in the next partition is stitched from one row for each partition that holds it.
+The result is each document's keep bitmap in compressed form, as run lengths,
+for the documents that lose lines; texts only meet their bitmaps.  Only
+DataFrame functions run.
 
 Defined results: a null or empty text is one empty line and loses nothing;
-each row is a document for the counts; rows with equal id and text get the
-same bitmap; a null id is never the largest while another id holds the line;
-an empty table gives an empty table; other columns are ignored.
+documents are told apart by id, null being one id, which is never the largest
+while another holds the line; of rows with one id each loses or keeps a line by
+that id, and rows with equal id and text get the same bitmap; lines of any
+length and number are taken whole; an empty table gives an empty table; other
+columns are kept or ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, materialize
+from .common import ascii_lower, fresh, let, materialize
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SPACE = " \t\n\x0b\x0c\r"
+_RUNS = "array<struct<first:int,last:int>>"
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _pair(x: Column) -> Column:
-    """128 bits of a line's key."""
-    return F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"))
-
-
-def _keyed(text: Column, min_chars: int) -> Column:
-    """array of (pos, key struct) for the lines that are long enough"""
-    keys = F.transform(_lines(ascii_lower(text)), lambda x, i: F.struct(i.alias("pos"), F.btrim(x, F.lit(SPACE)).alias("k")))
+def _keyed(lines: Column, min_chars: int) -> Column:
+    """array of (pos, two hashes of the key) for the lines that are long enough"""
+    keys = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.btrim(x, F.lit(SPACE)).alias("k")))
     long_ones = F.filter(keys, lambda x: F.char_length(x["k"]) >= min_chars)
-    return F.transform(long_ones, lambda x: F.struct(x["pos"].alias("pos"), _pair(x["k"]).alias("k")))
+    return F.transform(long_ones, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["k"]).alias("h1"), F.xxhash64(F.lit(7), x["k"]).alias("h2")))
 
 
-def frequent_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """h1, h2, n_docs, keeper of the line keys found in ``min_docs`` documents or more."""
-    distinct = F.array_distinct(F.transform(_keyed(F.coalesce(F.col(text), F.lit("")), min_chars), lambda x: x["k"]))
-    each = docs.select(F.col(key).alias("doc_id"), F.explode(distinct).alias("k")).select("doc_id", "k.h1", "k.h2")
-    return each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
+def line_keys(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, text_hash, n_lines, pos, h1, h2 of the lines that are long enough."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    of_lines = let(_lines(ascii_lower(whole)), lambda x: F.struct(F.size(x).alias("n"), _keyed(x, min_chars).alias("long")))
+    each = docs.select(F.col(key).alias("doc_id"), F.xxhash64(whole).alias("text_hash"), of_lines.alias("of"))
+    return each.select("doc_id", "text_hash", F.col("of.n").alias("n_lines"), F.explode("of.long").alias("x")).select("doc_id", "text_hash", "n_lines", "x.pos", "x.h1", "x.h2")
+
+
+def later_occurrences(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The rows of ``line_keys`` whose line ``min_docs`` documents hold, but for those of the largest id."""
+    order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc_nulls_last(), F.col("text_hash"), F.col("pos")]
+    ranged = lines.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    along = Window.partitionBy("part").orderBy(*order)
+    key = Window.partitionBy("part", "h1", "h2")
+    before = F.lag(F.struct("h1", "h2", "doc_id")).over(along)
+    fresh_doc = (~F.struct("h1", "h2", "doc_id").eqNullSafe(before)).cast("long")
+    streamed = ranged.withColumn("new", fresh_doc)
+    # in a partition: documents of a key, and its first and last one; a key at a partition's end may go on in the next
+    streamed = streamed.withColumn("n_docs", F.sum("new").over(key)).withColumn("keeper", F.max("doc_id").over(key))
+    streamed = materialize(streamed)
+    ends = streamed.groupBy("part").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi"))
+    # a row for each partition
+    split = ends.withColumn("next", F.lead("lo").over(Window.orderBy("part"))).filter("hi = next").select("hi.h1", "hi.h2").distinct()
+    parts = streamed.join(F.broadcast(split), ["h1", "h2"]).groupBy("part", "h1", "h2").agg(F.max("n_docs").alias("n_docs"), F.max("doc_id").alias("first_doc"), F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("last_doc"))
+    of_key = Window.partitionBy("h1", "h2").orderBy("part")
+    goes_on = (F.lag("last_doc.doc_id").over(of_key).eqNullSafe(F.col("first_doc")) & (F.row_number().over(of_key) > 1)).cast("long")
+    stitched = parts.withColumn("goes_on", goes_on).groupBy("h1", "h2").agg((F.sum("n_docs") - F.sum("goes_on")).alias("all_docs"), F.max("first_doc").alias("all_keeper"))
+    whole = streamed.join(F.broadcast(stitched), ["h1", "h2"], "left")
+    found = F.coalesce("all_docs", "n_docs") >= min_docs
+    kept = F.col("doc_id").eqNullSafe(F.when(F.col("all_docs").isNull(), F.col("keeper")).otherwise(F.col("all_keeper")))
+    return whole.filter(found & ~kept).select(*lines.columns)
 
 
 def _runs(drops: Column) -> Column:
@@ -56,15 +82,28 @@ def _runs(drops: Column) -> Column:
     return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
 
 
+def _bitmap(runs: Column, n_lines: Column) -> Column:
+    """The keep bitmap as lengths of its runs, kept and dropped ones in turn, kept first."""
+
+    def lengths(r: Column) -> Column:
+        each = F.flatten(F.transform(r, lambda x, i: F.array(x["first"] - F.coalesce(F.get(r, i - 1)["last"] + 1, F.lit(0)), x["last"] - x["first"] + 1)))
+        rest = n_lines - F.coalesce(F.get(r, F.size(r) - 1)["last"] + 1, F.lit(0))
+        return F.concat(each, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+
+    return let(F.coalesce(runs, F.array().cast(_RUNS)), lengths)
+
+
 def drop_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, text_hash, runs (array of first, last line) of the documents that lose lines."""
-    frequent = materialize(frequent_lines(docs, key, text, min_chars, min_docs))
-    whole = F.coalesce(F.col(text), F.lit(""))
-    lines = docs.select(F.col(key).alias("doc_id"), F.xxhash64(whole).alias("text_hash"), F.explode(_keyed(whole, min_chars)).alias("x"))
-    lines = lines.select("doc_id", "text_hash", "x.pos", "x.k.h1", "x.k.h2")
-    lost = lines.join(frequent, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    drops = lost.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("drops"))
-    return drops.select("doc_id", "text_hash", _runs(F.col("drops")).alias("runs"))
+    """doc_id, text_hash, n_lines, runs (array of first, last line) of the documents that lose lines."""
+    lost = later_occurrences(materialize(line_keys(docs, key, text, min_chars)), min_docs)
+    drops = lost.groupBy("doc_id", "text_hash", "n_lines").agg(F.sort_array(F.collect_set("pos")).alias("drops"))
+    return drops.select("doc_id", "text_hash", "n_lines", _runs(F.col("drops")).alias("runs"))
+
+
+def keep_bitmaps(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """doc_id, text_hash, keep_bitmap (array<int>: lengths of the runs of kept and dropped lines in turn, kept first)
+    of the documents that lose lines; the others keep all."""
+    return drop_runs(docs, key, text, **options).select("doc_id", "text_hash", _bitmap(F.col("runs"), F.col("n_lines")).alias("keep_bitmap"))
 
 
 def _kept(text: Column, runs: Column) -> Column:
@@ -77,22 +116,26 @@ def _kept(text: Column, runs: Column) -> Column:
     return F.when(runs.isNull(), text).otherwise(let(_lines(text), join))
 
 
+def _with_runs(docs: DataFrame, key: str, text: str, name: str, **options) -> DataFrame:
+    """The documents with their runs of dropped lines, null if there are none."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    i, h, th = fresh(docs, "run_id", "run_hash", "text_hash")
+    runs = drop_runs(docs, key, text, **options).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("runs").alias(name))
+    found = docs.withColumn(th, F.xxhash64(whole)).join(runs.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col(i)) & (F.col(th) == F.col(h)), "left")
+    return found.select(*docs.columns, name)
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents with ``text`` cut to its kept lines, and ``__n_lines``,
-    ``__n_dropped`` beside their own columns."""
-    runs = drop_runs(docs, key, text, **options).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("runs").alias("__runs"))
-    whole = docs.withColumn("__whole", F.coalesce(F.col(text), F.lit("")))
-    found = whole.join(runs.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64("__whole") == F.col("__h")), "left")
-    dropped = F.aggregate(F.coalesce("__runs", F.array().cast("array<struct<first:int,last:int>>")), F.lit(0).cast("long"), lambda n, r: n + (r["last"] - r["first"] + 1).cast("long"))
-    return found.select(
-        *[docs[c] for c in docs.columns if c != text],
-        F.when(F.col(text).isNotNull(), _kept(F.col("__whole"), F.col("__runs"))).alias(text),
-        F.size(_lines(F.col("__whole"))).cast("long").alias("__n_lines"),
-        dropped.alias("__n_dropped"),
-    )
+    """The documents, columns as they are, with ``text`` cut to its kept lines."""
+    (runs,) = fresh(docs, "runs")
+    found = _with_runs(docs, key, text, runs, **options)
+    return found.withColumn(text, F.when(F.col(text).isNotNull(), _kept(F.col(text), F.col(runs)))).select(*docs.columns)
 
 
 def line_dedup_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256."""
-    done = dedup_lines(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
-    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    """doc_id, n_lines, n_dropped, kept_sha256, keep_bitmap (run lengths joined with commas)."""
+    found = _with_runs(docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "doc_id", "text", "runs")
+    n_lines = F.size(_lines(F.col("text")))
+    dropped = F.aggregate(F.coalesce("runs", F.array().cast(_RUNS)), F.lit(0).cast("long"), lambda n, r: n + (r["last"] - r["first"] + 1).cast("long"))
+    bitmap = F.array_join(_bitmap(F.col("runs"), n_lines).cast("array<string>"), ",")
+    return found.select("doc_id", n_lines.cast("long").alias("n_lines"), dropped.alias("n_dropped"), F.sha2(_kept(F.col("text"), F.col("runs")), 256).alias("kept_sha256"), bitmap.alias("keep_bitmap"))

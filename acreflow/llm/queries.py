@@ -64,10 +64,13 @@ WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines
      pos AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM docs),
      keyed AS (SELECT doc_id, line, i, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k FROM pos),
      hot AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
-     marked AS (SELECT doc_id, line, i, coalesce(doc_id <> keeper, false) AS gone FROM keyed LEFT JOIN hot USING (k))
+     marked AS (SELECT doc_id, line, i, coalesce(doc_id <> keeper, false) AS gone FROM keyed LEFT JOIN hot USING (k)),
+     runs AS (SELECT doc_id, gone, i, i - row_number() OVER (PARTITION BY doc_id, gone ORDER BY i) AS run FROM marked),
+     lengths AS (SELECT doc_id, min(i) AS i, CASE WHEN gone AND min(i) = 1 THEN '0,' ELSE '' END || count(*) AS n FROM runs GROUP BY doc_id, gone, run),
+     bitmaps AS (SELECT doc_id, string_agg(n, ',' ORDER BY i) AS keep_bitmap FROM lengths GROUP BY doc_id)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256, any_value(keep_bitmap) AS keep_bitmap
+FROM marked JOIN bitmaps USING (doc_id) GROUP BY doc_id
 """
 
 ORACLES = {"op6_line_dedup": OP6_SQL.format(table="documents")}

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from itertools import groupby
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -37,7 +38,7 @@ def near_components(texts: dict):
 
 
 def line_dedup(rows):
-    """[(doc_id, text)] -> [(n_lines, n_dropped, kept)]"""
+    """[(doc_id, text)] -> [(n_lines, n_dropped, kept, run lengths of kept and dropped lines in turn)]"""
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
     holders = defaultdict(set)
     for i, t in rows:
@@ -47,8 +48,10 @@ def line_dedup(rows):
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if len(holders.get(key(x), ())) < 5 or i == max(holders[key(x)])]
-        out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
+        stay = [len(h := holders.get(key(x), ())) < 5 or i == max((x for x in h if x is not None), default=None) for x in lines]
+        runs = [len(list(g)) for _, g in groupby(stay)]
+        kept = [x for x, s in zip(lines, stay, strict=True) if s]
+        out.append((len(lines), len(lines) - len(kept), "\n".join(kept), ",".join(map(str, runs if stay[0] else [0, *runs]))))
     return out
 
 

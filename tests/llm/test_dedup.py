@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 from acreflow.llm import linededup, minhash, queries
 
@@ -61,25 +62,48 @@ def test_lines_against_sql(spark, same_rows):
     same_rows(queries.op6_line_dedup(spark, "/root/testdata/sf0.001"), queries.ORACLES["op6_line_dedup"])
 
 
+def check_lines(frame):
+    rows = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
+    want = Counter((i, n, d, hashlib.sha256(k.encode()).hexdigest(), b) for (i, _), (n, d, k, b) in zip(rows, brute.line_dedup(rows), strict=True))
+    assert Counter(map(tuple, linededup.line_dedup_digest(frame).collect())) == want
+    kept = Counter((i, k if t is not None else None) for (i, t), (_, _, k, _) in zip(rows, brute.line_dedup(rows), strict=True))
+    done = linededup.dedup_lines(frame)
+    assert done.columns == frame.columns and Counter((r.doc_id, r.text) for r in done.collect()) == kept
+
+
 def test_lines_against_brute_force(docs):
     rng = random.Random(1)
     common = [f"{'A line that many documents hold, number'} {i} {'é' * (i % 3)}" for i in range(6)] + ["short", "", "   ", "x" * 40, "y" * 39]
     texts = ["\n".join(("  " if rng.random() < 0.2 else "") + (x.upper() if rng.random() < 0.2 and "é" not in x else x) for x in rng.choices(common + [f"own line of document {i} which is long enough"], k=rng.randrange(12))) for i in range(40)] + ODD
-    frame = docs(texts, extra=True)
-    rows = list(enumerate(texts))
-    want = {i: (n, d, hashlib.sha256(k.encode()).hexdigest()) for (i, _), (n, d, k) in zip(rows, brute.line_dedup(rows), strict=True)}
-    got = linededup.line_dedup_digest(frame).collect()
-    assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in got} == want
-    assert linededup.line_dedup_digest(frame.limit(0)).count() == 0
+    check_lines(docs(texts, extra=True))
+    assert linededup.line_dedup_digest(docs(texts).limit(0)).count() == 0
 
 
 def test_null_ids_and_repeated_rows(docs):
     line = "this line is shared and has more than forty characters"
-    got = linededup.line_dedup_digest(docs([line] * 6, ids=[None, None, 3, 4, 9, 9])).collect()
-    assert sorted((r.doc_id or 0, r.n_dropped) for r in got) == [(0, 1), (0, 1), (3, 1), (4, 1), (9, 0), (9, 0)]
-
-
-def test_bitmaps_are_runs(docs):
+    check_lines(docs([line] * 7 + [line + "\nx"], ids=[None, None, 3, 4, 5, 9, 9, 9]))
+    check_lines(docs([line] * 6, ids=[None, None, 3, 4, 9, 9]))
+    check_lines(docs([line] * 5, ids=[None] * 5))
+
+
+def test_lines_that_fill_many_partitions(spark, docs):
+    """Two keys that nearly all documents hold, at several places, cut over 16 range partitions."""
+    lines = ["the first line that is found in nearly all of the documents", "the second line that is found in nearly all of the documents"]
+    texts = ["\n".join(["a", lines[i % 2], lines[0], f"only in document {i}, as its number says, and long", lines[1], lines[1]][: 2 + i % 5]) for i in range(400)]
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        frame = docs(texts, ids=[i // 2 if i < 20 else None if i < 25 else i for i in range(400)])
+        keys = linededup.line_keys(frame)
+        assert keys.repartitionByRange("h1", "h2", "doc_id", "pos").rdd.getNumPartitions() == 16
+        check_lines(frame)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_bitmaps_are_run_lengths(docs):
     line = "this line is shared and has more than forty characters"
-    runs = linededup.drop_runs(docs([f"a\n{line}\n{line}\nb\n{line}"] + [line] * 5)).filter("doc_id = 0").first().runs
-    assert [(r.first, r.last) for r in runs] == [(1, 2), (4, 4)]
+    frame = docs([f"a\n{line}\n{line}\nb\n{line}"] + [line] * 5)
+    assert [(r.first, r.last) for r in linededup.drop_runs(frame).filter("doc_id = 0").first().runs] == [(1, 2), (4, 4)]
+    assert {r.doc_id: r.keep_bitmap for r in linededup.keep_bitmaps(frame).collect()} == {0: [1, 2, 1, 1]} | {i: [0, 1] for i in range(1, 5)}

@@ -17,7 +17,7 @@ def test_stages_on_a_table(spark, sample):
     assert all(d.columns == sample.columns for d in (first, lines, near, mixed))
     assert sample.count() * 0.98 <= first.count() <= sample.count()
     rows = sorted((r.doc_id, r.text) for r in first.select("doc_id", "text").collect())
-    kept = {i: k for (i, _), (_, _, k) in zip(rows, brute.line_dedup(rows), strict=True)}
+    kept = {i: k for (i, _), (_, _, k, _) in zip(rows, brute.line_dedup(rows), strict=True)}
     assert {r.doc_id: r.text for r in lines.collect()} == kept
     assert all(r.n_chars == len(r.text) for r in lines.collect())
     parts = brute.near_components(kept)
