@@ -10,9 +10,12 @@ moves one row per source, bucket and task.  The thresholds are one row per
 source.
 
 Defined results: a null text has size 0; null is a source of its own, last in
-order; rows with one key share one hash and are taken or left together; an
-empty table gives an empty table; sources without words get target 0 and are
-left.  Extra columns are ignored by ``mix`` and kept by ``mixed_documents``.
+order; rows of a source with one key share one hash and are taken or left
+together; where the rows of a last bucket tie, all of them are taken if that
+comes nearer to the target; texts of any length count whole; an empty table
+gives an empty table; sources without words get target 0 and are left.  Extra
+columns, whatever their names, are ignored by ``mix`` and kept by
+``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, fresh, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_BITS, LEVELS = 12, 3
@@ -97,19 +100,31 @@ def _thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return state
 
 
+def _hashed(key: Column, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 64 - BUCKET_BITS * LEVELS)
+
+
+def _sized(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
+    return materialize(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), _hashed(F.col(key), seed).alias("h")))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, budget=BUDGET, max_epochs=MAX_EPOCHS, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of ``docs``."""
-    bits = BUCKET_BITS * LEVELS
-    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 64 - bits)
-    sized = materialize(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), hashed.alias("h")))
+    """doc_id, size, source_size, target, taken, copies for each row of ``docs``."""
+    sized = _sized(docs, key, text, source, seed)
     state = broadcast_if_small(_thresholds(sized, source_targets(sized, weights, budget, max_epochs)).withColumnRenamed("source", "s"))
-    copies = F.col("whole") + (F.col("h") < F.col("under")).cast("long")
-    taken = F.col("size") * F.least(copies, F.lit(max_epochs))
-    return sized.join(state, sized.source.eqNullSafe(state.s)).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.least(copies, F.lit(max_epochs)).alias("copies"))
+    copies = F.least(F.col("whole") + (F.col("h") < F.col("under")).cast("long"), F.lit(max_epochs))
+    return sized.join(state, sized.source.eqNullSafe(state.s)).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"))
+
 
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, budget=BUDGET, max_epochs=MAX_EPOCHS, seed: int = 17) -> DataFrame:
+    """The rows that the mix takes, a row taken twice being there twice.
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows that the mix takes, a row taken twice being there twice."""
-    taken = mix(docs, key, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("copies").alias("__copies"))
-    kept = docs.join(taken, F.col(key).eqNullSafe(F.col("__mix_id")))
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    A filter of the rows by their hash and their source's threshold: no text is
+    shuffled, as long as the sources' table is small enough to be broadcast.
+    """
+    sized = _sized(docs, key, text, source, seed)
+    s, whole, under, copy = fresh(docs, "of_source", "whole", "under", "copy")
+    state = _thresholds(sized, source_targets(sized, weights, budget, max_epochs)).select(F.col("source").alias(s), F.col("whole").alias(whole), F.col("under").alias(under))
+    copies = F.least(F.col(whole) + (_hashed(F.col(key), seed) < F.col(under)).cast("long"), F.lit(max_epochs))
+    taken = docs.join(broadcast_if_small(state), F.col(source).eqNullSafe(F.col(s))).filter(copies > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(*docs.columns)

@@ -8,10 +8,12 @@ threshold, so pairs are only sought inside a length partition and its upper
 neighbour, and there only through the rarest signatures of each set (a prefix
 that two similar sets must share), equal sets being one class.
 
-Defined results: a null text is empty; a text with no antecedent that a content
-word follows has its sequence of words, hashed, as its one signature; equal
-texts have equal fingerprints; an empty table gives an empty table; other
-columns are ignored.
+Defined results: a null text is empty; a text with no antecedent that a chain
+of content words follows has its sequence of words, hashed, as its one
+signature; equal texts have equal fingerprints; very long texts have all their
+signatures; every row gives a row, repeated rows and null ids too; of sets that
+tie in length or rarity none is preferred; an empty table gives an empty table;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -80,9 +82,9 @@ def neighbour_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last half replaced by the beginning of the next
-    document.  One row for each distinct id and text; of the texts of one next
-    id that of the least hash counts; a row without an id has no next
-    document, so its edited text is cut.
+    document.  One row for each row; of the texts of one next id that of the
+    least hash counts; a row without an id has no next document, so its edited
+    text is cut.
     """
     # no aliases where the names are these: with them the two uses below would not share an exchange
     plain = docs.select(*[F.col(c) if c == to else F.col(c).alias(to) for c, to in ((key, "doc_id"), (text, "text"))])
@@ -92,9 +94,10 @@ def neighbour_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     # what each document gives to the one before it
     given = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to_id"), F.floor(F.col("n") / 2).cast("int").alias("want"))
     taken = known.join(given.hint("shuffle_hash"), "doc_id")
-    parts = taken.select(F.col("to_id").alias("doc_id"), F.xxhash64(whole).alias("next_th"), F.substring(whole, F.lit(1), F.col("want")).alias("head"), signatures(F.col("text")).alias("next_sigs"))
-    met = known.join(parts, "doc_id").select("doc_id", whole.alias("text"), "next_th", "head", "next_sigs")
-    alone = plain.filter("doc_id IS NULL").select("doc_id", whole.alias("text"), F.lit(0).cast("long").alias("next_th"), F.lit("").alias("head"), F.array().cast("array<long>").alias("next_sigs"))
+    part = F.struct(F.xxhash64(whole).alias("th"), F.substring(whole, F.lit(1), F.col("want")).alias("head"), signatures(F.col("text")).alias("next_sigs"))
+    parts = taken.select(F.col("to_id").alias("doc_id"), part.alias("p")).groupBy("doc_id").agg(F.min("p").alias("p"))
+    met = known.join(parts, "doc_id").select("doc_id", whole.alias("text"), "p.head", "p.next_sigs")
+    alone = plain.filter("doc_id IS NULL").select("doc_id", whole.alias("text"), F.lit("").alias("head"), F.array().cast("array<long>").alias("next_sigs"))
     return _digests(met).unionByName(_digests(alone))
 
 
@@ -102,15 +105,14 @@ def _digests(met: DataFrame) -> DataFrame:
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("head", F.lit(1), half))
-    done = met.select("doc_id", F.xxhash64("text").alias("th"), "next_th", n.cast("long").alias("n_chars"), edited.alias("edited"), "text", "next_sigs")
+    done = met.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "text", "next_sigs")
     # one expression binds the sets, so they are computed once
     made = F.struct(signatures(F.col("text")).alias("a"), signatures(F.col("edited")).alias("b"), F.col("next_sigs").alias("c"))
     out = let(
         made,
         lambda s: F.struct(digest(s["a"]).alias("fingerprint"), digest(s["b"]).alias("edited_fingerprint"), likeness(s["a"], s["b"]).alias("near_edited"), likeness(s["a"], s["c"]).alias("near_next")),
     )
-    found = done.select("doc_id", "th", F.struct("next_th", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), out.alias("o")).alias("r"))
-    return found.groupBy("doc_id", "th").agg(F.min("r").alias("r")).select("doc_id", "r.n_chars", "r.edited_sha256", "r.o.*")
+    return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), out.alias("o")).select("doc_id", "n_chars", "edited_sha256", "o.*")
 
 
 def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -24,6 +24,14 @@ def brute(text):
     return {tuple(content[i : i + 3]) for i in starts if i + 3 <= len(content)}
 
 
+def likeness(a, b):
+    """Jaccard similarity of the fingerprints of two texts; one without a chain has its words."""
+    import re
+
+    a, b = (brute(t) or {("words", *re.split(r"(?:[^\w]|_)+", t.lower()))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
 def test_signatures_are_the_chains(spark, sample):
     got = sample.select("text", spotsigs.signatures(F.col("text")).alias("s")).collect()
     assert all(len(r.s) == max(1, len(brute(r.text))) for r in got)
@@ -45,7 +53,7 @@ def test_neighbours(docs, sample):
             edited = text[: len(text) - half] + after[:half]
             r = got[i]
             assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-            assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+            assert (r.near_edited, r.near_next) == pytest.approx((likeness(text, edited), likeness(text, after)))
             assert prints.setdefault(text, r.fingerprint) == r.fingerprint
             if edited == text:
                 assert r.near_edited == 1 and r.fingerprint == r.edited_fingerprint
@@ -55,7 +63,9 @@ def test_neighbours(docs, sample):
 
 def test_null_ids_repeats_and_nothing(docs):
     got = spotsigs.neighbour_digest(docs(["the cat sat on mats", "the cat sat on mats", "b"], ids=[4, 4, None])).collect()
-    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == [(0, 1), (4, 19)]
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == [(0, 1), (4, 19), (4, 19)]
+    got = spotsigs.neighbour_digest(docs(["the cat sat on mats", "of one two three", "b"], ids=[4, 4, 5])).collect()
+    assert sorted((r.doc_id, r.n_chars, r.near_next) for r in got) == [(4, 16, 0.0), (4, 19, 0.0), (5, 1, 0.0)]
     assert spotsigs.neighbour_digest(docs(["a"]).limit(0)).count() == 0
 
 
