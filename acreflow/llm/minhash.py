@@ -98,7 +98,7 @@ def signature_batches(k: int, bands: int, rows: int):
 
 
 def confirm_batches(k: int, percent: int):
-    """mapInArrow: a, b, text of a, text of b -> the pairs with percent * union <= 100 * intersection"""
+    """mapInArrow: two texts and any columns -> those columns of the rows with percent * union <= 100 * intersection"""
 
     def sets(column, at, n):
         hs, rs = [], []
@@ -109,26 +109,29 @@ def confirm_batches(k: int, percent: int):
 
     def run(batches):
         for batch in batches:
-            size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
+            size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
             for at, end in pieces(np.r_[0, np.cumsum(size)]):
                 n = end - at
-                ha, ra = sets(batch.column(2), at, n)
-                hb, rb = sets(batch.column(3), at, n)
+                ha, ra = sets(batch.column(0), at, n)
+                hb, rb = sets(batch.column(1), at, n)
                 na, nb = np.bincount(ra, minlength=n), np.bincount(rb, minlength=n)
                 _, r = distinct(np.r_[ha, hb], np.r_[ra, rb])
                 union = np.bincount(r, minlength=n)
                 both = na + nb - union
                 yes = pa.array((100 * both >= percent * union) & (both > 0))
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, n).filter(yes) for c in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([c.slice(at, n).filter(yes) for c in batch.columns[2:]], names=batch.schema.names[2:])
 
     return run
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of class ids whose full sets are similar."""
+    """The rows of pairs (a, b, their groups) of class ids whose full sets are similar, as links (a, b) of groups.
+
+    The links are written: one stage with two Python functions would keep twice as many workers.
+    """
     one, two = texts.toDF("a", "ta"), texts.toDF("b", "tb")
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    return met.mapInArrow(confirm_batches(k, percent), "a long, b long")
+    met = pairs.join(one, "a").join(two, "b").select("ta", "tb", F.col("ga").alias("a"), F.col("gb").alias("b"))
+    return materialize(met.mapInArrow(confirm_batches(k, percent), "a long, b long").distinct())
 
 
 def shingle_batches(k: int):
@@ -144,16 +147,18 @@ def shingle_batches(k: int):
     return run
 
 
-def _stars(groups: DataFrame) -> DataFrame:
-    """Known groups as edges: what is found later joins stars instead of all links again."""
-    return groups.select(F.col("component").alias("a"), F.col("node").alias("b"))
+def _pair(one: str, two: str, group_one: str, group_two: str) -> list:
+    """a, b and their groups, the lesser id first."""
+    first = F.col(one) < F.col(two)
+    return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b"), F.when(first, F.col(group_one)).otherwise(F.col(group_two)).alias("ga"), F.when(first, F.col(group_two)).otherwise(F.col(group_one)).alias("gb")]
 
 
-def _grouped(crowded: DataFrame, groups: DataFrame) -> DataFrame:
-    """slot, rep, its group, and whether that is another than the one of the slot's centre"""
-    label = groups.toDF("rep", "group")
-    met = crowded.join(label, "rep", "left").join(label.toDF("centre", "main"), "centre", "left")
-    return met.select("slot", "rep", F.coalesce("group", "rep").alias("group"), (F.coalesce("group", "rep") != F.coalesce("main", "centre")).alias("apart"))
+def _renamed(rows: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
+    """Rows with the groups in ``columns`` under the names of the greater groups they now belong to."""
+    for c in columns:
+        now = names.select(F.col("node").alias(c), F.col("component").alias("__now"))
+        rows = rows.join(now, c, "left").withColumn(c, F.coalesce("__now", c)).drop("__now")
+    return rows
 
 
 def _partners(members: DataFrame, k: int, percent: int) -> DataFrame:
@@ -168,12 +173,15 @@ def _partners(members: DataFrame, k: int, percent: int) -> DataFrame:
     by_rarity = Window.partitionBy("doc_id").orderBy("df", "h")
     ranked = rows.join(common, "h").withColumn("r", F.row_number().over(by_rarity) - 1)
     prefix = materialize(ranked.filter((F.col("df") > 1) & (100 * (F.col("n") - F.col("r")) >= percent * F.col("n"))).select("doc_id", "group", "apart", "n", "r", "h"))
+    # what only one group holds, as a passage of near copies, links nothing new
+    mixed = prefix.groupBy("h").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.max("apart").alias("some")).filter("g0 != g1 AND some").select("h")
+    prefix = prefix.join(mixed, "h", "left_semi")
     one = prefix.filter("apart").select(F.col("doc_id").alias("x"), F.col("group").alias("gx"), F.col("n").alias("nx"), F.col("r").alias("rx"), "h")
     two = prefix.select(F.col("doc_id").alias("y"), F.col("group").alias("gy"), F.col("n").alias("ny"), F.col("r").alias("ry"), "h")
     enough = (100 + percent) * F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry")) >= percent * (F.col("nx") + F.col("ny"))
     sized = (100 * F.col("ny") >= percent * F.col("nx")) & (100 * F.col("nx") >= percent * F.col("ny"))
     met = one.join(two, "h").filter((F.col("gx") != F.col("gy")) & enough & sized)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.select(*_pair("x", "y", "gx", "gy")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -192,26 +200,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     centres = crowded.join(popular, "rep").groupBy("slot").agg(F.max(F.struct("pop", "rep")).alias("c")).select("slot", F.col("c.rep").alias("centre"))
     crowded = materialize(crowded.join(centres, "slot").select("slot", "rep", "centre"))
     texts = plain.filter("doc_id IS NOT NULL")
-    pairs = crowded.filter("rep != centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-    groups = components(materialize(_confirmed(pairs, texts, k, percent)))
+    pairs = crowded.filter("rep != centre").select(*_pair("rep", "centre", "rep", "centre")).distinct()
+    groups = components(_confirmed(pairs, texts, k, percent))
 
-    grouped = materialize(_grouped(crowded, groups))
+    label = groups.toDF("rep", "group")
+    met = crowded.join(label, "rep", "left").join(label.toDF("centre", "main"), "centre", "left")
+    grouped = materialize(met.select("slot", "rep", F.coalesce("group", "rep").alias("group"), F.coalesce("main", "centre").alias("main")))
+    # Groups only grow, so what is in its centre's group stays there: each round renames what is apart, and nothing else.
+    apart, later = grouped.filter("group != main"), []
     for salt in range(ROUNDS):
-        among = grouped.filter("NOT apart").groupBy("slot").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "slot", "rep").alias("h"), F.col("rep").alias("pivot"))).alias("p"))
-        tried = grouped.filter("apart").join(among.select("slot", "p.pivot"), "slot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        found = materialize(_confirmed(tried, texts, k, percent))
-        if not found.isEmpty():
-            groups = components(_stars(groups).union(found))
-            grouped = materialize(_grouped(crowded, groups))
-    split = grouped.filter("apart").select("slot").distinct()
-    members = grouped.join(split, "slot", "left_semi").groupBy("rep").agg(F.min("group").alias("group"), F.max("apart").alias("apart"))
+        among = grouped.filter("group = main").groupBy("slot").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "slot", "rep").alias("h"), F.col("rep").alias("pivot"))).alias("p"))
+        tried = apart.join(among.select("slot", "p.pivot"), "slot").select(*_pair("rep", "pivot", "group", "main")).distinct()
+        later.append(components(_confirmed(tried, texts, k, percent)))
+        apart = materialize(_renamed(apart, later[-1], "group", "main").filter("group != main"))
+    members = grouped.join(apart.select("slot").distinct(), "slot", "left_semi").groupBy("rep").agg(F.min("group").alias("group"))
+    for names in later:
+        members = _renamed(members, names, "group")
+    members = members.join(apart.select("rep", F.lit(True).alias("apart")).distinct(), "rep", "left").select("rep", "group", F.coalesce("apart", F.lit(False)).alias("apart"))
     rest = materialize(_partners(texts.join(members, texts.doc_id == members.rep).select("doc_id", "group", "apart", "text"), k, percent))
-    if not rest.isEmpty():
-        # written first: one stage with two Python functions would keep twice as many workers
-        found = materialize(_confirmed(rest, texts, k, percent))
-        groups = components(_stars(groups).union(found))
+    later.append(components(_confirmed(rest, texts, k, percent)))
 
-    of_class = classes.join(groups, classes.rep == groups.node, "left").select(*print_of, F.coalesce("component", "rep").alias("of_class"))
-    found = signed.drop("bands").join(of_class, print_of, "left")
+    named = classes.join(groups.toDF("rep", "of_class"), "rep", "left").withColumn("of_class", F.coalesce("of_class", "rep"))
+    for names in later:
+        named = _renamed(named, names, "of_class")
+    found = signed.drop("bands").join(named.select(*print_of, "of_class"), print_of, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
