@@ -18,13 +18,16 @@ text, and a character without a piece (the mark itself too) becomes bytes:
 decoding gives every text back exactly.
 
 Defined results: a null or empty text has no pieces; rows with equal key and
-text get equal pieces, null keys being equal; every row gives a row; other
-columns are ignored; an empty table gives an empty table.
+text get equal pieces, null keys being equal; a text of any length is one
+lattice, whole, and takes time in proportion, with or without spaces; every row
+gives a row; an empty table gives an empty table; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 ALPHA, SEED = 1.0, 5
 PART = 1 << 20
+LONG = 1024  # bytes of a word that is stepped through by itself, as few others are as long
 
 
 def load_vocabulary(path: str = MODEL) -> dict:
@@ -123,13 +127,16 @@ class Lattice:
         bits = int(len(data) + 1).bit_length()
         order = np.argsort(e << bits | s)
         s, e, p, logw = s[order], e[order], p[order], logw[order]
-        rel = e - begin[s]
-        by_rel = np.argsort(rel.astype(np.uint16) if len(rel) and rel.max() < 1 << 16 else rel, kind="stable")
-        rs, re, rw = s[by_rel], e[by_rel], logw[by_rel]
-        fresh = begin[rs] == rs
         # of the paths to each place; a word's end is the next one's start, which counts as 0 there
         alpha = np.full(len(data) + 1, -np.inf)
         value = np.empty(len(s))
+        for a, b in zip(*((np.searchsorted(e, x[length > LONG], "right")) for x in (off[:-1], off[1:])), strict=True):
+            self._forward(s, e, logw, value, alpha, int(a), int(b))
+        short = np.flatnonzero((length <= LONG)[np.searchsorted(off, s, "right") - 1])
+        rel = e[short] - begin[s[short]]
+        by_rel = short[np.argsort(rel.astype(np.uint16), kind="stable")]
+        rs, re, rw = s[by_rel], e[by_rel], logw[by_rel]
+        fresh = begin[rs] == rs
         cuts = np.r_[0, np.cumsum(np.bincount(rel))] if len(rel) else np.zeros(1, int)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a == b:
@@ -141,17 +148,56 @@ class Lattice:
             many = np.diff(np.r_[heads, b - a])
             alpha[re[a:b][heads]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, many)), heads))
         share = np.exp(value - alpha[e])
-        run = np.cumsum(share)
+        run = share.copy()
         head = np.flatnonzero(np.r_[True, e[1:] != e[:-1]]) if len(e) else np.zeros(0, int)
         many = np.diff(np.r_[head, len(e)])
-        run -= np.repeat(run[head] - share[head], many)
+        # each place's sums apart from the others', so a word has the same ones in any batch
+        at, left = head[many > 1], many[many > 1]
+        while len(at):
+            at = at + 1
+            run[at] += run[at - 1]
+            left = left - 1
+            at, left = at[left > 1], left[left > 1]
         run[head + many - 1] = 2.0
         first_edge = np.zeros(len(data) + 1, np.int64)
         first_edge[e[head]] = head
-        return s, p, run, first_edge
-
-    def sample(self, data: np.ndarray, off: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of the texts in ``data`` (one space before each), and how many each has."""
+        return s, e, p, run, first_edge
+
+    @staticmethod
+    def _forward(s, e, logw, value, alpha, a: int, b: int) -> None:
+        """The forward pass of one long word, whose edges are a to b: one end place after the other."""
+        sums = memoryview(alpha)
+        first = int(s[a])
+        sums[first], before = 0.0, sums[first]
+        place, v = -1, []
+        for i in range(a, b, 1 << 16):
+            j, out = min(b, i + (1 << 16)), []
+            for begin, end, weight in zip(s[i:j].tolist(), e[i:j].tolist(), logw[i:j].tolist(), strict=True):
+                if end != place:
+                    if v:
+                        top = max(v)
+                        sums[place] = top + log(sum([exp(x - top) for x in v]))
+                    place, v = end, []
+                v.append(weight + sums[begin])
+                out.append(v[-1])
+            value[i:j] = out
+        top = max(v)
+        sums[place] = top + log(sum([exp(x - top) for x in v]))
+        sums[first] = before
+
+    @staticmethod
+    def _backward(s, p, share, first_edge, draws, stop: int, end: int):
+        """Pieces, start and end places of one long word, from its end on; draws: of each end place from ``stop`` on."""
+        draws, edge, share, start, piece = (memoryview(np.ascontiguousarray(x)) for x in (draws, first_edge, share, s, p))
+        while end > stop:
+            k, u = edge[end], draws[end - stop]
+            while u >= share[k]:
+                k += 1
+            yield piece[k], start[k], end
+            end = start[k]
+
+    def sample(self, data: np.ndarray, off: np.ndarray, seeds: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of the parts of texts in ``data`` (one space before each text), and how many each has; first: a part's place in its text."""
         n = len(data)
         edge = np.zeros(n + 1, bool)
         edge[off] = True
@@ -170,16 +216,29 @@ class Lattice:
         length = (last - word)[pick]
         uoff = np.r_[0, np.cumsum(length)]
         source = np.repeat(word[pick] - uoff[:-1], length) + np.arange(uoff[-1])
-        s, p, share, first_edge = self.filtered(data[source], uoff)
+        s, e, p, share, first_edge = self.filtered(data[source], uoff)
         # all words step back from their ends together
         row = np.searchsorted(off, word, "right") - 1
         shift = word - uoff[of]  # from a place in the distinct words to the one in the text
         stop, at = uoff[of], uoff[of + 1]
         seed = seeds[row]
-        base = off[row]
+        base = (off[:-1] - first)[row]
         token = np.full(n, -1, np.int32)
+
+        def draw(seed, place):
+            return (mix64(seed + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53
+
+        for w in np.flatnonzero(at - stop > LONG).tolist():
+            a, b, move = int(stop[w]), int(at[w]), int(shift[w])
+            for piece, begin, end in self._backward(s, p, share, first_edge, draw(seed[w], np.arange(a, b + 1) + (move - int(base[w]))), a, b):
+                if piece >= 0:
+                    token[begin + move] = piece
+                else:
+                    token[begin + move : end + move] = self.byte_id[data[begin + move : end + move]]
+        go = at - stop <= LONG
+        at, stop, shift, seed, base = at[go], stop[go], shift[go], seed[go], base[go]
         while len(at):
-            u = (mix64(seed + ((at + shift) - base).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53
+            u = draw(seed, (at + shift) - base)
             k = first_edge[at]
             todo = np.flatnonzero(u >= share[k])
             while len(todo):
@@ -197,40 +256,67 @@ class Lattice:
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and offsets of lists of ids, with the space before each text."""
-        size = self.size[ids]
-        end = np.r_[0, np.cumsum(size)]
-        place = np.repeat(self.start[ids] - end[:-1], size) + np.arange(end[-1])
-        return self.flat[place], end[off]
-
-
-def _before(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts that aren't empty with one space before each, and all texts' offsets."""
+        end = np.r_[0, np.cumsum(self.size[ids])]
+        out = np.empty(end[-1], np.uint8)
+        for i in range(0, len(ids), 1 << 18):
+            some = ids[i : i + (1 << 18)]
+            size = self.size[some]
+            at, last = int(end[i]), int(end[i + len(some)])
+            out[at:last] = self.flat[np.repeat(self.start[some] - (end[i : i + len(some)] - at), size) + np.arange(last - at)]
+        return out, end[off]
+
+
+def _before(data: np.ndarray, at: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that aren't empty with one space before each that begins a text, and all parts' offsets."""
     size = np.diff(at)
-    off = at + np.r_[0, np.cumsum(size > 0)]
+    extra = (size > 0) & begins
+    off = at + np.r_[0, np.cumsum(extra)]
     out = np.full(off[-1], 32, np.uint8)
-    some = size > 0
-    place = np.repeat((off[:-1] + some) - at[:-1], size) + np.arange(at[-1])
+    place = np.repeat((off[:-1] + extra) - at[:-1], size) + np.arange(at[-1])
     out[place] = data
     return out, off
 
 
-def encode_texts(lattice: Lattice, data: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and offsets of texts."""
-    spaced, off = _before(data, at)
+def encode_texts(lattice: Lattice, data: np.ndarray, at: np.ndarray, seeds: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and offsets of texts, or of one part of a text that begins at byte ``first`` of it."""
+    begins = np.full(len(at) - 1, first == 0)
+    spaced, off = _before(data, at, begins)
     some = np.flatnonzero(np.diff(off) > 0)
     counts = np.zeros(len(at) - 1, np.int64)
     ids = np.zeros(0, np.int32)
     if len(some):
-        ids, counts[some] = lattice.sample(spaced, np.r_[off[some], off[-1]], mix64(seeds[some]))
+        # behind the first part, places count the space before the text
+        places = np.full(len(some), first + 1 if first else 0)
+        ids, counts[some] = lattice.sample(spaced, np.r_[off[some], off[-1]], mix64(seeds[some]), places)
     return ids, np.r_[0, np.cumsum(counts)]
 
 
+def word_parts(data: np.ndarray, limit: int) -> list[int]:
+    """Where to cut a long text into parts of about ``limit`` bytes that begin at words."""
+    starts = np.flatnonzero(((data[1:] == 32) & (data[:-1] != 32)) | (data[1:] == 10) | (data[:-1] == 10)) + 1
+    cuts = [0]
+    while len(data) - cuts[-1] > limit and len(starts):
+        at = int(np.searchsorted(starts, cuts[-1] + limit, "right"))
+        if at and starts[at - 1] > cuts[-1]:
+            at -= 1
+        elif at == len(starts):
+            break
+        cuts.append(int(starts[at]))
+    return [*cuts, len(data)]
+
+
 def _parts(lattice: Lattice, batch):
     data, at = buffers(batch.column(1))
     seeds = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
     for i, j in pieces(at, PART):
-        ids, off = encode_texts(lattice, data[at[i] : at[j]], at[i : j + 1] - at[i], seeds[i:j])
-        yield i, j, ids, off, data[at[i] : at[j]], at[i : j + 1] - at[i]
+        part = data[at[i] : at[j]]
+        if len(part) <= PART:
+            ids, off = encode_texts(lattice, part, at[i : j + 1] - at[i], seeds[i:j])
+        else:
+            cuts = word_parts(part, PART)
+            ids = np.concatenate([encode_texts(lattice, part[a:b], np.array([0, b - a]), seeds[i:j], a)[0] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+            off = np.array([0, len(ids)])
+        yield i, j, ids, off, part, at[i : j + 1] - at[i]
 
 
 def encode_batches(vocabulary, alpha: float):

@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage
 before kept, and gives the columns of documents, but for the last, which gives
-doc_id and ids.  Rows with nulls are kept unless a stage's rule is about them.
+doc_id and ids.
+
+Defined results: rows with nulls are kept unless a stage's rule is about them,
+so one without a text goes, as it has no language, and one without an id is no
+copy of any other; repeated rows are kept or go together; very long texts are
+taken whole; ties are settled as the operators say; empty tables give empty
+tables; columns beside those of documents stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,8 +39,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
-    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    (name,) = common.fresh(docs, "gone")
+    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

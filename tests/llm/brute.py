@@ -70,3 +70,39 @@ def secret_row(text, rules, base=3):
     found = secret_spans(text, rules)
     join = lambda spans: ",".join(f"{rules[k][0]}:{a}:{b}" for a, k, b in spans)
     return *(sum(k == i for _, k, _ in found) for i in range(base)), hashlib.sha256(join(x for x in found if x[1] < base).encode()).hexdigest(), join(found)
+
+
+def best_alignment(t, text):
+    """(score, matched words, first, last) of the best local alignment of two word lists by the whole table: 2 for equal words, -1 for unequal ones and gaps."""
+    above = [(0, 0, j) for j in range(len(text) + 1)]
+    best = (0, 0, 0, -1)
+    for a in t:
+        row = [(0, 0, 0)]
+        for j, b in enumerate(text):
+            score, matched, first = above[j] if above[j][0] else (0, 0, j)
+            ways = [(score + (2 if a == b else -1), matched + (a == b), first), (above[j + 1][0] - 1, *above[j + 1][1:]), (row[-1][0] - 1, *row[-1][1:])]
+            top = max(ways, key=lambda x: x[0])
+            row.append(top if top[0] > 0 else (0, 0, j + 1))
+            if row[-1][0] > best[0]:
+                best = (*row[-1], j)
+        above = row
+    return best
+
+
+def licenses(text, templates, least):
+    """(license, coverage, start, end) in text order: the copy with most matched words first, its words then gone, and so on."""
+    words = lambda x: [(m[0].translate(LOWER), m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9\u0080-\U0010ffff]+", x or "")]
+    at, out = words(text), []
+    left = [w for w, *_ in at]
+    while True:
+        found = []
+        for k, (name, template) in enumerate(templates.items()):
+            t = [w for w, *_ in words(template)]
+            _, matched, first, last = best_alignment(t, left)
+            if matched >= least * len(t):
+                found.append((-matched, k, name, matched / len(t), first, last))
+        if not found:
+            return sorted(out, key=lambda x: x[2])
+        _, _, name, coverage, first, last = min(found)
+        out.append((name, coverage, at[first][1], at[last][2]))
+        left[first : last + 1] = [None] * (last - first + 1)

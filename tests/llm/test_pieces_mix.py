@@ -1,7 +1,9 @@
 import math
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,38 @@ def test_exact_distribution(lattice):
     assert max(abs(counts[k] / n - math.exp(w) / total) for k, w in weights.items()) < 0.015
 
 
+def test_long_texts_in_parts_and_long_words(lattice):
+    """Parts of a text give the pieces of the whole; a long word is sampled as short ones are, in time in proportion."""
+    rng = np.random.default_rng(3)
+    seeds = np.arange(1, 2, dtype=np.uint64)
+    encode = lambda raw, first=0: pieces.encode_texts(lattice, raw, np.array([0, len(raw)]), seeds, first)[0]
+    raw = np.frombuffer("  the  old\n\nman é☃ and the sea\n ".encode() * 400 + b"x" * 3000 + b" end", np.uint8)
+    cuts = pieces.word_parts(raw, 500)
+    assert len(cuts) > 20 and max(np.diff(cuts)) < 3600
+    assert np.array_equal(encode(raw), np.concatenate([encode(raw[a:b], a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
+    word = rng.choice(np.frombuffer("etaoinshrdlué".encode(), np.uint8), 3 * pieces.LONG)
+    word = np.frombuffer(word.tobytes().decode(errors="ignore").encode(), np.uint8)
+    long = encode(word)
+    limit, pieces.LONG = pieces.LONG, len(word) + 2
+    try:
+        assert np.array_equal(long, encode(word))
+    finally:
+        pieces.LONG = limit
+    began = time.process_time()
+    line = rng.choice(np.frombuffer(b"etaoinshrdlu", np.uint8), 1 << 19)
+    back, _ = lattice.decode(encode(line), np.array([0]))
+    assert back[1:].tobytes() == line.tobytes() and time.process_time() - began < 15
+
+
+def test_a_text_over_the_limit_of_a_part(docs, monkeypatch):
+    text = "a word and\nanother é " * 9000
+    whole = pieces.encode(docs([text])).first().ids
+    monkeypatch.setattr(pieces, "PART", 4096)
+    batch = pa.RecordBatch.from_pydict({"k": [0], "t": [text], "s": [docs([text]).select(F.xxhash64(F.lit(pieces.SEED), "doc_id")).first()[0]]})
+    ((_, _, ids, off, *_),) = pieces._parts(pieces.Lattice(pieces.load_vocabulary(), 1.0), batch)
+    assert ids.tolist() == whole and off.tolist() == [0, len(whole)]
+
+
 def targets_by_hand(sizes):
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
