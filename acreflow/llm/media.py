@@ -12,12 +12,16 @@ differences before it.
 
 Defined results: a null text is empty and gives one block of zeros; equal
 texts give equal results; every row gives a row, repeated rows and null ids
-too; an empty table gives an empty table; other columns are ignored.
-``clip_rows`` gives no row for a null or empty file, and raises on damaged ones.
+too; a text of any length is stored and read whole; an empty table gives an
+empty table; other columns are ignored, whatever their names.  ``clip_rows``
+takes grey and colour baseline frames, with or without code tables of their
+own; it gives no row for a null or empty file, and for a damaged or foreign one
+a row with nulls and an ``error``.  Frames that tie in difference cut alike.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 from .textvec import buffers, pieces
 
 BLOCK, SIDE, RATE = 64, 32, 25  # bytes a block, pixels a frame's side, frames a second
+TOGETHER = 64  # frames of a foreign file that are decoded together
 BINS, SPAN, FACTOR, FLOOR = 16, 8, 2.0, 0.1  # histogram bins; differences that adapt the threshold; its factor and least value
 
 #: The zigzag order of an 8x8 block, by its rule: diagonals, walked up and down in turn.
@@ -101,96 +106,141 @@ def write_avi(payload: bytes, side: int = SIDE, rate: int = RATE) -> bytes:
     return _chunk(b"RIFF", b"AVI " + header + info + _chunk(b"LIST", b"".join(movi)) + _chunk(b"idx1", b"".join(index)))
 
 
+def _movies(file: bytes):
+    """(name, body, end) of the chunks of all RIFF lists of a file, lists opened, cut ones ending with the file."""
+    todo, at = [], 0
+    while at + 12 <= len(file) and file[at : at + 4] == b"RIFF":
+        end = at + 8 + struct.unpack_from("<I", file, at + 4)[0]
+        todo.append((at + 12, min(end, len(file))))
+        at = end + end % 2
+    todo.reverse()
+    while todo:
+        at, end = todo.pop()
+        if at + 8 > end:
+            continue
+        name, size = file[at : at + 4], struct.unpack_from("<I", file, at + 4)[0]
+        body, last = at + 8, min(end, at + 8 + size)
+        todo.append((at + 8 + size + size % 2, end))
+        if name == b"LIST" and body + 4 <= last:
+            yield file[body : body + 4], body, last
+            todo.append((body + 4, last))
+        else:
+            yield name, body, last
+
+
 def read_avi(file: bytes) -> dict:
-    """rate, payload (None if the file doesn't say) and frames: (start, end) of each in the file, by its index or else by walking ``movi``."""
+    """rate, payload (None if the file doesn't say) and frames: (start, end) of each in the file.
+
+    Frames are those of the index and, behind it, of further RIFF lists; all
+    are found by walking the lists if there is no index or it does not fit.
+    """
     if file[:4] != b"RIFF" or file[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    found = {"rate": 0.0, "payload": None, "frames": []}
-    movi, walked = 0, []
-
-    def walk(at: int, end: int) -> None:
-        nonlocal movi
-        while at + 8 <= end:
-            name, size = file[at : at + 4], struct.unpack_from("<I", file, at + 4)[0]
-            body = at + 8
-            if name == b"LIST":
-                if file[body : body + 4] == b"movi":
-                    movi = body
-                walk(body + 4, min(end, body + size))
-            elif name == b"avih":
-                found["rate"] = 1e6 / struct.unpack_from("<I", file, body)[0]
-            elif name == b"ICMT" and file[body : body + 8] == b"payload=":
-                found["payload"] = int(file[body + 8 : body + size].rstrip(b"\0"))
-            elif name == b"idx1":
-                base = None
-                for i in range(body, body + size, 16):
-                    kind, _, offset, length = struct.unpack_from("<4s3I", file, i)
-                    if kind[2:] in (b"dc", b"db"):
-                        if base is None:  # offsets count from ``movi`` or from the file's start
-                            base = movi if file[movi + offset : movi + offset + 4] == kind else 0
-                        found["frames"].append((base + offset + 8, base + offset + 8 + length))
-            elif name[2:] in (b"dc", b"db"):
-                walked.append((body, body + size))
-            at = body + size + size % 2
-
-    walk(12, min(len(file), 8 + struct.unpack_from("<I", file, 4)[0]))
-    found["frames"] = found["frames"] or walked
+    found: dict = {"rate": 0.0, "payload": None, "frames": []}
+    movi, walked, index = 0, [], []
+    for name, body, end in _movies(file):
+        if name == b"movi":
+            movi = movi or body
+        elif name == b"avih" and end - body >= 4:
+            found["rate"] = 1e6 / (struct.unpack_from("<I", file, body)[0] or 40_000)
+        elif name == b"ICMT" and file[body : body + 8] == b"payload=" and (told := file[body + 8 : end].rstrip(b"\0")).isdigit():
+            found["payload"] = int(told)
+        elif name == b"idx1" and not index:
+            index = [struct.unpack_from("<4s3I", file, i) for i in range(body, end - 15, 16)]
+        elif name[2:] in (b"dc", b"db") and name[:2].isdigit():
+            walked.append((body, end))
+    index = [(kind, offset, length) for kind, _, offset, length in index if kind[2:] in (b"dc", b"db")]
+    if index:
+        # offsets count from ``movi`` or from the file's start
+        base = movi if file[movi + index[0][1] : movi + index[0][1] + 4] == index[0][0] else 0
+        indexed = [(base + offset + 8, base + offset + 8 + length) for _, offset, length in index]
+        if set(indexed) <= set(walked):
+            found["frames"] = indexed + [x for x in walked if x[0] > max(indexed)[0]]
+    found["frames"] = [(a, b) for a, b in found["frames"] or walked if b > a]  # an empty chunk repeats the frame before
     return found
 
 
-_heads: dict[bytes, dict] = {}
+#: The code tables that motion-JPEG frames without tables of their own use (ITU-T T.81, annex K.3):
+#: codes of each length from 1 to 16, and symbols in order of their codes.
+DEFAULT_CODES = {
+    0x00: ("00010501010101010100000000000000", "000102030405060708090a0b"),
+    0x01: ("00030101010101010101010000000000", "000102030405060708090a0b"),
+    0x10: (
+        "0002010303020403050504040000017d",
+        "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a"
+        "535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7"
+        "c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa",
+    ),
+    0x11: (
+        "00020102040403040705040400010277",
+        "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a43444546474849"
+        "4a535455565758595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5"
+        "c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa",
+    ),
+}
 
 
 def jpeg_head(frame: bytes) -> bytes:
     """All that stands before the scan's data."""
-    at, scan = 2, None
-    while scan is None:
+    at = 2
+    while True:
+        while frame[at : at + 2] == b"\xff\xff":  # fill bytes
+            at += 1
+        if at + 4 > len(frame) or frame[at] != 0xFF:
+            raise ValueError("a frame without a scan")
         marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
-        if marker == 0xDA:
-            scan = at + 2 + size
         at += 2 + size
-    return frame[:scan]
+        if marker == 0xDA:
+            return frame[:at]
+
 
+def code_table(counts: bytes, symbols: bytes) -> np.ndarray:
+    """Code length and symbol by the next 16 bits; 0 where no code begins so."""
+    look, code, k = np.zeros(1 << 16, np.int64), 0, 0
+    for length in range(1, 17):
+        for _ in range(counts[length - 1]):
+            look[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | symbols[k]
+            code, k = code + 1, k + 1
+        code <<= 1
+    return look
 
+
+@functools.lru_cache(64)
 def jpeg_tables(head: bytes) -> dict:
-    """Size, quantisers, code tables, restart interval and where the scan's data begin."""
-    if head in _heads:
-        return _heads[head]
-    scan = len(head)
-    out, at = {"scan": scan, "restart": 0, "quant": {}, "codes": {}}, 2
-    while at < scan:
+    """Size, parts (sampling factors, quantiser, code tables of each component), restart interval and where the scan's data begin."""
+    out: dict = {"scan": len(head), "restart": 0}
+    quant: dict[int, np.ndarray] = {}
+    codes = {k: code_table(bytes.fromhex(c), bytes.fromhex(v)) for k, (c, v) in DEFAULT_CODES.items()}
+    at, parts, scan = 2, {}, None
+    while at < len(head):
+        while head[at : at + 2] == b"\xff\xff":
+            at += 1
         marker, size = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
         body = head[at + 4 : at + 2 + size]
         if marker == 0xDB:
             while body:
-                out["quant"][body[0]] = np.frombuffer(body[1:65], np.uint8).astype(np.int64)
-                body = body[65:]
+                wide = body[0] >> 4  # 16-bit quantisers
+                quant[body[0] & 15] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8).astype(np.int64)
+                body = body[65 + 64 * wide :]
         elif marker == 0xC0:
-            _, out["height"], out["width"], parts = struct.unpack_from(">BHHB", body)
-            if parts != 1:
-                raise ValueError("only grey frames")
-            out["q"] = body[8]
+            _, out["height"], out["width"], n = struct.unpack_from(">BHHB", body)
+            parts = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)}
         elif marker == 0xDD:
-            out["restart"] = struct.unpack(">H", body)[0]
+            out["restart"] = struct.unpack_from(">H", body)[0]
         elif marker == 0xC4:
             while body:
-                counts, code, k = body[1:17], 0, 0
-                look = np.zeros(1 << 16, np.int64)  # by the next 16 bits: code length, symbol
-                symbols = body[17 : 17 + sum(counts)]
-                for length in range(1, 17):
-                    for _ in range(counts[length - 1]):
-                        look[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | symbols[k]
-                        code, k = code + 1, k + 1
-                    code <<= 1
-                out["codes"][body[0]] = look
-                body = body[17 + k :]
-        elif marker in (0xC1, 0xC2, 0xC3):
+                n = sum(body[1:17])
+                codes[body[0]] = code_table(body[1:17], body[17 : 17 + n])
+                body = body[17 + n :]
+        elif marker in (0xC1, 0xC2, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)):
             raise ValueError("only baseline frames")
         elif marker == 0xDA:
-            out["dc"], out["ac"] = body[2] >> 4, 0x10 | body[2] & 15
+            scan = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
         at += 2 + size
-    if len(_heads) < 64:
-        _heads[head] = out
+    if not parts or scan is None or len(scan) != len(parts) or not out["height"] * out["width"]:
+        raise ValueError("only frames of one scan that holds all components")
+    alone = len(parts) == 1
+    out["parts"] = [((1, 1) if alone else parts[c][:2], quant[parts[c][2]], codes[t >> 4], codes[0x10 | t & 15]) for c, t in scan]
     return out
 
 
@@ -201,16 +251,21 @@ def _values(window: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(2 * raw < half, raw - half + 1, raw) * (half > 1)
 
 
-def decode_lanes(data: np.ndarray, start: np.ndarray, blocks: np.ndarray, dc: np.ndarray, ac: np.ndarray) -> np.ndarray:
-    """[lanes, most blocks, 64] coefficients of entropy-coded runs that begin at byte ``start``; stuffing is gone from ``data``."""
+def decode_lanes(data: np.ndarray, start: np.ndarray, blocks: np.ndarray, plan: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """[lanes, most blocks, 64] coefficients of entropy-coded runs that begin at byte ``start``; stuffing is gone from ``data``.
+
+    plan: component and code tables of each block of a unit, in turn.
+    """
     data = np.concatenate([data, np.zeros(16, np.uint8)])
     eight = np.lib.stride_tricks.as_strided(data.view(np.uint8)[:8].view("<u8"), (len(data) - 8,), (1,))
-    bit, most = start.astype(np.uint64) * np.uint64(8), int(blocks.max())
+    bit, most, last = start.astype(np.uint64) * np.uint64(8), int(blocks.max()), np.uint64(8 * (len(data) - 16))
     out = np.zeros((len(start), most, 64), np.int16)
-    flat, before = out.reshape(-1), np.zeros(len(start), np.int64)
+    flat, before = out.reshape(-1), np.zeros((1 + max(c for c, _, _ in plan), len(start)), np.int64)
 
     def take(at: np.ndarray, look: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols at each place, and the 64-bit windows behind their codes."""
+        if at.max() > last:
+            raise ValueError("a frame's data end too soon")
         window = eight[(at >> np.uint64(3)).astype(np.int64)].byteswap() << (at & np.uint64(7))
         code = look[(window >> np.uint64(48)).astype(np.int64)]
         if code.min() < 256:
@@ -220,12 +275,15 @@ def decode_lanes(data: np.ndarray, start: np.ndarray, blocks: np.ndarray, dc: np
         return code & 255, window << length
 
     for m in range(most):
+        component, dc, ac = plan[m % len(plan)]
         lane = np.flatnonzero(blocks > m)
         at = bit[lane]
         symbol, window = take(at, dc)
-        before[lane] += _values(window, symbol.astype(np.uint64))
+        if symbol.max() > 15:
+            raise ValueError("a size that no coefficient has")
+        before[component, lane] += _values(window, symbol.astype(np.uint64))
         at += symbol.astype(np.uint64)
-        out[lane, m, 0] = before[lane]
+        out[lane, m, 0] = before[component, lane]
         place = (lane * most + m) * 64
         k, end = place + 1, place + 64
         while len(lane):
@@ -248,33 +306,61 @@ def decode_lanes(data: np.ndarray, start: np.ndarray, blocks: np.ndarray, dc: np
 
 
 def decode_frames(file: np.ndarray, frames: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients [frames, blocks, 64] in zigzag order and pixels [frames, height, width] of frames of one kind."""
-    heads = {jpeg_head(file[a:b].tobytes() if b - a < 4096 else file[a : a + 4096].tobytes()) for a, b in frames}
-    if len(heads) > 1:
-        raise ValueError("frames of different kinds")
-    head = jpeg_tables(heads.pop())
-    tall, wide = -(-head["height"] // 8), -(-head["width"] // 8)
-    total = tall * wide
-    each = head["restart"] or total
+    """Coefficients [frames, blocks, 64] of the first component (grey or brightness) in zigzag order, rows of blocks
+    from the top, and its pixels [frames, height, width], of frames of one size; frames of one header are decoded together."""
+    heads: dict[bytes, list[int]] = {}
+    for i, (a, b) in enumerate(frames):
+        heads.setdefault(_head_of(file, a, b), []).append(i)
+    done: list = [None] * len(frames)
+    for head, which in heads.items():
+        coefficients, pixels = _decode_alike(file, [frames[i] for i in which], jpeg_tables(head))
+        if len(heads) == 1:
+            return coefficients, pixels
+        for i, c, p in zip(which, coefficients, pixels, strict=True):
+            done[i] = (c, p)
+    if len({p.shape for _, p in done}) > 1:
+        raise ValueError("frames of different sizes")
+    return np.stack([c for c, _ in done]), np.stack([p for _, p in done])
+
+
+def _head_of(file: np.ndarray, a: int, b: int) -> bytes:
+    try:
+        return jpeg_head(file[a : min(b, a + 2048)].tobytes())
+    except ValueError:  # a header that is longer than most
+        return jpeg_head(file[a:b].tobytes())
+
+
+def _decode_alike(file: np.ndarray, frames: list[tuple[int, int]], head: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and pixels of frames of one header."""
+    (across, down), quant = head["parts"][0][:2]
+    most_across, most_down = (max(part[0][i] for part in head["parts"]) for i in (0, 1))
+    wide, tall = -(-head["width"] // (8 * most_across)), -(-head["height"] // (8 * most_down))
+    plan = [(c, dc, ac) for c, ((h, v), _, dc, ac) in enumerate(head["parts"]) for _ in range(h * v)]
+    units, n = wide * tall, len(frames)
+    each = head["restart"] or units
     body = np.concatenate([file[a + head["scan"] : b] for a, b in frames])
     ends = np.cumsum([b - a - head["scan"] for a, b in frames])
     ff = body == 0xFF
     after = np.r_[body[1:], np.uint8(0)]
     marks = np.flatnonzero(ff & (after >= 0xD0) & (after <= 0xD7))
     stuffed = np.r_[False, (ff & (after == 0))[:-1]]
-    keep = ~stuffed
     shift = np.cumsum(stuffed)
     lanes = np.sort(np.r_[0, ends[:-1], marks + 2])
-    per = -(-total // each)
-    if len(lanes) != per * len(frames):
+    per = -(-units // each)
+    if len(lanes) != per * n:
         raise ValueError("restart markers are missing")
-    blocks = np.tile(np.minimum(each, total - np.arange(per) * each), len(frames))
-    coded = decode_lanes(body[keep], lanes - shift[lanes], blocks, head["codes"][head["dc"]], head["codes"][head["ac"]])
-    coefficients = coded.reshape(len(frames), -1, 64)[:, :total] if per * each == total else np.concatenate([coded[i, :n] for i, n in enumerate(blocks)]).reshape(len(frames), total, 64)
-    real = (coefficients * head["quant"][head["q"]]).astype(np.float64).reshape(-1, 64) @ _BASIS
+    blocks = np.tile(np.minimum(each, units - np.arange(per) * each), n) * len(plan)
+    coded = decode_lanes(body[~stuffed], lanes - shift[lanes], blocks, plan)
+    own = across * down  # blocks of the first component lead each unit
+    first = coded.reshape(n, per * each, len(plan), 64)[:, :units, :own]
+    grid = first.reshape(n, tall, wide, down, across, 64).swapaxes(2, 3).reshape(n, tall * down, wide * across, 64)
+    # a component of a frame may end inside a unit
+    rows, columns = (-(-(-(-head[side] * f // m)) // 8) for side, f, m in (("height", down, most_down), ("width", across, most_across)))
+    coefficients = grid[:, :rows, :columns].reshape(n, rows * columns, 64)
+    real = (coefficients * quant).astype(np.float64).reshape(-1, 64) @ _BASIS
     pixels = np.clip(((real + (128 * 8192 + 4096)) // 8192), 0, 255).astype(np.uint8)
-    pixels = pixels.reshape(len(frames), tall, wide, 8, 8).swapaxes(2, 3).reshape(len(frames), tall * 8, wide * 8)
-    return coefficients, pixels[:, : head["height"], : head["width"]]
+    pixels = pixels.reshape(n, rows, columns, 8, 8).swapaxes(2, 3).reshape(n, rows * 8, columns * 8)
+    return coefficients, pixels[:, : -(-head["height"] * down // most_down), : -(-head["width"] * across // most_across)]
 
 
 _BASIS = _basis()
@@ -355,22 +441,37 @@ def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return plain.mapInArrow(feature_batches, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, {kinds}")
 
 
+CLIPS = [("shot", pa.int32()), ("first_frame", pa.int64()), ("end_frame", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("error", pa.string())]
+
+
+def _clips(file: bytes) -> list[tuple]:
+    """A row for each shot of a file, or one that says what is wrong with it.  Frames are decoded a few at a time."""
+    try:
+        found = read_avi(file)
+        frames, data = found["frames"], np.frombuffer(file, np.uint8)
+        if not frames or not found["rate"]:
+            raise ValueError("no frames" if not frames else "no frame rate")
+        parts = [decode_frames(data, frames[i : i + TOGETHER])[1] for i in range(0, len(frames), TOGETHER)]
+        if len({p.shape[1:] for p in parts}) > 1:
+            raise ValueError("frames of different sizes")
+        hist = np.concatenate([histograms(p) for p in parts])
+        return [(k, a, b, a / found["rate"], b / found["rate"], None) for k, (a, b) in enumerate(shots(hist))]
+    except (ValueError, IndexError, KeyError, struct.error) as wrong:
+        return [(None, None, None, None, None, f"{type(wrong).__name__}: {wrong}")]
+
+
 def clip_batches(batches):
     """mapInArrow: id, AVI file -> one row for each shot"""
     for batch in batches:
-        rows = []
-        for key, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if file:
-                found = read_avi(file)
-                hist = histograms(decode_frames(np.frombuffer(file, np.uint8), found["frames"])[1])
-                rows += [(key, k, a, b, a / found["rate"], b / found["rate"]) for k, (a, b) in enumerate(shots(hist))]
-        kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["media_id", "shot", "first_frame", "end_frame", "start_s", "end_s"])
+        for i, file in enumerate(batch.column(1)):
+            if rows := _clips(file.as_py()) if file.is_valid and len(file.as_buffer()) else []:
+                keys = batch.column(0).take(pa.array([i] * len(rows)))
+                columns = [pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), CLIPS, strict=True)]
+                yield pa.RecordBatch.from_arrays([keys, *columns], names=["media_id", *(n for n, _ in CLIPS)])
 
 
 def clip_rows(files: DataFrame, key: str = "media_id", media: str = "media") -> DataFrame:
-    """media_id, shot, first_frame, end_frame, start_s, end_s of each shot of AVI motion-JPEG files."""
+    """media_id, shot, first_frame, end_frame, start_s, end_s, error of each shot of AVI motion-JPEG files."""
     plain = files.select(F.col(key).alias("media_id"), F.col(media).cast("binary").alias("media"))
     kind = plain.schema["media_id"].dataType.simpleString()
-    return plain.mapInArrow(clip_batches, f"media_id {kind}, shot int, first_frame long, end_frame long, start_s double, end_s double")
+    return plain.mapInArrow(clip_batches, f"media_id {kind}, shot int, first_frame long, end_frame long, start_s double, end_s double, error string")

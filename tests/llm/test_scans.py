@@ -212,7 +212,7 @@ def test_general_huffman_codes():
     data = np.frombuffer(int(bits, 2).to_bytes(len(bits) // 8, "big"), np.uint8)
     look = lambda codes: np.array([codes.get(w, 0) for w in range(1 << 16)])
     table = lambda codes: look({(c << (16 - n)) + i: n << 8 | s for s, (c, n) in codes.items() for i in range(1 << (16 - n))})
-    got = media.decode_lanes(data, np.array([0]), np.array([5]), table(dc_codes), table(ac_codes))
+    got = media.decode_lanes(data, np.array([0]), np.array([5]), [(0, table(dc_codes), table(ac_codes))])
     assert (got == lane).all()
 
 
@@ -232,7 +232,136 @@ def test_more_kinds_of_headers_than_are_kept(spark):
     assert len(set(files)) == 100 and len(media.read_avi(plain)["frames"]) > 1
     rows = media.clip_rows(spark.createDataFrame(list(enumerate(files)), "media_id int, media binary").coalesce(1)).collect()
     assert sorted(r.media_id for r in rows if r.shot == 0) == list(range(100))
+    # frames of several headers in one file
     one, other = (media.read_avi(f)["frames"][0] for f in files[:2])
     both = np.frombuffer(files[0] + files[1], np.uint8)
-    with pytest.raises(ValueError, match="different kinds"):
-        media.decode_frames(both, [one, (other[0] + len(files[0]), other[1] + len(files[0]))])
+    coefficients, pixels = media.decode_frames(both, [one, (other[0] + len(files[0]), other[1] + len(files[0]))])
+    assert len(coefficients) == len(pixels) == 2 and (coefficients[0] == coefficients[1]).all()
+
+
+def avi_of(frames):
+    """A file of given frames, without an index."""
+    plain = media.write_avi(b"x" * 64)
+    at = plain.index(b"movi") - 8
+    movi = media._chunk(b"LIST", b"movi" + b"".join(media._chunk(b"00dc", f) for f in frames))
+    return plain[:4] + np.uint32(at + len(movi) - 8).tobytes() + plain[8:at] + movi
+
+
+def colour_frame(rng, width, height, restart=0, tables=False):
+    """A baseline frame of three components, the first twice as fine, and the blocks of the first."""
+    codes = {}
+    for k, (counts, symbols) in media.DEFAULT_CODES.items():
+        code, at, symbols = 0, 0, bytes.fromhex(symbols)
+        for length, n in enumerate(bytes.fromhex(counts), 1):
+            for _ in range(n):
+                codes[k, symbols[at]] = format(code, f"0{length}b")
+                code, at = code + 1, at + 1
+            code <<= 1
+    wide, tall = -(-width // 16), -(-height // 16)
+    luma = np.zeros((tall * 2, wide * 2, 64), np.int64)
+    out, bits, before, units = bytearray(), "", [0, 0, 0], 0
+    put = lambda v: format(v if v > 0 else v + (1 << int(abs(v)).bit_length()) - 1, f"0{int(abs(v)).bit_length()}b") if v else ""
+
+    def flush():
+        nonlocal bits
+        bits += "1" * (-len(bits) % 8)
+        out.extend(int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0"))
+        bits = ""
+
+    for y in range(tall):
+        for x in range(wide):
+            if restart and units and units % restart == 0:
+                flush()
+                out.extend(bytes([0xFF, 0xD0 + (units // restart - 1) % 8]))
+                before = [0, 0, 0]
+            units += 1
+            for c, k in ((0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (2, 0)):
+                block = np.where(rng.random(64) < 0.1, rng.integers(-200, 200, 64), 0)
+                if c == 0:
+                    luma[2 * y + k // 2, 2 * x + k % 2] = block
+                diff, before[c] = int(block[0]) - before[c], int(block[0])
+                bits += codes[min(c, 1), int(abs(diff)).bit_length()] + put(diff)
+                run = 0
+                for v in block[1:].tolist():
+                    if not v:
+                        run += 1
+                        continue
+                    bits += codes[0x10 + min(c, 1), 0xF0] * (run // 16) + codes[0x10 + min(c, 1), run % 16 << 4 | int(abs(v)).bit_length()] + put(v)
+                    run = 0
+                bits += codes[0x10 + min(c, 1), 0] if run else ""
+    flush()
+    sizes = np.array([height, width], ">u2").tobytes()
+    head = b"\xff\xd8" + media._segment(0xFE, b"c" * 5000) + media._segment(0xDB, b"\0" + b"\1" * 64 + b"\1" + b"\2" * 64) + media._segment(0xC0, b"\x08" + sizes + b"\3\1\x22\0\2\x11\1\3\x11\1")
+    if tables:
+        head += media._segment(0xC4, b"".join(bytes([k]) + bytes.fromhex(c) + bytes.fromhex(v) for k, (c, v) in media.DEFAULT_CODES.items()))
+    head += media._segment(0xDD, np.array([restart], ">u2").tobytes()) if restart else b""
+    return head + media._segment(0xDA, b"\3\1\0\2\x11\3\x11\0\x3f\0") + bytes(out) + b"\xff\xd9", luma
+
+
+@pytest.mark.parametrize(("restart", "tables"), [(0, False), (1, True), (3, False)])
+def test_colour_frames_with_and_without_tables(restart, tables):
+    rng = np.random.default_rng(restart)
+    frames, blocks = zip(*(colour_frame(rng, 40, 24, restart, tables) for _ in range(3)), strict=True)
+    file = avi_of(frames)
+    found = media.read_avi(file)
+    assert len(found["frames"]) == 3 and found["rate"] == 25
+    coefficients, pixels = media.decode_frames(np.frombuffer(file, np.uint8), found["frames"])
+    assert pixels.shape == (3, 24, 40)
+    for got, want in zip(coefficients, blocks, strict=True):
+        assert (got == want[:3, :5].reshape(-1, 64)).all()
+
+
+def test_further_lists_of_a_file():
+    """Frames in ``rec `` lists, and in a further RIFF list behind the index."""
+    file = media.write_avi(b"q" * 3072)
+    n = len(media.read_avi(file)["frames"])
+    a, b = media.read_avi(file)["frames"][0]
+    more = media._chunk(b"RIFF", b"AVIX" + media._chunk(b"LIST", b"movi" + media._chunk(b"LIST", b"rec " + media._chunk(b"00dc", file[a:b]))))
+    assert len(media.read_avi(file + more)["frames"]) == n + 1
+    assert len(media.read_avi(avi_of([file[a:b]]) + more)["frames"]) == 2
+
+
+def test_damaged_files_give_a_row_that_says_so(spark):
+    rng = random.Random(3)
+    whole = media.write_avi(b"".join(bytes([32 + i % 90]) * 1024 for i in range(12)))
+    files = [b"", None, b"R", b"RIFF", b"RIFF\0\0\0\0AVI ", whole[:11], whole[:150], whole[:-2000], whole.replace(b"\xff\xc0", b"\xff\xc2"), avi_of([b"\xff\xd8", b"x" * 50]), avi_of([])]
+    for _ in range(150):
+        raw = bytearray(whole[: rng.randrange(len(whole))] if rng.random() < 0.3 else whole)
+        for _ in range(rng.randrange(1, 6)):
+            raw[rng.randrange(min(len(raw), rng.choice((60, 400, 10**6))))] = rng.randrange(256)
+        files.append(bytes(raw))
+    rows = media.clip_rows(spark.createDataFrame(list(enumerate(files)), "media_id int, media binary")).collect()
+    told = {r.media_id for r in rows}
+    assert told == set(range(2, len(files)))
+    for r in rows:
+        assert (r.error is None) == (r.shot is not None)
+    assert all(r.error for r in rows if r.media_id in (2, 3, 4, 5, 8, 9, 10))
+    assert media.clip_rows(spark.createDataFrame([], "media_id int, media binary")).count() == 0
+
+
+def test_features_of_texts_by_hand(docs):
+    """The histogram, frames and clips that ``feature`` tells, from the bytes alone: a block of equal bytes is no coefficient but its first."""
+    rng = np.random.default_rng(8)
+    text = "".join(chr(c) for c in rng.integers(32, 127, 5000))
+    payload = text.encode() + b"\0" * (-len(text) % 64)
+    values = np.frombuffer(payload, np.uint8).astype(np.int64)
+    blocks = np.where(values < 128, values - 255, values).reshape(-1, 64)  # magnitude bits of size 8
+    per, n = 16, -(-len(blocks) // 16)
+    blocks = np.concatenate([blocks, np.full((n * per - len(blocks), 64), -255)]).reshape(n, per, 64)
+    u = np.arange(8)
+    c = np.cos((2 * u[None, :] + 1) * u[:, None] * np.pi / 16) * np.where(u[:, None] == 0, np.sqrt(0.125), 0.5)
+    order = sorted(((y, x) for y in range(8) for x in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))
+    hist = np.zeros((n, 16), int)
+    for f in range(n):
+        for b in range(per):
+            square = np.zeros((8, 8))
+            for (y, x), v in zip(order, blocks[f, b], strict=True):
+                square[y, x] = v
+            exact = sum(square[v, u] * np.rint(np.outer(c[v], c[u]) * 8192) for v in range(8) for u in range(8)) / 8192
+            pixel = np.clip(np.floor(exact + 128.5), 0, 255).astype(int)
+            hist[f] += np.bincount(pixel.ravel() // 16, minlength=16)
+    feature = media.media_features(docs([text])).first().feature
+    told = dict(x.split("=") for x in feature.split(";"))
+    got = np.array([int(x) for x in told["histogram"].split(",")])
+    assert int(told["frames"]) == n and told["rate"] == "25" and (got == hist.sum(axis=0)).all()
+    assert told["clips"] == "|".join(f"{a / 25:.2f}-{b / 25:.2f}" for a, b in media.shots(hist))
