@@ -9,6 +9,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 EARTH = 6378137.0
 WORLD = math.pi * EARTH
 RING = "array<struct<x:double,y:double>>"
@@ -99,6 +101,96 @@ def in_polygon(polygon: Column, x: Column, y: Column) -> Column:
     return F.aggregate(polygon, F.lit(False), lambda s, r: s != in_ring(r, x, y))
 
 
+def vertex_mean(ring: Column) -> Column:
+    """struct of x, y: the mean of a ring's points, the closing one left out."""
+    points = F.slice(ring, F.lit(1), F.size(ring) - 1)
+    mean = lambda axis: F.aggregate(points, F.lit(0.0), lambda s, p: s + p[axis]) / F.size(points)
+    return F.struct(mean("x").alias("x"), mean("y").alias("y"))
+
+
+def box_centre(ring: Column) -> Column:
+    """struct of x, y: the middle of a ring's box."""
+    e = envelope(ring)
+    return F.struct(((e["xmin"] + e["xmax"]) / 2).alias("x"), ((e["ymin"] + e["ymax"]) / 2).alias("y"))
+
+
+def _side(a: Column, b: Column, p: Column) -> Column:
+    """Positive if ``p`` lies to the left of the line from ``a`` to ``b``."""
+    return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+
+
+def _point_gap2(p: Column, e: Column) -> Column:
+    """Squared distance of a point and an edge."""
+    a, b = e["a"], e["b"]
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    along = ((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
+    return F.pow(p["x"] - a["x"] - t * dx, F.lit(2)) + F.pow(p["y"] - a["y"] - t * dy, F.lit(2))
+
+
+def _edge_gap2(e: Column, f: Column) -> Column:
+    """Squared distance of two edges, 0 if they cross."""
+    cross = (_side(e["a"], e["b"], f["a"]) * _side(e["a"], e["b"], f["b"]) < 0) & (_side(f["a"], f["b"], e["a"]) * _side(f["a"], f["b"], e["b"]) < 0)
+    return F.when(cross, F.lit(0.0)).otherwise(F.least(_point_gap2(e["a"], f), _point_gap2(e["b"], f), _point_gap2(f["a"], e), _point_gap2(f["b"], e)))
+
+
+def distance(one: Column, two: Column) -> Column:
+    """Planar distance of two polygons, 0 if they touch or overlap.  Each edge meets each of the other: for pairs that are near by their boxes."""
+
+    def gap(a: Column, b: Column) -> Column:
+        edges = lambda polygon: F.flatten(F.transform(polygon, _edges))
+        both = F.struct(edges(a).alias("a"), edges(b).alias("b"))
+        nearest = let(both, lambda x: F.array_min(F.transform(x["a"], lambda e: F.array_min(F.transform(x["b"], lambda f: _edge_gap2(e, f))))))
+        inside = lambda q, r: in_polygon(q, F.get(F.get(r, 0), 0)["x"], F.get(F.get(r, 0), 0)["y"])
+        return F.when(inside(a, b) | inside(b, a), F.lit(0.0)).otherwise(F.sqrt(nearest))
+
+    return let(F.struct(one.alias("one"), two.alias("two")), lambda x: gap(x["one"], x["two"]))
+
+
+def _cut(points: Column, a: Column, b: Column) -> Column:
+    """The part of an open ring of points to the left of the line from ``a`` to ``b``, by one step of polygon clipping."""
+    n = F.size(points)
+
+    def at(p: Column, i: Column) -> Column:
+        q = F.get(points, (i + n - 1) % n)
+        s, t = _side(a, b, p), _side(a, b, q)
+        f = t / F.nullif(t - s, F.lit(0.0))
+        meets = F.struct((q["x"] + (p["x"] - q["x"]) * f).alias("x"), (q["y"] + (p["y"] - q["y"]) * f).alias("y"))
+        return F.concat(F.when((s >= 0) != (t >= 0), F.array(meets)).otherwise(F.array().cast(RING)), F.when(s >= 0, F.array(F.struct(p["x"].alias("x"), p["y"].alias("y")))).otherwise(F.array().cast(RING)))
+
+    return F.flatten(F.transform(points, at))
+
+
+def overlap_area(one: Column, two: Column) -> Column:
+    """Planar area that two rings have in common; either may be concave.
+
+    ``two`` is the sum of the triangles from its first point to its edges, each
+    with the sign of its turn; ``one`` is clipped by each triangle.
+    """
+
+    def in_triangle(ring: Column, o: Column, e: Column) -> Column:
+        turn = F.signum(_side(o, e["a"], e["b"]))
+        left = F.when(turn > 0, F.struct(o.alias("p"), e["a"].alias("q"), e["b"].alias("r"))).otherwise(F.struct(o.alias("p"), e["b"].alias("q"), e["a"].alias("r")))
+        corners = lambda t: F.array(F.struct(t["p"].alias("a"), t["q"].alias("b")), F.struct(t["q"].alias("a"), t["r"].alias("b")), F.struct(t["r"].alias("a"), t["p"].alias("b")))
+        open_ring = F.slice(ring, F.lit(1), F.size(ring) - 1)
+        clipped = let(left, lambda t: F.aggregate(corners(t), open_ring, lambda points, line: _cut(points, line["a"], line["b"])))
+        area = let(clipped, lambda points: F.when(F.size(points) > 2, ring_area(F.concat(points, F.slice(points, 1, 1)))).otherwise(F.lit(0.0)))
+        return F.when(turn == 0, F.lit(0.0)).otherwise(turn * area)
+
+    def total(x: Column) -> Column:
+        o = F.get(x["two"], 0)
+        return F.abs(F.aggregate(_edges(x["two"]), F.lit(0.0), lambda s, e: s + in_triangle(x["one"], o, e)))
+
+    return let(F.struct(one.alias("one"), two.alias("two")), total)
+
+
+def touches(one: Column, two: Column, tolerance: float = 1e-9) -> Column:
+    """Whether two polygons meet, and have no area in common.  Holes are not filled by the other's area."""
+    least = lambda p: F.abs(ring_area(F.get(p, 0)))
+    apart = overlap_area(F.get(one, 0), F.get(two, 0)) <= tolerance * F.least(least(one), least(two))
+    return (distance(one, two) <= tolerance) & apart
+
+
 def parse_wkt(wkt: Column) -> Column:
     """The rings of a POLYGON text, or one ring of one point for a POINT; null for anything else."""
     body = F.regexp_extract(wkt, r"(?i)^\s*(?:POINT|POLYGON)\s*\((.*)\)\s*$", 1)

@@ -6,14 +6,16 @@ what lies in those cells: an equi-join, with the exact test on what it finds.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from acreflow.functions import geo
 
 from .graph import components
+from .storage import materialize
 
 
 def _cells(lo: Column, hi: Column, cell: float) -> Column:
@@ -53,71 +55,136 @@ def nearest(points: DataFrame, places: DataFrame, key: str, place: str, degrees:
     return best.filter(F.col("metres") < most_metres)
 
 
-def _clip(subject: list, clip: list) -> float:
-    """Area of the part of a ring inside a convex counter-clockwise ring."""
-    out = subject[:-1]
-    for (ax, ay), (bx, by) in zip(clip[:-1], clip[1:], strict=True):
-        side = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in out]
-        kept = []
-        for i, (p, s) in enumerate(zip(out, side, strict=True)):
-            q, t = out[i - 1], side[i - 1]
-            if (s >= 0) != (t >= 0):
-                f = t / (t - s)
-                kept.append((q[0] + (p[0] - q[0]) * f, q[1] + (p[1] - q[1]) * f))
-            if s >= 0:
-                kept.append(p)
-        out = kept
-        if not out:
-            return 0.0
-    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(out, out[1:] + out[:1], strict=True))) / 2
-
-
-@F.pandas_udf(T.DoubleType())
-def overlap_area(ring: pd.Series, convex: pd.Series) -> pd.Series:
-    """Planar area of a ring's part inside a convex ring."""
-    flat = lambda r: [(p["x"], p["y"]) for p in r]
-
-    def one(a, b) -> float:
-        clip = flat(b)
-        turn = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(clip[:-1], clip[1:], strict=True))
-        return _clip(flat(a), clip if turn > 0 else clip[::-1])
-
-    return pd.Series([one(a, b) for a, b in zip(ring, convex, strict=True)])
-
-
 def overlays(areas: DataFrame, units: DataFrame, cell: float) -> DataFrame:
-    """Pairs of convex areas (ring, box, ...) and units (unit_ring, box as uxmin.., ...) with their common area."""
+    """Pairs of areas (ring, box, ...) and units (unit_ring, box as uxmin.., ...) with their common area."""
     u = units.select("*", *[F.col(f"u{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
     u = with_cells(u, cell).drop("xmin", "ymin", "xmax", "ymax")
     met = with_cells(areas, cell).join(u, ["cx", "cy"])
     touch = (F.col("xmin") < F.col("uxmax")) & (F.col("uxmin") < F.col("xmax")) & (F.col("ymin") < F.col("uymax")) & (F.col("uymin") < F.col("ymax"))
     # a pair is kept in the one cell that holds the corner where both boxes begin
     home = (F.floor(F.greatest("xmin", "uxmin") / cell) == F.col("cx")) & (F.floor(F.greatest("ymin", "uymin") / cell) == F.col("cy"))
-    return met.filter(touch & home).drop("cx", "cy").withColumn("common", overlap_area("unit_ring", "ring"))
+    return met.filter(touch & home).drop("cx", "cy").withColumn("common", geo.overlap_area(F.col("unit_ring"), F.col("ring")))
 
 
-def adjacent_clusters(parcels: DataFrame, by: list[str], key: str = "id", eps: float = 1e-4, exact: Column | None = None) -> DataFrame:
-    """key, cluster (the least key) of parcels, by boxes at most ``eps`` apart inside each group.
+def near_pairs(parcels: DataFrame, by: list[str], key: str = "id", eps: float = 1e-4, cell: float = 0.01, polygon: str | None = None) -> DataFrame:
+    """a, b (the lesser key first) of parcels of one group at most ``eps`` apart, and ``distance``.
 
-    ``exact`` is a further test on the columns a_* and b_* of a pair.  A
-    parcel meets others only in its own and neighbouring grid cells.
+    Distances are those of the boxes, or of the polygons in column ``polygon``,
+    which then only are compared where the boxes are near.  A parcel is listed
+    under each cell of a fixed grid that its box touches, so a large one makes
+    more rows and no larger cells; a pair counts in one cell only.
     """
-    size = parcels.agg(F.max(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))).alias("s")).first()["s"] or 1.0
-    cell = max(float(size) + eps, eps)
-    boxes = parcels.filter(F.col("xmin").isNotNull()).select(*by, key, "xmin", "ymin", "xmax", "ymax")
-    a = with_cells(boxes, cell, eps).select(*by, "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in (key, "xmin", "ymin", "xmax", "ymax")])
-    b = with_cells(boxes, cell).select(*by, "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in (key, "xmin", "ymin", "xmax", "ymax")])
+    shape = ["xmin", "ymin", "xmax", "ymax", *([polygon] if polygon else [])]
+    boxes = parcels.filter(F.col("xmin").isNotNull()).select(*by, key, *shape)
+    a = with_cells(boxes, cell, eps).select(*by, "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in (key, *shape)])
+    b = with_cells(boxes, cell).select(*by, "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in (key, *shape)])
     gap = lambda lo, hi: F.greatest(F.lit(0.0), F.col(f"a_{lo}") - F.col(f"b_{hi}"), F.col(f"b_{lo}") - F.col(f"a_{hi}"))
-    near = F.pow(gap("xmin", "xmax"), 2) + F.pow(gap("ymin", "ymax"), 2) <= eps * eps * (1 + 1e-9)
-    met = a.join(b, [*by, "cx", "cy"]).filter((F.col(f"a_{key}") < F.col(f"b_{key}")) & near & (F.lit(True) if exact is None else exact))
-    edges = met.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b")).distinct()
-    label = components(edges).toDF("node", "component")
-    return boxes.join(label, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("cluster"))
-
-
-def dissolve_edges(parcels: DataFrame, by: str, ring: str = "ring") -> DataFrame:
-    """The outline of each group of rings that share whole edges: edges that only one ring has."""
-    n = F.size(ring)
-    edges = F.zip_with(F.slice(F.col(ring), F.lit(1), n - 1), F.slice(F.col(ring), F.lit(2), n - 1), lambda a, b: F.struct(F.least(a, b).alias("p"), F.greatest(a, b).alias("q")))
-    flat = parcels.select(by, F.explode(edges).alias("e")).groupBy(by, "e").agg(F.count(F.lit(1)).alias("n"))
-    return flat.filter("n % 2 = 1").select(by, "e.p", "e.q")
+    apart = F.sqrt(F.pow(gap("xmin", "xmax"), 2) + F.pow(gap("ymin", "ymax"), 2))
+    home = lambda axis, c: F.floor(F.greatest(F.col(f"a_{axis}") - eps, F.col(f"b_{axis}")) / cell) == F.col(c)
+    most = eps * (1 + 1e-9)
+    met = a.join(b, [*by, "cx", "cy"]).filter((F.col(f"a_{key}") < F.col(f"b_{key}")) & home("xmin", "cx") & home("ymin", "cy")).withColumn("distance", apart).filter(F.col("distance") <= most)
+    if polygon:
+        met = met.withColumn("distance", geo.distance(F.col(f"a_{polygon}"), F.col(f"b_{polygon}"))).filter(F.col("distance") <= most)
+    return met.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), "distance")
+
+
+def adjacent_clusters(parcels: DataFrame, by: list[str], key: str = "id", eps: float = 1e-4, cell: float = 0.01, polygon: str | None = None) -> DataFrame:
+    """key, cluster (the least key) of parcels at most ``eps`` apart inside each group, by ``near_pairs``."""
+    label = components(near_pairs(parcels, by, key, eps, cell, polygon).select("a", "b")).toDF("node", "component")
+    mapped = parcels.filter(F.col("xmin").isNotNull()).select(key)
+    return mapped.join(label, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("cluster"))
+
+
+_P = "struct<x:double,y:double>"
+
+
+def _directed_edges(parcels: DataFrame, by: str, ring: str, cell: float | None) -> DataFrame:
+    """by, p, q: the edges of all rings, counter-clockwise, cut where a corner of the group lies on them."""
+    r = F.col(ring)
+    turned = F.when(geo.ring_area(r) < 0, F.reverse(r)).otherwise(r)
+    edges = F.zip_with(F.slice(turned, F.lit(1), F.size(r) - 1), F.slice(turned, F.lit(2), F.size(r) - 1), lambda a, b: F.struct(a.alias("p"), b.alias("q")))
+    flat = parcels.select(by, F.explode(edges).alias("e")).select(by, "e.p", "e.q").filter("p != q")
+    if cell is None:
+        return flat
+    corners = flat.select(by, F.col("p").alias("c")).distinct()
+    placed = corners.withColumns({"cx": F.floor(F.col("c.x") / cell), "cy": F.floor(F.col("c.y") / cell)})
+    ends = {f"{axis}{end}": pick(f"p.{axis}", f"q.{axis}") for axis in ("x", "y") for end, pick in (("min", F.least), ("max", F.greatest))}
+    boxes = with_cells(flat.distinct().withColumns(ends), cell)
+    between = F.col("c.x").between(F.col("xmin"), F.col("xmax")) & F.col("c.y").between(F.col("ymin"), F.col("ymax")) & (F.col("c") != F.col("p")) & (F.col("c") != F.col("q"))
+    dx, dy = F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y")
+    across = F.abs(dx * (F.col("c.y") - F.col("p.y")) - dy * (F.col("c.x") - F.col("p.x")))
+    on = boxes.join(placed, [by, "cx", "cy"]).filter(between & (across <= 1e-12 * (dx * dx + dy * dy)))
+    along = F.pow(F.col("c.x") - F.col("p.x"), 2) + F.pow(F.col("c.y") - F.col("p.y"), 2)
+    cuts = on.groupBy(by, "p", "q").agg(F.transform(F.array_sort(F.collect_set(F.struct(along.alias("d"), "c"))), lambda x: x["c"]).alias("cuts"))
+    walk = F.concat(F.array("p"), F.coalesce("cuts", F.array().cast(f"array<{_P}>")), F.array("q"))
+    pieces = F.zip_with(F.slice(walk, F.lit(1), F.size(walk) - 1), F.slice(walk, F.lit(2), F.size(walk) - 1), lambda a, b: F.struct(a.alias("p"), b.alias("q")))
+    return flat.join(cuts, [by, "p", "q"], "left").select(by, F.explode(pieces).alias("e")).select(by, "e.p", "e.q")
+
+
+def dissolve_edges(parcels: DataFrame, by: str, ring: str = "ring", cell: float | None = None) -> DataFrame:
+    """The outline of each group of rings that do not overlap, as directed edges p, q with the inside on their left:
+    those that no neighbour has the other way round.  With ``cell``, the size of a grid, neighbours may share parts of edges."""
+    edges = _directed_edges(parcels, by, ring, cell)
+    forth = F.struct("p.x", "p.y") < F.struct("q.x", "q.y")
+    both = edges.select(by, F.when(forth, F.col("p")).otherwise(F.col("q")).alias("lo"), F.when(forth, F.col("q")).otherwise(F.col("p")).alias("hi"), F.when(forth, 1).otherwise(-1).alias("way"))
+    left = both.groupBy(by, "lo", "hi").agg(F.sum("way").alias("way")).filter("way != 0")
+    ahead = F.col("way") > 0
+    return left.select(by, F.when(ahead, F.col("lo")).otherwise(F.col("hi")).alias("p"), F.when(ahead, F.col("hi")).otherwise(F.col("lo")).alias("q"))
+
+
+def _traced(group: pd.DataFrame) -> list[list[tuple[float, float]]]:
+    """The closed rings of directed edges; where several leave a corner, the sharpest turn to the left is taken, so rings touch and do not cross."""
+    leave: dict[tuple, list] = {}
+    for px, py, qx, qy in zip(group["px"], group["py"], group["qx"], group["qy"], strict=True):
+        leave.setdefault((px, py), []).append((qx, qy))
+    rings = []
+    for begin in sorted(leave):
+        while leave[begin]:
+            ring, at = [begin], leave[begin].pop()
+            while at != begin:
+                back = math.atan2(ring[-1][1] - at[1], ring[-1][0] - at[0])
+                ways = leave[at]
+                turn = lambda to, at=at, back=back: (back - math.atan2(to[1] - at[1], to[0] - at[0])) % (2 * math.pi) or 2 * math.pi
+                to = min(ways, key=turn)
+                ways.remove(to)
+                ring.append(at)
+                at = to
+            rings.append([*ring, begin])
+    return rings
+
+
+def _straight(ring: list) -> list:
+    """A ring without the points inside straight lines."""
+    body = ring[:-1]
+    kept = [b for a, b, c in zip(body[-1:] + body[:-1], body, body[1:] + body[:1], strict=True) if abs((b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])) > 1e-12 * ((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2) ** 0.5 * ((c[0] - b[0]) ** 2 + (c[1] - b[1]) ** 2) ** 0.5]
+    return [*kept, kept[0]] if kept else ring
+
+
+def dissolve(parcels: DataFrame, by: str, ring: str = "ring", cell: float = 0.01) -> DataFrame:
+    """by, polygon: a row for each polygon of the union of each group's rings, which may share edges or parts of them but not overlap.
+
+    Outlines are traced apart for each connected piece, found as components of
+    the corners, so a task holds no more than one polygon's outline.  A hole
+    belongs to the least outside that holds it, met in the cells of a grid.
+    """
+    outline = materialize(dissolve_edges(parcels, by, ring, cell))
+    node = lambda c: F.xxhash64(by, f"{c}.x", f"{c}.y")
+    pieces = components(outline.select(node("p").alias("a"), node("q").alias("b")))
+    flat = outline.join(pieces, node("p") == F.col("node"), "left").select(by, F.coalesce("component", node("p")).alias("piece"), F.col("p.x").alias("px"), F.col("p.y").alias("py"), F.col("q.x").alias("qx"), F.col("q.y").alias("qy"))
+
+    def trace(group: pd.DataFrame) -> pd.DataFrame:
+        rings = [_straight(r) for r in _traced(group)]
+        return pd.DataFrame({by: [group[by].iloc[0]] * len(rings), "ring": [[{"x": x, "y": y} for x, y in r] for r in rings]})
+
+    kind = parcels.schema[by].dataType.simpleString()
+    rings = materialize(flat.groupBy(by, "piece").applyInPandas(trace, f"{by} {kind}, ring {geo.RING}"))
+    e = geo.envelope(F.col("ring"))
+    sized = rings.select(by, "ring", geo.ring_area(F.col("ring")).alias("area"), e.alias("e")).select(by, "ring", "area", "e.*").withColumn("id", F.xxhash64(F.lit(by), by, "ring"))
+    outer, holes = sized.filter("area > 0"), sized.filter("area < 0")
+    # a point of the hole that no outside passes through: the middle of its first edge
+    middle = lambda axis: ((F.get("ring", 0)[axis] + F.get("ring", 1)[axis]) / 2).alias(axis)
+    inside = holes.select(by, F.col("ring").alias("hole"), middle("x"), middle("y"), (-F.col("area")).alias("hole_area"))
+    placed = inside.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+    met = placed.join(with_cells(outer.select(by, "ring", "area", "id", "xmin", "ymin", "xmax", "ymax"), cell), [by, "cx", "cy"]).filter((F.col("area") >= F.col("hole_area")) & geo.in_ring(F.col("ring"), F.col("x"), F.col("y")))
+    held = met.groupBy(by, "hole").agg(F.min(F.struct("area", "id")).alias("of")).groupBy("of.id").agg(F.sort_array(F.collect_list("hole")).alias("holes"))
+    return outer.join(held, "id", "left").select(by, F.concat(F.array("ring"), F.coalesce("holes", F.array().cast(f"array<{geo.RING}>"))).alias("polygon"))

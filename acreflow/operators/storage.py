@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,24 +19,37 @@ _own: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir`` that all executors share.
 
-    A folder of this machine is made only where the setting is absent, as in
-    tests on one machine.
+    Where the setting is absent, as in tests, a folder of this machine is made;
+    that is an error unless all tasks run on this machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        app = spark.sparkContext.applicationId
-        folder = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="acreflow-"))
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _own.get(context.applicationId) or _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="acreflow-"))
     return folder.rstrip("/")
 
 
+def _job_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/acreflow-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: this cuts the
     lineage, and the rows outlive lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/acreflow-{uuid.uuid4().hex}"
+    path = f"{_job_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this application has written; results that read them must be written before."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_job_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint only after the rows of a materialized table are counted."""
     few = df.limit(max_rows + 1).count() <= max_rows

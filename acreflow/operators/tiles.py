@@ -1,7 +1,8 @@
-"""Vector tiles: features laid on tiles, quantised, simplified and encoded.
+"""Vector tiles: features laid on tiles, simplified, clipped, quantised and encoded.
 
-A tile is encoded in slices by the hash of the key, so no task has to hold it whole:
-repeated layers of one name are joined by concatenating their bytes.
+The geometry of each feature on each tile is encoded row by row, wherever the
+row stands; what is grouped by tile is only what the tile's one layer holds,
+which is one value in any case.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from acreflow.functions import geo
 
-EXTENT = 4096
+EXTENT, BUFFER = 4096, 256
 
 
 def on_tiles(features: DataFrame, zoom: int) -> DataFrame:
@@ -62,44 +63,99 @@ def simplified(points: list, tolerance: float) -> list:
     return [points[i] for i in sorted(keep)]
 
 
-def encode_layer(name: str, rows: list[tuple[int, list, dict]]) -> bytes:
-    """A layer of (id, ring of tile coordinates, properties)."""
+def clipped(ring: list, low: float = -BUFFER, high: float = EXTENT + BUFFER) -> list:
+    """The part of a closed ring of tile coordinates inside a square, closed; empty if there is none."""
+    out = ring[:-1]
+    for axis, bound, sign in ((0, low, 1), (0, high, -1), (1, low, 1), (1, high, -1)):
+        points, out = out, []
+        for i, p in enumerate(points):
+            q = points[i - 1]
+            inside, before = sign * (p[axis] - bound) >= 0, sign * (q[axis] - bound) >= 0
+            if inside != before:
+                f = (bound - q[axis]) / (p[axis] - q[axis])
+                out.append((q[0] + (p[0] - q[0]) * f, q[1] + (p[1] - q[1]) * f))
+            if inside:
+                out.append(p)
+    return [*out, out[0]] if out else []
+
+
+def encode_ring(ring: list) -> bytes | None:
+    """A closed ring's commands, quantised, clockwise as seen (y points down); None if nothing is left."""
+    points: list[tuple[int, int]] = []
+    for x, y in ring:
+        at = (round(x), round(y))
+        if not points or at != points[-1]:
+            points.append(at)
+    points = points[:-1] if len(points) > 1 and points[0] == points[-1] else points
+    turn = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1], strict=True))
+    if len(points) < 3 or not turn:
+        return None
+    if turn < 0:
+        points.reverse()
+    x = y = 0
+    steps = []
+    for px, py in points:
+        steps.append((_zigzag(px - x), _zigzag(py - y)))
+        x, y = px, py
+    moves = [9, *steps[0], len(steps[1:]) << 3 | 2, *(n for s in steps[1:] for n in s), 15]
+    return b"".join(map(_varint, moves))
+
+
+def encode_layer(name: str, rows: list[tuple[int, bytes, dict]]) -> bytes:
+    """A layer of (id, commands of a ring, properties)."""
     keys: dict[str, int] = {}
     values: dict[object, int] = {}
     body = _field(1, name.encode())
-    for fid, ring, properties in rows:
-        tags = b"".join(_varint(keys.setdefault(k, len(keys))) + _varint(values.setdefault(v, len(values))) for k, v in properties.items() if v is not None)
-        x = y = 0
-        steps = []
-        for px, py in ring[:-1]:
-            steps.append((_zigzag(px - x), _zigzag(py - y)))
-            x, y = px, py
-        moves = [9, *steps[0], len(steps[1:]) << 3 | 2, *(n for s in steps[1:] for n in s), 15]
-        body += _field(2, _varint(1 << 3) + _varint(fid) + _field(2, tags) + _varint(3 << 3) + _varint(3) + _field(4, b"".join(map(_varint, moves))))
+    for fid, moves, properties in rows:
+        # equal numbers of different kinds are different values
+        tags = b"".join(_varint(keys.setdefault(k, len(keys))) + _varint(values.setdefault((type(v), v), len(values))) for k, v in properties.items() if v is not None)
+        body += _field(2, _varint(1 << 3) + _varint(fid) + _field(2, tags) + _varint(3 << 3) + _varint(3) + _field(4, moves))
     for k in keys:
         body += _field(3, k.encode())
-    for v in values:
-        body += _field(4, _field(1, v.encode()) if isinstance(v, str) else _varint(4 << 3) + _varint(int(v)) if isinstance(v, int) else _varint(3 << 3 | 1) + struct.pack("<d", v))
+    for _, v in values:
+        if isinstance(v, bool):
+            value = _varint(7 << 3) + _varint(int(v))
+        elif isinstance(v, str):
+            value = _field(1, v.encode())
+        elif isinstance(v, int):
+            value = _varint(6 << 3) + _varint(_zigzag(v))
+        else:
+            value = _varint(3 << 3 | 1) + struct.pack("<d", v)
+        body += _field(4, value)
     body += _varint(5 << 3) + _varint(EXTENT) + _varint(15 << 3) + _varint(2)
     return _field(3, body)
 
 
 def tiles(features: DataFrame, zoom: int, layer: str, key: str, properties: list[str]) -> DataFrame:
-    """z, x, y, part, n, mvt: encoded slices of the tiles of one zoom."""
-    placed = on_tiles(features, zoom).withColumn("part", F.pmod(F.xxhash64(key), F.lit(64)))
+    """z, x, y, n, mvt: the encoded tiles of one zoom, each with one layer; features that vanish are left out."""
     size = 2 * geo.WORLD / 2**zoom
     tolerance = 100 if zoom <= 10 else 50 if zoom <= 12 else 10
-
-    def encode(group: pd.DataFrame) -> pd.DataFrame:
-        z, x, y, part = (int(group[c].iloc[0]) for c in ("z", "x", "y", "part"))
-        west, north = x * size - geo.WORLD, geo.WORLD - y * size
-        rows = []
-        for r in group.sort_values(key).to_dict("records"):
-            ring = simplified([(p["x"], p["y"]) for p in r["ring"]], tolerance)
-            quantised = [(round((px - west) / size * EXTENT), round((north - py) / size * EXTENT)) for px, py in ring]
-            if len(quantised) > 3:
-                rows.append((int(r[key]), quantised, {p: r[p] for p in properties}))
-        return pd.DataFrame({"z": [z], "x": [x], "y": [y], "part": [part], "n": [len(rows)], "mvt": [encode_layer(layer, rows)]})
-
-    columns = placed.select("z", F.col("x").cast("long"), F.col("y").cast("long"), "part", "ring", key, *properties)
-    return columns.groupBy("z", "x", "y", "part").applyInPandas(encode, "z int, x long, y long, part long, n long, mvt binary")
+    placed = on_tiles(features, zoom).select("z", F.col("x").cast("long"), F.col("y").cast("long"), "ring", key, *properties)
+
+    def draw(batches):
+        for rows in batches:
+            moves = []
+            for x, y, ring in zip(rows["x"], rows["y"], rows["ring"], strict=True):
+                west, north = x * size - geo.WORLD, geo.WORLD - y * size
+                points = simplified([(p["x"], p["y"]) for p in ring], tolerance) if len(ring) > 4 else [(p["x"], p["y"]) for p in ring]
+                moves.append(encode_ring(clipped([((px - west) / size * EXTENT, (north - py) / size * EXTENT) for px, py in points])))
+            yield rows.drop(columns="ring").assign(moves=moves)[lambda d: d["moves"].notna()]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema if f.name != "ring")
+    drawn = placed.mapInPandas(draw, f"{schema}, moves binary")
+
+    def assemble(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(key)
+        plain = lambda v: None if v is None or v != v else v.item() if hasattr(v, "item") else v
+        rows = [(int(fid), moves, {p: plain(v) for p, v in zip(properties, row, strict=True)}) for fid, moves, *row in zip(group[key], group["moves"], *(group[p] for p in properties), strict=True)]
+        return pd.DataFrame({"z": group["z"].iloc[:1], "x": group["x"].iloc[:1], "y": group["y"].iloc[:1], "n": [len(rows)], "mvt": [encode_layer(layer, rows)]})
+
+    return drawn.groupBy("z", "x", "y").applyInPandas(assemble, "z int, x long, y long, n long, mvt binary")
+
+
+def layered(one: DataFrame, two: DataFrame) -> DataFrame:
+    """z, x, y, n, mvt of tiles that hold the layers of both, whose names must differ: layers follow one another in a tile's bytes."""
+    part = lambda t, k: t.select("z", "x", "y", F.col("n").alias(f"n{k}"), F.col("mvt").alias(f"mvt{k}"))
+    met = part(one, 1).join(part(two, 2), ["z", "x", "y"], "full_outer")
+    empty = F.lit(b"")
+    return met.select("z", "x", "y", (F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"), F.concat(F.coalesce("mvt1", empty), F.coalesce("mvt2", empty)).alias("mvt"))

@@ -147,7 +147,7 @@ def dissolve(t: Tables) -> DataFrame:
 w AS (SELECT id AS a, id AS l FROM {GRID} UNION SELECT e.b, w.l FROM w JOIN e ON e.a = w.a)
 SELECT a AS id, min(l) AS cluster FROM w GROUP BY a""")
 def cc_cluster(t: Tables) -> DataFrame:
-    return spatial.adjacent_clusters(_grid(t), ["owner"])
+    return spatial.adjacent_clusters(_grid(t), ["owner"], cell=2.0)
 
 
 @query("SELECT id, CAST(round(CAST(x AS DECIMAL(18,4)), 2) AS DOUBLE) AS x, CAST(round(CAST(y AS DECIMAL(18,4)), 2) AS DOUBLE) AS y FROM (SELECT c_custkey AS id, radians(-94 + (c_custkey % 37) * 0.05::DOUBLE) * 6378137 AS x, ln(tan(pi() / 4 + radians(41 + (c_custkey % 29) * 0.04::DOUBLE) / 2)) * 6378137 AS y FROM customer)")
@@ -181,9 +181,70 @@ def tile_count(t: Tables) -> DataFrame:
 @query()
 def tile_bytes(t: Tables) -> DataFrame:
     """Encoded tiles; no SQL engine has the encoding, so tests decode them."""
-    g = _grid(t)
-    wide = g.withColumns({c: F.col(c) * 10000 for c in ("xmin", "ymin", "xmax", "ymax")})
-    return tiles.tiles(_ring(wide), 11, "ownership", "id", ["owner", "size"]).select("z", "x", "y", "part", "n", F.sha2("mvt", 256).alias("sha256"))
+    return tiles.tiles(_wide(t), 11, "parcels", "id", ["owner", "size"]).select("z", "x", "y", "n", F.sha2("mvt", 256).alias("sha256"))
+
+
+def _wide(t: Tables) -> DataFrame:
+    return _ring(_grid(t).withColumns({c: F.col(c) * 10000 for c in ("xmin", "ymin", "xmax", "ymax")}))
+
+
+@query()
+def tile_layers(t: Tables) -> DataFrame:
+    """Tiles with a layer of parcels and one of large ones."""
+    wide = _wide(t)
+    both = tiles.layered(tiles.tiles(wide, 9, "parcels", "id", ["owner"]), tiles.tiles(wide.filter("size > 40"), 9, "large", "id", ["size"]))
+    return both.select("z", "x", "y", "n", F.sha2("mvt", 256).alias("sha256"))
+
+
+TRIANGLES = f"(SELECT id, owner, gx, gy FROM {GRID})"
+
+
+def _triangles(t: Tables) -> DataFrame:
+    """The lower left halves of the squares: two on a diagonal have boxes that touch, but stand half a diagonal apart."""
+    at = lambda dx, dy: F.struct((F.col("gx") + dx).alias("x"), (F.col("gy") + dy).alias("y"))
+    return _grid(t).withColumn("polygon", F.array(F.array(at(0, 0), at(1, 0), at(0, 1), at(0, 0))))
+
+
+@query(f"SELECT a.id AS a, b.id AS b, CASE WHEN a.gx - b.gx = a.gy - b.gy THEN round(sqrt(0.5), 6) ELSE 0 END AS distance FROM {TRIANGLES} a JOIN {TRIANGLES} b ON a.owner = b.owner AND a.id < b.id AND abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1")
+def polygon_distance(t: Tables) -> DataFrame:
+    return spatial.near_pairs(_triangles(t), ["owner"], eps=0.8, cell=2.0, polygon="polygon").select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT owner, count(*) AS pairs, count(*) FILTER (WHERE a_gx - b_gx <> a_gy - b_gy) AS touching FROM (SELECT a.owner, a.gx AS a_gx, b.gx AS b_gx, a.gy AS a_gy, b.gy AS b_gy FROM {TRIANGLES} a JOIN {TRIANGLES} b ON a.owner = b.owner AND a.id < b.id AND abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1) GROUP BY owner")
+def touching_pairs(t: Tables) -> DataFrame:
+    """Of each owner's pairs that are near, those that touch."""
+    d = _triangles(t)
+    shapes = d.select("id", "owner", "polygon")
+    met = spatial.near_pairs(d, ["owner"], eps=0.8, cell=2.0).join(shapes.toDF("a", "owner", "pa"), "a").join(shapes.drop("owner").toDF("b", "pb"), "b")
+    return met.filter(geo.distance(F.col("pa"), F.col("pb")) <= 0.8).groupBy("owner").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(geo.touches(F.col("pa"), F.col("pb"))).alias("touching"))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM {TRIANGLES} a JOIN {TRIANGLES} b ON a.owner = b.owner AND abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1 AND (a.id = b.id OR a.gx - b.gx <> a.gy - b.gy)),
+w AS (SELECT id AS a, id AS l FROM {TRIANGLES} UNION SELECT e.b, w.l FROM w JOIN e ON e.a = w.a)
+SELECT a AS id, min(l) AS cluster FROM w GROUP BY a""")
+def exact_cluster(t: Tables) -> DataFrame:
+    """Clusters by the distance of polygons, where boxes give others."""
+    return spatial.adjacent_clusters(_triangles(t), ["owner"], eps=0.1, cell=2.0, polygon="polygon")
+
+
+@query(f"""SELECT bid, id, CAST(round({OVERLAP} - greatest(0, least(x1, gx + 1) - greatest((x0 + x1) / 2, gx)) * greatest(0, least(y1, gy + 1) - greatest((y0 + y1) / 2, gy)), 6) AS DOUBLE) AS common FROM {BOXES} b JOIN {GRID} g ON gx < x1 AND x0 < gx + 1 AND gy < y1 AND y0 < gy + 1""")
+def overlay_concave(t: Tables) -> DataFrame:
+    """What areas without their upper right quarter have in common with squares."""
+    b = _boxes(t)
+    mx, my = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
+    corners = ((F.col("xmin"), F.col("ymin")), (F.col("xmax"), F.col("ymin")), (F.col("xmax"), my), (mx, my), (mx, F.col("ymax")), (F.col("xmin"), F.col("ymax")), (F.col("xmin"), F.col("ymin")))
+    areas = b.withColumn("ring", F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners]))
+    units = _ring(_grid(t)).select("id", F.col("ring").alias("unit_ring"), *[F.col(c).alias(f"u{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
+    return spatial.overlays(areas, units, 4.0).select("bid", "id", F.round("common", 6).alias("common"))
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT id, size % 2 AS kind, gx, gy FROM {GRID}), e AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.kind = b.kind AND abs(a.gx - b.gx) + abs(a.gy - b.gy) <= 1),
+w AS (SELECT id AS a, id AS l FROM g UNION SELECT e.b, w.l FROM w JOIN e ON e.a = w.a)
+SELECT kind, count(DISTINCT l) AS polygons, count(*)::DOUBLE AS area FROM (SELECT g.kind, w.a, min(w.l) AS l FROM w JOIN g ON g.id = w.a GROUP BY ALL) GROUP BY kind""")
+def dissolved_polygons(t: Tables) -> DataFrame:
+    """The polygons, and their area without holes, that squares of even and odd sizes dissolve to."""
+    found = spatial.dissolve(_ring(_grid(t)).withColumn("kind", F.col("size") % 2), "kind", cell=4.0)
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("polygons"), F.sum(geo.polygon_area(F.col("polygon"))).alias("area"))
 
 
 @query("SELECT s_suppkey, i, CAST(round(CAST(500 * cos(i / 32.0 * 2 * pi()) / 6378137 * (180 / pi()) / cos(42 * pi() / 180) AS DECIMAL(18,9)), 7) AS DOUBLE) AS dx, CAST(round(CAST(500 * sin(i / 32.0 * 2 * pi()) / 6378137 * (180 / pi()) AS DECIMAL(18,9)), 7) AS DOUBLE) AS dy FROM (SELECT s_suppkey FROM supplier WHERE s_suppkey < 5) CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(33))")

@@ -97,24 +97,6 @@ def test_valuations(spark):
     assert r.base == 2800 and r.final.per_acre == 2856
 
 
-def test_tiles_decode(spark):
-    d = spark.createDataFrame([(7, "A", 0.0, 0.0), (8, "B", 1e6, 1e6)], "id long, owner string, xmin double, ymin double").withColumn("xmax", F.col("xmin") + 1e5).withColumn("ymax", F.col("ymin") + 1e5)
-    d = d.withColumn("ring", geo.box_ring(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")))
-    got = tiles.tiles(d, 3, "ownership", "id", ["owner"]).collect()
-    assert sum(r.n for r in got) >= 2 and all(b"ownership" in r.mvt for r in got)
-    # a value "A" in the tile north of the origin, of which the parcel's south-west corner is the one at (0, 4096)
-    (r,) = [r for r in got if (r.x, r.y) == (4, 3) and b"\x0a\x01A" in r.mvt]
-    assert r.n == 1 and bytes([9, 0, *tiles._varint(2 * 4096)]) in r.mvt
-    assert tiles.simplified([(0, 0), (1, 0.1), (2, 0), (2, 2)], 0.5) == [(0, 0), (2, 0), (2, 2)]
-
-
-def test_overlay_of_triangle(spark):
-    tri = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (2, 0), (0, 2), (0, 0))])
-    row = spark.range(1).select(tri.alias("a"), geo.box_ring(F.lit(0), F.lit(0), F.lit(1), F.lit(1)).alias("b"))
-    assert row.select(spatial.overlap_area("a", "b")).first()[0] == pytest.approx(1.0)
-    assert row.select(spatial.overlap_area("b", "a")).first()[0] == pytest.approx(1.0)
-
-
 def test_features_are_json(spark):
     row = spark.range(1).select(geo.feature(F.array(geo.box_ring(F.lit(0), F.lit(0), F.lit(1), F.lit(1))), id=F.col("id")).alias("f")).first()
     assert json.loads(row.f)["properties"] == {"id": 0}

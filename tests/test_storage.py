@@ -1,13 +1,28 @@
 import os
 from types import SimpleNamespace
 
+import pytest
+
 from acreflow.operators import graph, storage
 
 
 def test_folder_without_a_setting():
-    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=SimpleNamespace(applicationId="app-x"))
-    folder = storage.shared_folder(fake)
-    assert os.path.isdir(folder) and storage.shared_folder(fake) == folder
+    def session(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=SimpleNamespace(applicationId="app-x", master=master))
+
+    folder = storage.shared_folder(session("local[4]"))
+    assert os.path.isdir(folder) and storage.shared_folder(session("local")) == folder
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            storage.shared_folder(session(master))
+
+
+def test_release_deletes_what_was_written(spark):
+    storage.materialize(spark.range(5)).count()
+    folder = storage._job_folder(spark)
+    assert os.listdir(folder)
+    storage.release(spark)
+    assert not os.path.exists(folder) and storage.materialize(spark.range(5)).count() == 5
 
 
 def test_components(spark):
