@@ -16,6 +16,15 @@ def rollup(parcels: DataFrame, owner: str = "owner", parcel: str = "id", area: s
     return grouped.agg(F.count(F.lit(1)).alias("parcel_count"), total.alias("total_acres"), F.sort_array(F.collect_list(parcel)).alias("parcel_ids")).filter(F.col("parcel_count") >= least)
 
 
+def top_owners(parcels: DataFrame, most: int, owner: str = "owner", parcel: str = "id", area: str = "area_sqm", least: int = 2) -> DataFrame:
+    """``rollup`` of the ``most`` owners of the largest areas: ranked by sums alone, then only their parcels are collected."""
+    total = F.sum(F.col(area).cast("decimal(28,4)")).cast("double") / SQUARE_METRES_PER_ACRE
+    sums = parcels.filter(F.col(owner).isNotNull()).groupBy(F.col(owner).alias("owner")).agg(F.count(F.lit(1)).alias("parcel_count"), total.alias("total_acres"))
+    top = sums.filter(F.col("parcel_count") >= least).orderBy(F.desc("total_acres"), "owner").limit(most)
+    ids = parcels.select(F.col(owner).alias("owner"), F.col(parcel).alias("id")).join(F.broadcast(top), "owner").groupBy("owner", "parcel_count", "total_acres")  # at most ``most`` rows
+    return ids.agg(F.sort_array(F.collect_list("id")).alias("parcel_ids"))
+
+
 def similar(names: DataFrame, name: str, probe: str, threshold: int = 3) -> DataFrame:
     """Distinct names within an edit distance of one, itself left out."""
     distinct = names.select(F.col(name).alias("name")).distinct()
@@ -25,7 +34,10 @@ def similar(names: DataFrame, name: str, probe: str, threshold: int = 3) -> Data
 def name_pairs(names: DataFrame, name: str, most: int = 6) -> DataFrame:
     """a, b, distance, confidence of different names with one surname within ``most`` edits."""
     own = names.select(F.col(name).alias("n")).distinct().withColumn("s", surname(F.col("n"))).withColumn("l", F.length("n"))
-    a, b = own.toDF("a", "s", "la"), own.toDF("b", "s", "lb")
-    met = a.join(b, "s").filter((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= most))
+    # names of similar length only: a common surname is cut by length
+    step = F.floor(F.col("l") / (most + 1))
+    a = own.withColumn("step", step).toDF("a", "s", "la", "step")
+    b = own.withColumn("step", F.explode(F.array(step - 1, step, step + 1))).toDF("b", "s", "lb", "step")
+    met = a.join(b, ["s", "step"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= most))
     met = met.withColumn("distance", F.levenshtein("a", "b", most)).filter("distance >= 0")
     return met.select("a", "b", "distance", match_tier(F.col("distance"), F.col("a"), F.col("b")).alias("confidence")).filter("confidence IS NOT NULL")

@@ -8,9 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def one_each(df: DataFrame, key: str, last: str | None = None) -> DataFrame:
+    """One row of each key, the same in any run: the greatest by column ``last``, then by all columns in order (which must have an order)."""
+    others = [c for c in df.columns if c != key]
+    order = F.struct(*([F.col(last).alias("__last")] if last else []), *others)
+    return df.groupBy(key).agg(F.max(order).alias("__row")).select(*[F.col(c) if c == key else F.col(f"__row.{c}").alias(c) for c in df.columns])
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, update: list[str]) -> DataFrame:
-    """Rows of both by key; where both have one, ``update`` columns are the new row's and the others the old one's."""
-    n = new.select(*[F.col(c).alias(f"__new_{c}") for c in old.columns]).withColumn("__new", F.lit(True))
+    """Rows of both by key; where both have one, ``update`` columns are the new row's and the others the old one's.  Of new rows with one key ``one_each`` stands."""
+    n = one_each(new.select(*old.columns), key).select(*[F.col(c).alias(f"__new_{c}") for c in old.columns]).withColumn("__new", F.lit(True))
     met = old.withColumn("__old", F.lit(True)).join(n, F.col(key) == F.col(f"__new_{key}"), "full_outer")
 
     def pick(c: str) -> Column:
@@ -21,8 +28,8 @@ def upsert(old: DataFrame, new: DataFrame, key: str, update: list[str]) -> DataF
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The old rows and those new ones whose key is not there; of equal new keys any one."""
-    return old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti").select(*old.columns))
+    """The old rows and those new ones whose key is not there; of equal new keys ``one_each``."""
+    return old.unionByName(one_each(new, key).join(old.select(key), key, "left_anti").select(*old.columns))
 
 
 def conditional_update(df: DataFrame, where: Column, **values: Column) -> DataFrame:
@@ -35,6 +42,26 @@ def archive_split(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     return told.filter("archived_reason IS NOT NULL"), told.filter("archived_reason IS NULL").drop("archived_reason")
 
 
+def validated(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, rows in quarantine with ``errors``, the messages of the rules they break in order).
+
+    A rule that is null is broken; for an optional value write ``x IS NULL OR ...``.
+    """
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(ok, F.lit(False)), None).otherwise(F.lit(message)) for message, ok in rules.items()]))
+    told = df.withColumn("errors", broken)
+    return told.filter(F.size("errors") == 0).drop("errors"), told.filter(F.size("errors") > 0)
+
+
+def page(df: DataFrame, order: list[Column], size: int, most: int = 1000, offset: int = 0) -> DataFrame:
+    """A page of ordered rows; a size over ``most`` is cut to it."""
+    return df.orderBy(*order).offset(max(offset, 0)).limit(max(min(size, most), 0))
+
+
+def is_due(last_run: Column, now: Column, hours: float = 2) -> Column:
+    """Whether a run may begin: there was none, or it is ``hours`` ago at least."""
+    return last_run.isNull() | ((now.cast("timestamp").cast("double") - last_run.cast("timestamp").cast("double")) >= hours * 3600)
+
+
 def retained(df: DataFrame, at: str, as_of: Column, days: int) -> DataFrame:
     return df.filter(F.col(at) >= as_of - F.make_interval(days=F.lit(days)))
 

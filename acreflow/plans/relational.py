@@ -252,11 +252,11 @@ def pair_selfjoin(t: Tables) -> DataFrame:
     return a.join(b, ["p_type", "p_brand"]).filter("a < b").groupBy("p_type").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("sa") == F.col("sb")).alias("same"))
 
 
-@query("""SELECT 'missing' AS side, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)
-UNION ALL SELECT 'stale', o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)""")
+@query("""SELECT 'missing' AS side, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
+UNION ALL SELECT 'stale', o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
 def anti_both(t: Tables) -> DataFrame:
-    missing = t.customer.join(t.orders.filter("o_orderkey % 3 = 0"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.lit("missing").alias("side"), F.col("c_custkey").alias("id"))
-    stale = t.orders.select("o_custkey").distinct().join(t.customer.filter("c_custkey % 2 = 0"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.lit("stale").alias("side"), F.col("o_custkey").alias("id"))
+    missing = t.customer.join(t.orders.filter("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.lit("missing").alias("side"), F.col("c_custkey").alias("id"))
+    stale = t.orders.select("o_custkey").distinct().join(t.customer.filter("c_acctbal > 0"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.lit("stale").alias("side"), F.col("o_custkey").alias("id"))
     return missing.unionByName(stale)
 
 
@@ -350,7 +350,7 @@ def owner_search(t: Tables) -> DataFrame:
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) > 1 ORDER BY total_acres DESC, owner LIMIT 100""")
 def owner_rollup(t: Tables) -> DataFrame:
     parcels = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.upper("c_name").alias("owner"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("area_sqm"))
-    top = owners.rollup(parcels).orderBy(F.desc("total_acres"), "owner").limit(100)
+    top = owners.top_owners(parcels, 100)
     return top.withColumn("parcel_ids", F.array_join(F.transform("parcel_ids", lambda i: i.cast("string")), ","))
 
 
@@ -405,10 +405,10 @@ def two_level_mean(t: Tables) -> DataFrame:
     return m.agg((F.sum("m").cast("double") / n).alias("mean"), F.min("m").cast("double").alias("low"), F.max("m").cast("double").alias("high"), n.alias("n"))
 
 
-@query("SELECT count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean, min(value) AS low, max(value) AS high FROM events WHERE value > 0 AND user_id < 10")
+@query("SELECT count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean, min(value) AS low, max(value) AS high FROM events WHERE value > 0")
 def point_stats(t: Tables) -> DataFrame:
     n = F.count(F.lit(1))
-    return t.events.filter("value > 0 AND user_id < 10").agg(n.alias("n"), (_sum("value") / n).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return t.events.filter("value > 0").agg(n.alias("n"), (_sum("value") / n).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
 @query("SELECT count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean, min(value) AS low, max(value) AS high FROM events WHERE value > 0 AND event_type <> 'error'")
@@ -518,9 +518,9 @@ def nested_topk(t: Tables) -> DataFrame:
     return t.customer.join(recent, F.col("c_custkey") == F.col("o_custkey"), "left_semi").orderBy("c_custkey").limit(10).select("c_custkey", "c_name")
 
 
-@query("SELECT DISTINCT p_brand FROM part WHERE p_partkey < 60 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey BETWEEN 100 AND 112)")
+@query("SELECT DISTINCT p_name FROM part WHERE p_size <= 40 AND p_name NOT IN (SELECT p_name FROM part WHERE p_size > 40)")
 def set_diff(t: Tables) -> DataFrame:
-    return t.part.filter("p_partkey < 60").select("p_brand").subtract(t.part.filter("p_partkey BETWEEN 100 AND 112").select("p_brand"))
+    return t.part.filter("p_size <= 40").select("p_name").subtract(t.part.filter("p_size > 40").select("p_name"))
 
 
 @query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -537,17 +537,17 @@ def concat_union(t: Tables) -> DataFrame:
 # --- sinks and mutations, as the tables that they leave
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey < 1000 UNION ALL SELECT c_custkey, 'new ' || c_name FROM customer WHERE c_custkey >= 1000 AND c_custkey % 2 = 0")
+@query("SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_name ELSE 'new ' || c_name END AS c_name FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_acctbal > 0")
 def insert_ignore(t: Tables) -> DataFrame:
-    c = t.customer.select("c_custkey", "c_name")
-    return relational.insert_ignore(c.filter("c_custkey < 1000"), c.filter("c_custkey % 2 = 0").withColumn("c_name", F.concat(F.lit("new "), "c_name")), "c_custkey")
+    old = t.customer.filter("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_name")
+    return relational.insert_ignore(old, t.customer.filter("c_acctbal > 0").select("c_custkey", F.concat(F.lit("new "), "c_name").alias("c_name")), "c_custkey")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey < 1000 THEN c_name ELSE 'fresh' END AS c_name FROM customer WHERE c_custkey < 1000 OR c_custkey % 3 = 0")
+@query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_name ELSE 'fresh' END AS c_name FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_acctbal > 0")
 def upsert(t: Tables) -> DataFrame:
-    c = t.customer.select("c_custkey", "c_acctbal", "c_name")
-    new = c.filter("c_custkey % 3 = 0").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), F.lit("fresh").alias("c_name"))
-    return relational.upsert(c.filter("c_custkey < 1000"), new, "c_custkey", ["c_acctbal"])
+    old = t.customer.filter("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_acctbal", "c_name")
+    new = t.customer.filter("c_acctbal > 0").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), F.lit("fresh").alias("c_name"))
+    return relational.upsert(old, new, "c_custkey", ["c_acctbal"])
 
 
 @query("SELECT c_custkey, CASE WHEN c_mktsegment <> 'FURNITURE' THEN c_name ELSE 'new ' || c_name END AS c_name FROM customer WHERE c_mktsegment <> 'FURNITURE' OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
@@ -578,7 +578,7 @@ def archive_split(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING'")
 def anti_filter(t: Tables) -> DataFrame:
-    return t.customer.join(t.customer.filter("c_mktsegment = 'BUILDING'").select("c_custkey"), "c_custkey", "left_anti").select("c_custkey")
+    return t.customer.filter(~F.col("c_mktsegment").eqNullSafe("BUILDING")).select("c_custkey")
 
 
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY")

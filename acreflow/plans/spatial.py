@@ -62,12 +62,13 @@ def dist_join(t: Tables) -> DataFrame:
 NEAREST = "2 * 6371008.8 * asin(sqrt(least(power(sin(radians(plat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(plat)) * power(sin(radians(plon - lon) / 2), 2), 1)))"
 
 
-@query(f"""SELECT id, sid FROM (SELECT id, sid, d, row_number() OVER (PARTITION BY id ORDER BY round(d, 3), sid) AS r FROM (SELECT c.id, s.sid, {NEAREST} AS d FROM (SELECT c_custkey AS id, -94 + (c_custkey % 37) * 0.05::DOUBLE AS lon, 41 + (c_custkey % 29) * 0.04::DOUBLE AS lat FROM customer) c
-JOIN (SELECT s_suppkey AS sid, -94 + (s_suppkey % 11) * 0.17::DOUBLE AS plon, 41 + (s_suppkey % 7) * 0.19::DOUBLE AS plat FROM supplier WHERE s_suppkey < 77) s ON abs(lon - plon) <= 0.5 AND abs(lat - plat) <= 0.5)) WHERE r = 1 AND d < 50000""")
+@query(f"""SELECT id, sid FROM (SELECT id, sid, d, row_number() OVER (PARTITION BY id ORDER BY round(d, 3), sid) AS r FROM (SELECT s.id, c.sid, {NEAREST} AS d FROM (SELECT s_suppkey AS id, -169.963 + (s_suppkey % 3400) * 0.1::DOUBLE AS lon, -59.963 + (s_suppkey // 3400) * 0.1::DOUBLE AS lat FROM supplier) s
+JOIN (SELECT c_custkey AS sid, -170 + (c_custkey % 13600) * 0.025::DOUBLE AS plon, -60 + (c_custkey // 13600) * 0.025::DOUBLE AS plat FROM customer) c ON plon BETWEEN lon - 0.5 AND lon + 0.5 AND plat BETWEEN lat - 0.5 AND lat + 0.5)) WHERE r = 1 AND d < 50000""")
 def nearest(t: Tables) -> DataFrame:
+    """The nearest customer to each supplier, on lattices without repeats as below."""
     c, s = F.col("c_custkey"), F.col("s_suppkey")
-    points = t.customer.select(c.alias("id"), (F.lit(-94) + (c % 37) * F.lit(0.05)).alias("lon"), (F.lit(41) + (c % 29) * F.lit(0.04)).alias("lat"))
-    places = t.supplier.filter("s_suppkey < 77").select(s.alias("sid"), (F.lit(-94) + (s % 11) * F.lit(0.17)).alias("plon"), (F.lit(41) + (s % 7) * F.lit(0.19)).alias("plat"))
+    points = t.supplier.select(s.alias("id"), (F.lit(-169.963) + (s % 3400) * F.lit(0.1)).alias("lon"), (F.lit(-59.963) + F.floor(s / 3400) * F.lit(0.1)).alias("lat"))
+    places = t.customer.select(c.alias("sid"), (F.lit(-170) + (c % 13600) * F.lit(0.025)).alias("plon"), (F.lit(-60) + F.floor(c / 13600) * F.lit(0.025)).alias("plat"))
     return spatial.nearest(points, places, "id", "sid").select("id", "sid")
 
 
@@ -115,7 +116,7 @@ def feature_json(t: Tables) -> DataFrame:
 @query("SELECT p_type AS county, count(*) AS parcels, CAST(sum(p_size) AS BIGINT) AS acres, 'parcels-' || lower(replace(p_type, ' ', '-')) || '.geojson' AS filename FROM part GROUP BY p_type")
 def manifest(t: Tables) -> DataFrame:
     name = F.concat(F.lit("parcels-"), F.regexp_replace(F.lower("p_type"), r"\s+", "-"), F.lit(".geojson"))
-    return t.part.groupBy(F.col("p_type").alias("county")).agg(F.count(F.lit(1)).alias("parcels"), F.sum("p_size").cast("long").alias("acres")).join(t.part.select(F.col("p_type").alias("county"), name.alias("filename")).distinct(), "county")
+    return t.part.groupBy("p_type").agg(F.count(F.lit(1)).alias("parcels"), F.sum("p_size").cast("long").alias("acres")).select(F.col("p_type").alias("county"), "parcels", "acres", name.alias("filename"))
 
 
 @query(f"SELECT bid, x0 AS xmin, y0 AS ymin, x1 AS xmax, y1 AS ymax FROM {BOXES}")
@@ -247,11 +248,16 @@ def dissolved_polygons(t: Tables) -> DataFrame:
     return found.groupBy("kind").agg(F.count(F.lit(1)).alias("polygons"), F.sum(geo.polygon_area(F.col("polygon"))).alias("area"))
 
 
-@query("SELECT s_suppkey, i, CAST(round(CAST(500 * cos(i / 32.0 * 2 * pi()) / 6378137 * (180 / pi()) / cos(42 * pi() / 180) AS DECIMAL(18,9)), 7) AS DOUBLE) AS dx, CAST(round(CAST(500 * sin(i / 32.0 * 2 * pi()) / 6378137 * (180 / pi()) AS DECIMAL(18,9)), 7) AS DOUBLE) AS dy FROM (SELECT s_suppkey FROM supplier WHERE s_suppkey < 5) CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(33))")
+_LAT = "radians(41 + (s_suppkey % 29) * 0.04::DOUBLE)"
+
+
+@query(f"SELECT s_suppkey, i, CAST(round(CAST(500 * cos(i / 32.0 * 2 * pi()) / 6378137 * (180 / pi()) / cos({_LAT}) AS DECIMAL(18,9)), 7) AS DOUBLE) AS dx, CAST(round(CAST(500 * sin(i / 32.0 * 2 * pi()) / 6378137 * (180 / pi()) AS DECIMAL(18,9)), 7) AS DOUBLE) AS dy FROM supplier CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(33))")
 def circle_poly(t: Tables) -> DataFrame:
-    ring = t.supplier.filter("s_suppkey < 5").select("s_suppkey", F.posexplode(geo.circle(F.col("s_suppkey").cast("double") * 0, F.lit(42.0))).alias("i", "p")).filter("i < 33")
+    """Circles around all places, each at its own latitude."""
+    lat = F.lit(41) + (F.col("s_suppkey") % 29) * F.lit(0.04)
+    ring = t.supplier.select("s_suppkey", lat.alias("lat"), F.posexplode(geo.circle(F.lit(0.0), lat)).alias("i", "p")).filter("i < 33")
     seven = lambda v: F.round(v.cast("decimal(18,9)"), 7).cast("double")
-    return ring.select("s_suppkey", "i", seven(F.col("p.x")).alias("dx"), seven(F.col("p.y") - 42).alias("dy"))
+    return ring.select("s_suppkey", "i", seven(F.col("p.x")).alias("dx"), seven(F.col("p.y") - F.col("lat")).alias("dy"))
 
 
 @query("SELECT s_suppkey, i, CAST(round(CAST(500 * cos(i / 32.0 * 2 * pi()) / 6378137 * (180 / pi()) / cos(42 * pi() / 180) AS DECIMAL(18,9)), 7) AS DOUBLE) AS dx, CAST(round(CAST(500 * sin(i / 32.0 * 2 * pi()) / 6378137 * (180 / pi()) AS DECIMAL(18,9)), 7) AS DOUBLE) AS dy FROM supplier CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(33))")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from acreflow.operators import relational
+from acreflow.operators.storage import materialize
 
 
 def alerts(runs: DataFrame, history: DataFrame) -> DataFrame:
@@ -17,22 +20,61 @@ def alerts(runs: DataFrame, history: DataFrame) -> DataFrame:
     return relational.anomalies(runs, history)
 
 
-def upsert_batches(spark_path: Callable[[], tuple[str, str]], key: str, update: list[str]):
-    """A foreachBatch function that puts each batch into a table kept in two turns of folders.
+def upsert_batches(path: str, key: str, update: list[str], last: str | None = None, buckets: int = 64):
+    """A foreachBatch function that puts each batch into a table of buckets by key's hash.
 
-    ``spark_path`` gives (path of the table now, path for the table after); a
-    batch that runs again writes the same rows.
+    Only the buckets that the batch touches are read and written.  Of a
+    batch's rows with one key the greatest by column ``last``, then by all
+    columns, stands, so a batch that runs again writes the same rows.
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        now, after = spark_path()
-        old = batch.sparkSession.read.parquet(now)
-        one = batch.dropDuplicates([key])
-        relational.upsert(old, one, key, update).write.mode("overwrite").parquet(after)
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        one = relational.one_each(batch, key, last)
+        touched = [r[0] for r in one.select(bucket).distinct().collect()]  # at most ``buckets``
+        if not touched:
+            return
+        try:
+            old = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).drop("bucket")
+        except AnalysisException:
+            old = spark.createDataFrame([], batch.schema)
+        after = materialize(relational.upsert(old.select(*batch.columns), one, key, update).withColumn("bucket", bucket))
+        after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return put
 
 
+def on_tick(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "1 minute"):
+    """A query that runs a batch at each tick, or once over all there is if ``every`` is None; one batch ends before the next begins."""
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+class Progress(StreamingQueryListener):
+    """Counts of the batches and rows of queries by name, for those who ask; register with ``spark.streams.addListener``."""
+
+    def __init__(self) -> None:
+        self.batches: dict[str, int] = {}
+        self.rows: dict[str, int] = {}
+        self.ended: set[str] = set()
+        self._names: dict[str, str] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self._names[str(event.id)] = event.name or str(event.id)
+
+    def onQueryProgress(self, event) -> None:
+        name = event.progress.name or str(event.progress.id)
+        self.batches[name] = self.batches.get(name, 0) + 1
+        self.rows[name] = self.rows.get(name, 0) + event.progress.numInputRows
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(self._names.get(str(event.id), str(event.id)))
+
+
 def first_seen(requests: DataFrame, key: str, at: str, lateness: str = "1 hour") -> DataFrame:
     """Requests whose key was not seen within the lateness."""
     return requests.withWatermark(at, lateness).dropDuplicatesWithinWatermark([key])
@@ -81,7 +123,8 @@ def work_batches(handle: Callable[[DataFrame], DataFrame], write: Callable[[Data
             done = handle(rows).select("id", "ok").persist()
             ends = F.col("ok") | F.lit(attempt > retries)
             write(done.filter(ends).select("id", F.when(F.col("ok"), "completed").otherwise("failed").alias("status"), F.lit(attempt).alias("attempts")))
-            again = done.filter(~ends)
+            again = materialize(done.filter(~ends))
+            done.unpersist()
             if again.isEmpty():
                 return
             rows = rows.join(again, "id", "left_semi")

@@ -69,13 +69,107 @@ def test_saved_auctions(spark):
     assert (got["u2"].title, got["u2"].status, str(got["u2"].auction_date)) == ("Land", "active", "2025-10-24")
 
 
-def test_geocode_cascade(spark):
-    a = spark.createDataFrame([(1, "x", "Polk County"), (2, None, "Story"), (3, None, "story"), (4, None, None)], "id int, address string, county string")
-    address = spark.createDataFrame([("x", 1.0, 2.0)], "address string, lat double, lon double")
-    legal = spark.createDataFrame([(1, 5.0, 5.0)], "id int, lat double, lon double")
+ADDRESS = "address string, lat double, lon double, lat2 double, lon2 double, inside boolean, inside2 boolean"
+
+
+def test_geocode_cascades(spark):
+    a = spark.createDataFrame([(1, "x", "Polk County", "Iowa"), (2, None, "Story", "Iowa"), (3, "y", "story", "Iowa"), (4, None, None, "Iowa"), (5, "y", "Polk", "Iowa"), (6, "z", "Polk", "Ohio"), (7, None, "Story", "Ohio")], "id int, address string, county string, state string")
+    address = spark.createDataFrame([("x", 1.0, 2.0, None, None, False, None), ("y", None, None, 6.0, 6.0, None, True), ("z", 7.0, 7.0, 8.0, 8.0, False, True)], ADDRESS)
+    legal = spark.createDataFrame([(1, 5.0, 5.0, "section"), (2, 5.5, 5.5, "township")], "id int, lat double, lon double, level string")
     centroid = spark.createDataFrame([("Polk", 3.0, 3.0), ("Story", 4.0, 4.0)], "county string, lat double, lon double")
-    got = {r.id: (r.latitude, r.method) for r in products.geocoded(a, address, legal, centroid).collect()}
-    assert got == {1: (1.0, "address"), 2: (4.0, "centroid"), 3: (None, None), 4: (None, None)}
+    got = {r.id: (r.latitude, r.method, r.confidence) for r in products.geocoded(a, address, legal, centroid).collect()}
+    assert got == {1: (1.0, "address", 95), 2: (5.5, "legal", 60), 3: (6.0, "address_2", 90), 4: (None, None, None), 5: (6.0, "address_2", 90), 6: (7.0, "address", 95), 7: (4.0, "centroid", 50)}
+    got = {r.id: (r.latitude, r.method, r.confidence) for r in products.geocoded_farmland(a, address, legal, centroid).collect()}
+    assert got == {1: (5.0, "legal", "high"), 2: (5.5, "legal", "high"), 3: (6.0, "address_2", "medium"), 4: (None, None, None), 5: (6.0, "address_2", "medium"), 6: (8.0, "address_2", "medium"), 7: (None, None, None)}
+    places = spark.createDataFrame([("in", 0.1, 0.0), ("out", 3.0, 0.0)], "key string, lon double, lat double")
+    assert [r.key for r in products.near_parcels(places, parcels(spark)).collect()] == ["in"]
+
+
+def test_placed_auctions(spark):
+    stored = spark.createDataFrame([], "url string, title string, description string, status string, auction_date date, needs_review boolean")
+    scraped = [("a", "x", "Polk", "Iowa"), ("b", None, "Story County", "Iowa"), ("c", None, "Story", "Ohio"), ("d", "y", None, None), ("e", None, None, "Iowa")]
+    new = spark.createDataFrame([(u, u, "d", "open", [None], x, c, s) for u, x, c, s in scraped], "url string, title string, description string, sold_status string, date_texts array<string>, address string, county string, state string")
+    address = spark.createDataFrame([("x", 1.0, 1.0, "Dallas", "Iowa"), ("y", 2.0, 2.0, "Linn", "Iowa")], "address string, lat double, lon double, county string, state string")
+    centroids = spark.createDataFrame([("Polk", 3.0, 3.0), ("Story", 4.0, 4.0)], "county string, lat double, lon double")
+    counties = spark.createDataFrame([("Story", "Ohio", 5.0, 5.0)], "county string, state string, lat double, lon double")
+    got = {r.url: (r.county, r.latitude, r.county_level) for r in products.placed_auctions(stored, new, F.lit("2025-06-01").cast("date"), address, centroids, counties).collect()}
+    assert got == {"a": ("Polk", 1.0, False), "b": ("Story County", 4.0, True), "c": ("Story", 5.0, True), "d": ("Linn", 2.0, False), "e": (None, None, False)}
+
+
+AUCTION = "id int, county string, state string, latitude double, longitude double, raw_data string, source string"
+
+
+def auctions(spark):
+    return spark.createDataFrame([(1, "Polk County", "Iowa", None, None, '{"k": "v", "geocodingMethod": "old"}', "s"), (2, "Polk", "Iowa", 1.0, 1.0, None, "s"), (3, "Nowhere", "Iowa", None, None, None, "s"), (4, "Polk", "Ohio", None, None, None, "t")], AUCTION)
+
+
+def test_counties_and_backfill(spark):
+    places = spark.createDataFrame([(2, "Story"), (1, "Story"), (4, "Polk")], "id int, county string")
+    assert {r.id: r.county for r in products.counties_fixed(auctions(spark), places).collect()} == {1: "Polk County", 2: "Story", 3: "Nowhere", 4: "Polk"}
+    centroids = spark.createDataFrame([("Polk", 3.0, 4.0)], "county string, lat double, lon double")
+    got = {r.id: r for r in products.backfilled(auctions(spark), centroids).collect()}
+    assert {i: r.latitude for i, r in got.items()} == {1: 3.0, 2: 1.0, 3: None, 4: None}
+    assert json.loads(got[1].raw_data) == {"k": "v", "isCountyLevel": "true", "geocodingMethod": "county-centroid"} and got[2].raw_data is None
+    assert sorted(tuple(r) for r in products.investigated(auctions(spark), centroids).collect()) == [("s", 3, 1, 2, 1), ("t", 1, 0, 1, 1)]
+
+
+def test_auction_lists(spark):
+    rows = [(1, "active", 100.0, "2025-06-10", 41.5, -93.0, None, 5.0, "Farm", "Polk"), (2, "active", 10.0, "2025-06-05", None, None, 80.0, None, "Farm", "Story"), (3, "sold", 100.0, "2025-06-10", 41.5, -93.0, 80.0, 5.0, "Farm", "Polk"), (4, "active", 100.0, "2026-06-10", 41.5, -93.0, 50.0, 5.0, "Timber", "Polk"), (5, "active", 100.0, None, 10.0, 10.0, 80.0, 5.0, "Farm", "Polk")]
+    a = spark.createDataFrame(rows, "id int, status string, acreage double, d string, latitude double, longitude double, csr2_mean double, estimated_value double, land_type string, county string").withColumn("auction_date", F.col("d").cast("timestamp"))
+    as_of, box = F.lit("2025-06-01").cast("timestamp"), (40.0, 44.0, -97.0, -90.0)
+    ids = lambda d: [r.id for r in products.auction_page(d).collect()]
+    assert ids(products.auction_list(a, box, {}, as_of)) == [1, 4]
+    listed = products.auction_list(a, box, {"min_csr2": 60}, as_of, without_place=True)
+    assert ids(listed) == [2, 1] and products.auction_count(listed).first()[:] == (2, 1)
+    assert ids(products.auction_list(a, box, {"days": 30, "min_acreage": 50, "land_types": ["Farm"], "counties": None}, as_of)) == [1]
+    assert len(relational.page(a, [F.col("id")], 5000, most=3, offset=-1).collect()) == 3
+
+
+def test_request_rules(spark):
+    kind = "id int, county string, state string, land_type string, acreage double, tillable_acres double, cash_rent double, cap_rate double, non_tillable string"
+    rows = [(1, "Polk", "Iowa", "CRP", 10.0, 5.0, None, None, None), (2, None, "", "Desert", 0.0, 5.0, 2000.0, 0.5, "x"), (3, "Polk", "Iowa", "CRP", None, -1.0, 0.0, 0.01, "CRP")]
+    good, bad = products.valid_requests(spark.createDataFrame(rows, kind))
+    assert [r.id for r in good.collect()] == [1] and good.columns == [c.split()[0] for c in kind.split(", ")]
+    errors = {r.id: r.errors for r in bad.collect()}
+    assert len(errors[2]) == 8 and errors[3] == ["Acreage must be greater than 0", "Tillable acres must be non-negative", "Tillable acres cannot exceed total acres"]
+
+
+def test_runs_that_are_due(spark):
+    d = spark.createDataFrame([(None,), ("2025-01-01 10:00:00",), ("2025-01-01 09:59:59",), ("2025-01-01 11:00:00",)], "t string").withColumn("t", F.col("t").cast("timestamp"))
+    assert [r[0] for r in d.select(relational.is_due(F.col("t"), F.lit("2025-01-01 12:00:00").cast("timestamp"))).collect()] == [True, True, True, False]
+
+
+def test_one_row_of_each_key(spark):
+    d = spark.createDataFrame([(1, "a", 5), (1, "b", 1), (2, None, None)], "k int, v string, at int")
+    assert sorted(map(tuple, relational.one_each(d, "k").collect())) == [(1, "b", 1), (2, None, None)]
+    assert sorted(map(tuple, relational.one_each(d, "k", "at").collect())) == [(1, "a", 5), (2, None, None)]
+    assert relational.upsert(d.limit(0), d, "k", ["v"]).count() == 2
+
+
+def test_auction_values_and_point_ratings(spark):
+    box = lambda rows: spark.createDataFrame(rows, "mukey string, xmin double, ymin double, xmax double, ymax double").withColumn("ring", geo.box_ring(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")))
+    units, ratings = box([("m1", -1.0, -1.0, 0.0, 1.0), ("m2", 0.0, -1.0, 1.0, 1.0)]), spark.createDataFrame([("m1", 60, 100), ("m2", 80, 50), ("m2", 40, 50)], "mukey string, rating int, percent int")
+    a = spark.createDataFrame([(1, 0.0, 0.0, 10.0), (2, None, 0.0, 1.0), (3, 0.0, 0.5, 0.0)], "id int, latitude double, longitude double, acreage double")
+    samples = spark.createDataFrame([], "sx double, sy double, value double")
+    got = {r.id: r for r in products.auction_values(a, units, ratings, samples).collect()}
+    assert set(got) == {1, 3} and got[1].csr2_mean == pytest.approx(60.0) and (got[1].csr2_low, got[1].csr2_high) == (40, 80)
+    assert got[1].estimated_value == pytest.approx(60 * 174) and got[1].estimated_total == pytest.approx(60 * 1740) and got[3].estimated_total is None
+    points = spark.createDataFrame([(1, -0.5, 0.0), (2, 0.5, 0.5), (3, 5.0, 5.0)], "id int, x double, y double")
+    assert {r.id: r["mean"] for r in products.point_ratings(points, units, ratings).collect()} == {1: 60, 2: 60}
+
+
+def test_clusters_with_polygons(spark):
+    """Triangles whose boxes touch stand apart; those that touch have one outline."""
+    tri = lambda x, y: [{"x": p, "y": q} for p, q in ((x, y), (x + 0.001, y), (x, y + 0.001), (x, y))]
+    rows = [(1, "A", "ADAIR", tri(0.0, 0.0)), (2, "A", "ADAIR", tri(0.001, 0.001)), (3, "A", "ADAIR", [{"x": 0.001, "y": 0.0}, {"x": 0.001, "y": 0.001}, {"x": 0.0, "y": 0.001}, {"x": 0.001, "y": 0.0}][:4])]
+    d = spark.createDataFrame(rows, f"id long, deed_holder string, county string, ring {geo.RING}").withColumns({"owner": F.col("deed_holder"), "area_sqm": F.lit(4046.86)})
+    d = d.withColumn("e", geo.envelope(F.col("ring"))).select("*", "e.*")
+    two = products.county_clusters(d.filter("id < 3"), eps=1e-5).collect()
+    assert sorted((r.parcel_ids, len(r.polygons)) for r in two) == [([1], 1), ([2], 1)]
+    (one,) = products.county_clusters(d.filter("id != 2"), eps=1e-5).collect()
+    assert one.parcel_ids == [1, 3] and [len(p[0]) for p in one.polygons] == [5]
+    assert [r.parcel_ids for r in products.clusters_in_box(d.filter("id != 2"), -1, -1, 1, 1).collect()] == [[1, 3]]
+    assert products.owner_polygons(d.filter("id != 2")).count() == 1
 
 
 def test_audit_and_anomalies(spark):

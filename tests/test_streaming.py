@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -42,11 +43,38 @@ def test_alerts(spark, tmp_path):
 
 
 def test_upserts(spark, tmp_path):
-    old, new = str(tmp_path / "t0"), str(tmp_path / "t1")
-    spark.createDataFrame([("u1", "a", 1)], "url string, title string, n int").write.parquet(old)
-    src = stream_of(spark, tmp_path / "in", [("u1", "b", 2), ("u2", "c", 3)], "url string, title string, n int")
-    src.writeStream.foreachBatch(streams.upsert_batches(lambda: (old, new), "url", ["n"])).trigger(availableNow=True).start().awaitTermination(120)
-    assert sorted(tuple(r) for r in spark.read.parquet(new).collect()) == [("u1", "a", 2), ("u2", "c", 3)]
+    path, kind = str(tmp_path / "table"), "url string, title string, n int, at int"
+    put = streams.upsert_batches(path, "url", ["n"], last="at", buckets=4)
+    put(spark.createDataFrame([(f"u{i}", "a", 1, 0) for i in range(20)], kind), 0)
+    before = {f.path: f.modificationTime for f in spark.read.format("binaryFile").load(path).select("path", "modificationTime").collect()}
+    rows = [("u1", "b", 2, 1), ("u1", "c", 3, 9), ("u1", "d", 9, 5), ("new", "c", 3, 0)]
+    src = stream_of(spark, tmp_path / "in", rows, kind)
+    src.writeStream.foreachBatch(put).trigger(availableNow=True).start().awaitTermination(120)
+    put(spark.createDataFrame(rows, kind), 1)  # again
+    got = {r.url: (r.title, r.n) for r in spark.read.parquet(path).collect()}
+    assert got == {f"u{i}": ("a", 1) for i in range(20)} | {"u1": ("a", 3), "new": ("c", 3)}
+    after = {f.path: f.modificationTime for f in spark.read.format("binaryFile").load(path).select("path", "modificationTime").collect()}
+    assert set(before.items()) & set(after.items())  # buckets that no row touched stand as they were
+    put(spark.createDataFrame([], kind), 2)
+
+
+def test_ticks_and_progress(spark, tmp_path):
+    listener = streams.Progress()
+    spark.streams.addListener(listener)
+    try:
+        seen = []
+        src = stream_of(spark, tmp_path / "r", [(i,) for i in range(7)], "n int")
+        for _ in range(2):
+            streams.on_tick(src, lambda d, i: seen.append(d.count()), str(tmp_path / "c"), every=None).awaitTermination(120)
+        assert sum(seen) == 7  # a second run finds nothing new
+        run(src, "told")
+        for _ in range(100):
+            if "told" in listener.ended:
+                break
+            time.sleep(0.1)
+        assert listener.rows["told"] == 7 and listener.batches["told"] >= 1
+    finally:
+        spark.streams.removeListener(listener)
 
 
 def test_work_queue(spark, tmp_path):
