@@ -12,7 +12,7 @@ from .minhash import near_duplicates
 from .mixing import mix
 from .pieces import encoding_digest
 from .secretscan import secret_digest
-from .spotsigs import neighbour_digest
+from .spotsigs import ANTECEDENTS, neighbour_digest, similar_documents
 
 
 def op1_language_id(spark, sf_dir):
@@ -51,11 +51,16 @@ def op9_spotsigs(spark, sf_dir):
     return neighbour_digest(documents(spark, sf_dir))
 
 
+def spotsigs_classes(spark, sf_dir):
+    """The length partitions and the pruned Jaccard of operator 9, over all documents."""
+    return similar_documents(documents(spark, sf_dir))
+
+
 def op10_mix_sources(spark, sf_dir):
     return mix(documents(spark, sf_dir)).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_minhash_dedup, op4_media_columns, op5_sentencepiece, op6_line_dedup, op7_secret_scan, op8_license_scan, op9_spotsigs, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_minhash_dedup, op4_media_columns, op5_sentencepiece, op6_line_dedup, op7_secret_scan, op8_license_scan, op9_spotsigs, op10_mix_sources, spotsigs_classes)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -73,4 +78,22 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked JOIN bitmaps USING (doc_id) GROUP BY doc_id
 """
 
-ORACLES = {"op6_line_dedup": OP6_SQL.format(table="documents")}
+_ANTECEDENTS = ", ".join(f"'{w}'" for w in sorted(set(ANTECEDENTS)))
+
+#: Chains of three content words behind common words, and all sets that share a chain.
+SPOTSIGS_SQL = f"""
+WITH split AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+     placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split),
+     marked AS (SELECT *, word IN ({_ANTECEDENTS}) AS common, lag(word IN ({_ANTECEDENTS})) OVER (PARTITION BY doc_id ORDER BY i) AS begins, max(CASE WHEN word NOT IN ({_ANTECEDENTS}, '') THEN i END) OVER (PARTITION BY doc_id) AS last_i FROM placed),
+     content AS (SELECT doc_id, word, begins, lead(word) OVER d AS second, lead(word, 2) OVER d AS third FROM marked WHERE NOT common AND i <= last_i WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+     chains AS (SELECT DISTINCT doc_id, word || ' ' || second || ' ' || third AS g FROM content WHERE begins AND third IS NOT NULL),
+     sigs AS (SELECT * FROM chains UNION ALL SELECT doc_id, '# ' || array_to_string(w, ' ') FROM split WHERE doc_id NOT IN (SELECT doc_id FROM chains)),
+     sets AS (SELECT doc_id, count(*) AS n, string_agg(g, '|' ORDER BY g) AS s FROM sigs GROUP BY doc_id),
+     classes AS (SELECT s, n, min(doc_id) AS rep FROM sets GROUP BY s, n),
+     flat AS (SELECT rep, n, g FROM classes JOIN sigs ON sigs.doc_id = rep),
+     pairs AS (SELECT a.rep AS a, b.rep AS b, count(*)::DOUBLE / (a.n + b.n - count(*)) AS likeness FROM flat a JOIN flat b ON a.g = b.g AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n),
+     links AS (SELECT a AS rep, count(*) AS n_links, max(likeness) AS nearest FROM pairs WHERE likeness * 100 >= 75 GROUP BY a)
+SELECT doc_id, rep AS class_id, coalesce(n_links, 0) AS n_links, nearest FROM sets JOIN classes USING (s, n) LEFT JOIN links USING (rep)
+"""
+
+ORACLES = {"op6_line_dedup": OP6_SQL.format(table="documents"), "spotsigs_classes": SPOTSIGS_SQL}

@@ -115,6 +115,17 @@ def _digests(met: DataFrame) -> DataFrame:
     return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), out.alias("o")).select("doc_id", "n_chars", "edited_sha256", "o.*")
 
 
+def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, s, n and two hashes of the set, of the rows with an id."""
+    sets = docs.select(F.col(key).alias("doc_id"), signatures(F.col(text)).alias("s")).filter("doc_id IS NOT NULL")
+    return materialize(sets.select("doc_id", "s", F.size("s").alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(3), "s").alias("h2")))
+
+
+def _classes(sets: DataFrame) -> DataFrame:
+    """h1, h2, n, rep: the least id of each class of equal sets."""
+    return materialize(sets.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
+
+
 def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """a, b, likeness of classes of equal fingerprints, by their least ids, that are at least ``percent`` alike.
 
@@ -123,15 +134,20 @@ def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     partition a set is listed under those of its signatures, rarest first,
     among which it must share one with any similar set.
     """
-    sets = docs.select(F.col(key).alias("doc_id"), signatures(F.col(text)).alias("s")).filter("doc_id IS NOT NULL")
-    classes = materialize(sets.groupBy(F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(3), "s").alias("h2"), F.size("s").alias("n")).agg(F.min("doc_id").alias("rep")))
-    reps = materialize(sets.join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id").dropDuplicates(["doc_id"]))
+    sets = _sets(docs, key, text)
+    return _near_pairs(sets, _classes(sets), percent)
+
+
+def _near_pairs(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    reps = materialize(sets.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2", "n"), ["doc_id", "h1", "h2", "n"]).groupBy("doc_id", "h1", "h2", "n").agg(F.min("s").alias("s")).drop("h1", "h2"))
     flat = reps.select("doc_id", "n", F.explode("s").alias("g"))
     common = flat.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # signatures that no other set has are the rarest, and match nothing: only their number counts
     by_rarity = Window.partitionBy("doc_id").orderBy("df", "g")
-    ranked = flat.join(common, "g", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("r", F.row_number().over(by_rarity) - 1)
-    prefix = ranked.filter((F.col("df") > 1) & (100 * (F.col("n") - F.col("r")) >= percent * F.col("n")))
+    shared = flat.join(common, "g")
+    ranked = shared.withColumn("alone", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).withColumn("r", F.col("alone") + F.row_number().over(by_rarity) - 1)
     step = F.lit(100 / percent)
+    prefix = ranked.filter(100 * (F.col("n") - F.col("r")) >= percent * F.col("n"))
     prefix = materialize(prefix.select("doc_id", "n", "g", "r", F.floor(F.log("n") / F.log(step)).cast("int").alias("part")))
     one = prefix.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"), "g", "part")
     two = prefix.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("r").alias("ry"), "g", F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"))
@@ -141,3 +157,15 @@ def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     left, right = reps.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), reps.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     scored = met.join(left, "a").join(right, "b").select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness"))
     return scored.filter(F.col("likeness") * 100 >= percent)
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, class_id, n_links, nearest of each row with an id: the least id with an equal fingerprint, how many
+    other classes are at least ``percent`` alike, and the greatest likeness among them (null if there are none)."""
+    sets = _sets(docs, key, text)
+    classes = _classes(sets)
+    pairs = materialize(_near_pairs(sets, classes, percent))
+    ends = pairs.select(F.col("a").alias("rep"), "likeness").union(pairs.select("b", "likeness"))
+    links = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"), F.max("likeness").alias("nearest"))
+    named = classes.join(links, "rep", "left")
+    return sets.join(named, ["h1", "h2", "n"]).select("doc_id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "nearest")

@@ -82,3 +82,16 @@ def test_pairs_against_all_pairs(docs, sample, percent):
     want = {(a, b) for b in reps for a in reps if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
     got = {(r.a, r.b) for r in spotsigs.near_pairs(frame, percent=percent).collect()}
     assert want == got and want
+
+
+def test_classes_against_sql(spark, same_rows):
+    from acreflow.llm import queries
+
+    same_rows(queries.spotsigs_classes(spark, "/root/testdata/sf0.001"), queries.ORACLES["spotsigs_classes"])
+
+
+def test_classes_of_odd_texts(docs):
+    frame = docs([*ODD, "the cat sat on mats", "the cat sat on mats", None], ids=[*range(9), 20, 21, None], extra=True)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in spotsigs.similar_documents(frame).collect()}
+    assert set(got) == {*range(9), 20, 21} and got[21] == (20, 0) and got[6][0] == 5 and got[0][0] == got[1][0] == 0
+    assert spotsigs.similar_documents(frame.limit(0)).count() == 0
