@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational, spatial, textvalue
+from . import auctions, relational, spatial, textvalue
 
-QUERIES: dict = {**relational.QUERIES, **textvalue.QUERIES, **spatial.QUERIES}
-ORACLES: dict = {**relational.ORACLES, **textvalue.ORACLES, **spatial.ORACLES}
+QUERIES: dict = {**relational.QUERIES, **textvalue.QUERIES, **spatial.QUERIES, **auctions.QUERIES}
+ORACLES: dict = {**relational.ORACLES, **textvalue.ORACLES, **spatial.ORACLES, **auctions.ORACLES}

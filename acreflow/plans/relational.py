@@ -518,9 +518,9 @@ def nested_topk(t: Tables) -> DataFrame:
     return t.customer.join(recent, F.col("c_custkey") == F.col("o_custkey"), "left_semi").orderBy("c_custkey").limit(10).select("c_custkey", "c_name")
 
 
-@query("SELECT DISTINCT p_name FROM part WHERE p_size <= 40 AND p_name NOT IN (SELECT p_name FROM part WHERE p_size > 40)")
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '2-HIGH')")
 def set_diff(t: Tables) -> DataFrame:
-    return t.part.filter("p_size <= 40").select("p_name").subtract(t.part.filter("p_size > 40").select("p_name"))
+    return t.orders.filter("o_orderstatus = 'O'").select("o_custkey").subtract(t.orders.filter("o_orderpriority = '2-HIGH'").select("o_custkey"))
 
 
 @query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
