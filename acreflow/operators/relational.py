@@ -36,6 +36,18 @@ def conditional_update(df: DataFrame, where: Column, **values: Column) -> DataFr
     return df.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
+#: The status machine of a work queue: from what to what a row may go.
+QUEUE_STEPS = {"pending": ("processing",), "processing": ("completed", "failed"), "failed": ("pending",)}
+
+
+def transitioned(df: DataFrame, to: Column, status: str = "status", steps: dict[str, tuple[str, ...]] = QUEUE_STEPS, first: str = "pending") -> DataFrame:
+    """Rows whose status goes to ``to`` where a step leads there (from null only to ``first``), and ``moved``; others stay as they are."""
+    now = F.col(status)
+    ok = reduce(lambda a, b: a | b, [(now == a) & to.isin(*b) for a, b in steps.items()], now.isNull() & (to == first))
+    moved = F.coalesce(ok, F.lit(False))
+    return df.withColumn("moved", moved).withColumn(status, F.when(F.col("moved"), to).otherwise(now))
+
+
 def archive_split(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     """(archived rows with archived_reason, remaining rows)"""
     told = df.withColumn("archived_reason", reason)

@@ -154,3 +154,15 @@ def county_parcels(t: Tables) -> DataFrame:
     found = products.county_clusters(d, (2,), eps=0.1, cell=4.0)
     area = F.aggregate(F.transform("polygons", geo.polygon_area), F.lit(0.0), lambda s, x: s + x)
     return found.groupBy("owner", "county").agg(F.count(F.lit(1)).alias("clusters"), F.sum("parcel_count").alias("parcels"), F.sum(area).alias("area"))
+
+
+_STATUS = "CASE c_mktsegment WHEN 'BUILDING' THEN 'pending' WHEN 'MACHINERY' THEN 'processing' WHEN 'HOUSEHOLD' THEN 'completed' WHEN 'FURNITURE' THEN 'failed' END"
+_WANTED = "CASE WHEN c_acctbal < 2000 THEN 'processing' WHEN c_acctbal < 5000 THEN 'completed' WHEN c_acctbal < 8000 THEN 'pending' ELSE 'failed' END"
+
+
+@query(f"""SELECT c_custkey, CASE WHEN moved THEN wanted ELSE status END AS status, moved FROM (SELECT *, coalesce((status IS NULL AND wanted = 'pending') OR (status = 'pending' AND wanted = 'processing') OR (status = 'processing' AND wanted IN ('completed', 'failed')) OR (status = 'failed' AND wanted = 'pending'), false) AS moved
+FROM (SELECT c_custkey, {_STATUS} AS status, {_WANTED} AS wanted FROM customer))""")
+def status_machine(t: Tables) -> DataFrame:
+    """Rows of a work queue that go on where a step of the status machine leads there."""
+    d = t.customer.select("c_custkey", F.expr(_STATUS).alias("status"), F.expr(_WANTED).alias("wanted"))
+    return relational.transitioned(d, F.col("wanted")).select("c_custkey", "status", "moved")

@@ -53,6 +53,12 @@ def test_distances(spark):
     assert got == pytest.approx({i: plain_distance(a, b) for i, (a, b) in enumerate(shapes)}, abs=1e-9)
 
 
+def test_middles(spark):
+    frame = spark.createDataFrame([(ring([(0, 0), (4, 0), (4, 1), (0, 3)]),)], f"r {RING}")
+    r = frame.select(geo.vertex_mean(F.col("r")).alias("m"), geo.box_centre(F.col("r")).alias("c")).first()
+    assert (r.m.x, r.m.y, r.c.x, r.c.y) == (2, 1, 2, 1.5)
+
+
 def test_touches(spark):
     box = lambda x, y, w=1, h=1: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
     pairs = [(box(0, 0), box(1, 0), True), (box(0, 0), box(1, 1), True), (box(0, 0), box(1, 0.5), True), (box(0, 0), box(0.5, 0), False), (box(0, 0), box(2, 0), False), (box(0, 0, 4, 4), box(1, 1), False), (box(0, 0), [(0, 2), (1, 1), (2, 2)], True)]
