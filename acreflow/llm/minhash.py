@@ -10,10 +10,11 @@ full shingle sets and union-find grouping.
 2. Documents with equal sets are one class under their least id, so copies
    never meet each other in pairs.
 3. In each band bucket every class meets only the bucket's centre, the member
-   that shares most buckets with others.  These pairs are confirmed on full
-   sets and grouped.
+   that shares most buckets with others (of several the greatest id).  These
+   pairs are confirmed on full sets and grouped.
 4. Where a bucket still holds several groups, members outside the centre's
    group meet one member of it, another in each bucket and each of two rounds.
+   What is found links groups, and only what is still apart is renamed.
 5. What is still apart looks for partners in the other groups of its buckets
    by prefix filtering: two similar sets share one of the rarest shingles of
    both, of so many that the rest could not reach the threshold.  This finds
@@ -23,8 +24,10 @@ full shingle sets and union-find grouping.
 32 bands of 4 slots miss a pair of similarity 0.75 once in 200,000 times.
 
 Defined results: no text or words: no shingles, own component, kept.  A null
-id: null component, kept.  Rows of one id are linked with each other.  An
-empty table gives an empty table.  Other columns are ignored.
+id: null component, kept.  Rows of one id are linked with each other.  Texts of
+any length count whole, in tasks that hold one of them and its shingles.  An
+empty table gives an empty table.  Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
