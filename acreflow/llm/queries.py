@@ -10,6 +10,7 @@ from .linededup import line_dedup_digest
 from .media import media_features
 from .minhash import near_duplicates
 from .mixing import mix
+from .periodic import runs_digest
 from .pieces import encoding_digest
 from .secretscan import secret_digest
 from .spotsigs import ANTECEDENTS, neighbour_digest, similar_documents
@@ -60,7 +61,11 @@ def op10_mix_sources(spark, sf_dir):
     return mix(documents(spark, sf_dir)).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_minhash_dedup, op4_media_columns, op5_sentencepiece, op6_line_dedup, op7_secret_scan, op8_license_scan, op9_spotsigs, op10_mix_sources, spotsigs_classes)}
+def op13_periodic_runs(spark, sf_dir):
+    return runs_digest(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_minhash_dedup, op4_media_columns, op5_sentencepiece, op6_line_dedup, op7_secret_scan, op8_license_scan, op9_spotsigs, op10_mix_sources, op13_periodic_runs, spotsigs_classes)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -96,4 +101,31 @@ WITH split AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^\
 SELECT doc_id, rep AS class_id, coalesce(n_links, 0) AS n_links, nearest FROM sets JOIN classes USING (s, n) LEFT JOIN links USING (rep)
 """
 
-ORACLES = {"op6_line_dedup": OP6_SQL.format(table="documents"), "spotsigs_classes": SPOTSIGS_SQL}
+#: CRC-32 of a number's decimal digits: its table of 256 values, named t where ``_crc32`` stands.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+def _crc32(column: str) -> str:
+    digits = f"list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {digits}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+#: All pairs of equal words of a document: a run is a stretch of pairs one period apart.
+RUNS_SQL = f"""
+WITH crc_table AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+     hashed AS (SELECT doc_id, text, {_crc32('doc_id')} AS h FROM documents, crc_table),
+     split AS (SELECT doc_id, h, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM hashed),
+     sized AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split),
+     cyclic AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM sized),
+     words AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda x: w[1 + CASE WHEN x < a THEN x ELSE a + (x - a) % p END]) END) AS word FROM cyclic),
+     equal AS (SELECT x.doc_id, y.i - x.i AS q, x.i, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS island FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i),
+     stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM equal GROUP BY doc_id, q, island HAVING count(*) >= greatest(12 - q, q)),
+     runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length),
+     told AS (SELECT doc_id, count(*) AS n_runs, arg_min({{'s': start, 'l': length, 'p': period}}, (-length, start, period)) AS top, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS spelled FROM runs GROUP BY doc_id),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+     kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, top.p AS period, 1000 * top.l // top.p AS exponent_milli, sha256(coalesce(spelled, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op6_line_dedup": OP6_SQL.format(table="documents"), "op13_periodic_runs": RUNS_SQL, "spotsigs_classes": SPOTSIGS_SQL}

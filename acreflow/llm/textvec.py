@@ -89,11 +89,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, A-Z taken as a-z."""
+def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, table: np.ndarray = _TABLE) -> np.ndarray:
+    """64-bit hashes of the words, with the default table A-Z taken as a-z."""
     up, down = powers(len(data) + 1)
     run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=run[1:])
+    np.cumsum(table[data] * up[: len(data)], out=run[1:])
     return mix64((run[last] - run[first]) * down[first])
 
 
