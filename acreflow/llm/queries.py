@@ -14,6 +14,7 @@ from .periodic import runs_digest
 from .pieces import encoding_digest
 from .secretscan import secret_digest
 from .spotsigs import ANTECEDENTS, neighbour_digest, similar_documents
+from .turntrie import prefix_trie
 
 
 def op1_language_id(spark, sf_dir):
@@ -61,11 +62,15 @@ def op10_mix_sources(spark, sf_dir):
     return mix(documents(spark, sf_dir)).drop("copies")
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_periodic_runs(spark, sf_dir):
     return runs_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_minhash_dedup, op4_media_columns, op5_sentencepiece, op6_line_dedup, op7_secret_scan, op8_license_scan, op9_spotsigs, op10_mix_sources, op13_periodic_runs, spotsigs_classes)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_minhash_dedup, op4_media_columns, op5_sentencepiece, op6_line_dedup, op7_secret_scan, op8_license_scan, op9_spotsigs, op10_mix_sources, op11_prefix_trie, op13_periodic_runs, spotsigs_classes)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -128,4 +133,21 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, t
 FROM documents LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op6_line_dedup": OP6_SQL.format(table="documents"), "op13_periodic_runs": RUNS_SQL, "spotsigs_classes": SPOTSIGS_SQL}
+#: Every prefix of every rebuilt conversation, grouped by its turns.
+TRIE_SQL = f"""
+WITH crc_table AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+     original AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+     hashed AS (SELECT *, {_crc32('conv_id')} % 6 AS h FROM original, crc_table),
+     convs AS (SELECT c.conv_id, list_concat(coalesce(list_slice(b.own, 1, c.h), []), list_slice(c.own, c.h + 1, len(c.own))) AS turns FROM hashed c LEFT JOIN original b ON b.conv_id = c.conv_id - c.conv_id % 100),
+     members AS (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM convs),
+     prefixes AS (SELECT conv_id, depth, list_slice(turns, 1, depth) AS prefix, len(turns) = depth AS last FROM members),
+     nodes AS (SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE last), '') AS ends,
+                      CASE WHEN depth > 0 THEN (count(*) - 1) * length(prefix[depth].t) ELSE 0 END AS saved FROM prefixes GROUP BY prefix, depth),
+     counted AS (SELECT n.*, p.conv_id AS parent_conv_id, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN nodes p ON p.prefix = list_slice(n.prefix, 1, n.depth - 1) AND p.depth = n.depth - 1
+                 LEFT JOIN (SELECT list_slice(prefix, 1, depth - 1) AS prefix, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL) c ON c.prefix = n.prefix AND c.depth = n.depth),
+     above AS (SELECT prefix, unnest(range(depth + 1)) AS up, saved, n_children = 0 AS leaf FROM counted),
+     below AS (SELECT list_slice(prefix, 1, up) AS prefix, up AS depth, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE leaf) AS n_leaves FROM above GROUP BY ALL)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256 FROM counted JOIN below USING (prefix, depth)
+"""
+
+ORACLES = {"op6_line_dedup": OP6_SQL.format(table="documents"), "op11_prefix_trie": TRIE_SQL, "op13_periodic_runs": RUNS_SQL, "spotsigs_classes": SPOTSIGS_SQL}
