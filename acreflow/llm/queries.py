@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .annscan import nearest_neighbours
 from .common import documents
 from .htmltext import page_texts
 from .langid import language_ids
@@ -66,11 +69,16 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_adaptive_neighbours(spark, sf_dir):
+    """Every row whose id divides by 50 against all others."""
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op13_periodic_runs(spark, sf_dir):
     return runs_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_minhash_dedup, op4_media_columns, op5_sentencepiece, op6_line_dedup, op7_secret_scan, op8_license_scan, op9_spotsigs, op10_mix_sources, op11_prefix_trie, op13_periodic_runs, spotsigs_classes)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_minhash_dedup, op4_media_columns, op5_sentencepiece, op6_line_dedup, op7_secret_scan, op8_license_scan, op9_spotsigs, op10_mix_sources, op11_prefix_trie, op12_adaptive_neighbours, op13_periodic_runs, spotsigs_classes)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
