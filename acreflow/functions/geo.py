@@ -184,6 +184,23 @@ def overlap_area(one: Column, two: Column) -> Column:
     return let(F.struct(one.alias("one"), two.alias("two")), total)
 
 
+def polygon_overlap_area(one: Column, two: Column) -> Column:
+    """Planar area that two polygons with holes have in common: rings count with the sign of outside or hole."""
+
+    def total(x: Column) -> Column:
+        sign = lambda i, j: F.when((i == 0) == (j == 0), F.lit(1.0)).otherwise(F.lit(-1.0))
+        inner = lambda r, i: F.aggregate(F.transform(x["two"], lambda q, j: sign(i, j) * overlap_area(r, q)), F.lit(0.0), lambda s, v: s + v)
+        return F.aggregate(F.transform(x["one"], inner), F.lit(0.0), lambda s, v: s + v)
+
+    return let(F.struct(one.alias("one"), two.alias("two")), total)
+
+
+def outline_length(polygon: Column) -> Column:
+    """Planar length of all rings."""
+    step = lambda e: F.sqrt(F.pow(e["b"]["x"] - e["a"]["x"], F.lit(2)) + F.pow(e["b"]["y"] - e["a"]["y"], F.lit(2)))
+    return F.aggregate(F.flatten(F.transform(polygon, _edges)), F.lit(0.0), lambda s, e: s + step(e))
+
+
 def touches(one: Column, two: Column, tolerance: float = 1e-9) -> Column:
     """Whether two polygons meet, and have no area in common.  Holes are not filled by the other's area."""
     least = lambda p: F.abs(ring_area(F.get(p, 0)))

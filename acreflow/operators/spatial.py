@@ -55,15 +55,26 @@ def nearest(points: DataFrame, places: DataFrame, key: str, place: str, degrees:
     return best.filter(F.col("metres") < most_metres)
 
 
-def overlays(areas: DataFrame, units: DataFrame, cell: float) -> DataFrame:
-    """Pairs of areas (ring, box, ...) and units (unit_ring, box as uxmin.., ...) with their common area."""
+def _overlaid(areas: DataFrame, units: DataFrame, cell: float) -> DataFrame:
+    """Pairs of areas (box) and units (box as uxmin..) whose boxes meet, each once."""
     u = units.select("*", *[F.col(f"u{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
     u = with_cells(u, cell).drop("xmin", "ymin", "xmax", "ymax")
     met = with_cells(areas, cell).join(u, ["cx", "cy"])
     touch = (F.col("xmin") < F.col("uxmax")) & (F.col("uxmin") < F.col("xmax")) & (F.col("ymin") < F.col("uymax")) & (F.col("uymin") < F.col("ymax"))
     # a pair is kept in the one cell that holds the corner where both boxes begin
     home = (F.floor(F.greatest("xmin", "uxmin") / cell) == F.col("cx")) & (F.floor(F.greatest("ymin", "uymin") / cell) == F.col("cy"))
-    return met.filter(touch & home).drop("cx", "cy").withColumn("common", geo.overlap_area(F.col("unit_ring"), F.col("ring")))
+    return met.filter(touch & home).drop("cx", "cy")
+
+
+def overlays(areas: DataFrame, units: DataFrame, cell: float) -> DataFrame:
+    """Pairs of areas (ring, box, ...) and units (unit_ring, box as uxmin.., ...) with their common area."""
+    return _overlaid(areas, units, cell).withColumn("common", geo.overlap_area(F.col("unit_ring"), F.col("ring")))
+
+
+def polygon_overlays(areas: DataFrame, units: DataFrame, cell: float) -> DataFrame:
+    """Pairs of areas (polygon, box, ...) and units (unit_polygon, box as uxmin.., ...), either with holes, with their common area.
+    A multipolygon has a row for each of its polygons, whose areas add up."""
+    return _overlaid(areas, units, cell).withColumn("common", geo.polygon_overlap_area(F.col("unit_polygon"), F.col("polygon")))
 
 
 def near_pairs(parcels: DataFrame, by: list[str], key: str = "id", eps: float = 1e-4, cell: float = 0.01, polygon: str | None = None) -> DataFrame:
@@ -167,7 +178,11 @@ def dissolve(parcels: DataFrame, by: str, ring: str = "ring", cell: float = 0.01
     the corners, so a task holds no more than one polygon's outline.  A hole
     belongs to the least outside that holds it, met in the cells of a grid.
     """
-    outline = materialize(dissolve_edges(parcels, by, ring, cell))
+    return trace_polygons(materialize(dissolve_edges(parcels, by, ring, cell)), by, cell)
+
+
+def trace_polygons(outline: DataFrame, by: str, cell: float) -> DataFrame:
+    """by, polygon of a written outline: directed edges p, q with the inside on their left."""
     node = lambda c: F.xxhash64(by, f"{c}.x", f"{c}.y")
     pieces = components(outline.select(node("p").alias("a"), node("q").alias("b")))
     flat = outline.join(pieces, node("p") == F.col("node"), "left").select(by, F.coalesce("component", node("p")).alias("piece"), F.col("p.x").alias("px"), F.col("p.y").alias("py"), F.col("q.x").alias("qx"), F.col("q.y").alias("qy"))
@@ -176,7 +191,7 @@ def dissolve(parcels: DataFrame, by: str, ring: str = "ring", cell: float = 0.01
         rings = [_straight(r) for r in _traced(group)]
         return pd.DataFrame({by: [group[by].iloc[0]] * len(rings), "ring": [[{"x": x, "y": y} for x, y in r] for r in rings]})
 
-    kind = parcels.schema[by].dataType.simpleString()
+    kind = outline.schema[by].dataType.simpleString()
     rings = materialize(flat.groupBy(by, "piece").applyInPandas(trace, f"{by} {kind}, ring {geo.RING}"))
     e = geo.envelope(F.col("ring"))
     sized = rings.select(by, "ring", geo.ring_area(F.col("ring")).alias("area"), e.alias("e")).select(by, "ring", "area", "e.*").withColumn("id", F.xxhash64(F.lit(by), by, "ring"))

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from acreflow.functions import geo, listings, values
 from acreflow.functions.owners import normalize_owner
-from acreflow.operators import owners, relational, spatial
+from acreflow.operators import overlay, owners, relational, spatial
 from acreflow.operators.storage import materialize
 
-# --- parcels: id, county, deed_holder, area_sqm, ring, xmin, ymin, xmax, ymax
+# --- parcels: id, county, deed_holder, area_sqm, ring or polygon (rings with holes), xmin, ymin, xmax, ymax
 
 
 def with_owner(parcels: DataFrame, variant: str = "loader") -> DataFrame:
@@ -30,12 +30,17 @@ def owner_polygons(parcels: DataFrame, cell: float = 0.01) -> DataFrame:
     """owner, polygon: the union of the parcels of owners of several, a row for each of its polygons."""
     mapped = parcels.filter(F.col("xmin").isNotNull() & F.col("owner").isNotNull())
     several = mapped.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return spatial.dissolve(mapped.join(several, "owner", "left_semi"), "owner", cell=cell)
+    return overlay.union_polygons(_shaped(mapped.join(several, "owner", "left_semi")), "owner", cell=cell)
+
+
+def _shaped(parcels: DataFrame) -> DataFrame:
+    """Parcels with ``polygon``: their own, with holes, or the one ring they have."""
+    return parcels if "polygon" in parcels.columns else parcels.withColumn("polygon", F.when(F.col("ring").isNotNull(), F.array("ring")))
 
 
 def _with_geometry(found: DataFrame, cell: float) -> DataFrame:
     """cluster, polygons of clustered parcels with rings; a cluster's parcels may stand up to the cluster's gap apart, so there may be several."""
-    return spatial.dissolve(found.filter("ring IS NOT NULL"), "cluster", cell=cell).groupBy("cluster").agg(F.collect_list("polygon").alias("polygons"))
+    return overlay.union_polygons(_shaped(found), "cluster", cell=cell).groupBy("cluster").agg(F.collect_list("polygon").alias("polygons"))
 
 
 def county_clusters(parcels: DataFrame, skip: tuple[str, ...] = ("HARRISON",), eps: float = 1e-4, cell: float = 0.01) -> DataFrame:
@@ -47,12 +52,13 @@ def county_clusters(parcels: DataFrame, skip: tuple[str, ...] = ("HARRISON",), e
     found = _clustered(kept, ["owner", "county"], eps, cell)
     acres = values.acres(F.sum(F.col("area_sqm").cast("decimal(28,4)")).cast("double"))
     grouped = found.groupBy("owner", "county", "cluster").agg(F.sort_array(F.collect_list("id")).alias("parcel_ids"), F.count(F.lit(1)).alias("parcel_count"), acres.alias("total_acres"))
-    return (grouped.join(_with_geometry(found, cell), "cluster", "left") if "ring" in parcels.columns else grouped).drop("cluster")
+    return (grouped.join(_with_geometry(found, cell), "cluster", "left") if "polygon" in found.columns else grouped).drop("cluster")
 
 
 def _clustered(parcels: DataFrame, by: list[str], eps: float, cell: float) -> DataFrame:
-    shaped = parcels.withColumn("polygon", F.array("ring")) if "ring" in parcels.columns else parcels
-    return materialize(spatial.adjacent_clusters(shaped, by, eps=eps, cell=cell, polygon="polygon" if "ring" in parcels.columns else None).join(parcels, "id"))
+    has_shape = bool({"ring", "polygon"} & set(parcels.columns))
+    shaped = _shaped(parcels) if has_shape else parcels
+    return materialize(spatial.adjacent_clusters(shaped, by, eps=eps, cell=cell, polygon="polygon" if has_shape else None).join(shaped, "id"))
 
 
 def clusters_in_box(parcels: DataFrame, west: float, south: float, east: float, north: float, eps: float = 1e-4, cell: float = 0.01) -> DataFrame:
@@ -61,7 +67,7 @@ def clusters_in_box(parcels: DataFrame, west: float, south: float, east: float,
     seen = seen.withColumn("owner", normalize_owner(F.col("deed_holder"), "bbox"))
     found = _clustered(seen, ["owner"], eps, cell)
     grouped = found.groupBy("owner", "cluster").agg(F.sort_array(F.collect_list("id")).alias("parcel_ids"), F.count(F.lit(1)).alias("parcel_count"), F.array_join(F.sort_array(F.collect_set("county")), ", ").alias("counties"))
-    return (grouped.join(_with_geometry(found, cell), "cluster", "left") if "ring" in parcels.columns else grouped).drop("cluster")
+    return (grouped.join(_with_geometry(found, cell), "cluster", "left") if "polygon" in found.columns else grouped).drop("cluster")
 
 
 # --- soil: component(cokey, mukey, compname, comppct_r), mapunit(mukey, muname), horizon(chkey, cokey, hzdept_r, texture), ratings(cokey, mukey, rating, percent)
@@ -83,11 +89,11 @@ def rating_means(component: DataFrame) -> DataFrame:
 
 
 def area_ratings(areas: DataFrame, units: DataFrame, ratings: DataFrame, samples: DataFrame, cell: float = 0.05, side: int = 5) -> DataFrame:
-    """area_id, mean, low, high, n, origin for areas (ring, box): ratings weighed by common area with
+    """area_id, mean, low, high, n, origin for areas (polygon or ring, box): ratings weighed by common area with
     map units, or where none is rated, the mean of point samples (sx, sy, value over 0) in the cells
     of a grid over the area's box."""
-    u = units.select("mukey", F.col("ring").alias("unit_ring"), *[F.col(c).alias(f"u{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
-    met = spatial.overlays(areas, u, cell).filter("common > 0").join(ratings, "mukey").withColumn("w", F.col("common") * F.coalesce("percent", F.lit(100)))
+    u = _shaped(units).select("mukey", F.col("polygon").alias("unit_polygon"), *[F.col(c).alias(f"u{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
+    met = spatial.polygon_overlays(_shaped(areas), u, cell).filter("common > 0").join(ratings, "mukey").withColumn("w", F.col("common") * F.coalesce("percent", F.lit(100)))
     mean = F.sum(F.col("rating") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0.0))
     local = met.groupBy("area_id").agg(mean.alias("mean"), F.min("rating").cast("double").alias("low"), F.max("rating").cast("double").alias("high"), F.count(F.lit(1)).alias("n")).filter("mean IS NOT NULL")
     rest = areas.join(local, "area_id", "left_anti")
@@ -102,7 +108,7 @@ def area_ratings(areas: DataFrame, units: DataFrame, ratings: DataFrame, samples
 
 def point_ratings(points: DataFrame, units: DataFrame, ratings: DataFrame, cell: float = 0.05) -> DataFrame:
     """id, mean of the ratings, by percent, of the map unit that holds each point (id, x, y)."""
-    polygons = units.select("mukey", F.array("ring").alias("polygon"), "xmin", "ymin", "xmax", "ymax")
+    polygons = _shaped(units).select("mukey", "polygon", "xmin", "ymin", "xmax", "ymax")
     met = spatial.points_in_polygons(points, polygons, cell).join(ratings, "mukey")
     return relational.weighted_means(met.withColumn("percent", F.coalesce("percent", F.lit(100))), "id", "rating", "percent")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acreflow.functions import geo
-from acreflow.operators import spatial, tiles
+from acreflow.operators import overlay, spatial, tiles
 
 from .base import Tables, register
 
@@ -265,3 +265,45 @@ def circle_poly_whole(t: Tables) -> DataFrame:
     ring = t.supplier.select("s_suppkey", F.posexplode(geo.circle(F.col("s_suppkey").cast("double") * 0, F.lit(42.0))).alias("i", "p")).filter("i < 33")
     seven = lambda v: F.round(v.cast("decimal(18,9)"), 7).cast("double")
     return ring.select("s_suppkey", "i", seven(F.col("p.x")).alias("dx"), seven(F.col("p.y") - 42).alias("dy"))
+
+
+#: Squares one and a half wide, every other one half a unit up and to the right: they overlap, cross and share parts of edges.
+_WIDE_CELLS = f"(SELECT DISTINCT owner, 2 * gx + id % 2 + dx AS cx, 2 * gy + id % 2 + dy AS cy FROM {GRID} CROSS JOIN (SELECT unnest(range(3)) AS dx) CROSS JOIN (SELECT unnest(range(3)) AS dy))"
+
+
+def _wide_squares(t: Tables) -> DataFrame:
+    x, y, half = F.col("gx"), F.col("gy"), F.col("id") % 2 * F.lit(0.5)
+    return _grid(t).select("id", "owner", F.array(geo.box_ring(x + half, y + half, x + half + 1.5, y + half + 1.5)).alias("polygon"))
+
+
+@query(f"""WITH c AS {_WIDE_CELLS} SELECT owner, count(*) * 0.25::DOUBLE AS area, sum(4 - (SELECT count(*) FROM c d WHERE d.owner = c.owner AND abs(d.cx - c.cx) + abs(d.cy - c.cy) = 1)) * 0.5::DOUBLE AS outline FROM c GROUP BY owner""")
+def union_overlapping(t: Tables) -> DataFrame:
+    """Area and length of the outline of each owner's squares, merged where they overlap."""
+    found = overlay.union_polygons(_wide_squares(t), "owner", cell=4.0)
+    return found.groupBy("owner").agg(F.sum(geo.polygon_area(F.col("polygon"))).alias("area"), F.sum(geo.outline_length(F.col("polygon"))).alias("outline"))
+
+
+def _holed(t: Tables) -> DataFrame:
+    """Boxes with the middle half of each side taken out."""
+    b = _boxes(t)
+    w, h = (F.col("xmax") - F.col("xmin")) / 4, (F.col("ymax") - F.col("ymin")) / 4
+    hole = geo.box_ring(F.col("xmin") + w, F.col("ymin") + h, F.col("xmax") - w, F.col("ymax") - h)
+    return b.withColumn("polygon", F.array(geo.box_ring(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")), hole))
+
+
+_HOLE = "greatest(0, least(x1 - (x1 - x0) / 4, gx + 1) - greatest(x0 + (x1 - x0) / 4, gx)) * greatest(0, least(y1 - (y1 - y0) / 4, gy + 1) - greatest(y0 + (y1 - y0) / 4, gy))"
+_HOLED_SQL = f"SELECT bid, id, CAST(round({OVERLAP} - {_HOLE}, 6) AS DOUBLE) AS common FROM {BOXES} b JOIN {GRID} g ON gx < x1 AND x0 < gx + 1 AND gy < y1 AND y0 < gy + 1 WHERE {OVERLAP} - {_HOLE} > 1e-9"
+
+
+@query(_HOLED_SQL)
+def overlay_holes(t: Tables) -> DataFrame:
+    """What boxes with holes have in common with squares, by signed areas of their rings."""
+    units = _ring(_grid(t)).select("id", F.array("ring").alias("unit_polygon"), *[F.col(c).alias(f"u{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
+    return spatial.polygon_overlays(_holed(t), units, 4.0).filter("common > 1e-9").select("bid", "id", F.round("common", 6).alias("common"))
+
+
+@query(_HOLED_SQL)
+def intersection_polygons(t: Tables) -> DataFrame:
+    """The same by the polygons they have in common."""
+    units = _ring(_grid(t)).select("id", F.array("ring").alias("polygon"))
+    return overlay.intersections(_holed(t), units, "bid", "id", cell=4.0).select("bid", "id", F.round("common", 6).alias("common"))

@@ -194,3 +194,20 @@ def test_valuations(spark):
 def test_features_are_json(spark):
     row = spark.range(1).select(geo.feature(F.array(geo.box_ring(F.lit(0), F.lit(0), F.lit(1), F.lit(1))), id=F.col("id")).alias("f")).first()
     assert json.loads(row.f)["properties"] == {"id": 0}
+
+
+def test_overlapping_parcels_and_soil_with_holes(spark):
+    box = lambda a, b, c, d: [{"x": x, "y": y} for x, y in ((a, b), (c, b), (c, d), (a, d), (a, b))]
+    rows = [(1, "A", "ADAIR", [box(0.0, 0.0, 0.004, 0.004), box(0.001, 0.001, 0.003, 0.003)]), (2, "A", "ADAIR", [box(0.002, 0.003, 0.006, 0.006)]), (3, "B", "ADAIR", [box(0.0, 0.0, 1.0, 1.0)])]
+    d = spark.createDataFrame(rows, f"id long, deed_holder string, county string, polygon array<{geo.RING}>").withColumns({"owner": F.col("deed_holder"), "area_sqm": F.lit(4046.86)})
+    d = d.withColumn("e", geo.envelope(F.get("polygon", 0))).select("*", "e.*")
+    (one,) = products.county_clusters(d).collect()
+    assert one.parcel_ids == [1, 2] and [len(p) for p in one.polygons] == [2]
+    area = products.owner_polygons(d).select(F.sum(geo.polygon_area(F.col("polygon")))).first()[0]
+    assert area * 1e6 == pytest.approx(16 - 4 + 12 - 2 * 1)
+    soil = spark.createDataFrame([("m1", [box(0.0, 0.0, 4.0, 4.0), box(1.0, 1.0, 3.0, 3.0)]), ("m2", [box(1.0, 1.0, 3.0, 3.0)])], f"mukey string, polygon array<{geo.RING}>")
+    soil = soil.withColumn("e", geo.envelope(F.get("polygon", 0))).select("mukey", "polygon", "e.*")
+    ratings = spark.createDataFrame([("m1", 60, 100), ("m2", 90, 100)], "mukey string, rating int, percent int")
+    area = spark.createDataFrame([(7, 0.0, 0.0, 2.0, 2.0)], "area_id int, xmin double, ymin double, xmax double, ymax double").withColumn("ring", geo.box_ring(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")))
+    (r,) = products.area_ratings(area, soil, ratings, spark.createDataFrame([], "sx double, sy double, value double"), cell=1.0).collect()
+    assert r["mean"] == pytest.approx((60 * 3 + 90) / 4) and r.n == 2
