@@ -35,10 +35,15 @@ def _job_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/acreflow-{spark.sparkContext.applicationId}"
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new name in the shared folder, for a table of this job."""
+    return f"{_job_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: this cuts the
     lineage, and the rows outlive lost executors."""
-    path = f"{_job_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acreflow.functions import geo
-from acreflow.operators import overlay, spatial, tiles
+from acreflow.operators import layout, overlay, spatial, tiles
+from acreflow.operators.storage import shared_path
 
 from .base import Tables, register
 
@@ -307,3 +308,11 @@ def intersection_polygons(t: Tables) -> DataFrame:
     """The same by the polygons they have in common."""
     units = _ring(_grid(t)).select("id", F.array("ring").alias("polygon"))
     return overlay.intersections(_holed(t), units, "bid", "id", cell=4.0).select("bid", "id", F.round("common", 6).alias("common"))
+
+
+@query(f"SELECT id, owner FROM {GRID} WHERE gx <= 6.5 AND gx + 1 >= 3.2 AND gy <= 40.5 AND gy + 1 >= 20.5")
+def bbox_layout(t: Tables) -> DataFrame:
+    """All that meets a box, read from a table laid out along a curve."""
+    path = shared_path(t.spark)
+    layout.write_spatial(_grid(t).select("id", "owner", *layout.BOX), path, files=16, extent=(0.0, 0.0, 21.0, 10_001.0))
+    return layout.read_box(t.spark, path, 3.2, 20.5, 6.5, 40.5).select("id", "owner")
