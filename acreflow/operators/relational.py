@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranks
+
 
 def one_each(df: DataFrame, key: str, last: str | None = None) -> DataFrame:
     """One row of each key, the same in any run: the greatest by column ``last``, then by all columns in order (which must have an order)."""
@@ -113,8 +115,8 @@ def in_box(lat: Column, lon: Column, south: float, north: float, west: float, ea
 
 def priority_cap(df: DataFrame, by: str, first: Column, order: list[Column], most: int) -> DataFrame:
     """Each group's rows with their place when ``first`` ones come first, and whether they are beyond ``most``."""
-    w = Window.partitionBy(by).orderBy(first.desc(), *order)
-    return df.withColumn("place", F.row_number().over(w)).withColumn("missing", F.col("place") > most)
+    placed = ranks(df, [by], [first.desc(), *order], "place")
+    return placed.withColumn("place", F.col("place").cast("int")).withColumn("missing", F.col("place") > most)
 
 
 def latest_run(log: DataFrame, run: str, at: str) -> DataFrame:

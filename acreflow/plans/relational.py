@@ -300,6 +300,21 @@ def fuzzy_block(t: Tables) -> DataFrame:
     return owners.name_pairs(t.part.select(F.concat_ws(" ", "p_name", "p_type").alias("n")), "n")
 
 
+_SAME = "(string_split(h[1], ' ')[-1] = string_split({0}, ' ')[-1] AND levenshtein(h[1], {0}) <= 6)"
+
+
+@query(f"""WITH owners AS (SELECT p_name || ' ' || p_type AS name, count(*) AS n FROM part GROUP BY 1),
+ranked AS (SELECT *, row_number() OVER (ORDER BY n DESC, name) AS rank FROM owners),
+heads AS (SELECT list_reduce(list_prepend([]::VARCHAR[][], list([[name]] ORDER BY rank)), lambda acc, x: CASE WHEN len(list_filter(acc, lambda h: {_SAME.format("x[1][1]")})) > 0 THEN acc ELSE list_concat(acc, x) END) AS list FROM ranked),
+placed AS (SELECT name, n, list_filter(list, lambda h: {_SAME.format("name")})[1][1] AS head FROM ranked, heads),
+scored AS (SELECT *, levenshtein(head, name) AS d, CASE WHEN d <= 2 THEN 0.98 WHEN d <= 4 THEN 0.92 WHEN contains(head, name) OR contains(name, head) THEN 0.88 ELSE 0.82 END AS score FROM placed)
+SELECT head, count(*) AS names, CAST(sum(n) AS BIGINT) AS parcels, CAST(round(avg(score) FILTER (WHERE name <> head), 6) AS DOUBLE) AS confidence FROM scored GROUP BY head HAVING count(*) > 1""")
+def owner_variants(t: Tables) -> DataFrame:
+    """Names that gather the later ones near them, those of most parts first."""
+    each = t.part.select(F.concat_ws(" ", "p_name", "p_type").alias("owner")).withColumn("parcel_count", F.lit(1))
+    return owners.owner_variants(each).select("head", "names", "parcels", F.round("confidence", 6).alias("confidence"))
+
+
 @query("SELECT DISTINCT p_name AS name, CAST(levenshtein(p_name, 'red ring') AS INTEGER) AS distance FROM part WHERE levenshtein(p_name, 'red ring') BETWEEN 1 AND 3")
 def fuzzy_probe(t: Tables) -> DataFrame:
     return owners.similar(t.part, "p_name", "red ring", 3)
