@@ -14,13 +14,20 @@ the article or main element that holds the content, and among other such
 elements of the page, short parts are kept as well, but no menus: parts whose
 text is mostly that of several links.
 
-Only what never belongs to an article is no part of the tree: menus, headers,
-footers, sidebars, notices, adverts, forms and their controls, scripts, styles
-and reader comments, by element, role, class or id, and what a browser with
-scripts does not show in the place of scripts, frames and media.
+What never belongs to an article is no part of the tree: menus, headers,
+footers, sidebars, forms and their controls, scripts and styles by their
+elements and roles, what a browser with scripts does not show in the place of
+scripts, frames and media, and containers whose class or id is, as a whole, the
+name of an advert, a notice, a menu, a sidebar, reader comments or the like
+("ad", "cookie-notice", "comment-list"; not "market-share" or "related-work").
+Headings, paragraphs and other text elements have no such rule, and sections
+only that of adverts, sidebars and comments.  Names that an article may use for
+its own parts ("header", "related", "discussion"), and dialogs, only mark a
+container: outside the article it goes, inside it goes if it is a menu, or has
+links and a density under the threshold.
 
 Defined results: a null or empty page gives the empty text; a page without
-tags is one block; markup that never ends reaches to the end of the page, and
+tags is one block; end tags without a start are ignored; markup that never ends reaches to the end of the page, and
 a tag whose quote never ends to the next ``>``; time and memory grow with a
 page's length alone, and no page is cut; every row gives a row, repeated rows
 and null ids too; an empty table gives an empty table; other columns are
@@ -29,9 +36,11 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,11 +53,11 @@ _TOKEN = re.compile(
     re.S | re.X,
 )
 _SPACE = re.compile(r"\s+")
-_LABEL = re.compile(r"(?:class|id|role|itemtype|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_LABEL = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed".split())
-NOISE = RAW | frozenset("head nav header footer aside form button select option menu dialog fieldset object canvas audio video".split())
+NOISE = RAW | frozenset("head nav header footer aside form button select option menu object audio video".split())
 ARTICLES = frozenset(("article", "main"))
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rb rp rt ruby s samp small span strike strong
 sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover semantics annotation""".split())
@@ -59,49 +68,109 @@ CLOSES = {
     "li": ({"li", "p"}, {"ul", "ol"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}),
     "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}),
 }
-#: Words of a class, id or role that mark what is no article text.
-LABELS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo
-cookie cookies consent disqus disclaimer footer foot gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification
-pager pagination popup promo promoted promotion related recommended replies search share sharing sidebar sidebars sidebarleft sidebarright social sponsor
-sponsored subscribe subscription toolbar widget widgets respond discussion alert""".split())
-_WORD = re.compile(r"[A-Za-z]+?(?=[^A-Za-z]|[A-Z][a-z]|$)")
+#: Names of what is no article text, as a whole class or id of a container or with words of ``PLAIN``.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion".split())
+ASIDES = frozenset("sidebar sidebars comment comments commentlist disqus".split())
+NAMES = ADVERTS | ASIDES | frozenset("""banner breadcrumb breadcrumbs cookie cookies consent disclaimer footer gdpr masthead menu menubar modal nav navbar navigation
+newsletter notice notices notification notifications pager pagination popup alert sharing sponsors subscribe subscription toolbar widget widgets""".split())
+#: Names that an article may use for its own parts too: density decides.
+DOUBTFUL = frozenset("header related recommended discussion respond replies share social search complementary".split())
+PLAIN = frozenset("area bar block box buttons container form inner items level links list main page posts section signup site top wrap wrapper".split())
+ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alertdialog alert".split())
+#: Elements that hold text, whatever their names.
+TEXTS = HEADINGS | INLINE - {"ins", "span", "a"} | frozenset("p li dt dd td th tr tbody thead pre blockquote figure figcaption caption".split())
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_DROP, _DOUBT = 2, 1
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "links", "density", "total")
+    __slots__ = ("tag", "parent", "mark", "parts", "chars", "tags", "link_chars", "links", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None) -> None:
-        self.tag, self.parent, self.parts = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, mark: int = 0) -> None:
+        self.tag, self.parent, self.mark, self.parts = tag, parent, mark, []
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.total = 0.0
 
 
-_known: dict[str, bool] = {}
+_known: dict[tuple[str, str], int] = {}
 
 
-def is_noise(tag: str, attributes: str) -> bool:
+def _named(attributes: str) -> tuple[int, frozenset[str]]:
+    """How sure the names in attributes are that a container is no article text, and their words."""
+    mark, told = 0, set()
+    for m in _LABEL.finditer(attributes):
+        for name in (m[2] or m[3] or m[4] or "").split():
+            if m[1].lower() == "role":
+                mark = _DROP if name.lower() in ROLES else mark
+                continue
+            whole = "".join(x for x in name.lower() if x.isalpha())
+            words = {whole} if whole in NAMES | DOUBTFUL else {w.lower() for w in _WORD.findall(name)}
+            if words <= NAMES | DOUBTFUL | PLAIN and (here := words & (NAMES | DOUBTFUL)):
+                mark = max(mark, _DROP if here & NAMES else _DOUBT)
+                told |= here
+    return mark, frozenset(told)
+
+
+def noise_of(tag: str, attributes: str) -> int:
+    """2 if an element is no part of an article, 1 if density decides, else 0."""
     if tag in NOISE:
-        return True
-    if not attributes or tag in ("body", "html") or tag in ARTICLES:
-        return False
-    if (found := _known.get(attributes)) is None:
-        names = [x for m in _LABEL.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").split()]
-        # "with-sidebar" speaks of what stands beside
-        words = {w.lower() for x in names if not x.lower().startswith(("with", "has", "no-", "is-")) for w in _WORD.findall(x)}
-        found = not LABELS.isdisjoint(words)
+        return _DROP
+    mark = _DOUBT if tag == "dialog" else 0
+    if not attributes or tag in ("body", "html") or tag in ARTICLES or tag in TEXTS:
+        return mark
+    if (found := _known.get((tag, attributes))) is None:
+        found, told = _named(attributes)
+        if tag == "section" and not told & (ADVERTS | ASIDES):
+            found = 0
         if len(_known) < 10_000:
-            _known[attributes] = found
-    return found
+            _known[tag, attributes] = found
+    return max(found, mark)
+
+
+class _Open:
+    """The open elements, outermost first, and where those of each tag stand: no step looks at more of them than it closes."""
+
+    def __init__(self) -> None:
+        self.nodes, self.places = [Node("body", None)], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, size: int) -> None:
+        while len(self.nodes) > size:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def end(self, tag: str) -> None:
+        if at := self.last((tag,)):
+            self.cut(at)
+
+    def close_for(self, tag: str) -> None:
+        """Close what a start tag ends without an end tag."""
+        ended, borders = CLOSES[tag]
+        border = self.last(borders)
+        if tag not in ("tr", "td", "th"):
+            if (at := self.last(ended)) > border:
+                self.cut(at)
+            return
+        places = [p[i] for t in ended if (p := self.places.get(t)) and (i := bisect.bisect_right(p, border)) < len(p)]
+        if places:
+            self.cut(min(places))
 
 
 def parse(page: str) -> Node:
     """The tree of a page without its noise; the root is the body."""
-    root = at = Node("body", None)
-    pos, n, skip = 0, len(page), []  # skip: open elements inside a part that is left out
+    opened = _Open()
+    root = opened.nodes[0]
+    pos, n, skip, inside = 0, len(page), [], Counter()  # skip: open elements inside a part that is left out, and how many of each
     for m in _TOKEN.finditer(page):
         start = m.start()
         if start < pos:
             continue
+        at = opened.nodes[-1]
         if start > pos and not skip:
             at.parts.append(page[pos:start])
         pos = m.end()
@@ -111,25 +180,27 @@ def parse(page: str) -> Node:
         tag = tag.lower()
         if m[1]:
             if skip:
-                if tag in skip:
-                    del skip[len(skip) - 1 - skip[::-1].index(tag) :]
-                elif any(tag == x.tag for x in _up(at)):  # the end of what holds the part
+                if inside[tag]:
+                    while (gone := skip.pop()) != tag:
+                        inside[gone] -= 1
+                    inside[tag] -= 1
+                elif opened.places.get(tag):  # the end of what holds the part
                     skip.clear()
+                    inside.clear()
             if not skip and tag not in ("body", "html"):
-                for x in _up(at):
-                    if x.tag == tag:
-                        at = x.parent or root
-                        break
+                opened.end(tag)
             continue
         ends = m[3].endswith("/")
         if skip:
             if tag in ARTICLES and skip[0] not in RAW and skip[0] not in ("aside", "form"):
                 skip.clear()  # an end tag was forgotten
+                inside.clear()
             elif tag not in VOID and not ends:
                 if tag in RAW:
                     pos = _raw_end(page, tag, pos, n)
                 elif tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
                     skip.append(tag)
+                    inside[tag] += 1
                 continue
             else:
                 continue
@@ -140,27 +211,24 @@ def parse(page: str) -> Node:
             continue
         if tag in VOID:
             continue
-        if closing := CLOSES.get(tag):
-            for x in _up(at):
-                if x.tag in closing[1]:
-                    break
-                if x.tag in closing[0]:
-                    at = x.parent or root
-                    if tag not in ("tr", "td", "th"):
-                        break
-        if is_noise(tag, m[3]):
+        if tag in CLOSES:
+            opened.close_for(tag)
+            at = opened.nodes[-1]
+        mark = noise_of(tag, m[3])
+        if mark == _DROP:
             if tag in RAW:
                 pos = _raw_end(page, tag, pos, n)
             elif not ends:
-                skip = [tag]
+                skip.append(tag)
+                inside[tag] += 1
             at.parts.append(None if tag not in INLINE else "")
             continue
-        node = Node(tag, at)
+        node = Node(tag, at, mark)
         at.parts.append(node)
         if not ends or tag not in ("svg", "math"):
-            at = node
+            opened.push(node)
     if pos < n and not skip:
-        at.parts.append(page[pos:])
+        opened.nodes[-1].parts.append(page[pos:])
     return root
 
 
@@ -177,6 +245,7 @@ def _raw_end(page: str, tag: str, pos: int, n: int) -> int:
 
 def _count(node: Node) -> None:
     """Characters, tags and links of a node whose child nodes are counted."""
+    node.chars = node.tags = node.link_chars = node.links = 0
     for x in node.parts:
         if isinstance(x, Node):
             node.chars += x.chars
@@ -256,6 +325,9 @@ def main_text(page: str | None) -> str:
     root = parse(page)
     order = _measure(root)
     best = max(order, key=lambda x: x.total)
+    if _without_doubtful(order, best):
+        order = _measure(root)
+        best = max(order, key=lambda x: x.total)
     if not best.total:
         return "\n".join(_blocks(root))
     if best is root:
@@ -294,6 +366,24 @@ def main_text(page: str | None) -> str:
     return "\n".join(keep)
 
 
+def _without_doubtful(order: list[Node], best: Node) -> bool:
+    """Empty the marked parts that hold no content: those outside its article, menus, and those with links under the threshold."""
+    marked = [x for x in order if x.mark and x.chars]
+    if not marked:
+        return False
+    way = {id(x) for x in (best, *_up(best))}
+    article = next((x for x in (best, *_up(best)) if x.tag in ARTICLES), best)
+    threshold = min([order[0].density, *(x.density for x in (best, *_up(best)))])
+    within = {id(article)}
+    for x in order:  # parents come first
+        if x.parent is not None and id(x.parent) in within:
+            within.add(id(x))
+    gone = [x for x in marked if id(x) not in way and (id(x) not in within or _menu(x) or (x.links and x.density < threshold))]
+    for x in gone:
+        x.parts = []
+    return bool(gone)
+
+
 def _menu(node: Node) -> bool:
     return node.links > 1 and 2 * node.link_chars > node.chars
 

@@ -151,3 +151,46 @@ def test_unclosed_quotes_take_time_in_proportion():
     for page in ('<a href="x>y ' * 60_000, "<a title='x>y</a> " * 60_000, '<a b="c" ' * 60_000, "<p>it's " * 60_000):
         htmltext.main_text(page)
     assert time.process_time() - began < 20
+
+
+LONG = "A long paragraph of an article about things that matter, with many words and no link at all. " * 5
+
+
+def middle(part):
+    """What is left of a part between two long paragraphs of one article."""
+    page = f'<html><body><nav><a href="/">Home</a></nav><article><p>{LONG}</p>{part}<p>{LONG}</p></article><footer>Foot</footer></body></html>'
+    lines = htmltext.main_text(page).split("\n")
+    assert lines[0] == lines[-1] == LONG.strip()
+    return lines[1:-1]
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<section id="discussion"><h2>Discussion</h2><p>We found it.</p></section>', '<h2 id="search-algorithms">Search algorithms</h2>', '<p class="market-share">Its share of the market grew.</p>',
+        '<div id="related-work">Others did so before.</div>', '<p aria-label="social history">Once upon a time.</p>', '<div class="post-header"><h1>A title</h1></div>', '<div class="header"><h1>Another title</h1></div>',
+        "<fieldset>In a set of fields stands text.</fieldset>", "<dialog open>Two people talk.</dialog>", "<canvas>In place of a picture.</canvas>", '<ul class="notice-period"><li>Three months</li></ul>',
+        '<blockquote class="comment">As the report says.</blockquote>', '<section class="widget-theory"><p>On widgets.</p></section>', '<div data-class="ad">No advert.</div>',
+    ],
+)
+def test_parts_of_the_article_stay(part):
+    assert middle(part) == [x for x in re.sub(r"<[^>]+>", "\n", part).split("\n") if x]
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="ad">Buy this now, it is cheap and good for you and all of your friends.</div>', '<div class="cookie-notice">We use cookies.</div>', '<div id="comments"><p>Nice words from a reader who likes it very much.</p></div>',
+        '<section class="comments"><h2>Comments</h2><p>First! I like it a lot.</p></section>', '<div class="related"><a href="a">One more story</a> <a href="b">Two more stories</a></div>', '<div class="sideBar">Words at the side</div>',
+        '<div role="navigation">Home and more</div>', "<form><p>Name</p><input></form>", '<ul class="share-buttons"><li><a href="x">Tell</a><li><a href="y">Show</a></ul>', '<div class="site-footer">Imprint</div>',
+    ],
+)
+def test_other_parts_go(part):
+    assert middle(part) == []
+
+
+@pytest.mark.parametrize("page", ["<div>" * 90_000 + "</span>" * 90_000, "<p><button><b>" + "<b>" * 90_000 + "<ul></ul>" * 60_000, "<nav>" + "<div>" * 90_000 + "</span>" * 90_000, "<table>" + "<tr><td>" * 90_000 + "</p>" * 90_000])
+def test_time_grows_with_the_length(page):
+    began = time.time()
+    htmltext.main_text(page + "<p>text")
+    assert time.time() - began < 8
