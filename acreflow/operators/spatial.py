@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acreflow.functions import geo
@@ -44,15 +44,87 @@ def within_distance(points: DataFrame, others: DataFrame, radius: float) -> Data
     return placed.join(o, ["cx", "cy"]).drop("cx", "cy").filter(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2) <= radius * radius)
 
 
+#: Nearest places: a cell with more places is cut into 8 x 8, down to ``FINEST`` times.
+CROWDED, FINEST = 64, 4
+
+
+def _level(lon: Column, lat: Column, degrees: float, k: int) -> Column:
+    side = degrees / 8**k
+    return F.struct(F.lit(k).alias("k"), F.floor(lon / side).alias("cx"), F.floor(lat / side).alias("cy"))
+
+
+def _reach(cells: DataFrame, degrees: float) -> DataFrame:
+    """Pairs of points and cells with ``least`` and ``most``, metres to the nearest and the farthest spot of the cell's box; no most if the box reaches out of the point's.
+
+    The nearest spot lies on the box's nearer meridian, where the perpendicular
+    meets it or at its end nearer to that; the farthest one is a corner of the other.
+    """
+    lon, lat = F.col("lon"), F.col("lat")
+    within = lambda v, lo, hi: F.greatest(F.col(lo), F.least(F.col(hi), v))
+    far = lambda v, lo, hi: F.greatest(F.abs(F.col(lo) - v), F.abs(F.col(hi) - v))
+    near_lon = within(lon, "west", "east")
+    foot = F.degrees(F.atan(F.tan(F.radians(lat)) / F.cos(F.radians(near_lon - lon))))
+    least = geo.haversine(lon, lat, near_lon, within(foot, "south", "north"))
+    far_lon = F.when(F.abs(F.col("west") - lon) > F.abs(F.col("east") - lon), F.col("west")).otherwise(F.col("east"))
+    most = F.greatest(geo.haversine(lon, lat, far_lon, F.col("south")), geo.haversine(lon, lat, far_lon, F.col("north")))
+    met = cells.filter((F.abs(near_lon - lon) <= degrees) & (F.abs(within(lat, "south", "north") - lat) <= degrees))
+    inside = (far(lon, "west", "east") <= degrees) & (far(lat, "south", "north") <= degrees)
+    return met.withColumns({"least": least, "most": F.when(inside, most).otherwise(F.lit(float("inf")))})
+
+
+def nearest_candidates(points: DataFrame, places: DataFrame, degrees: float = 0.5, most_metres: float = 50_000) -> DataFrame:
+    """Pairs of points (lon, lat) and places (plon, plat, ...), distinct both, that hold every point's nearest place.
+
+    Places lie in the cells of a tree: squares of ``degrees``, and where one is
+    crowded its 64 parts, and so on.  A point begins with the squares around it
+    and goes down into those that are crowded, one level a round.  A cell is
+    given up when its nearest edge is farther than some other cell's places can
+    be at most, so a point keeps a few small cells however dense the places lie.
+    """
+    levels = F.array(*[_level(F.col("plon"), F.col("plat"), degrees, k) for k in range(FINEST + 1)])
+    each = places.select("plon", "plat", F.explode(levels).alias("c")).select("plon", "plat", "c.*")
+    stats = each.groupBy("k", "cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.min("plon").alias("west"), F.min("plat").alias("south"), F.max("plon").alias("east"), F.max("plat").alias("north"))
+    crowd = (F.col("n") > CROWDED) & (F.col("k") < FINEST)
+    up = lambda c: F.floor(F.col(c) / 8)
+    cells = materialize(stats.withColumns({"crowded": crowd, "px": up("cx"), "py": up("cy")}))
+    split = cells.filter("crowded").select(F.col("k").alias("pk"), F.col("cx").alias("px"), F.col("cy").alias("py"))
+    under = cells.join(split.withColumn("k", F.col("pk") + 1).drop("pk"), ["k", "px", "py"], "left_semi")
+    used = materialize(cells.filter("k = 0").unionByName(under))  # cells at whose place the tree is that deep
+
+    around = F.sequence(F.lit(-1), F.lit(1))
+    at = points.select("lon", "lat", F.explode(around).alias("i"), F.floor(F.col("lon") / degrees).alias("x"), F.floor(F.col("lat") / degrees).alias("y"))
+    at = at.select("lon", "lat", (F.col("x") + F.col("i")).alias("cx"), F.explode(F.transform(around, lambda j: F.col("y") + j)).alias("cy"))
+    own = Window.partitionBy("lon", "lat")
+
+    def pruned(met: DataFrame) -> DataFrame:
+        bound = F.least(F.min("most").over(own), F.lit(float(most_metres)))
+        return met.withColumn("bound", bound).filter(F.col("least") <= F.col("bound") + 0.001).drop("bound")
+
+    names = ["lon", "lat", "k", "cx", "cy", "crowded", "least", "most"]
+    live = materialize(pruned(_reach(at.join(used.filter("k = 0"), ["cx", "cy"]), degrees)).select(*names))
+    for _ in range(FINEST):
+        deeper = live.filter("crowded").select("lon", "lat", (F.col("k") + 1).alias("k"), F.col("cx").alias("px"), F.col("cy").alias("py"))
+        if deeper.isEmpty():
+            break
+        inner = _reach(deeper.join(used, ["k", "px", "py"]), degrees).select(*names)
+        live = materialize(pruned(live.filter("NOT crowded").union(inner)))
+    leaves = used.filter("NOT crowded").select("k", "cx", "cy")
+    held = places.withColumn("c", F.explode(levels)).select(*places.columns, "c.*").join(leaves, ["k", "cx", "cy"])
+    return live.select("lon", "lat", "k", "cx", "cy").join(held, ["k", "cx", "cy"]).filter((F.abs(F.col("lon") - F.col("plon")) <= degrees) & (F.abs(F.col("lat") - F.col("plat")) <= degrees))
+
+
 def nearest(points: DataFrame, places: DataFrame, key: str, place: str, degrees: float = 0.5, most_metres: float = 50_000) -> DataFrame:
-    """key, place, metres of the nearest place (plon, plat) to each point (lon, lat) inside a box of ``degrees`` around it."""
-    around = points.select(key, "lon", "lat").withColumns({"xmin": F.col("lon"), "xmax": F.col("lon"), "ymin": F.col("lat"), "ymax": F.col("lat")})
-    placed = with_cells(around, degrees, degrees)
-    p = places.select(place, "plon", "plat").withColumn("cx", F.floor(F.col("plon") / degrees)).withColumn("cy", F.floor(F.col("plat") / degrees))
-    met = placed.join(p, ["cx", "cy"]).filter((F.abs(F.col("lon") - F.col("plon")) <= degrees) & (F.abs(F.col("lat") - F.col("plat")) <= degrees))
+    """key, place, metres of the nearest place (plon, plat) to each point (lon, lat) inside a box of ``degrees`` around it; of equally near ones the least.
+
+    Points and places in one spot are looked at once.
+    """
+    spots = points.select("lon", "lat").distinct()
+    one_each = places.groupBy("plon", "plat").agg(F.min(place).alias("place"))
+    met = nearest_candidates(spots, one_each, degrees, most_metres)
     far = met.withColumn("metres", geo.haversine(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat")))
-    best = far.groupBy(key).agg(F.min(F.struct("metres", place)).alias("b")).select(key, f"b.{place}", "b.metres")
-    return best.filter(F.col("metres") < most_metres)
+    best = far.groupBy("lon", "lat").agg(F.min(F.struct("metres", "place")).alias("b")).filter(F.col("b.metres") < most_metres)
+    found = points.select(key, "lon", "lat").join(best, ["lon", "lat"]).groupBy(key).agg(F.min("b").alias("b"))
+    return found.select(key, F.col("b.place").alias(place), "b.metres")
 
 
 def _overlaid(areas: DataFrame, units: DataFrame, cell: float) -> DataFrame:
