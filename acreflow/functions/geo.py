@@ -24,6 +24,12 @@ def mercator_y(lat: Column) -> Column:
     return F.ln(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * EARTH
 
 
+def to_mercator(polygons: Column) -> Column:
+    """Polygons of lon and lat in web-mercator metres."""
+    point = lambda p: F.struct(mercator_x(p["x"]).alias("x"), mercator_y(p["y"]).alias("y"))
+    return F.transform(polygons, lambda polygon: F.transform(polygon, lambda r: F.transform(r, point)))
+
+
 def tile_x(lon: Column, zoom: Column) -> Column:
     return F.floor((lon + 180) / 360 * F.pow(F.lit(2.0), zoom))
 

@@ -1,20 +1,29 @@
 """Vector tiles: features laid on tiles, simplified, clipped, quantised and encoded.
 
-The geometry of each feature on each tile is encoded row by row, wherever the
-row stands; what is grouped by tile is only what the tile's one layer holds,
-which is one value in any case.
+A feature's geometry is its column ``polygons`` (array of polygons), or else
+``polygon`` (array of rings, the first the outside), or else ``ring``.  It is
+simplified once for each tolerance, not for each tile, and features too small to
+be seen at a zoom go before they are laid on tiles.  The geometry on each tile
+is encoded row by row, wherever the row stands; what is grouped by tile is only
+what the tile's one layer holds, which is one value in any case.
 """
 
 from __future__ import annotations
 
 import struct
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acreflow.functions import geo
 
+from .storage import materialize
+
 EXTENT, BUFFER = 4096, 256
 
 
@@ -46,20 +55,20 @@ def _zigzag(n: int) -> int:
 
 def simplified(points: list, tolerance: float) -> list:
     """Douglas-Peucker."""
+    at = np.asarray(points, float)
     keep, todo = {0, len(points) - 1}, [(0, len(points) - 1)]
     while todo:
         a, b = todo.pop()
-        (ax, ay), (bx, by) = points[a], points[b]
-        length = ((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5
-        best, at = 0.0, -1
-        for i in range(a + 1, b):
-            x, y = points[i]
-            d = abs((bx - ax) * (ay - y) - (ax - x) * (by - ay)) / length if length else ((x - ax) ** 2 + (y - ay) ** 2) ** 0.5
-            if d > best:
-                best, at = d, i
-        if best > tolerance:
-            keep.add(at)
-            todo += [(a, at), (at, b)]
+        if b - a < 2:
+            continue
+        inner, (dx, dy) = at[a + 1 : b] - at[a], at[b] - at[a]
+        length = np.hypot(dx, dy)
+        away = np.abs(dx * inner[:, 1] - dy * inner[:, 0]) / length if length else np.hypot(inner[:, 0], inner[:, 1])
+        far = int(away.argmax())
+        if away[far] > tolerance:
+            far += a + 1
+            keep.add(far)
+            todo += [(a, far), (far, b)]
     return [points[i] for i in sorted(keep)]
 
 
@@ -79,8 +88,8 @@ def clipped(ring: list, low: float = -BUFFER, high: float = EXTENT + BUFFER) ->
     return [*out, out[0]] if out else []
 
 
-def encode_ring(ring: list) -> bytes | None:
-    """A closed ring's commands, quantised, clockwise as seen (y points down); None if nothing is left."""
+def _quantised(ring: list, outside: bool) -> list[tuple[int, int]] | None:
+    """The open ring of whole coordinates, clockwise as seen (y points down), a hole the other way; None if nothing is left."""
     points: list[tuple[int, int]] = []
     for x, y in ring:
         at = (round(x), round(y))
@@ -90,15 +99,31 @@ def encode_ring(ring: list) -> bytes | None:
     turn = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1], strict=True))
     if len(points) < 3 or not turn:
         return None
-    if turn < 0:
-        points.reverse()
+    return points[::-1] if (turn > 0) != outside else points
+
+
+def encode_polygons(polygons: list) -> bytes | None:
+    """The commands of polygons of closed rings, each ring from where the one before ended; None if nothing is left."""
     x = y = 0
-    steps = []
-    for px, py in points:
-        steps.append((_zigzag(px - x), _zigzag(py - y)))
-        x, y = px, py
-    moves = [9, *steps[0], len(steps[1:]) << 3 | 2, *(n for s in steps[1:] for n in s), 15]
-    return b"".join(map(_varint, moves))
+    moves: list[int] = []
+    for polygon in polygons:
+        for i, ring in enumerate(polygon):
+            points = _quantised(ring, i == 0)
+            if points is None:
+                if i == 0:
+                    break
+                continue
+            steps = []
+            for px, py in points:
+                steps.append((_zigzag(px - x), _zigzag(py - y)))
+                x, y = px, py
+            moves += [9, *steps[0], len(steps[1:]) << 3 | 2, *(n for s in steps[1:] for n in s), 15]
+    return b"".join(map(_varint, moves)) or None
+
+
+def encode_ring(ring: list) -> bytes | None:
+    """A closed ring's commands; None if nothing is left."""
+    return encode_polygons([[ring]])
 
 
 def encode_layer(name: str, rows: list[tuple[int, bytes, dict]]) -> bytes:
@@ -126,33 +151,78 @@ def encode_layer(name: str, rows: list[tuple[int, bytes, dict]]) -> bytes:
     return _field(3, body)
 
 
-def tiles(features: DataFrame, zoom: int, layer: str, key: str, properties: list[str]) -> DataFrame:
-    """z, x, y, n, mvt: the encoded tiles of one zoom, each with one layer; features that vanish are left out."""
+_SHAPE = f"array<array<{geo.RING}>>"
+
+
+def tolerance_of(zoom: int) -> int:
+    """Metres by which an outline may be simplified."""
+    return 100 if zoom <= 10 else 50 if zoom <= 12 else 10
+
+
+def _shaped(features: DataFrame, key: str, properties: list[str], tolerance: float | None) -> DataFrame:
+    """The features with their box and their geometry as ``shape``, simplified if there is a tolerance; rings of four points at most stay."""
+    has = features.columns
+    shape = F.col("polygons") if "polygons" in has else F.array("polygon") if "polygon" in has else F.array(F.array("ring"))
+    plain = features.select(key, *[c for c in properties if c != key], "xmin", "ymin", "xmax", "ymax", shape.cast(_SHAPE).alias("shape")).filter("xmin IS NOT NULL AND shape IS NOT NULL")
+    if tolerance is None:
+        return plain
+
+    def simplify(batches):
+        for batch in batches:
+            shapes = []
+            for polygons in batch.column("shape").to_pylist():
+                lines = [[[(p["x"], p["y"]) for p in ring] for ring in polygon or ()] for polygon in polygons]
+                lines = [[simplified(ring, tolerance) if len(ring) > 4 else ring for ring in polygon] for polygon in lines]
+                shapes.append([[[{"x": x, "y": y} for x, y in ring] for ring in polygon] for polygon in lines])
+            at = batch.schema.get_field_index("shape")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(shapes, batch.schema.field(at).type))
+
+    return plain.mapInArrow(simplify, plain.schema)
+
+
+def _drawn(shaped: DataFrame, zoom: int, layer: str, key: str, properties: list[str]) -> DataFrame:
+    """z, x, y, n, mvt of features with ``shape``."""
     size = 2 * geo.WORLD / 2**zoom
-    tolerance = 100 if zoom <= 10 else 50 if zoom <= 12 else 10
-    placed = on_tiles(features, zoom).select("z", F.col("x").cast("long"), F.col("y").cast("long"), "ring", key, *properties)
+    unit = size / EXTENT
+    step = lambda v, more: F.rint((v + geo.WORLD) / unit + more)
+    spans = lambda lo, hi: step(F.col(hi), 1e-6) > step(F.col(lo), -1e-6)
+    seen = shaped.filter(spans("xmin", "xmax") & spans("ymin", "ymax"))  # of the others whole coordinates leave no area
+    own = [key, *[c for c in properties if c != key]]
+    placed = on_tiles(seen, zoom).select("z", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "shape", *[F.col(c).alias(f"p_{c}") for c in own])
 
     def draw(batches):
-        for rows in batches:
+        for batch in batches:
             moves = []
-            for x, y, ring in zip(rows["x"], rows["y"], rows["ring"], strict=True):
+            for x, y, polygons in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("shape").to_pylist(), strict=True):
                 west, north = x * size - geo.WORLD, geo.WORLD - y * size
-                points = simplified([(p["x"], p["y"]) for p in ring], tolerance) if len(ring) > 4 else [(p["x"], p["y"]) for p in ring]
-                moves.append(encode_ring(clipped([((px - west) / size * EXTENT, (north - py) / size * EXTENT) for px, py in points])))
-            yield rows.drop(columns="ring").assign(moves=moves)[lambda d: d["moves"].notna()]
+                on_tile = [[clipped([((p["x"] - west) / unit, (north - p["y"]) / unit) for p in ring]) if ring else [] for ring in polygon or ()] for polygon in polygons]
+                moves.append(encode_polygons(on_tile))
+            kept = batch.drop_columns(["shape"]).append_column("moves", pa.array(moves, pa.binary()))
+            yield kept.filter(pc.is_valid(kept.column("moves")))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema if f.name != "ring")
-    drawn = placed.mapInPandas(draw, f"{schema}, moves binary")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema if f.name != "shape")
+    drawn = placed.mapInArrow(draw, f"{schema}, moves binary")
 
     def assemble(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(key)
+        group = group.sort_values(f"p_{key}")
         plain = lambda v: None if v is None or v != v else v.item() if hasattr(v, "item") else v
-        rows = [(int(fid), moves, {p: plain(v) for p, v in zip(properties, row, strict=True)}) for fid, moves, *row in zip(group[key], group["moves"], *(group[p] for p in properties), strict=True)]
+        rows = [(int(fid), moves, {p: plain(v) for p, v in zip(properties, row, strict=True)}) for fid, moves, *row in zip(group[f"p_{key}"], group["moves"], *(group[f"p_{p}"] for p in properties), strict=True)]
         return pd.DataFrame({"z": group["z"].iloc[:1], "x": group["x"].iloc[:1], "y": group["y"].iloc[:1], "n": [len(rows)], "mvt": [encode_layer(layer, rows)]})
 
     return drawn.groupBy("z", "x", "y").applyInPandas(assemble, "z int, x long, y long, n long, mvt binary")
 
 
+def tiles(features: DataFrame, zoom: int, layer: str, key: str, properties: list[str], simplify: bool = True) -> DataFrame:
+    """z, x, y, n, mvt: the encoded tiles of one zoom, each with one layer; features that vanish are left out."""
+    return _drawn(_shaped(features, key, properties, tolerance_of(zoom) if simplify else None), zoom, layer, key, properties)
+
+
+def pyramid(features: DataFrame, zooms: list[int], layer: str, key: str, properties: list[str]) -> DataFrame:
+    """The tiles of several zooms; outlines are simplified and written once for each tolerance, and all its zooms are drawn from them."""
+    shaped = {t: materialize(_shaped(features, key, properties, t)) for t in sorted({tolerance_of(z) for z in zooms})}
+    return reduce(DataFrame.union, [_drawn(shaped[tolerance_of(z)], z, layer, key, properties) for z in sorted(set(zooms))])
+
+
 def layered(one: DataFrame, two: DataFrame) -> DataFrame:
     """z, x, y, n, mvt of tiles that hold the layers of both, whose names must differ: layers follow one another in a tile's bytes."""
     part = lambda t, k: t.select("z", "x", "y", F.col("n").alias(f"n{k}"), F.col("mvt").alias(f"mvt{k}"))

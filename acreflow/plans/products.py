@@ -6,12 +6,14 @@ as tables; what is done before and after them is here.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acreflow.functions import geo, listings, values
 from acreflow.functions.owners import normalize_owner
-from acreflow.operators import overlay, owners, relational, spatial
+from acreflow.operators import overlay, owners, relational, spatial, tiles
 from acreflow.operators.storage import materialize
 
 # --- parcels: id, county, deed_holder, area_sqm, ring or polygon (rings with holes), xmin, ymin, xmax, ymax
@@ -70,6 +72,32 @@ def clusters_in_box(parcels: DataFrame, west: float, south: float, east: float,
     return (grouped.join(_with_geometry(found, cell), "cluster", "left") if "polygon" in found.columns else grouped).drop("cluster")
 
 
+#: The last zoom that shows clusters; beyond it stand single parcels.
+LAST_CLUSTER_ZOOM = 14
+
+
+def _on_map(rows: DataFrame, polygons: Column) -> DataFrame:
+    """Rows with polygons and their box in web-mercator metres."""
+    drawn = rows.withColumn("polygons", geo.to_mercator(polygons)).filter("polygons IS NOT NULL")
+    return drawn.withColumn("e", geo.envelope(F.flatten(F.flatten("polygons")))).select(*[c for c in drawn.columns if c not in ("xmin", "ymin", "xmax", "ymax")], "e.*")
+
+
+def parcel_tiles(parcels: DataFrame, clusters: DataFrame, zooms: list[int], skip: tuple[str, ...] = ("HARRISON",)) -> DataFrame:
+    """z, x, y, n, mvt: up to zoom 14 tiles of the clusters of ``county_clusters``, layer "ownership", above it of
+    the parcels (id, county, parcel_number, parcel_class, deed_holder, owner, area_sqm, ring or polygon), layer "parcels"; counties in ``skip`` in none."""
+    low, high = sorted({z for z in zooms if z <= LAST_CLUSTER_ZOOM}), sorted({z for z in zooms if z > LAST_CLUSTER_ZOOM})
+    found = []
+    if low:
+        own = clusters.filter(~F.col("county").isin(*skip)).withColumns({"id": F.get("parcel_ids", 0), "acres": F.round("total_acres", 1)})
+        found.append(tiles.pyramid(_on_map(own, F.col("polygons")), low, "ownership", "id", ["owner", "parcel_count", "acres", "county"]))
+    if high:
+        own = _shaped(parcels.filter(~F.col("county").isin(*skip))).withColumns({"owner_norm": F.col("owner"), "acres": F.round(values.acres(F.col("area_sqm")), 2)})
+        own = _on_map(own.withColumn("owner", F.col("deed_holder")).withColumnRenamed("parcel_class", "class"), F.when(F.col("polygon").isNotNull(), F.array("polygon")))
+        own = own.drop("ring", "polygon")
+        found += [tiles.tiles(own, z, "parcels", "id", ["id", "county", "parcel_number", "class", "owner", "owner_norm", "acres"], simplify=False) for z in high]
+    return reduce(DataFrame.union, found)
+
+
 # --- soil: component(cokey, mukey, compname, comppct_r), mapunit(mukey, muname), horizon(chkey, cokey, hzdept_r, texture), ratings(cokey, mukey, rating, percent)
 
 
