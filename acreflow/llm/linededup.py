@@ -2,9 +2,10 @@
 
 The key of a line is the line with white space stripped at both ends and A-Z
 lower-cased, carried as two independent 64-bit hashes.  The lines are
-range-partitioned by key, document (largest first) and position, so a line that
-stands in a third of all documents is cut over many partitions, and sorted so
-within them.  One pass along each partition then tells a key's first document,
+range-partitioned by key and document (largest first): split points are taken
+from a sample, each row's partition is found among them, and one exchange moves
+the rows there.  So a line that stands in a third of all documents is cut over
+many partitions; within them lines are sorted by key, document and position.  One pass along each partition then tells a key's first document,
 which keeps the line, from the later ones, and counts them.  A key that goes on
 in the next partition is stitched from one row for each partition that holds it.
 The result is each document's keep bitmap in compressed form, as run lengths,
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, fresh, let, materialize
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Sampled rows for each range of lines.
+SAMPLED = 50
 SPACE = " \t\n\x0b\x0c\r"
 _RUNS = "array<struct<first:int,last:int>>"
 
@@ -50,10 +53,39 @@ def line_keys(docs: DataFrame, key: str = "doc_id", text: str = "text", min_char
     return each.select("doc_id", "text_hash", F.col("of.n").alias("n_lines"), F.explode("of.long").alias("x")).select("doc_id", "text_hash", "n_lines", "x.pos", "x.h1", "x.h2")
 
 
+def _place() -> Column:
+    """Where a row stands in the order of key and document, largest first; null ids stand last."""
+    return F.struct(F.col("h1").alias("h1"), F.col("h2").alias("h2"), F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)).alias("doc"))
+
+
+def _ranged(lines: DataFrame) -> DataFrame:
+    """Lines in as many ranges of key and document as there are shuffle partitions, with their range as ``part``.
+
+    The split points are places of about ``SAMPLED`` rows for each range, all that reaches the driver.
+    """
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = lines.count()
+    share = min(1.0, SAMPLED * parts / max(rows, 1))
+    some = lines.filter(F.pmod(F.xxhash64(F.lit(11), *lines.columns), F.lit(1 << 30)) < int(share * (1 << 30))).select(_place().alias("p")).select("p.*")
+    places = some.orderBy("h1", "h2", "doc").collect()
+    splits = [places[len(places) * i // parts] for i in range(1, parts)] if places else []
+    if not splits:
+        return lines.withColumn("part", F.lit(0))
+    known = F.array(*[F.struct(F.lit(a).alias("h1"), F.lit(b).alias("h2"), F.lit(c).alias("doc")) for a, b, c in splits])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(splits).bit_length()))])
+
+    def search(place: Column) -> Column:
+        """How many split points stand at or before a place, by halving."""
+        on = lambda at, step: F.when(F.get(known, at + step - 1) <= place, at + step).otherwise(at)
+        return F.aggregate(steps, F.lit(0), on)
+
+    return lines.withColumn("part", let(_place(), search)).repartitionById(parts, "part")
+
+
 def later_occurrences(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows of ``line_keys`` whose line ``min_docs`` documents hold, but for those of the largest id."""
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc_nulls_last(), F.col("text_hash"), F.col("pos")]
-    ranged = lines.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    ranged = _ranged(lines)
     along = Window.partitionBy("part").orderBy(*order)
     key = Window.partitionBy("part", "h1", "h2")
     before = F.lag(F.struct("h1", "h2", "doc_id")).over(along)

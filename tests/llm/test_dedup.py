@@ -2,7 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
-from acreflow.llm import linededup, minhash, queries
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from acreflow.llm import common, linededup, minhash, queries
 
 from . import brute
 from .conftest import ODD
@@ -107,3 +110,20 @@ def test_bitmaps_are_run_lengths(docs):
     frame = docs([f"a\n{line}\n{line}\nb\n{line}"] + [line] * 5)
     assert [(r.first, r.last) for r in linededup.drop_runs(frame).filter("doc_id = 0").first().runs] == [(1, 2), (4, 4)]
     assert {r.doc_id: r.keep_bitmap for r in linededup.keep_bitmaps(frame).collect()} == {0: [1, 2, 1, 1]} | {i: [0, 1] for i in range(1, 5)}
+
+
+def test_lines_move_once(spark, sample, request):
+    """One exchange brings the lines to their ranges, and the windows take them as they lie; a hot line is cut over many ranges."""
+    hot = "This is a line that stands in very many of all the documents."
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(hot + "\n"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" words of its own ")), 3)).alias("text"))
+    lines = common.materialize(linededup.line_keys(rows))
+    ranged = linededup._ranged(lines)
+    counts = [r["count"] for r in ranged.groupBy("part").count().collect()]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(counts) == parts and max(counts) < 1.5 * lines.count() / parts
+    assert ranged.filter(F.col("part") != F.spark_partition_id()).count() == 0
+    assert ranged.join(lines.groupBy("h1", "h2").count().filter("count > 1000"), ["h1", "h2"]).select("part").distinct().count() >= 2
+    along = Window.partitionBy("part").orderBy("h1", "h2", F.col("doc_id").desc_nulls_last())
+    plan = ranged.withColumn("before", F.lag("h1").over(along))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "shufflepartitionidpassthrough" in plan
+    assert linededup.later_occurrences(lines).count() == 2999
