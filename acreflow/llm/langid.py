@@ -35,9 +35,8 @@ from .textvec import buffers, pieces
 
 WINDOW = 256
 WIDTHS = {2: 16, 4: 16, 6: 8}  # bytes seen: filters
-SAMPLE = 400  # labelled texts learned from, for each label
-SAMPLE_ROWS, SAMPLE_LEAST = 6400, 20  # of all labels together, and the fewest of one, where there are many labels
-SAMPLE_WINDOWS = 16  # windows learned from, spread over each whole text
+SAMPLE = 200  # labelled texts learned from, for each label
+SAMPLE_ROWS = 3200  # of all labels together, where there are many; but one of each at least
 SLICE = 2048  # windows looked at together
 DIM, EPOCHS, BATCH, RATE, SEED = 12, 6, 64, 4e-3, 11
 
@@ -106,7 +105,7 @@ def train(x: np.ndarray, labels: list[str], seed: int = SEED) -> Model | None:
             grads = [np.zeros_like(a) for a in p]
             grads[-2], grads[-1] = hidden.T @ d, d.sum(axis=0)
             dh = (d @ p[-2].T) * (hidden > 0) * drop
-            at = 0
+            at, seen, pushed = 0, [], []  # bytes that the picked windows hold, and what their embeddings get
             for j, w in enumerate(widths):
                 dj = dh[:, at : at + counts[j]]
                 at += counts[j]
@@ -114,8 +113,10 @@ def train(x: np.ndarray, labels: list[str], seed: int = SEED) -> Model | None:
                 grads[1 + j] = np.einsum("bf,bfd->df", dj, picked)
                 grads[1 + k + j] = dj.sum(axis=0)
                 back = dj[:, :, None] * p[1 + j].T[None]  # [b, filters, w * DIM]
-                for q in range(w):
-                    np.add.at(grads[0], bx[np.arange(b)[:, None], best[j] + q], back[:, :, q * DIM : (q + 1) * DIM])
+                seen.append(bx[np.arange(b)[:, None, None], best[j][:, :, None] + np.arange(w)].ravel())
+                pushed.append(back.reshape(-1, DIM))
+            place = np.concatenate(seen).astype(np.int64)[:, None] * DIM + np.arange(DIM)
+            grads[0] += np.bincount(place.ravel(), np.concatenate(pushed).ravel(), 256 * DIM).reshape(256, DIM).astype(np.float32)
             grads[0][0] = 0
             step += 1
             for a, g, mm, vv in zip(p, grads, m, v, strict=True):
@@ -203,38 +204,38 @@ def predict_batches(model: Model | None, text_at: int, names: list[str]):
     return run
 
 
-def spread_windows(batches):
-    """mapInArrow: hash, label, text -> hash, label, place, window: ``SAMPLE_WINDOWS`` of a text, as far apart as can be"""
+def all_windows(batches):
+    """mapInArrow: hash, label, text -> hash, label, place, window of all windows of a text"""
     for batch in batches:
         data, off = buffers(batch.column(2))
         per = window_counts(off)
-        take = np.minimum(per, SAMPLE_WINDOWS)
-        row = np.repeat(np.arange(len(per)), take)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
+        row = np.repeat(np.arange(len(per)), per)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
         for at in range(0, len(row), SLICE):
-            r, k = row[at : at + SLICE], step[at : at + SLICE] * per[row[at : at + SLICE]] // take[row[at : at + SLICE]]
+            r, k = row[at : at + SLICE], step[at : at + SLICE]
             x = windows(data, off, r, k)
             of = pa.array(r)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(k), pa.array([w.tobytes() for w in x], pa.binary())], names=["h", "l", "k", "w"])
 
 
 def learn(labelled: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE, rows: int = SAMPLE_ROWS) -> Model | None:
-    """A network from about ``sample`` texts of each label, fewer if there are more than ``rows / sample`` labels.
+    """A network from all windows of about ``sample`` texts of each label, fewer if there are more than ``rows / sample`` labels.
 
     The sample is those rows whose hash is under a threshold set from the
-    label's count, so its expected size is bounded whatever the size of the
-    table; twice that is never passed.  Only windows reach the driver.
+    label's count, and each label's row of the least hash, so about ``rows``
+    texts, or one for each label, bound it whatever the size of the table;
+    repeated rows count once.  Only windows reach the driver.
     """
-    known = labelled.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("l")).filter("l IS NOT NULL")
-    counts = materialize(known.groupBy("l").agg(F.count(F.lit(1)).alias("n")))
+    hashed = F.pmod(F.xxhash64(F.lit(29), "k", "t"), F.lit(1 << 60))
+    known = labelled.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("l")).filter("l IS NOT NULL").withColumn("h", F.when(F.length("t") > 0, hashed))
+    counts = materialize(known.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")))
     n_labels = counts.count()
     if not n_labels:
         return None
-    each = max(SAMPLE_LEAST, min(sample, rows // n_labels))
-    hashed = F.pmod(F.xxhash64(F.lit(29), "k", "t"), F.lit(1 << 30))
-    some = known.filter(F.length("t") > 0).join(broadcast_if_small(counts), "l").withColumn("h", hashed).filter(F.col("h") < F.lit(float(each << 30)) / F.col("n"))
-    found = some.select("h", "l", "t").mapInArrow(spread_windows, "h long, l string, k long, w binary")
-    got = found.orderBy("h", "l", "k", "w").limit(2 * each * n_labels * SAMPLE_WINDOWS).collect()
+    each = min(sample, rows / n_labels)
+    some = known.join(broadcast_if_small(counts), "l").filter((F.col("h") == F.col("least")) | (F.col("h") < F.lit(each * float(1 << 60)) / F.col("n")))
+    found = some.groupBy("h", "l").agg(F.min("t").alias("t")).mapInArrow(all_windows, "h long, l string, k long, w binary")
+    got = found.orderBy("h", "l", "k", "w").collect()
     if not got:
         return None
     return train(np.frombuffer(b"".join(r["w"] for r in got), np.uint8).reshape(len(got), WINDOW), [r["l"] for r in got])

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from acreflow.llm import langid
 
@@ -78,14 +79,25 @@ def test_as_many_labels_as_there_are(docs):
     assert len({r.lang_pred for r in got}) > 64 and sum(r.lang_pred == langs[r.doc_id] for r in got) > 0.9 * len(got)
 
 
-def test_windows_are_learned_from_all_over_a_text():
+def test_windows_are_learned_from_all_of_a_text():
     import pyarrow as pa
 
     text = "".join(f"{i:08d}" for i in range(32 * 40))
-    batch = pa.RecordBatch.from_pydict({"h": [1, 2], "l": ["a", "b"], "t": [text, "short"]})
-    got = [r for b in langid.spread_windows([batch]) for r in b.to_pylist()]
-    assert [r["k"] for r in got] == [i * 40 // 16 for i in range(16)] + [0]
-    assert all(r["w"] == text[r["k"] * 256 : r["k"] * 256 + 256].encode() for r in got[:16])
+    batch = pa.RecordBatch.from_pydict({"h": [1, 2, 3], "l": ["a", "b", "c"], "t": [text, "short", None]})
+    got = [r for b in langid.all_windows([batch]) for r in b.to_pylist()]
+    assert [r["k"] for r in got] == [*range(40), 0]
+    assert all(r["w"] == text[r["k"] * 256 : r["k"] * 256 + 256].encode() for r in got[:40])
+
+
+def test_the_sample_is_bounded_and_holds_every_label(docs, monkeypatch):
+    """Of rows of many labels one each, of copies one, and of a few labels about the wanted number."""
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda x, labels: seen.append(labels))
+    frame = docs([f"text number {i}" for i in range(3000)] + ["the same"] * 500, ids=[*range(3000), *[9000] * 500], langs=[f"l{i % 1000}" for i in range(3000)] + ["l0"] * 500)
+    langid.learn(frame, "doc_id", "text", "lang", rows=100)
+    langid.learn(frame.withColumn("lang", F.lit("en")), "doc_id", "text", "lang", sample=300, rows=300)
+    assert set(seen[0]) == {f"l{i}" for i in range(1000)} and len(seen[0]) < 1300
+    assert 200 < len(seen[1]) < 400
 
 
 def test_names_that_are_taken(spark, docs):
