@@ -171,9 +171,50 @@ def near_pairs(parcels: DataFrame, by: list[str], key: str = "id", eps: float =
     return met.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), "distance")
 
 
-def adjacent_clusters(parcels: DataFrame, by: list[str], key: str = "id", eps: float = 1e-4, cell: float = 0.01, polygon: str | None = None) -> DataFrame:
-    """key, cluster (the least key) of parcels at most ``eps`` apart inside each group, by ``near_pairs``."""
-    label = components(near_pairs(parcels, by, key, eps, cell, polygon).select("a", "b")).toDF("node", "component")
+#: Metres of a degree of latitude.
+DEGREE = math.pi / 180 * 6371008.8
+
+
+def near_pairs_metres(parcels: DataFrame, by: list[str], key: str = "id", metres: float = 10.0, cell: float = 0.01, polygon: str | None = None) -> DataFrame:
+    """a, b (the lesser key first) of parcels (degrees) of one group at most ``metres`` apart on the ground, and ``distance`` in metres.
+
+    Cells are of the fixed grid in degrees; boxes are widened by the metres, east
+    and west by as many degrees as they make at the box's latitude.  Distances of
+    polygons, or of boxes if there are none, are taken in metres on a plane that
+    touches the earth between the two, which is exact enough for neighbours.
+    """
+    has = [c for c in (polygon,) if c]
+    boxes = parcels.filter(F.col("xmin").isNotNull()).select(*by, key, "xmin", "ymin", "xmax", "ymax", *has)
+    if not polygon:
+        polygon = "__box"
+        boxes = boxes.withColumn(polygon, F.array(geo.box_ring(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"))))
+    up = F.lit(metres / DEGREE * 1.001)
+    across = up / F.cos(F.radians(F.least(F.greatest(F.abs("ymin"), F.abs("ymax")) + up, F.lit(89.9))))
+    wide = boxes.withColumns({"xmin": F.col("xmin") - across, "xmax": F.col("xmax") + across, "ymin": F.col("ymin") - up, "ymax": F.col("ymax") + up})
+    shape = ["xmin", "ymin", "xmax", "ymax", polygon]
+    a = with_cells(wide, cell).select(*by, "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in (key, *shape)])
+    b = with_cells(boxes, cell).select(*by, "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in (key, *shape)])
+    home = lambda axis, c: F.floor(F.greatest(F.col(f"a_{axis}"), F.col(f"b_{axis}")) / cell) == F.col(c)
+    meet = (F.col("a_xmin") <= F.col("b_xmax")) & (F.col("b_xmin") <= F.col("a_xmax")) & (F.col("a_ymin") <= F.col("b_ymax")) & (F.col("b_ymin") <= F.col("a_ymax"))
+    met = a.join(b, [*by, "cx", "cy"]).filter((F.col(f"a_{key}") < F.col(f"b_{key}")) & home("xmin", "cx") & home("ymin", "cy") & meet)
+    lon, lat = (F.col("a_xmin") + F.col("a_xmax")) / 2, (F.greatest("a_ymin", "b_ymin") + F.least("a_ymax", "b_ymax")) / 2
+
+    def plane(shape: Column) -> Column:
+        point = lambda p: F.struct(((p["x"] - lon) * F.cos(F.radians(lat)) * DEGREE).alias("x"), ((p["y"] - lat) * DEGREE).alias("y"))
+        return F.transform(shape, lambda r: F.transform(r, point))
+
+    met = met.withColumn("distance", geo.distance(plane(F.col(f"a_{polygon}")), plane(F.col(f"b_{polygon}")))).filter(F.col("distance") <= metres)
+    return met.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), "distance")
+
+
+def adjacent_clusters(parcels: DataFrame, by: list[str], key: str = "id", eps: float = 1e-4, cell: float = 0.01, polygon: str | None = None, metres: float | None = None) -> DataFrame:
+    """key, cluster (the least key) of parcels at most ``eps`` apart inside each group, by ``near_pairs``; with ``metres``, so far apart on the ground.
+
+    A parcel near any member joins a cluster, which is the same as being near the
+    members' merged outline.
+    """
+    pairs = near_pairs(parcels, by, key, eps, cell, polygon) if metres is None else near_pairs_metres(parcels, by, key, metres, cell, polygon)
+    label = components(pairs.select("a", "b")).toDF("node", "component")
     mapped = parcels.filter(F.col("xmin").isNotNull()).select(key)
     return mapped.join(label, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("cluster"))
 

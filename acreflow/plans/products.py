@@ -57,17 +57,18 @@ def county_clusters(parcels: DataFrame, skip: tuple[str, ...] = ("HARRISON",), e
     return (grouped.join(_with_geometry(found, cell), "cluster", "left") if "polygon" in found.columns else grouped).drop("cluster")
 
 
-def _clustered(parcels: DataFrame, by: list[str], eps: float, cell: float) -> DataFrame:
+def _clustered(parcels: DataFrame, by: list[str], eps: float, cell: float, metres: float | None = None) -> DataFrame:
     has_shape = bool({"ring", "polygon"} & set(parcels.columns))
     shaped = _shaped(parcels) if has_shape else parcels
-    return materialize(spatial.adjacent_clusters(shaped, by, eps=eps, cell=cell, polygon="polygon" if has_shape else None).join(shaped, "id"))
+    return materialize(spatial.adjacent_clusters(shaped, by, eps=eps, cell=cell, polygon="polygon" if has_shape else None, metres=metres).join(shaped, "id"))
 
 
-def clusters_in_box(parcels: DataFrame, west: float, south: float, east: float, north: float, eps: float = 1e-4, cell: float = 0.01) -> DataFrame:
-    """owner, parcel_ids, parcel_count, counties of the clusters in a box, single parcels too; polygons too if parcels have rings."""
+def clusters_in_box(parcels: DataFrame, west: float, south: float, east: float, north: float, metres: float = 10.0, cell: float = 0.01) -> DataFrame:
+    """owner, parcel_ids, parcel_count, counties of the clusters in a box, single parcels too, of parcels at most
+    ``metres`` apart on the ground (1 m for outlines on the map); polygons too if parcels have rings."""
     seen = parcels.filter((F.col("xmax") >= west) & (F.col("xmin") <= east) & (F.col("ymax") >= south) & (F.col("ymin") <= north))
     seen = seen.withColumn("owner", normalize_owner(F.col("deed_holder"), "bbox"))
-    found = _clustered(seen, ["owner"], eps, cell)
+    found = _clustered(seen, ["owner"], 0.0, cell, metres)
     grouped = found.groupBy("owner", "cluster").agg(F.sort_array(F.collect_list("id")).alias("parcel_ids"), F.count(F.lit(1)).alias("parcel_count"), F.array_join(F.sort_array(F.collect_set("county")), ", ").alias("counties"))
     return (grouped.join(_with_geometry(found, cell), "cluster", "left") if "polygon" in found.columns else grouped).drop("cluster")
 

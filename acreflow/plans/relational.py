@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from acreflow.functions import listings, values
 from acreflow.operators import owners, relational
+from acreflow.operators.storage import shared_path
+from acreflow.sources import stats
+from acreflow.streaming import views
 
 from .base import Tables, register
 
@@ -624,3 +627,25 @@ def ext_tumbling(t: Tables) -> DataFrame:
 def ext_sessions(t: Tables) -> DataFrame:
     s = t.events.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count(F.lit(1)).alias("n"))
     return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"))
+
+
+# --- views kept up by changes, statistics
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_l_quantity FROM lineitem WHERE l_quantity <= 45 GROUP BY 1, 2")
+def kept_view(t: Tables) -> DataFrame:
+    """A view of all lines, from which those of large quantities are taken again by a second batch of changes."""
+    path, keys = shared_path(t.spark), ["l_returnflag", "l_linestatus"]
+    put = views.view_batches(path, keys, ["l_quantity"], buckets=8)
+    lines = t.lineitem.select(*keys, "l_quantity")
+    put(views.signed(lines), 0)
+    put(views.signed(lines.filter("l_quantity > 45"), -1), 1)
+    return views.read_view(t.spark, path, keys, ["l_quantity"]).select(*keys, "n", "sum_l_quantity")
+
+
+_STATS = "SELECT '{0}' AS \"column\", count(*) AS n, count(*) - count({0}) AS nulls, CAST(min({0}) AS VARCHAR) AS least, CAST(max({0}) AS VARCHAR) AS most FROM part"
+
+
+@query(" UNION ALL ".join(_STATS.format(c) for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size")))
+def column_stats(t: Tables) -> DataFrame:
+    return stats.column_stats(t.part).filter("kind != 'double'").select("column", "n", "nulls", "least", "most")
