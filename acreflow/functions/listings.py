@@ -17,7 +17,7 @@ REGION_URL_SHORT = ("-ia", "iowa", "_ia_")
 OTHER_LAND = ("residential", "commercial", "commercial building", "auto auction", "personal property auction", "farm equipment auction", "equipment auction", "estate auction", "workshop", "church contents", "livestock")
 OTHER_TITLES = ("personal property", "church contents", "sportsman", "gun", "collector")
 MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
-MONTH_SHORT = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec"
+MONTH_SHORT = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec"
 DATE_PATTERNS = (
     rf"(?i)\b((?:{MONTH})\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}})\b",
     rf"(?i)\b((?:{MONTH_SHORT})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}})\b",
