@@ -35,6 +35,7 @@ from .textvec import buffers, pieces
 
 BLOCK, SIDE, RATE = 64, 32, 25  # bytes a block, pixels a frame's side, frames a second
 TOGETHER = 64  # frames of a foreign file that are decoded together
+SLICE = 512  # frames of own files that are decoded together
 BINS, SPAN, FACTOR, FLOOR = 16, 8, 2.0, 0.1  # histogram bins; differences that adapt the threshold; its factor and least value
 
 #: The zigzag order of an 8x8 block, by its rule: diagonals, walked up and down in turn.
@@ -407,21 +408,34 @@ def _describe(rate: float, hist: np.ndarray) -> str:
 
 
 def _text_features(part: np.ndarray, off: np.ndarray):
-    """The features of each text of a piece: written as AVI, read back, decoded together."""
+    """The features of each text of a piece: written as AVI and read back; the frames of all are decoded ``SLICE`` at a time."""
     files, plain = [], np.diff(off)
     for i in range(len(plain)):
         raw = part[off[i] : off[i + 1]].tobytes()
         files.append(write_avi(raw + b"\0" * (-len(raw) % BLOCK if raw else BLOCK)))
     parsed = [read_avi(f) for f in files]
+    stored = [(len(f), hashlib.sha256(f).hexdigest()) for f in files]
     base = np.cumsum([0, *map(len, files)])
     frames = [(a + int(o), b + int(o)) for x, o in zip(parsed, base, strict=False) for a, b in x["frames"]]
-    coefficients, pixels = decode_frames(np.frombuffer(b"".join(files), np.uint8), frames)
-    hist, at = histograms(pixels), 0
-    for i, (file, x) in enumerate(zip(files, parsed, strict=True)):
-        n = len(x["frames"])
-        payload = payload_of(coefficients[at : at + n], x["payload"])
-        yield int(plain[i]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(file), hashlib.sha256(file).hexdigest(), _describe(x["rate"], hist[at : at + n])
-        at += n
+    data = np.frombuffer(files[0] if len(files) == 1 else b"".join(files), np.uint8)
+    ends = np.cumsum([len(x["frames"]) for x in parsed])
+    text, left, digest, tail, hist = 0, parsed[0]["payload"] if parsed else 0, hashlib.sha256(), b"", []
+    for begin in range(0, len(frames), SLICE):
+        coefficients, pixels = decode_frames(data, frames[begin : begin + SLICE])
+        counted, at = histograms(pixels), 0
+        while at < len(counted):
+            to = min(int(ends[text]) - begin, len(counted))
+            payload = payload_of(coefficients[at:to], left)
+            left -= len(payload)
+            digest.update(payload)
+            tail = (tail + payload)[-BLOCK:]
+            hist.append(counted[at:to])
+            at = to
+            if begin + to == ends[text]:
+                size, sha = stored[text]
+                yield int(plain[text]), parsed[text]["payload"] - left, digest.hexdigest(), zlib.crc32(tail), size, sha, _describe(parsed[text]["rate"], np.concatenate(hist))
+                text += 1
+                left, digest, tail, hist = parsed[text]["payload"] if text < len(parsed) else 0, hashlib.sha256(), b"", []
 
 
 def feature_batches(batches):

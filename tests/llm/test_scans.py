@@ -365,3 +365,17 @@ def test_features_of_texts_by_hand(docs):
     got = np.array([int(x) for x in told["histogram"].split(",")])
     assert int(told["frames"]) == n and told["rate"] == "25" and (got == hist.sum(axis=0)).all()
     assert told["clips"] == "|".join(f"{a / 25:.2f}-{b / 25:.2f}" for a, b in media.shots(hist))
+
+
+def test_memory_of_a_long_text_is_bounded():
+    import tracemalloc
+
+    from acreflow.llm import media
+
+    text = np.frombuffer(b"some words of a long text, again and again " * 100_000, np.uint8)
+    tracemalloc.start()
+    (row,) = media._text_features(text, np.array([0, len(text)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert row[0] == len(text) and row[2] == hashlib.sha256(text.tobytes() + b"\0" * (-len(text) % 64)).hexdigest()
+    assert peak < 15 * len(text)
