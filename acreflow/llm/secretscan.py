@@ -24,6 +24,7 @@ gives an empty table; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 from collections import deque
 
 import numpy as np
@@ -287,7 +288,8 @@ def scan_lanes(data: np.ndarray, cuts: np.ndarray, step: np.ndarray, accept: np.
     return out
 
 
-def compiled(rules) -> dict:
+@functools.lru_cache(8)
+def compiled(rules: tuple) -> dict:
     """The combined automaton, and of each rule whether a match is complete with its first byte, its own and its reversed automaton."""
     trees = [parse(r[1], r[4]) for r in rules]
     for tree in trees:
@@ -364,7 +366,7 @@ def find_spans(part: np.ndarray, off: np.ndarray, rules, automaton: dict) -> dic
 
 def scan_batches(rules):
     """mapInArrow: id, text -> id, kinds, starts, ends (lists, by start and then rule)"""
-    automaton = compiled(rules)
+    automaton = compiled(tuple(map(tuple, rules)))
 
     def run(batches):
         for batch in batches:

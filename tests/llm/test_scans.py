@@ -75,7 +75,7 @@ def test_expressions_against_the_library():
 @pytest.mark.parametrize("pattern", ["a[a-c]*b", "(xa|[x-z]*abc)", "a?", "a.", "[^a]", r"\d"])
 def test_rules_that_are_refused(pattern):
     with pytest.raises(ValueError, match="match|not supported"):
-        secretscan.compiled([("k", pattern, 0, "all", False)])
+        secretscan.compiled((("k", pattern, 0, "all", False),))
 
 
 def test_licenses(docs):
