@@ -165,3 +165,14 @@ def dominant(df: DataFrame, by: str, share: str, key: str) -> DataFrame:
     """The row of the greatest share of each group, ties by key; a null share counts as greatest."""
     w = Window.partitionBy(by).orderBy(F.col(share).desc_nulls_first(), key)
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def pairs_between(counted: DataFrame, by: list[str], key: str, n: str) -> DataFrame:
+    """by, pairs: how many pairs of rows of one group have different keys, where a row of ``counted`` stands for ``n``.
+
+    Each of two rows with keys a < b is paired once, as a self-join would; the rows
+    of one key make no pairs.  Two aggregates, no join: all pairs less those of equal keys.
+    """
+    each = counted.groupBy(*by, key).agg(F.sum(n).alias("__n"))
+    whole = each.groupBy(*by).agg(F.sum("__n").alias("__all"), F.sum(F.col("__n") * F.col("__n")).alias("__own"))
+    return whole.select(*by, F.expr("(__all * __all - __own) div 2").alias("pairs"))
