@@ -27,12 +27,24 @@ from .storage import materialize
 EXTENT, BUFFER = 4096, 256
 
 
-def on_tiles(features: DataFrame, zoom: int) -> DataFrame:
-    """Features (ring in web-mercator metres, xmin.., ...) once for each tile z, x, y of ``zoom`` that their box touches."""
+def on_tiles(features: DataFrame, zoom: int, world: bool = True) -> DataFrame:
+    """Features (ring in web-mercator metres, xmin.., ...) once for each tile z, x, y of ``zoom`` that their box touches.
+
+    What lies beyond the world's square is on no tile; without ``world`` the tiles
+    go on beyond it, numbered by the same grid.
+    """
     size = 2 * geo.WORLD / 2**zoom
-    at = lambda c: F.greatest(F.lit(0), F.least(F.lit(2**zoom - 1), F.floor(c)))
-    xs = F.sequence(at((F.col("xmin") + geo.WORLD) / size), at((F.col("xmax") + geo.WORLD) / size))
-    ys = F.sequence(at((geo.WORLD - F.col("ymax")) / size), at((geo.WORLD - F.col("ymin")) / size))
+    last = 2**zoom - 1
+
+    def spans(lo, hi):
+        if not world:
+            return F.sequence(F.floor(lo), F.floor(hi))
+        # the last tile holds its outer border too
+        first, end = F.greatest(F.lit(0), F.when(lo == last + 1, last).otherwise(F.floor(lo))), F.least(F.lit(last), F.floor(hi))
+        return F.when((first <= end) & lo.isNotNull() & hi.isNotNull(), F.sequence(first, F.greatest(first, end)))
+
+    xs = spans((F.col("xmin") + geo.WORLD) / size, (F.col("xmax") + geo.WORLD) / size)
+    ys = spans((geo.WORLD - F.col("ymax")) / size, (geo.WORLD - F.col("ymin")) / size)
     return features.withColumn("z", F.lit(zoom)).withColumn("x", F.explode(xs)).withColumn("y", F.explode(ys))
 
 
