@@ -9,10 +9,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreflow.functions import geo
+from acreflow.functions import geo, shapes
 
 from .graph import components
 from .storage import materialize
@@ -149,8 +150,30 @@ def polygon_overlays(areas: DataFrame, units: DataFrame, cell: float) -> DataFra
     return _overlaid(areas, units, cell).withColumn("common", geo.polygon_overlap_area(F.col("unit_polygon"), F.col("polygon")))
 
 
-def near_pairs(parcels: DataFrame, by: list[str], key: str = "id", eps: float = 1e-4, cell: float = 0.01, polygon: str | None = None) -> DataFrame:
-    """a, b (the lesser key first) of parcels of one group at most ``eps`` apart, and ``distance``.
+def _measured(pairs: DataFrame, most: float, touching: bool = False) -> DataFrame:
+    """a, b, distance of pairs (a, b, polygons ``one`` and ``two``) at most ``most`` apart; with lon and lat, of
+    polygons in degrees on a plane that touches the earth there.  ``touching`` as by ``geo.touches``."""
+    ground = "lon" in pairs.columns
+
+    def measure(batches):
+        for batch in batches:
+            one, two = shapes.edges(batch.column("one")), shapes.edges(batch.column("two"))
+            if ground:
+                one, two = (shapes.on_plane(e, batch.column("lon").to_numpy(), batch.column("lat").to_numpy(), DEGREE) for e in (one, two))
+            far = shapes.distances(one, two)
+            out = [batch.column("a"), batch.column("b"), pa.array(far)]
+            if touching:
+                common, least = shapes.common_areas(shapes.edges(batch.column("one"), outer=True), shapes.edges(batch.column("two"), outer=True))
+                out.append(pa.array((far <= 1e-9) & (common <= 1e-9 * least)))
+            yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(far <= most))
+
+    names = ["a", "b", "distance", *(["touching"] if touching else [])]
+    kind = lambda c: pairs.schema[c].dataType.simpleString()
+    return pairs.mapInArrow(measure, f"a {kind('a')}, b {kind('b')}, distance double" + (", touching boolean" if touching else ""))
+
+
+def near_pairs(parcels: DataFrame, by: list[str], key: str = "id", eps: float = 1e-4, cell: float = 0.01, polygon: str | None = None, touching: bool = False) -> DataFrame:
+    """a, b (the lesser key first) of parcels of one group at most ``eps`` apart, and ``distance``; if asked, whether their polygons are ``touching``.
 
     Distances are those of the boxes, or of the polygons in column ``polygon``,
     which then only are compared where the boxes are near.  A parcel is listed
@@ -167,7 +190,7 @@ def near_pairs(parcels: DataFrame, by: list[str], key: str = "id", eps: float =
     most = eps * (1 + 1e-9)
     met = a.join(b, [*by, "cx", "cy"]).filter((F.col(f"a_{key}") < F.col(f"b_{key}")) & home("xmin", "cx") & home("ymin", "cy")).withColumn("distance", apart).filter(F.col("distance") <= most)
     if polygon:
-        met = met.withColumn("distance", geo.distance(F.col(f"a_{polygon}"), F.col(f"b_{polygon}"))).filter(F.col("distance") <= most)
+        return _measured(met.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), F.col(f"a_{polygon}").alias("one"), F.col(f"b_{polygon}").alias("two")), most, touching)
     return met.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), "distance")
 
 
@@ -198,13 +221,7 @@ def near_pairs_metres(parcels: DataFrame, by: list[str], key: str = "id", metres
     meet = (F.col("a_xmin") <= F.col("b_xmax")) & (F.col("b_xmin") <= F.col("a_xmax")) & (F.col("a_ymin") <= F.col("b_ymax")) & (F.col("b_ymin") <= F.col("a_ymax"))
     met = a.join(b, [*by, "cx", "cy"]).filter((F.col(f"a_{key}") < F.col(f"b_{key}")) & home("xmin", "cx") & home("ymin", "cy") & meet)
     lon, lat = (F.col("a_xmin") + F.col("a_xmax")) / 2, (F.greatest("a_ymin", "b_ymin") + F.least("a_ymax", "b_ymax")) / 2
-
-    def plane(shape: Column) -> Column:
-        point = lambda p: F.struct(((p["x"] - lon) * F.cos(F.radians(lat)) * DEGREE).alias("x"), ((p["y"] - lat) * DEGREE).alias("y"))
-        return F.transform(shape, lambda r: F.transform(r, point))
-
-    met = met.withColumn("distance", geo.distance(plane(F.col(f"a_{polygon}")), plane(F.col(f"b_{polygon}")))).filter(F.col("distance") <= metres)
-    return met.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), "distance")
+    return _measured(met.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), F.col(f"a_{polygon}").alias("one"), F.col(f"b_{polygon}").alias("two"), lon.alias("lon"), lat.alias("lat")), metres)
 
 
 def adjacent_clusters(parcels: DataFrame, by: list[str], key: str = "id", eps: float = 1e-4, cell: float = 0.01, polygon: str | None = None, metres: float | None = None) -> DataFrame:
