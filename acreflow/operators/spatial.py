@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,15 +141,31 @@ def _overlaid(areas: DataFrame, units: DataFrame, cell: float) -> DataFrame:
     return met.filter(touch & home).drop("cx", "cy")
 
 
+def _with_common(met: DataFrame, one: str, two: str) -> DataFrame:
+    """``met`` with ``common``: the area that two rings or polygons of each row have in common."""
+
+    def measure(batches):
+        for batch in batches:
+            sides = [batch.column(c) for c in (one, two)]
+            missing = np.logical_or(*(pc.is_null(v).to_numpy(zero_copy_only=False) for v in sides))
+            if "ring" in two:
+                sides = [pa.ListArray.from_arrays(pa.array(range(len(v) + 1), pa.int32()), v) for v in sides]
+            common, _ = shapes.common_areas(*map(shapes.edges, sides))
+            yield batch.append_column("common", pa.array(common, mask=missing | np.isnan(common)))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema)
+    return met.mapInArrow(measure, f"{schema}, common double")
+
+
 def overlays(areas: DataFrame, units: DataFrame, cell: float) -> DataFrame:
     """Pairs of areas (ring, box, ...) and units (unit_ring, box as uxmin.., ...) with their common area."""
-    return _overlaid(areas, units, cell).withColumn("common", geo.overlap_area(F.col("unit_ring"), F.col("ring")))
+    return _with_common(_overlaid(areas, units, cell), "unit_ring", "ring")
 
 
 def polygon_overlays(areas: DataFrame, units: DataFrame, cell: float) -> DataFrame:
     """Pairs of areas (polygon, box, ...) and units (unit_polygon, box as uxmin.., ...), either with holes, with their common area.
     A multipolygon has a row for each of its polygons, whose areas add up."""
-    return _overlaid(areas, units, cell).withColumn("common", geo.polygon_overlap_area(F.col("unit_polygon"), F.col("polygon")))
+    return _with_common(_overlaid(areas, units, cell), "unit_polygon", "polygon")
 
 
 def _measured(pairs: DataFrame, most: float, touching: bool = False) -> DataFrame:
