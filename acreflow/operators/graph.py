@@ -17,9 +17,12 @@ from .storage import materialize
 
 _EDGES = "a long, b long"
 
+#: Nodes that a task holds; beyond them it passes on what it has and begins anew.
+NODES = 500_000
+
 
 def _thin(batches):
-    """One edge to the root for each node of this task's edges."""
+    """One edge to the root for each node of this task's edges, or of each part of them that has ``NODES``."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -27,16 +30,22 @@ def _thin(batches):
             root[x] = x = root[up]
         return x
 
+    def edges():
+        nodes = [(x, find(x)) for x in list(root)]
+        nodes = [(x, y) for x, y in nodes if x != y]
+        for i in range(0, len(nodes), 50_000):
+            part = nodes[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([y for _, y in part], pa.int64()), pa.array([x for x, _ in part], pa.int64())], names=["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x, y = find(a), find(b)
             if x != y:
                 root[max(x, y)] = min(x, y)
-    nodes = [(x, find(x)) for x in list(root)]
-    nodes = [(x, y) for x, y in nodes if x != y]
-    for i in range(0, len(nodes), 50_000):
-        part = nodes[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([y for _, y in part], pa.int64()), pa.array([x for x, _ in part], pa.int64())], names=["a", "b"])
+        if len(root) > NODES:
+            yield from edges()
+            root.clear()
+    yield from edges()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

@@ -6,10 +6,10 @@ what lies in those cells: an equi-join, with the exact test on what it finds.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -291,10 +291,15 @@ def dissolve_edges(parcels: DataFrame, by: str, ring: str = "ring", cell: float
     return left.select(by, F.when(ahead, F.col("lo")).otherwise(F.col("hi")).alias("p"), F.when(ahead, F.col("hi")).otherwise(F.col("lo")).alias("q"))
 
 
-def _traced(group: pd.DataFrame) -> list[list[tuple[float, float]]]:
+def _turn(to: tuple, at: tuple, back: float) -> float:
+    """How far right of the way back an edge leaves a corner, clockwise: the least is the sharpest turn to the left."""
+    return (back - math.atan2(to[1] - at[1], to[0] - at[0])) % (2 * math.pi) or 2 * math.pi
+
+
+def _traced(group) -> list[list[tuple[float, float]]]:
     """The closed rings of directed edges; where several leave a corner, the sharpest turn to the left is taken, so rings touch and do not cross."""
     leave: dict[tuple, list] = {}
-    for px, py, qx, qy in zip(group["px"], group["py"], group["qx"], group["qy"], strict=True):
+    for px, py, qx, qy in group:
         leave.setdefault((px, py), []).append((qx, qy))
     rings = []
     for begin in sorted(leave):
@@ -303,8 +308,7 @@ def _traced(group: pd.DataFrame) -> list[list[tuple[float, float]]]:
             while at != begin:
                 back = math.atan2(ring[-1][1] - at[1], ring[-1][0] - at[0])
                 ways = leave[at]
-                turn = lambda to, at=at, back=back: (back - math.atan2(to[1] - at[1], to[0] - at[0])) % (2 * math.pi) or 2 * math.pi
-                to = min(ways, key=turn)
+                to = min(ways, key=lambda to, at=at, back=back: _turn(to, at, back))
                 ways.remove(to)
                 ring.append(at)
                 at = to
@@ -322,27 +326,91 @@ def _straight(ring: list) -> list:
 def dissolve(parcels: DataFrame, by: str, ring: str = "ring", cell: float = 0.01) -> DataFrame:
     """by, polygon: a row for each polygon of the union of each group's rings, which may share edges or parts of them but not overlap.
 
-    Outlines are traced apart for each connected piece, found as components of
-    the corners, so a task holds no more than one polygon's outline.  A hole
+    Outlines are traced apart for each ring, found as components of edges that
+    follow one another, so a task holds no more than one ring.  A hole
     belongs to the least outside that holds it, met in the cells of a grid.
     """
     return trace_polygons(materialize(dissolve_edges(parcels, by, ring, cell)), by, cell)
 
 
+def _groups(batches, keys: int):
+    """Runs of sorted rows that begin with the same values: (those, the rows' other values)."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    plain = lambda row: tuple(None if v != v else v for v in row[:keys])
+    for key, run in itertools.groupby(rows, plain):
+        yield key, (row[keys:] for row in run)
+
+
+#: Rows and points that are put in one batch.
+BATCH = 10_000
+
+
+def _next_edges(outline: DataFrame, by: str) -> DataFrame:
+    """a, b: the number of each edge (``edge``) and of the one that goes on from its end, by the sharpest turn to the left."""
+    ray = lambda at, to, comes: outline.select(by, F.col(f"{at}.x").alias("x"), F.col(f"{at}.y").alias("y"), F.lit(comes).alias("comes"), F.col(f"{to}.x").alias("tx"), F.col(f"{to}.y").alias("ty"), "edge")
+    rays = ray("q", "p", True).union(ray("p", "q", False))
+
+    def link(batches):
+        found: list[tuple[int, int]] = []
+        for (_, x, y), run in _groups(batches, 3):
+            run = list(run)
+            leaving = [((tx, ty), edge) for comes, tx, ty, edge in run if not comes]
+            for comes, tx, ty, edge in run:
+                if comes and leaving:
+                    back = math.atan2(ty - y, tx - x)
+                    best = leaving[0] if len(leaving) == 1 else min(leaving, key=lambda way, x=x, y=y, back=back: _turn(way[0], (x, y), back))
+                    leaving.remove(best)
+                    found.append((edge, best[1]))
+            if len(found) >= BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found, strict=True)], names=["a", "b"])
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found, strict=True)], names=["a", "b"])
+
+    return rays.repartition(by, "x", "y").sortWithinPartitions(by, "x", "y", "comes", "tx", "ty").mapInArrow(link, "a long, b long")
+
+
 def trace_polygons(outline: DataFrame, by: str, cell: float) -> DataFrame:
-    """by, polygon of a written outline: directed edges p, q with the inside on their left."""
-    node = lambda c: F.xxhash64(by, f"{c}.x", f"{c}.y")
-    pieces = components(outline.select(node("p").alias("a"), node("q").alias("b")))
-    flat = outline.join(pieces, node("p") == F.col("node"), "left").select(by, F.coalesce("component", node("p")).alias("piece"), F.col("p.x").alias("px"), F.col("p.y").alias("py"), F.col("q.x").alias("qx"), F.col("q.y").alias("qy"))
+    """by, polygon of a written outline: directed edges p, q with the inside on their left.
 
-    def trace(group: pd.DataFrame) -> pd.DataFrame:
-        rings = [_straight(r) for r in _traced(group)]
-        return pd.DataFrame({by: [group[by].iloc[0]] * len(rings), "ring": [[{"x": x, "y": y} for x, y in r] for r in rings]})
+    Edges are linked at each corner, so a task holds one ring and not all rings that touch one another.
+    """
+    outline = outline.withColumn("edge", F.xxhash64(by, "p.x", "p.y", "q.x", "q.y"))
+    pieces = components(_next_edges(outline, by))
+    flat = outline.join(pieces, F.col("edge") == F.col("node"), "left").select(F.coalesce("component", "edge").alias("piece"), by, F.col("p.x").alias("px"), F.col("p.y").alias("py"), F.col("q.x").alias("qx"), F.col("q.y").alias("qy"))
+    names = [by, "ring", "area", "xmin", "ymin", "xmax", "ymax"]
+
+    def trace(batches):
+        batches = iter(batches)
+        first = next(batches, None)
+        if first is None:
+            return
+        kind, shape = first.schema.field(1).type, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+        made: list[tuple] = []
+        points = 0
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*made, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], shape), *(pa.array(c, pa.float64()) for c in columns[2:])], names=names)
+
+        for (_, group), run in _groups(itertools.chain([first], batches), 2):
+            for ring in map(_straight, _traced(run)):
+                area = 0.0
+                for (ax, ay), (bx, by_) in itertools.pairwise(ring):
+                    area += ax * by_ - bx * ay
+                xs, ys = [x for x, _ in ring], [y for _, y in ring]
+                made.append((group, [{"x": x, "y": y} for x, y in ring], area / 2, min(xs), min(ys), max(xs), max(ys)))
+                points += len(ring)
+            if points >= BATCH:
+                yield batch()
+                made, points = [], 0
+        if made:
+            yield batch()
 
     kind = outline.schema[by].dataType.simpleString()
-    rings = materialize(flat.groupBy(by, "piece").applyInPandas(trace, f"{by} {kind}, ring {geo.RING}"))
-    e = geo.envelope(F.col("ring"))
-    sized = rings.select(by, "ring", geo.ring_area(F.col("ring")).alias("area"), e.alias("e")).select(by, "ring", "area", "e.*").withColumn("id", F.xxhash64(F.lit(by), by, "ring"))
+    box = ", ".join(f"{c} double" for c in names[2:])
+    sized = materialize(flat.repartition(by, "piece").sortWithinPartitions("piece", by, "px", "py", "qx", "qy").mapInArrow(trace, f"`{by}` {kind}, ring {geo.RING}, {box}"))
+    sized = sized.withColumn("id", F.xxhash64(F.lit(by), by, "ring"))
     outer, holes = sized.filter("area > 0"), sized.filter("area < 0")
     # a point of the hole that no outside passes through: the middle of its first edge
     middle = lambda axis: ((F.get("ring", 0)[axis] + F.get("ring", 1)[axis]) / 2).alias(axis)
