@@ -81,18 +81,17 @@ def _cuts(edges: DataFrame, by: str, cell: float, digits: int) -> DataFrame:
     # both edges of a pair compute the same point: from the lesser one of the two
     first = F.struct("lo", "hi") < F.struct("o_lo", "o_hi")
     pick = lambda x, y: F.when(first, x).otherwise(y)
-    ends_of = F.struct(pick(p, r).alias("a"), pick(q, s).alias("b"), pick(r, p).alias("c"), pick(s, q).alias("d"))
-
-    def crossing(e: Column) -> Column:
-        a, b, c, d = e["a"], e["b"], e["c"], e["d"]
-        t = cross(a, c, d) / F.nullif(cross(a, c, d) - cross(b, c, d), F.lit(0.0))
-        at = F.struct(_snapped(a["x"] + t * (b["x"] - a["x"]), digits).alias("x"), _snapped(a["y"] + t * (b["y"] - a["y"]), digits).alias("y"))
-        over = (F.signum(cross(a, b, c)) * F.signum(cross(a, b, d)) < 0) & (F.signum(cross(c, d, a)) * F.signum(cross(c, d, b)) < 0)
-        clear = ~(on_line(c, a, b) | on_line(d, a, b) | on_line(a, c, d) | on_line(b, c, d))
-        return F.when(over & clear, at)
-
-    points = F.array(touched(r), touched(s), let(ends_of, crossing))
-    found = met.select(by, "lo", "hi", F.explode(F.filter(points, lambda c: c.isNotNull())).alias("c")).filter("c != lo AND c != hi").distinct()
+    met = met.withColumns({"ea": pick(p, r), "eb": pick(q, s), "ec": pick(r, p), "ed": pick(s, q)})
+    a, b, c, d = (F.col(f"e{x}") for x in "abcd")
+    # plain columns, each in a step of its own, are compiled; the functions of arrays are not
+    met = met.withColumns({"of_a": cross(a, c, d), "of_b": cross(b, c, d), "of_c": cross(a, b, c), "of_d": cross(a, b, d), "one": length(a, b), "two": length(c, d)})
+    least = 0.75 * 10.0**-digits
+    over = (F.signum("of_c") * F.signum("of_d") < 0) & (F.signum("of_a") * F.signum("of_b") < 0)
+    clear = (F.least(F.abs("of_c"), F.abs("of_d")) > least * F.col("one")) & (F.least(F.abs("of_a"), F.abs("of_b")) > least * F.col("two"))
+    t = F.col("of_a") / F.nullif(F.col("of_a") - F.col("of_b"), F.lit(0.0))
+    at = F.struct(_snapped(a["x"] + t * (b["x"] - a["x"]), digits).alias("x"), _snapped(a["y"] + t * (b["y"] - a["y"]), digits).alias("y"))
+    points = F.array(touched(r), touched(s), F.when(over & clear, at))
+    found = met.select(by, "lo", "hi", F.explode(points).alias("c")).filter("c IS NOT NULL AND c != lo AND c != hi").distinct()
     away = F.pow(F.col("c.x") - F.col("lo.x"), 2) + F.pow(F.col("c.y") - F.col("lo.y"), 2)
     return found.groupBy(by, "lo", "hi").agg(F.transform(F.array_sort(F.collect_list(F.struct(away.alias("d"), "c"))), lambda x: x["c"]).alias("cuts"))
 
